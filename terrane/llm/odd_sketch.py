@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import LOWERED, bounded_batches, mix, row_key, text_chunks, window_hashes, word_hashes
+from terrane.llm.common import LOWERED, bounded_batches, mix, row_key, schemas, text_chunks, window_hashes, word_hashes
 from terrane.operators.graph import connected_components
 from terrane.session import cut
 
@@ -223,9 +223,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     bounded_batches(spark)
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("k"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    arrow = pa.schema([("id", keyed.limit(0).select("id").toArrow().schema.field("id").type), ("k", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
-    signed = cut(keyed.mapInArrow(signature_rows(arrow), f"id {kind}, k long, n long, c1 long, c2 long, sketch binary, bands array<long>"), "signatures")
+    spark_schema, arrow = schemas({"id": keyed.schema["id"].dataType, "k": "long", "n": "long", "c1": "long", "c2": "long", "sketch": "binary", "bands": "array<long>"})
+    signed = cut(keyed.mapInArrow(signature_rows(arrow), spark_schema), "signatures")
     # Bitmap and bands follow from the set, so any member's will do.
     classes = cut(signed.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("low"), F.min("k").alias("node"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
     posts = classes.select("node", F.explode("bands").alias("band"))

@@ -7,10 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import odd_sketch, substring_dedup
+from terrane.llm import odd_sketch, substring_dedup, suffix_arrays
 from terrane.session import table
 
 
+def op2_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_arrays.judge(suffix_arrays.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    digest = F.sha2(F.array_join("item_ids", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+#: Words, all windows of a document of the lengths that windows of items have, and the items whose windows occur.
+OP2_SQL = r"""
+WITH lowered AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+numbered AS (SELECT *, row_number() OVER () AS r, len(w) AS n FROM lowered),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+sized AS (SELECT item, w, least(13, len(w)) AS width FROM items WHERE len(w) > 0),
+wanted AS (SELECT DISTINCT item, width, array_to_string(w[p : p + width - 1], ' ') AS g FROM (SELECT item, w, width, unnest(range(1, len(w) - width + 2)) AS p FROM sized)),
+placed AS (SELECT r, width, p, array_to_string(w[p : p + width - 1], ' ') AS g FROM (SELECT r, w, width, unnest(range(1, n - width + 2)) AS p FROM numbered, (SELECT DISTINCT width FROM sized) WHERE n >= width)),
+found AS (SELECT r, p, width, item FROM placed JOIN wanted USING (width, g)),
+hits AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + width)) AS q FROM (SELECT DISTINCT r, p, width FROM found)) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= n AS contaminated
+FROM numbered LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
+"""
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -21,8 +44,8 @@ def op10_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_substring_dedup, op10_odd_sketch_near_dedup)}
+    return {f.__name__: f for f in (op2_suffix_array_decontamination, op6_substring_dedup, op10_odd_sketch_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_suffix_array_decontamination": OP2_SQL}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import bounded_batches, packed, partitions, row_key, text_chunks, unpacked, window_hashes, word_hashes
+from terrane.llm.common import bounded_batches, packed, partitions, row_key, schemas, text_chunks, unpacked, window_hashes, word_hashes
 
 WINDOW, PERIOD = 35, 21
 #: Bytes of text for each range of hashes; a range is what one task holds of an exchange.
@@ -157,7 +157,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = found(keyed.select("k", "text").mapInArrow(anchor_rows(window, period, ranges), "bucket long, h binary, k binary, pos binary"), wide=False)
     near = keyed.join(anchors.hint("merge"), "k")
     windows = found(near.mapInArrow(window_rows(window, period, ranges), "bucket long, h binary, g binary, k binary, pos binary"), wide=True)
-    kind = docs.schema[id_col].dataType.simpleString()
-    arrow = pa.schema([("id", spark.range(0).select(F.lit(None).cast(kind).alias("id")).toArrow().schema.field("id").type), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
-    out = keyed.join(windows.hint("merge"), "k", "left").mapInArrow(kept_rows(window, arrow), f"id {kind}, n_words long, n_removed long, kept_text string")
+    spark_schema, arrow = schemas({"id": keyed.schema["id"].dataType, "n_words": "long", "n_removed": "long", "kept_text": "string"})
+    out = keyed.join(windows.hint("merge"), "k", "left").mapInArrow(kept_rows(window, arrow), spark_schema)
     return out.withColumnRenamed("id", id_col)
