@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import odd_sketch, substring_dedup, suffix_arrays
+from terrane.llm import hilbert_sharding, odd_sketch, packing, substring_dedup, suffix_arrays
 from terrane.session import table
 
 
+def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_sharding.shard(table(spark, sf_dir, "documents"), ["lang", "source", "n_chars", "doc_id"])
+
+
 def op2_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_arrays.judge(suffix_arrays.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     digest = F.sha2(F.array_join("item_ids", ","), 256)
@@ -39,12 +43,16 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_array_decontamination, op6_substring_dedup, op10_odd_sketch_near_dedup)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_suffix_array_decontamination, op6_substring_dedup, op8_online_packing, op10_odd_sketch_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -68,9 +68,9 @@ def anchor_rows(window: int, period: int, ranges: int):
     return run
 
 
-def repeated_rows(wide: bool):
-    """Of a range of hashes, the places of those that occur more than once, as rows of a document each."""
-    schema = pa.schema([("k", pa.int64()), ("pos", pa.binary())])
+def repeated_rows(wide: bool, ranges: int):
+    """Of a range of hashes, the places of those that occur more than once, packed by ranges of documents."""
+    schema = pa.schema([("bucket", pa.int64()), ("k", pa.binary()), ("pos", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
         h, k, pos = unpacked(table, "h", "<u8"), unpacked(table, "k", "<i8"), unpacked(table, "pos", "<i4")
@@ -82,22 +82,28 @@ def repeated_rows(wide: bool):
         again[1:] |= same
         again[:-1] |= same
         k, pos = k[order][again], pos[order][again]
-        order = np.argsort(k, kind="stable")
-        k, pos = k[order], pos[order]
-        edges = np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])), len(k)) if len(k) else np.zeros(1, dtype=int)
-        bounds = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-        return pa.table([k[edges[:-1]], pa.array([pos[a:b].tobytes() for a, b in bounds], pa.binary())], schema=schema)
+        return pa.Table.from_pylist(list(packed(k.view(np.uint64), ranges, k=k, pos=pos)), schema=schema)
 
     return run
 
 
-def marked(lists: list[list[bytes] | None], lengths: list[int], before: int, after: int, last: int) -> np.ndarray:
+def gathered_rows(table: pa.Table) -> pa.Table:
+    """The places of a range of documents, as one row for each document."""
+    k, pos = unpacked(table, "k", "<i8"), unpacked(table, "pos", "<i4")
+    order = np.argsort(k, kind="stable")
+    k, pos = k[order], pos[order]
+    edges = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
+    lists = [pos[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    return pa.table({"k": pa.array(k[edges[:-1]]), "found": pa.array(lists, pa.binary())})
+
+
+def marked(lists: list[bytes | None], lengths: list[int], before: int, after: int, last: int) -> np.ndarray:
     """Which places lie from `before` ahead of a given position to `after` behind it, and at least `last` from the end."""
     out = []
     for parts, n in zip(lists, lengths, strict=True):
         step = np.zeros(n + 1, dtype=np.int64)
         if parts and n > last:
-            pos = np.frombuffer(b"".join(parts), dtype="<i4")
+            pos = np.frombuffer(parts, dtype="<i4")
             step += np.bincount(np.maximum(pos - before, 0), minlength=n + 1)[: n + 1]
             step -= np.bincount(np.minimum(pos + after, n - last - 1) + 1, minlength=n + 1)[: n + 1]
         out.append(np.cumsum(step[:-1]) > 0)
@@ -152,7 +158,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def found(rows: DataFrame, wide: bool) -> DataFrame:
         """Of each document with repeated hashes, the positions that have them."""
-        return rows.groupBy("bucket").applyInArrow(repeated_rows(wide), "k long, pos binary").groupBy("k").agg(F.collect_list("pos").alias("found"))
+        again = rows.groupBy("bucket").applyInArrow(repeated_rows(wide, ranges), "bucket long, k binary, pos binary")
+        return again.groupBy("bucket").applyInArrow(gathered_rows, "k long, found binary")
 
     anchors = found(keyed.select("k", "text").mapInArrow(anchor_rows(window, period, ranges), "bucket long, h binary, k binary, pos binary"), wide=False)
     near = keyed.join(anchors.hint("merge"), "k")
