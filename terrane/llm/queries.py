@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import hilbert_sharding, odd_sketch, packing, substring_dedup, suffix_arrays
+from terrane.llm import hilbert_sharding, odd_sketch, packing, pii_disclosure, secret_ownership, substring_dedup, suffix_arrays
+from terrane.llm.spans import counted, joined
 from terrane.session import table
 
 
@@ -38,6 +39,20 @@ FROM numbered LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
 """
 
 
+def _spans(found: DataFrame, kinds: tuple) -> DataFrame:
+    every = F.array_sort(F.concat("base", "marks"))
+    counts = [counted(F.col("base"), kind.name).alias(f"n_{kind.name}") for kind in kinds]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"))
+
+
+def op4_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(pii_disclosure.scan(table(spark, sf_dir, "documents")), pii_disclosure.KINDS)
+
+
+def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(secret_ownership.scan(table(spark, sf_dir, "documents")), secret_ownership.KINDS)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -52,7 +67,7 @@ def op10_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_suffix_array_decontamination, op6_substring_dedup, op8_online_packing, op10_odd_sketch_near_dedup)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_suffix_array_decontamination, op4_pii_disclosure, op6_substring_dedup, op7_secret_ownership, op8_online_packing, op10_odd_sketch_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
