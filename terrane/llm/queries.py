@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import hilbert_sharding, odd_sketch, packing, pii_disclosure, secret_ownership, substring_dedup, suffix_arrays
+from terrane.llm import hilbert_sharding, odd_sketch, packing, pii_disclosure, secret_ownership, substring_dedup, suffix_arrays, toxic_crf
 from terrane.llm.spans import counted, joined
 from terrane.session import table
 
@@ -39,6 +39,13 @@ FROM numbered LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
 """
 
 
+def op3_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxic_crf.score(docs, toxic_crf.fit(docs, table(spark, sf_dir, "labels")))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scored.select("doc_id", toxic_crf.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxic_crf.THRESHOLD).cast("int").alias("predicted"), spans.alias("spans"))
+
+
 def _spans(found: DataFrame, kinds: tuple) -> DataFrame:
     every = F.array_sort(F.concat("base", "marks"))
     counts = [counted(F.col("base"), kind.name).alias(f"n_{kind.name}") for kind in kinds]
@@ -67,7 +74,7 @@ def op10_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_suffix_array_decontamination, op4_pii_disclosure, op6_substring_dedup, op7_secret_ownership, op8_online_packing, op10_odd_sketch_near_dedup)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_suffix_array_decontamination, op3_toxic_crf, op4_pii_disclosure, op6_substring_dedup, op7_secret_ownership, op8_online_packing, op10_odd_sketch_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
