@@ -5,9 +5,9 @@ search and folded into a parity bitmap (an odd sketch): each sample flips one bi
 of two bitmaps tells how many samples differ, precisely where similarities are high. Within a bucket of a band the
 bitmaps choose the pairs; the full sets confirm each link before components are formed.
 
-Documents with equal sets are one class from the start, so copies never meet as pairs. In a large bucket, members that
-a pivot's bitmap claims are compared with that pivot only at first; once links are confirmed, a second round compares
-whatever is left in different components, so that no link between two components is lost. Buckets beyond BLOCK
+Documents with equal sets are one class from the start, so copies never meet as pairs. Of a bucket, only the pairs of
+a maximum spanning forest by estimate are confirmed at first, one for each member at most; a second round confirms
+whatever is left between different components, so that no link between two components is lost. Buckets beyond BLOCK
 members are dealt out as pairs of blocks.
 
 Defined results: null texts and texts without words have an empty set, no link and their own id as component. Texts
@@ -31,11 +31,11 @@ from terrane.session import cut
 
 SHINGLE, PERCENT = 5, 85
 #: MinHash samples; the first BANDS * ROWS of them are banded, all are folded into a bitmap of BITS bits.
-SAMPLES, BANDS, ROWS, BITS = 240, 24, 5, 1024
+SAMPLES, BANDS, ROWS, BITS = 480, 24, 5, 2048
 #: How far below the threshold a bitmap's estimate may lie and the pair still be confirmed on full sets.
-SLACK = 0.1
+SLACK = 0.065
 #: Members of a bucket that one task compares, and the size up to which all pairs of a bucket are compared at once.
-BLOCK, SMALL = 16384, 12
+BLOCK, SMALL = 8192, 5
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -79,10 +79,35 @@ def bitmaps(found: np.ndarray) -> np.ndarray:
     return np.packbits(out & 1, axis=1).view(np.uint64)
 
 
-def similarity(flips: np.ndarray) -> np.ndarray:
-    """The estimate from population counts of XORs."""
-    odd = np.minimum(flips, BITS // 2 - 1)
-    return 1 - np.log1p(-2 * odd / BITS) / np.log1p(-2 / BITS) / 2 / SAMPLES
+def most_flips(threshold: float) -> int:
+    """The largest population count of an XOR whose estimate of the similarity reaches the threshold."""
+    flips = np.arange(BITS // 2)
+    estimate = 1 - np.log1p(-2 * flips / BITS) / np.log1p(-2 / BITS) / 2 / SAMPLES
+    return int(np.flatnonzero(estimate >= threshold)[-1])
+
+
+def flips(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32)
+
+
+def spanning_forest(maps: np.ndarray, side: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+    """Prim's forest of the members of a bucket, nearest first; members of one block of two are not compared."""
+    far = np.int32(BITS + 1)
+    n, left, right = len(maps), [], []
+    two, best, link, out = side[0] >= 0, np.full(len(maps), far), np.zeros(len(maps), dtype=np.int64), np.zeros(len(maps), dtype=bool)
+    now = 0
+    for _ in range(n - 1):
+        out[now] = True
+        found = flips(maps, maps[now])
+        if two:
+            found[side == side[now]] = far
+        nearer = found < best
+        best[nearer], link[nearer] = found[nearer], now
+        now = int(np.argmin(np.where(out, far + 1, best)))
+        if best[now] <= most:
+            left.append(int(link[now]))
+            right.append(now)
+    return left, right
 
 
 def signature_rows(schema: pa.Schema):
@@ -150,8 +175,9 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray]
 
 
 def candidate_rows(threshold: float, settled: bool):
-    """Pairs of a bucket to confirm. First round: pivots against all. Settled: what lies in different components."""
+    """Pairs of buckets to confirm: at first a spanning forest, once settled all between different components."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    most = most_flips(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for edges, node, maps, root, side in groups(batches):
@@ -159,41 +185,31 @@ def candidate_rows(threshold: float, settled: bool):
             left, right = [], []
             for size in range(2, SMALL + 1):  # all pairs of all small buckets of a size at once
                 starts = edges[:-1][sizes == size]
-                if len(starts):
-                    x, y = np.triu_indices(size, 1)
-                    left.append((starts[:, None] + x).ravel())
-                    right.append((starts[:, None] + y).ravel())
-            if left:
-                x, y = np.concatenate(left), np.concatenate(right)
-                near = similarity(np.bitwise_count(maps[x] ^ maps[y]).sum(axis=1, dtype=np.int64)) >= threshold
-                left, right = [x[near]], [y[near]]
+                x, y = np.triu_indices(size, 1)
+                x, y = (starts[:, None] + x).ravel(), (starts[:, None] + y).ravel()
+                near = flips(maps[x], maps[y]) <= most
+                left.append(x[near])
+                right.append(y[near])
             for start, end in zip(edges[:-1][sizes > SMALL].tolist(), edges[1:][sizes > SMALL].tolist(), strict=True):
-                own, done = maps[start:end], np.zeros(end - start, dtype=bool)
-                claimed = np.zeros(end - start, dtype=bool)
-                for i in range(end - start):
-                    if claimed[i] and not settled:
-                        continue
-                    rest = ~done
-                    rest[i] = False
-                    if settled:
-                        rest &= root[start:end] != root[start + i]
-                    if side[start] != side[end - 1] or side[start] >= 0:  # two blocks: only across them
-                        rest &= side[start:end] != side[start + i]
-                    done[i] = True
-                    at = np.flatnonzero(rest)
-                    if not len(at):
-                        continue
-                    found = similarity(np.bitwise_count(own[at] ^ own[i]).sum(axis=1, dtype=np.int64))
-                    near = at[found >= threshold]
-                    claimed[at[found >= threshold + SLACK + 0.02]] = True
-                    left.append(np.full(len(near), start + i))
-                    right.append(start + near)
-            if left:
-                x, y = np.concatenate(left), np.concatenate(right)
-                keep = (root[x] != root[y]) if settled else node[x] != node[y]
-                x, y = node[x[keep]], node[y[keep]]
-                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+                own, sides, roots = maps[start:end], side[start:end], root[start:end]
+                if settled:
+                    for i in range(end - start - 1):
+                        other = roots[i + 1 :] != roots[i]
+                        if sides[0] >= 0:
+                            other &= sides[i + 1 :] != sides[i]
+                        at = i + 1 + np.flatnonzero(other)
+                        at = at[flips(own[at], own[i]) <= most]
+                        left.append(np.full(len(at), start + i))
+                        right.append(start + at)
+                else:
+                    x, y = spanning_forest(own, sides, most)
+                    left.append(start + np.array(x, dtype=np.int64))
+                    right.append(start + np.array(y, dtype=np.int64))
+            x, y = np.concatenate(left), np.concatenate(right)
+            keep = (root[x] != root[y]) if settled else node[x] != node[y]
+            x, y = node[x[keep]], node[y[keep]]
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
     return run
 
@@ -245,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def confirm(found: DataFrame) -> DataFrame:
         ends = found.select(F.col("a").alias("k")).union(found.select(F.col("b").alias("k"))).distinct()
-        sets = keyed.select("k", "text").join(ends, "k", "left_semi").mapInArrow(set_rows, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+        sets = keyed.select("k", "text").join(ends.hint("merge"), "k", "left_semi").mapInArrow(set_rows, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
         sets = cut(sets, "sets")
         both = found.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("right")), "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("left")), "a")
         return cut(both.select("a", "b", "left", "right").mapInArrow(confirmed_rows(percent), "a long, b long"), "links")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import hilbert_sharding, odd_sketch, packing, pii_disclosure, secret_ownership, substring_dedup, suffix_arrays, toxic_crf
+from terrane.llm import hilbert_sharding, odd_sketch, packing, pii_disclosure, projection_forest, secret_ownership, substring_dedup, suffix_arrays, toxic_crf
 from terrane.llm.spans import counted, joined
 from terrane.session import table
 
@@ -60,6 +60,10 @@ def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(secret_ownership.scan(table(spark, sf_dir, "documents")), secret_ownership.KINDS)
 
 
+def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -74,7 +78,7 @@ def op10_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_suffix_array_decontamination, op3_toxic_crf, op4_pii_disclosure, op6_substring_dedup, op7_secret_ownership, op8_online_packing, op10_odd_sketch_near_dedup)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_suffix_array_decontamination, op3_toxic_crf, op4_pii_disclosure, op5_projection_forest, op6_substring_dedup, op7_secret_ownership, op8_online_packing, op10_odd_sketch_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
