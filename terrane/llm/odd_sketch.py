@@ -234,8 +234,8 @@ def confirmed_rows(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per document: its id, n_shingles, component_id (smallest id reachable by links) and kept."""
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per document: id, k (the row's key), n (size of its set) and component_id (smallest id reachable)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("k"))
@@ -279,6 +279,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = classes.select("node", "low").join(labels, "node")
     lows = ends.groupBy("root").agg(F.min("low").alias("component"))
     named = classes.select("c1", "c2", "n", "node", "low").join(ends.join(lows, "root").select("node", "component"), "node", "left").select("c1", "c2", "n", F.coalesce("component", "low").alias("component_id"))
-    out = signed.select("id", "n", "c1", "c2").join(named, ["c1", "c2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    out = signed.select("id", "k", "n", "c1", "c2").join(named, ["c1", "c2", "n"], "left")
+    return out.select("id", "k", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per document: its id, n_shingles, component_id (smallest id reachable by links) and kept."""
+    found = classify(docs, id_col, text_col, percent)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The documents, with all their columns, one of each component: the one with its smallest id. Texts without
+    words belong to no component and stay."""
+    found = cut(classify(docs, id_col, text_col, percent).where("n > 0"), "found")
+    first = found.groupBy("component_id").agg(F.min(F.struct("id", "k"))["k"].alias("first"))
+    gone = found.join(first, "component_id").where("k <> first").select(F.col("k").alias("__k")).distinct()
+    out = docs.withColumn("__k", row_key(id_col, text_col)).join(gone, "__k", "left_anti")
+    repeated = found.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("k").alias("__k"))
+    if not repeated.isEmpty():  # equal rows: all but one go
+        out = out.join(repeated, "__k", "left_anti").unionByName(out.join(repeated, "__k", "left_semi").dropDuplicates(["__k"]))
+    return out.select(*[F.col(c) for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import hilbert_sharding, odd_sketch, packing, pii_disclosure, projection_forest, secret_ownership, substring_dedup, suffix_arrays, toxic_crf
+from terrane.llm import hilbert_sharding, odd_sketch, packing, pii_disclosure, projection_forest, secret_ownership, substring_dedup, suffix_arrays, toxic_crf, warc_derivatives
 from terrane.llm.spans import counted, joined
 from terrane.session import table
 
@@ -69,17 +69,66 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+#: Windows of 35 words as strings, those that start more than once, and the words that such windows cover.
+OP6_SQL = r"""
+WITH split AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT r, p, array_to_string(w[p : p + 34], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM split WHERE len(w) >= 35)),
+again AS (SELECT g FROM windows GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS q FROM windows JOIN again USING (g)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM split),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY q) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (r, q) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM split LEFT JOIN kept USING (r)
+"""
+
+
 def op8_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_derivatives.derive(warc_derivatives.responses(table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
+
+
+def _op9_sql() -> str:
+    w = warc_derivatives
+    quoted = lambda text: "'" + text.replace("'", "''").replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '") + "'"
+
+    def resolved(text: str) -> str:
+        for name, value in w.REFERENCES:
+            text = f"replace({text}, {quoted(name)}, {quoted(value)})"
+        return text
+
+    pattern = lambda text: "'" + text.replace("'", "''") + "'"
+    text = f"regexp_replace(regexp_replace(payload, {pattern(w.HIDDEN)}, ' ', 'g'), {pattern(w.BLOCK_TAGS)}, chr(10), 'g')"
+    text = resolved(f"regexp_replace({text}, {pattern(w.OTHER_TAGS)}, '', 'g')")
+    text = f"regexp_replace(regexp_replace({text}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
+    title = f"trim(regexp_replace({resolved(f'regexp_extract(payload, {pattern(w.TITLE)}, 1)')}, '[ \\t\\r\\n\\f]+', ' ', 'g'), ' ')"
+    line = lambda name, value: f"CASE WHEN length({value}) > 0 THEN '{name}: ' || {value} || chr(13) || chr(10) ELSE '' END"
+    urn = lambda h: f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'"
+    language = f"regexp_extract(payload, {pattern(w.LANGUAGE)}, 1)"
+    return f"""
+WITH page AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
+named AS (SELECT *, md5(coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '') || '|' || payload) AS h FROM page),
+response AS (SELECT *, {urn("h")} AS refers_to FROM named),
+made AS (
+  SELECT page_id, refers_to, url, payload, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
+         {line("title", title)} || {line("language", language)}
+         || coalesce(array_to_string(list_transform(regexp_extract_all(payload, {pattern(w.LINK)}, 1), lambda x: 'outlink: ' || x || chr(13) || chr(10)), ''), '') AS block FROM response
+  UNION ALL
+  SELECT page_id, refers_to, url, payload, 'conversion', 'text/plain; charset=utf-8', trim({text}, ' ' || chr(10)) FROM response)
+SELECT page_id, warc_type, {urn("md5(warc_type || '|' || refers_to)")} AS record_id, refers_to, url AS target_uri, '{w.DATE}' AS warc_date, content_type,
+       CAST(strlen(block) AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest, 'sha256:' || sha256(payload) AS source_digest,
+       'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(payload) AS source_headers, block
+FROM made"""
+
+
 def op10_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_suffix_array_decontamination, op3_toxic_crf, op4_pii_disclosure, op5_projection_forest, op6_substring_dedup, op7_secret_ownership, op8_online_packing, op10_odd_sketch_near_dedup)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_suffix_array_decontamination, op3_toxic_crf, op4_pii_disclosure, op5_projection_forest, op6_substring_dedup, op7_secret_ownership, op8_online_packing, op9_warc_derivatives, op10_odd_sketch_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array_decontamination": OP2_SQL}
+    return {"op2_suffix_array_decontamination": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op9_warc_derivatives": _op9_sql()}
