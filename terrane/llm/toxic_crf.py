@@ -33,15 +33,15 @@ THRESHOLD = 0.3
 #: Labelled rows of a fit at most, and bytes of a text in it; longer labelled texts are not fitted on.
 FIT_ROWS, FIT_BYTES = 6000, 20_000
 #: Log odds and documents from which on a feature marks tokens of toxic documents.
-MARK_ODDS, MARK_DOCS = 4.0, 8
+MARK_ODDS, MARK_DOCS = 3.5, 5
 #: Tokens on either side of a toxic one that are fitted on, and as many windows again from elsewhere.
-REACH, STEPS = 8, 150
+REACH, STEPS = 8, 90
 TOKEN = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 
 
 def features(word: bytes) -> list[str]:
     w = word.decode(errors="replace").lower()
-    return ["=" + w, *("^" + w[:n] for n in (3, 4, 5) if len(w) >= n)]
+    return ["=" + w, *("^" + w[:n] for n in (3, 4, 5, 6) if len(w) >= n)]
 
 
 def scan(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -193,7 +193,7 @@ def train(texts: list[bytes], labels: list[int]) -> Crf:
         if not words:
             continue
         at = [i for i, w in enumerate(words) if label and w in toxic]
-        for i in [*at[:12], *rng.integers(0, len(words), 3).tolist()]:
+        for i in [*at[:10], *rng.integers(0, len(words), 2).tolist()]:
             low, high = max(0, i - REACH), min(len(words), i + REACH + 1)
             windows.append(words[low:high])
             gold.append([int(bool(label) and w in toxic) for w in words[low:high]])
