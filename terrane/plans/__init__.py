@@ -1 +1,4 @@
-"""terrane.plans"""
+"""Named queries over the driver tables, one module for each block of operators."""
+
+from terrane.plans import classification, series  # noqa: F401
+from terrane.plans.catalogue import QUERIES, SQL  # noqa: F401
