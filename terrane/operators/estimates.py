@@ -105,7 +105,7 @@ def recency_weight(age_days: Column, half_life: float, bulk: Column) -> Column:
 def binary_metrics(df: DataFrame, label: Column, predicted: Column, keys: list[str]) -> DataFrame:
     """Counts, precision, recall and F1 per group; a share without a base is null."""
     rows = df.withColumns({"__y": label.cast("int"), "__p": predicted.cast("int")})
-    out = rows.groupBy(*keys).agg(F.count_if("__y = 1 and __p = 1").alias("tp"), F.count_if("__y = 0 and __p = 1").alias("fp"), F.count_if("__y = 1 and __p = 0").alias("fn"), F.count_if("__y = 0 and __p = 0").alias("tn"))
+    out = rows.groupBy(*keys).agg(F.count_if(F.expr("__y = 1 and __p = 1")).alias("tp"), F.count_if(F.expr("__y = 0 and __p = 1")).alias("fp"), F.count_if(F.expr("__y = 1 and __p = 0")).alias("fn"), F.count_if(F.expr("__y = 0 and __p = 0")).alias("tn"))
     precision, recall = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
     return out.withColumns({"precision": precision, "recall": recall, "f1": F.try_divide(F.lit(2.0) * F.col("tp"), F.lit(2) * F.col("tp") + F.col("fp") + F.col("fn"))})
 
