@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.session import cut
+
 #: Fixed values of the outlier test.
 MAD_SCALE, MIN_SCALE, THRESHOLD, MIN_PEERS = 1.4826, 0.12, 3.5, 30
 
@@ -34,23 +36,41 @@ def drop_counts(df: DataFrame, rules: list[tuple[str, Column]], kept: str = "kep
     return df.select(F.coalesce(first_match(rules), F.lit(kept)).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _by_tier(df: DataFrame, tiers: list[list[str]], values: list[Column]) -> DataFrame:
+    """One row per row and tier: the tier's number, its keys (others null) and its value."""
+    keys = list(dict.fromkeys(k for tier in tiers for k in tier))
+    null = {k: F.lit(None).cast(df.schema[k].dataType) for k in keys}
+    rows = [F.struct(F.lit(i).alias("tier"), *[(F.col(k) if k in tier else null[k]).alias(k) for k in keys], value.alias("value")) for i, (tier, value) in enumerate(zip(tiers, values, strict=True), 1)]
+    return df.select(F.explode(F.array(*rows)).alias("t")).select("t.*")
+
+
 def tiered_robust_z(df: DataFrame, value: str, tiers: list[list[str]], min_peers: int = MIN_PEERS) -> DataFrame:
     """Adds peer_tier (1 for the first tier with enough peers and spread), robust_z, med and scale.
 
-    Each tier is an aggregate joined back, so Spark broadcasts small tier tables and shuffles only large ones.
+    All tiers' medians come from one shuffle and all their deviations from another; the written tier tables are then
+    joined back, broadcast by Spark where they are small.
     """
-    out = df
-    for i, keys in enumerate(tiers, 1):
-        med = df.groupBy(*keys).agg(F.median(value).alias(f"__med{i}"), F.count(value).alias(f"__n{i}"))
-        out = _join_null_safe(out, med, keys)
-        gap = _join_null_safe(df, med, keys).groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col(f"__med{i}"))).alias(f"__mad{i}"))
-        out = _join_null_safe(out, gap, keys)
-    usable = [(F.col(f"__n{i}") >= min_peers) & (F.col(f"__mad{i}") > 0) for i in range(1, len(tiers) + 1)]
-    pick = lambda what: reduce(lambda chain, i: chain.when(usable[i - 1], F.col(f"__{what}{i}")), range(1, len(tiers) + 1), F.when(F.lit(False), F.lit(None).cast("double")))
-    tier = reduce(lambda chain, i: chain.when(usable[i - 1], F.lit(i)), range(1, len(tiers) + 1), F.when(F.lit(False), F.lit(None).cast("int")))
+    keys = list(dict.fromkeys(k for tier in tiers for k in tier))
+    df = cut(df, "peers")
+
+    def joined(rows: DataFrame, found: DataFrame, names: dict[str, str]) -> DataFrame:
+        for i, tier in enumerate(tiers, 1):
+            own = found.where(F.col("tier") == i).select(*tier, *[F.col(c).alias(f"{name}{i}") for c, name in names.items()])
+            rows = _join_null_safe(rows, own, tier)
+        return rows
+
+    n = len(tiers)
+    stats = cut(_by_tier(df, tiers, [F.col(value)] * n).groupBy("tier", *keys).agg(F.median("value").alias("med"), F.count("value").alias("n")), "tiers")
+    out = joined(df, stats, {"med": "__med", "n": "__n"})
+    gaps = [F.abs(F.col(value) - F.col(f"__med{i}")) for i in range(1, n + 1)]
+    mads = cut(_by_tier(out, tiers, gaps).groupBy("tier", *keys).agg(F.median("value").alias("mad")), "tiers")
+    out = joined(out, mads, {"mad": "__mad"})
+    usable = [(F.col(f"__n{i}") >= min_peers) & (F.col(f"__mad{i}") > 0) for i in range(1, n + 1)]
+    pick = lambda what: reduce(lambda chain, i: chain.when(usable[i - 1], F.col(f"__{what}{i}")), range(1, n + 1), F.when(F.lit(False), F.lit(None).cast("double")))
+    tier = reduce(lambda chain, i: chain.when(usable[i - 1], F.lit(i)), range(1, n + 1), F.when(F.lit(False), F.lit(None).cast("int")))
     out = out.withColumns({"peer_tier": tier, "med": pick("med"), "scale": F.greatest(F.lit(MAD_SCALE) * pick("mad"), F.lit(MIN_SCALE))})
     out = out.withColumn("robust_z", (F.col(value) - F.col("med")) / F.col("scale"))
-    return out.drop(*[f"__{what}{i}" for what in ("med", "n", "mad") for i in range(1, len(tiers) + 1)])
+    return out.drop(*[f"__{what}{i}" for what in ("med", "n", "mad") for i in range(1, n + 1)])
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
