@@ -140,8 +140,8 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("k")), sets], names=["node", "hashes"])
 
 
-def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of whole buckets: edges of the buckets, nodes, bitmaps, roots and block sides."""
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of whole buckets: edges of the buckets, nodes, bitmaps, roots, block sides, bands, and all bands of each."""
     carry: list[pa.RecordBatch] = []
 
     def whole(parts: list[pa.RecordBatch]):
@@ -152,7 +152,8 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray]
         new = np.append(True, np.logical_or.reduce([p[1:] != p[:-1] for p in part]))
         edges = np.append(np.flatnonzero(new), len(t))
         maps = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(t), -1)
-        return edges, t.column("node").to_numpy(), maps, t.column("root").to_numpy(), t.column("side").to_numpy()
+        bands = t.column("bands").combine_chunks().flatten().to_numpy()
+        return edges, t.column("node").to_numpy(), maps, t.column("root").to_numpy(), t.column("side").to_numpy(), t.column("band").to_numpy(), bands
 
     for batch in batches:
         if not batch.num_rows:
@@ -180,7 +181,7 @@ def candidate_rows(threshold: float, settled: bool):
     most = most_flips(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for edges, node, maps, root, side in groups(batches):
+        for edges, node, maps, root, side, band, bands in groups(batches):
             sizes = np.diff(edges)
             left, right = [], []
             for size in range(2, SMALL + 1):  # all pairs of all small buckets of a size at once
@@ -207,6 +208,9 @@ def candidate_rows(threshold: float, settled: bool):
                     right.append(start + np.array(y, dtype=np.int64))
             x, y = np.concatenate(left), np.concatenate(right)
             keep = (root[x] != root[y]) if settled else node[x] != node[y]
+            if settled and len(x):  # a pair that shares several buckets counts in the first
+                bands = bands.reshape(len(node), -1)
+                keep &= bands[x, np.argmax(bands[x] == bands[y], axis=1)] == band[x]
             x, y = node[x[keep]], node[y[keep]]
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
@@ -253,9 +257,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     def pairs(members: DataFrame, settled: bool) -> DataFrame:
         """members have roots; buckets beyond one block are dealt out to every pair of their blocks."""
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        members = members.select("band", "node", "sketch", "root", "blocks", "own", other.alias("other"))
+        members = members.select("band", "node", "sketch", "bands", "root", "blocks", "own", other.alias("other"))
         side = F.when((F.col("blocks") > 1) & (F.col("own") != F.col("other")), F.col("own")).otherwise(F.lit(-1))
-        members = members.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "sketch", "root", side.alias("side"))
+        members = members.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "sketch", "bands", "root", side.alias("side"))
         dealt = members.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
         return cut(dealt.mapInArrow(candidate_rows(percent / 100 - SLACK, settled), "a long, b long").distinct(), "pairs")
 
@@ -266,12 +270,14 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
         both = found.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("right")), "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("left")), "a")
         return cut(both.select("a", "b", "left", "right").mapInArrow(confirmed_rows(percent), "a long, b long"), "links")
 
-    links = confirm(pairs(posts.withColumn("root", F.col("node")), settled=False))
+    unused = F.array().cast("array<bigint>").alias("bands")
+    links = confirm(pairs(posts.select("*", F.col("node").alias("root"), unused), settled=False))
     labels = cut(connected_components(links, "a", "b"), "labels")
     rooted = posts.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Buckets up to SMALL have been compared in full; larger ones of one component have nothing left to add.
     mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where((F.col("lo") != F.col("hi")) & (F.col("size") > SMALL))
-    left = pairs(rooted.join(mixed.select("band"), "band", "left_semi"), settled=True)
+    mixed_posts = rooted.join(mixed.select("band"), "band", "left_semi").join(classes.select("node", "bands"), "node")
+    left = pairs(mixed_posts, settled=True)
     if not left.isEmpty():
         more = confirm(left)
         if not more.isEmpty():
