@@ -11,9 +11,9 @@ from terrane.session import table
 from terrane.sources import readers
 
 
-@query("""SELECT doc_id, nullif(array_to_string(list_filter(string_split(trim(regexp_replace(lower(substr(text, 1, 60)), '[^0-9a-z]+', ' ', 'g')), ' '), lambda t: t <> 'al' AND t <> ''), ' '), '') AS match_key FROM documents""")
+@query("""SELECT doc_id, nullif(array_to_string(list_filter(string_split(trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')), ' '), lambda t: t <> 'al' AND t <> ''), ' '), '') AS match_key FROM documents""")
 def fn6_match_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", sc.match_key(F.substring("text", 1, 60)).alias("match_key"))
+    return table(spark, sf_dir, "documents").select("doc_id", sc.match_key(F.col("text")).alias("match_key"))
 
 
 @query("""SELECT p_partkey, try_cast(regexp_extract(p_brand, '([0-9]+)$', 1) AS DOUBLE) AS number, TRY_CAST(p_type AS DOUBLE) AS bad, CASE WHEN p_size > 0 THEN round(p_retailprice / p_size, 6) END AS per_size,
@@ -45,10 +45,10 @@ def fn13_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", props["k"].alias("k"), props["missing"].alias("missing"), F.to_json(F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user"))).alias("packed"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(substr(text, 1, 400)), '[a-z0-9]+')) AS word FROM documents), s AS (SELECT doc_id, CAST(('0x' || substr(sha256(word), 1, 8))::BIGINT % 384 AS INTEGER) AS slot, count(*) AS n FROM w GROUP BY 1, 2)
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents), s AS (SELECT doc_id, CAST(('0x' || substr(sha256(word), 1, 8))::BIGINT % 384 AS INTEGER) AS slot, count(*) AS n FROM w GROUP BY 1, 2)
 SELECT doc_id, slot, n, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM s""")
 def fn15_hashed_bag_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.substring("text", 1, 400)), F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
     counts = words.groupBy("doc_id", sc.bag_slot(F.col("word")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     length = counts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
     return counts.join(length, "doc_id").select("doc_id", "slot", "n", F.round(F.col("n") / F.col("length"), 6).alias("weight"))

@@ -62,11 +62,11 @@ def an20_ordered_pair_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(cuts)).groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH RECURSIVE h AS (SELECT DISTINCT l_partkey AS item, l_suppkey || '|' || CAST(l_shipdate AS DATE) AS k FROM lineitem WHERE l_quantity >= 49), s AS (SELECT k FROM h GROUP BY k HAVING count(*) BETWEEN 2 AND 4),
+@query("""WITH RECURSIVE h AS (SELECT DISTINCT l_partkey AS item, l_suppkey || '|' || CAST(l_shipdate AS DATE) AS k FROM lineitem), s AS (SELECT k FROM h GROUP BY k HAVING count(*) BETWEEN 2 AND 4),
 e AS (SELECT DISTINCT x.item AS a, y.item AS b FROM h x JOIN h y USING (k) JOIN s USING (k) WHERE x.item <> y.item), r(node, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
 SELECT node, min(root) AS root FROM r GROUP BY node""")
 def an24_connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_partkey", F.concat_ws("|", "l_suppkey", F.to_date("l_shipdate")).alias("stop"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.concat_ws("|", "l_suppkey", F.to_date("l_shipdate")).alias("stop"))
     return connected_components(pr.shared_key_pairs(lines, "l_partkey", "stop", 4, "stop"), "a", "b")
 
 
