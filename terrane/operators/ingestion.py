@@ -13,6 +13,7 @@ GROUPS = {"Sales": "sales", "Mortgages": "mortgages", "Gifts": "gifts"}
 REGISTRATIONS = {"Existing Properties": "ready", "Off-Plan Properties": "off_plan"}
 TYPES = ("Unit", "Villa", "Land", "Building")
 SALE_PROCEDURES = ("Sell", "Sell - Pre registration", "Delayed Sell", "Sale On Payment Plan")
+OUTLIERS = ("suspected_sqft_entry", "price_outlier_low", "price_outlier_high")
 PRICE_FLOOR, LN_UNIT = 50_000.0, 2.376201
 PEER_TIERS = [["area_id", "property_type", "reg_type", "year"], ["area_id", "property_type", "year"], ["property_type", "reg_type", "year"], ["property_type", "year"], ["property_type"]]
 
@@ -46,11 +47,11 @@ def classify(typed: DataFrame, row: str = "source_row", tiers: list[list[str]] |
         ("non_market_procedure", F.col("procedure_name").isNull() | ~F.col("procedure_name").isin(*SALE_PROCEDURES)), ("missing_date", F.col("instance_date").isNull()),
         ("missing_price", F.col("price").isNull()), ("invalid_area", F.col("area_sqm").isNull() | (F.col("area_sqm") <= 0)), ("price_below_floor", F.col("price") < PRICE_FLOOR),
     ])
-    ruled = typed.withColumn("__rule", F.when(F.lit(True), reason))
+    ruled = typed.withColumn("__rule", reason)
     clean = ruled.where("__rule is null").withColumn("__x", F.ln("price_per_sqm"))
     z = rules.tiered_robust_z(clean, "__x", tiers or PEER_TIERS, min_peers)
     shifted = (F.col("__x") + LN_UNIT - F.col("med")) / F.col("scale")
-    judged = z.select(row, "peer_tier", "robust_z", rules.outlier_reason(F.col("robust_z"), shifted).alias("__outlier"))
+    judged = z.select(row, "peer_tier", "robust_z", rules.outlier_reason(F.col("robust_z"), shifted, names=OUTLIERS).alias("__outlier"))
     return ruled.join(judged, row, "left").withColumn("exclusion_reason", F.coalesce("__rule", "__outlier")).drop("__rule", "__outlier")
 
 

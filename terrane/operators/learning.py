@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -40,7 +40,9 @@ def fit_boosted(df: DataFrame, features: list[str], label: str, weight: str | No
         gbt = gbt.setWeightCol(weight)
     if validation:
         gbt = gbt.setValidationIndicatorCol(validation)
-    stages = [Imputer(inputCols=features, outputCols=[f"{c}__i" for c in features]), VectorAssembler(inputCols=[f"{c}__i" for c in features], outputCol="x"), gbt]
+    # Trees split missing values off by themselves, so a number beyond all others stands for them.
+    filled = ", ".join(f"coalesce(cast(`{c}` as double), -1e9) as `{c}__i`" for c in features)
+    stages = [SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"), VectorAssembler(inputCols=[f"{c}__i" for c in features], outputCol="x"), gbt]
     return Pipeline(stages=stages).fit(df)
 
 

@@ -79,9 +79,10 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(renamed, on, "left").drop(*[f"__r_{k}" for k in keys])
 
 
-def outlier_reason(z: Column, shifted: Column, threshold: float = THRESHOLD) -> Column:
-    """Low, high, or low because of another unit: the shifted z lies within the threshold."""
-    return first_match([("suspected_unit", (z < -threshold) & (F.abs(shifted) <= threshold)), ("outlier_low", z < -threshold), ("outlier_high", z > threshold)])
+def outlier_reason(z: Column, shifted: Column, threshold: float = THRESHOLD, names: tuple[str, str, str] = ("suspected_unit", "outlier_low", "outlier_high")) -> Column:
+    """Low because of another unit (the shifted z lies within the threshold), low, or high."""
+    unit, low, high = names
+    return first_match([(unit, (z < -threshold) & (F.abs(shifted) <= threshold)), (low, z < -threshold), (high, z > threshold)])
 
 
 def group_mad_screen(df: DataFrame, value: str, keys: list[str], min_group: int = 10, threshold: float = 3.0) -> DataFrame:

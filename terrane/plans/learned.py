@@ -10,7 +10,9 @@ from terrane.operators import timeseries as ts
 from terrane.plans.catalogue import query
 from terrane.plans.similarity import an19_jn6_pair_features
 from terrane.operators.retrieval import tokens
+from terrane.products import listings
 from terrane.products.areas import AreaStats
+from terrane.products.forecast import Forecaster
 from terrane.products.price import PricePredictor
 from terrane.products.search import phrases, search
 from terrane.session import cut, table
@@ -106,3 +108,23 @@ def an10_an14_baseline_and_labels(spark: SparkSession, sf_dir: str) -> DataFrame
     b = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(F.when(y == 1999, F.col("o_totalprice"))).alias("now"), F.max(F.when(y == 1998, F.col("o_totalprice"))).alias("last"))
     trend = F.ln(F.col("now") / F.col("last"))
     return b.select("o_custkey", F.coalesce(F.round(trend, 6), F.lit(0.0)).alias("trend"), F.when(F.abs(trend) <= 0.1, "high").when(F.abs(trend) <= 0.5, "medium").otherwise("low").alias("confidence"))
+
+
+@query()
+def api_forecaster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth per supplier and part type: forecasts where a gate passes, else the reason."""
+    lines = table(spark, sf_dir, "lineitem")
+    sales = lines.select(F.concat_ws("-", F.lit("area"), F.col("l_suppkey") % 20).alias("area"), F.col("l_suppkey").cast("string").alias("building"), F.col("l_returnflag").alias("kind"), F.to_date("l_shipdate").alias("date"), F.col("l_quantity").alias("size"), F.col("l_extendedprice").alias("price"))
+    sales = cut(sales, "sales")
+    return Forecaster().fit(sales).forecast(sales)
+
+
+@query()
+def api_listing_checker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicates by a fitted pair model over candidates of vectors that stand in for listings."""
+    vectors = table(spark, sf_dir, "embeddings")
+    rows = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), (1000.0 + F.col("label") * 100).alias("price"), (50.0 + F.col("vec_id") % 40).alias("size"), F.col("label").alias("area"), (F.col("vec_id") % 7).alias("agent"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 90).cast("int")).alias("posted"))
+    rows = cut(rows, "listings")
+    photos = rows.select("id", F.concat_ws("-", "area", "agent", "posted").alias("photo"))
+    features = cut(listings.pair_features(listings.candidates(rows, photos, 5, 8), rows).withColumn("label", (F.col("cosine") > 0.35).cast("int")), "features")
+    return listings.ListingChecker.fit(features, "label").duplicates(features).select("a", "b", F.round("score", 4).alias("score"))
