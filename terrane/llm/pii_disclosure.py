@@ -76,14 +76,18 @@ def disclosing(texts: DataFrame, near: DataFrame, support: int, generalise: floa
     total = texts.count()
     places = near.groupBy("entity", "term", "context", "row").agg(F.lit(1)).groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
     together = places.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support)
-    together = cut(together, "together")
     entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    asked = cut(together.select("term").distinct(), "terms")
-    words = texts.select(F.monotonically_increasing_id().alias("row"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM.pattern), F.lit(0))).alias("term"))
-    terms = words.join(asked, "term").groupBy("term", "row").agg(F.lit(1)).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     n = F.lit(float(max(total, 1)))
+    # A term is held by at least the documents that have it next to some entity. Where these are too many already for
+    # the lowest share, its other documents need not be counted.
+    beside = near.select("term", "row").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_beside"))
+    most = F.least("n_both", "n_entity") * F.pow(n / F.col("n_entity"), F.lit(1 - generalise)) * 1.000001
+    together = cut(together.join(entities, "entity").join(beside, "term").where((F.col("n_entity") < n) & (F.col("n_beside") <= most)), "together")
+    asked = cut(together.select("term").distinct(), "terms")
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM.pattern), F.lit(0)))).alias("term"))
+    terms = words.join(asked, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     both = F.least("n_both", "n_term", "n_entity").cast("double")
-    scored = together.join(entities, "entity").join(terms, "term").where(F.col("n_entity") < n)
+    scored = together.join(terms, "term")
     scored = scored.withColumn("share", F.ln(n * both / (F.col("n_term") * F.col("n_entity"))) / F.ln(n / F.col("n_entity")))
     return scored.where(F.col("share") >= generalise).select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
 
