@@ -8,6 +8,7 @@ left is packed into sequences.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terrane.llm import odd_sketch, packing, pii_disclosure, suffix_arrays, toxic_crf
 from terrane.session import cut, table
@@ -26,7 +27,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii_disclosure.sanitise(docs)
+    clean = pii_disclosure.sanitise(docs)
+    length = F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
