@@ -17,7 +17,6 @@ ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,7 +30,7 @@ from terrane.llm.suffix_arrays import split_words
 
 THRESHOLD = 0.3
 #: Labelled rows of a fit at most, and bytes of a text in it; longer labelled texts are not fitted on.
-FIT_ROWS, FIT_BYTES = 6000, 20_000
+FIT_ROWS, FIT_BYTES = 4000, 20_000
 #: Log odds and documents from which on a feature marks tokens of toxic documents.
 MARK_ODDS, MARK_DOCS = 3.5, 5
 #: Tokens on either side of a toxic one that are fitted on, and as many windows again from elsewhere.
@@ -171,45 +170,59 @@ def fit_chain(windows: list[list[int]], gold: list[list[int]], owned: list[np.nd
 
 
 def train(texts: list[bytes], labels: list[int]) -> Crf:
-    docs, y = [split_words(t) for t in texts], np.array(labels)
-    none = Crf({}, -30.0, np.zeros(5))
+    """Fits on documents as arrays of word numbers and words as arrays of feature numbers, to keep the driver small."""
+    y, none = np.array(labels), Crf({}, -30.0, np.zeros(5))
     if not (y == 1).any() or not (y == 0).any():
         return none
-    held = [Counter(), Counter()]
-    of = {}
+    number: dict[bytes, int] = {}
+    docs = [np.array([number.setdefault(w, len(number)) for w in split_words(t)], dtype=np.int32) for t in texts]
+    lengths = np.array(list(map(len, docs)))
+    named: dict[str, int] = {}
+    flat, offsets = [], [0]
+    for w in number:
+        flat.extend(named.setdefault(f, len(named)) for f in features(w))
+        offsets.append(len(flat))
+    flat, offsets = np.array(flat, dtype=np.int32), np.array(offsets)
+    held = np.zeros((2, len(named)), dtype=np.int32)
     for words, label in zip(docs, labels, strict=True):
-        mine: set[str] = set()
-        for w in set(words):
-            mine.update(of.get(w) or of.setdefault(w, features(w)))
-        held[label].update(mine)
+        used = np.unique(words)
+        if len(used):
+            held[label, np.unique(np.concatenate([flat[offsets[w] : offsets[w + 1]] for w in used]))] += 1
     n = np.bincount(y, minlength=2)
-    odds = lambda f: np.log((held[1][f] + 0.5) / (n[1] + 1)) - np.log((held[0][f] + 0.5) / (n[0] + 1))
+    odds = np.log((held[1] + 0.5) / (n[1] + 1)) - np.log((held[0] + 0.5) / (n[0] + 1))
     need = min(MARK_DOCS, max(2, n[1] // 10))
-    marks = {f for f, c in held[1].items() if c >= need and odds(f) >= min(MARK_ODDS, np.log(n[0] + 1) - 0.5)}
-    toxic = {w for w, fs in of.items() if any(f in marks for f in fs)}
+    marks = (held[1] >= need) & (odds >= min(MARK_ODDS, np.log(n[0] + 1) - 0.5))
+    toxic = np.add.reduceat(np.append(marks[flat], False), offsets[:-1]) > 0 if len(number) else np.zeros(0, dtype=bool)
     rng = np.random.default_rng(7)
     windows, gold = [], []
     for words, label in zip(docs, labels, strict=True):
-        if not words:
+        if not len(words):
             continue
-        at = [i for i, w in enumerate(words) if label and w in toxic]
-        for i in [*at[:10], *rng.integers(0, len(words), 2).tolist()]:
-            low, high = max(0, i - REACH), min(len(words), i + REACH + 1)
-            windows.append(words[low:high])
-            gold.append([int(bool(label) and w in toxic) for w in words[low:high]])
-    number: dict[bytes, int] = {}
-    numbered = [[number.setdefault(w, len(number)) for w in ws] for ws in windows]
-    common = Counter(f for w in number for f in of[w])
-    known = {f: i for i, f in enumerate(sorted(f for f, c in common.items() if c >= 2 or f in marks))}
-    if not windows or not known:
+        at = np.flatnonzero(toxic[words])[:10].tolist() if label else []
+        for i in [*at, *rng.integers(0, len(words), 2).tolist()]:
+            own = words[max(0, i - REACH) : i + REACH + 1]
+            windows.append(own)
+            gold.append((toxic[own] & bool(label)).astype(int).tolist())
+    if not windows:
         return none
-    owned = [np.array([known[f] for f in of[w] if f in known], dtype=int) for w in number]
+    fitted, place = np.unique(np.concatenate(windows), return_inverse=True)
+    cuts = np.cumsum(list(map(len, windows)))[:-1]
+    numbered = [w.tolist() for w in np.split(place, cuts)]
+    owned = [flat[offsets[w] : offsets[w + 1]] for w in fitted]
+    common = np.bincount(np.concatenate(owned), minlength=len(named))
+    known = np.flatnonzero((common >= 2) | (marks & (common > 0)))
+    if not len(known):
+        return none
+    column = np.full(len(named), -1)
+    column[known] = np.arange(len(known))
+    owned = [(c := column[o])[c >= 0] for o in owned]
     weights, bias, chain = fit_chain(numbered, gold, owned, len(known))
-    crf = Crf({f: float(weights[i]) for f, i in known.items() if abs(weights[i]) > 1e-3}, bias, chain)
-    lengths = np.array(list(map(len, docs)))
-    cache: dict[bytes, float] = {}
-    e = np.array([cache[w] if w in cache else cache.setdefault(w, crf.emission(w)) for d in docs for w in d])
-    crf.calibration = logistic(aggregates(crf.marginals(e, lengths), lengths), y)
+    every = np.zeros(len(named))
+    every[known] = weights
+    emission = bias + np.add.reduceat(np.append(every[flat], 0.0), offsets[:-1])
+    names = list(named)
+    crf = Crf({names[i]: float(every[i]) for i in known if abs(every[i]) > 1e-3}, bias, chain)
+    crf.calibration = logistic(aggregates(crf.marginals(emission[np.concatenate(docs)], lengths), lengths), y)
     return crf
 
 
@@ -254,8 +267,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(rows)  # the bound also bounds what is broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= FIT_BYTES)
     sample = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "text", "label").collect()
-    sample.sort(key=lambda r: str(r.id))
-    return train([r.text.encode() for r in sample], [r.label for r in sample])
+    sample = sorted(((str(r.id), r.text.encode(), r.label) for r in sample))
+    return train([text for _, text, _ in sample], [label for _, _, label in sample])
 
 
 def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
