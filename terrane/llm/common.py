@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -126,15 +126,6 @@ def unpacked(table: pa.Table, name: str, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=dtype)
 
 
-def digest(parts: Column) -> Column:
-    return F.sha2(parts, 256)
-
-
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """Just these columns, so that further ones of any name cannot clash."""
-    return df.select(*[F.col(c) for c in columns])
-
-
 def schemas(columns: dict[str, T.DataType | str]) -> tuple[T.StructType, pa.Schema]:
     """Spark's and Arrow's schema of these columns; types are given as objects or in DDL."""
     fields = [T.StructField(name, T.DataType.fromDDL(kind) if isinstance(kind, str) else kind) for name, kind in columns.items()]
