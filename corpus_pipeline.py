@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from terrane.llm import odd_sketch, packing, pii_disclosure, suffix_arrays, toxic_crf
 from terrane.session import cut, table
 
+#: Similarity in percent from which on the near-dedup stage links documents; the query op10 has its own, of 85.
+NEAR_PERCENT = 80
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxic_crf.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return odd_sketch.deduplicate(docs)
+    return odd_sketch.deduplicate(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,8 @@ from terrane.session import cut
 SHINGLE, PERCENT = 5, 85
 #: MinHash samples; the first BANDS * ROWS of them are banded, all are folded into a bitmap of BITS bits.
 SAMPLES, BANDS, ROWS, BITS = 480, 24, 5, 2048
-#: How far below the threshold a bitmap's estimate may lie and the pair still be confirmed on full sets.
+#: How far below the threshold a bitmap's estimate may lie and the pair still be confirmed on full sets; lower
+#: thresholds widen it as the samples' deviation grows.
 SLACK = 0.065
 #: Members of a bucket that one task compares, and the size up to which all pairs of a bucket are compared at once.
 BLOCK, SMALL = 8192, 5
@@ -86,6 +87,10 @@ def most_flips(threshold: float) -> int:
     return int(np.flatnonzero(estimate >= threshold)[-1])
 
 
+def slack(percent: int) -> float:
+    return SLACK * max(1.0, (percent * (100 - percent) / (PERCENT * (100 - PERCENT))) ** 0.5)
+
+
 def flips(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32)
 
@@ -261,7 +266,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
         side = F.when((F.col("blocks") > 1) & (F.col("own") != F.col("other")), F.col("own")).otherwise(F.lit(-1))
         members = members.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "sketch", "bands", "root", side.alias("side"))
         dealt = members.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
-        return cut(dealt.mapInArrow(candidate_rows(percent / 100 - SLACK, settled), "a long, b long").distinct(), "pairs")
+        return cut(dealt.mapInArrow(candidate_rows(percent / 100 - slack(percent), settled), "a long, b long").distinct(), "pairs")
 
     def confirm(found: DataFrame) -> DataFrame:
         ends = found.select(F.col("a").alias("k")).union(found.select(F.col("b").alias("k"))).distinct()

@@ -128,6 +128,25 @@ def test_deduplicate_keeps_one_row_of_each_group_and_all_columns(docs):
     assert sum(t is not None and t.lower().startswith("w0 ") for t in left) == 1 and None in left and "" in left
 
 
+def test_pipeline_links_copies_from_80_percent_on(spark):
+    rows, kept = [], set()
+    for group, changed in enumerate((1, 2, 3, 4) * 5):  # apart changed words take five shingles each of 112
+        base = [f"g{group}w{i}" for i in range(116)]
+        near = list(base)
+        for i in range(changed):
+            near[10 + 20 * i] = f"other{i}"
+        a, b = " ".join(base), " ".join(near)
+        rows += [(2 * group, a), (2 * group + 1, b)]
+        linked = 100 * len(shingles(a) & shingles(b)) >= 80 * len(shingles(a) | shingles(b))
+        assert linked == (changed < 3)
+        kept |= {2 * group} if linked else {2 * group, 2 * group + 1}
+    share = len(shingles(rows[2][1]) & shingles(rows[3][1])) / len(shingles(rows[2][1]) | shingles(rows[3][1]))
+    assert 0.8 <= share < 0.85
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == kept
+    assert odd_sketch.deduplicate(docs).count() == len(rows) - 5
+
+
 def test_odd_sketch_estimates_high_similarities_closely():
     rng = np.random.default_rng(1)
     sets = []
