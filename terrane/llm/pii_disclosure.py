@@ -4,7 +4,8 @@ Fixed patterns find the protected entities. The corpus then tells which terms ne
 documents that hold term t next to entity e, n(t) and n(e) that hold either, out of N, the share of the entity's
 information that the term discloses is PMI(t, e) / IC(e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e)). Terms that
 stand next to an entity in at least `support` different contexts are removed from a share of `REMOVE` on, and
-generalised from a share of `GENERALISE` on.
+generalised from a share of `GENERALISE` on. Only the estimate looks at the places near entities: a term found to
+disclose one is marked at all its places in the texts of all documents, by its highest share.
 
 All counts cover all documents and are pre-aggregated. The term counts join against the terms in question only, which
 Spark broadcasts when that table is small and shuffles otherwise.
@@ -19,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.llm.common import row_key
 from terrane.llm.spans import SPAN, Kind, base_spans, found
 from terrane.session import cut
 
@@ -44,7 +46,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: F.char_length(digits(m)).between(9, 15)),
 )
 #: Code points on either side of an entity that are its context, and what counts as a term there.
-REACH, TERM = 80, Kind("term", r"(?<!\p{L})\p{L}{3,}+")
+REACH, TERM = 80, Kind("term", r"(?<!\p{L})\p{L}{3,}+", value=F.lower)
 SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.9
 
 
@@ -53,26 +55,27 @@ def with_sides(text: Column, spans: Column) -> Column:
 
     def one(s: Column) -> Column:
         low = F.greatest(s["start"] - REACH, F.lit(0))
-        left = F.struct(low.alias("at"), F.substring(text, low + 1, s["start"] - low).alias("part"), (low > 0).alias("cut_left"), F.lit(False).alias("cut_right"))
-        right = F.struct(s["end"].alias("at"), F.substring(text, s["end"] + 1, F.lit(REACH)).alias("part"), F.lit(False).alias("cut_left"), (F.char_length(text) > s["end"] + REACH).alias("cut_right"))
+        left = F.struct(F.substring(text, low + 1, s["start"] - low).alias("part"), (low > 0).alias("cut_left"), F.lit(False).alias("cut_right"))
+        right = F.struct(F.substring(text, s["end"] + 1, F.lit(REACH)).alias("part"), F.lit(False).alias("cut_left"), (F.char_length(text) > s["end"] + REACH).alias("cut_right"))
         return F.struct(s.alias("span"), F.array(left, right).alias("sides"))
 
     return F.transform(spans, one)
 
 
 def near_terms(rows: DataFrame) -> DataFrame:
-    """(row, entity, context, term, start, end): the terms next to the entities of each row."""
+    """(row, entity, context, term): the terms next to the entities of each row."""
     held = rows.select("row", F.explode("spans").alias("s"))
     entity = F.sha2(F.concat_ws(":", "s.span.kind", F.lower("s.span.value")), 256)
     context = F.xxhash64(F.col("s.sides")[0]["part"], F.col("s.sides")[1]["part"])
     sides = held.select("row", entity.alias("entity"), context.alias("context"), F.explode("s.sides").alias("side"))
-    terms = sides.select("row", "entity", "context", "side", F.explode(found(F.lower("side.part"), TERM, 0)).alias("t"))
+    terms = sides.select("row", "entity", "context", "side", F.explode(found(F.col("side.part"), TERM, 0)).alias("t"))
     whole = ~(F.col("side.cut_left") & (F.col("t.start") == 0)) & ~(F.col("side.cut_right") & (F.col("t.end") >= F.char_length("side.part")))
-    return terms.where(whole).select("row", "entity", "context", F.col("t.value").alias("term"), (F.col("side.at") + F.col("t.start")).alias("start"), (F.col("side.at") + F.col("t.end")).alias("end"))
+    return terms.where(whole).select("row", "entity", "context", F.col("t.value").alias("term"))
 
 
 def disclosing(texts: DataFrame, near: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
-    """(entity, term, action) for the terms that disclose too much of an entity; texts has a text for each document."""
+    """(key, terms) for the documents that hold terms which disclose too much of an entity, terms being a map from
+    these to what is to be done; texts has key and text for each document."""
     total = texts.count()
     places = near.groupBy("entity", "term", "context", "row").agg(F.lit(1)).groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
     together = places.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support)
@@ -84,34 +87,49 @@ def disclosing(texts: DataFrame, near: DataFrame, support: int, generalise: floa
     most = F.least("n_both", "n_entity") * F.pow(n / F.col("n_entity"), F.lit(1 - generalise)) * 1.000001
     together = cut(together.join(entities, "entity").join(beside, "term").where((F.col("n_entity") < n) & (F.col("n_beside") <= most)), "together")
     asked = cut(together.select("term").distinct(), "terms")
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM.pattern), F.lit(0)))).alias("term"))
-    terms = words.join(asked, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM.pattern), F.lit(0)), F.lower))
+    held = cut(texts.select("key", F.explode(words).alias("term")).join(asked, "term"), "held")
+    terms = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     both = F.least("n_both", "n_term", "n_entity").cast("double")
     scored = together.join(terms, "term")
     scored = scored.withColumn("share", F.ln(n * both / (F.col("n_term") * F.col("n_entity"))) / F.ln(n / F.col("n_entity")))
-    return scored.where(F.col("share") >= generalise).select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
+    flagged = scored.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= generalise)
+    flagged = flagged.select("term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
+    return held.join(flagged, "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("terms"))
+
+
+def marked(text: Column, terms: Column) -> Column:
+    """The spans of all places of these terms in the text; none where terms are null."""
+    spans = found(text, Kind(TERM.name, TERM.pattern, lambda m: F.map_contains_key(terms, F.lower(m)), F.lower), len(KINDS))
+    named = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.element_at(terms, s["value"]).alias("kind"), s["value"].alias("value")))
+    return F.when(terms.isNotNull(), named).otherwise(F.array().cast(SPAN))
+
+
+def judged(docs: DataFrame, id_col: str, text_col: str, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
+    """The documents' (key, id, text), and the disclosing terms of each key that has any."""
+    texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.select("text", F.monotonically_increasing_id().alias("row")).withColumn("base", base_spans(F.col("text"), KINDS)).where(F.size("base") > 0)
+    rows = cut(rows.select("row", with_sides(F.col("text"), F.col("base")).alias("spans")), "entities")
+    near = cut(near_terms(rows), "contexts")
+    return texts, cut(disclosing(texts.select("key", "text"), near, support, generalise, remove), "disclosing")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row per document: id, base (spans of entities) and marks (spans `generalise` and `remove` of terms)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("row")).withColumn("base", base_spans(F.col("text"), KINDS))
-    rows = cut(rows.select("id", "row", with_sides(F.col("text"), F.col("base")).alias("spans")), "entities")
-    near = cut(near_terms(rows), "contexts")
-    flagged = disclosing(docs.select(text.alias("text")), near, support, generalise, remove)
-    mark = F.struct(F.col("start").cast("int").alias("start"), F.lit(len(KINDS)).alias("rank"), F.col("end").cast("int").alias("end"), F.col("action").alias("kind"), F.col("term").alias("value"))
-    marks = near.join(flagged, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set(mark)).alias("marks"))
-    out = rows.join(marks, "row", "left")
-    return out.select(F.col("id").alias(id_col), F.transform("spans", lambda s: s["span"]).alias("base"), F.coalesce("marks", F.array().cast(SPAN)).alias("marks"))
+    texts, terms = judged(docs, id_col, text_col, support, generalise, remove)
+    out = texts.join(terms, "key", "left")
+    return out.select(F.col("id").alias(id_col), base_spans(F.col("text"), KINDS).alias("base"), marked(F.col("text"), F.col("terms")).alias("marks"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first counts."""
+    """The text with each span replaced by its kind in brackets; of overlapping spans the
+    first is named, and what the others reach beyond it is cut out too."""
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
         instead = F.when(s["kind"] == "remove", "").otherwise(F.concat(F.lit("<"), s["kind"], F.lit(">")))
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, instead)).alias("out")))
+        rest = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
+        return F.when(s["start"] < acc["at"], rest).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, instead)).alias("out")))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text)))
@@ -120,10 +138,8 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, and entities and disclosing terms out of the text; null texts stay."""
-    key = F.xxhash64(F.struct(F.col(id_col)), F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.select(key.alias("id"), F.col(text_col).alias("text"))
-    found_terms = scan(keyed, "id", "text").where(F.size("marks") > 0).groupBy("id").agg(F.first("marks").alias("__marks")).withColumnRenamed("id", "__key")
-    marked = docs.withColumn("__key", key).join(found_terms, "__key", "left")
-    spans = F.concat(base_spans(F.coalesce(F.col(text_col), F.lit("")), KINDS), F.coalesce("__marks", F.array().cast(SPAN)))
+    terms = judged(docs, id_col, text_col)[1].select(F.col("key").alias("__key"), F.col("terms").alias("__terms"))
+    joined = docs.withColumn("__key", row_key(id_col, text_col)).join(terms, "__key", "left")
+    spans = F.concat(base_spans(F.coalesce(F.col(text_col), F.lit("")), KINDS), marked(F.col(text_col), F.col("__terms")))
     clean = F.when(F.col(text_col).isNotNull(), sanitised(F.col(text_col), spans))
-    return marked.withColumn(text_col, clean).select(*[F.col(c) for c in docs.columns])
+    return joined.withColumn(text_col, clean).select(*[F.col(c) for c in docs.columns])

@@ -237,6 +237,27 @@ def test_disclosing_terms_are_marked_and_removed(spark):
     assert clean[0] == "aaaa  <email> the common gggg" and clean[100] == rows[6][1]
 
 
+def test_disclosing_terms_are_marked_at_all_their_places(spark):
+    far = words("filler", 60)
+    rows = [(i, f"{'abcdef'[i] * 4} zanzibar boss.man@corp.example.com the common {'ghijkl'[i] * 4}") for i in range(6)]
+    rows[0] = (0, f"Zanzibar \u0130x {far} {rows[0][1]} {far} ZANZIBAR")
+    rows += [(50, f"zanzibar zanzibaris {far}")] + [(100 + i, f"the common talk{i} of others") for i in range(240)]
+    docs = spark.createDataFrame([*rows, rows[6]], "doc_id long, text string")
+    got = {r.doc_id: [(m.kind, m.start, m.end) for m in r.marks] for r in pii_disclosure.scan(docs, remove=0.85).collect()}
+    for i, text in rows:
+        low = text.replace("\u0130", "i").lower()
+        assert got[i] == [("remove", m.start(), m.end()) for m in re.finditer(r"\bzanzibar\b", low)]
+    assert len(got[0]) == 3 and len(got[50]) == 1
+    clean = {r.doc_id: r.text for r in pii_disclosure.sanitise(docs).collect()}
+    assert all(re.search(r"\bzanzibar\b", t.lower()) is None for t in clean.values())
+    assert "zanzibaris" in clean[50] and clean[100] == "the common talk0 of others"
+
+
+def test_overlapping_spans_are_cut_out_whole(spark):
+    docs = spark.createDataFrame([(1, "a +1 202 555 0143.bob@x.com b")], "doc_id long, text string")
+    assert pii_disclosure.sanitise(docs).first().text == "a <phone> b"
+
+
 def test_ownership_separates_examples_from_live(spark):
     rows = [(i, f"password=sharedexample{1}", f"s{i}", "en") for i in range(5)] + [(9, "token=Zx81kQpL02mn", "s1", "en"), (10, "token=Zx81kQpL02mn", "s1", "fr"), (11, "secret=aaaaaaaa", "s2", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
