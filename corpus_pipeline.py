@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm import odd_sketch, packing, pii_disclosure, suffix_arrays, toxic_crf
-from terrane.session import cut, table
+from terrane.session import cut, scratch, table
 
 #: Similarity in percent from which on the near-dedup stage links documents; the query op10 has its own, of 85.
 NEAR_PERCENT = 80
@@ -36,7 +36,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, keep_ids=True)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("packing", pack)]
@@ -48,5 +48,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = cut(stage(spark, docs, sf_dir), name)
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.session import cut
+from terrane.session import cut, last_cut, remove
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -25,6 +25,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     loops = now.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
     now = now.where("a <> b")
     seen = _mark(now)
+    spark, earlier = edges.sparkSession, None
     for _ in range(max_rounds):
         if not seen[0]:
             break
@@ -34,6 +35,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         now = cut(small, "edges")
+        remove(spark, [earlier] if earlier else [])  # the round before last is of no more use
+        earlier = last_cut(spark)
         was, seen = seen, _mark(now)
         if seen == was:
             break

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,13 +31,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Own shared folders of applications whose spark.checkpoint.dir is unset, and the tables that cut() has written.
+_OWN: dict[str, str] = {}
+_CUTS: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or an own one where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="terrane-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder all executors share: the session's spark.checkpoint.dir. Where it is unset, a local master gets an
+    own one (tests); a cluster must name one, as executors do not see each other's disks."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if found:
+        return found
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="terrane-checkpoint-")
+    return _OWN[context.applicationId]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -44,4 +56,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that cut() has written, by the file system that holds them."""
+    jvm, known = spark.sparkContext._jvm, _CUTS.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        if path in known:
+            known.remove(path)
+
+
+def last_cut(spark: SparkSession) -> str:
+    """The path of the table that was cut last."""
+    return _CUTS[spark.sparkContext.applicationId][-1]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables cut within, all but the last, once what they served has been written to that one."""
+    known = _CUTS.setdefault(spark.sparkContext.applicationId, [])
+    before = set(known)
+    yield
+    remove(spark, [path for path in known if path not in before][:-1])
