@@ -7,7 +7,8 @@ the leftovers of all partitions are dealt into groups of a bounded number and pa
 
 Words are tokenized once per worker and reused, which cannot change ids: a text is cut only where the tokenizer's own
 pattern always cuts, before a single space and around a single line break. Texts with any other white space next to
-white space go to the tokenizer whole.
+white space go to the tokenizer whole, and so do texts that spell one of its added tokens, such as an end-of-text mark.
+These get the ids that the tokenizer's file gives them; with `literal` they are ordinary text.
 
 Defined results: a null or empty text is the separator alone. Texts of any length are cut at sequence ends. Repeated
 rows are packed each. Which sequence a document shares depends on row order; contents of pieces do not. An empty table
@@ -61,14 +62,15 @@ class WordIds(dict):
 class TextIds:
     """Token ids of texts, as little-endian 32-bit words."""
 
-    def __init__(self, files: tuple[str, str]):
+    def __init__(self, files: tuple[str, str], literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(files[0])
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = literal
+        self.added = tuple(token.content for token in self.whole.get_added_tokens_decoder().values())
         with open(files[1], "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         encode = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -76,7 +78,7 @@ class TextIds:
         self.line = np.array(encode("\n"), dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in RARE_SPACES):
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in RARE_SPACES) or any(a in text for a in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         out, spaced = [], self.spaced.__getitem__
         for i, line in enumerate(text.split("\n")):
@@ -117,13 +119,13 @@ class Windows:
         return window, self.length - free
 
 
-def piece_rows(files: tuple[str, str], length: int, most: int, keep_ids: bool, schema: pa.Schema):
+def piece_rows(files: tuple[str, str], literal: bool, length: int, most: int, keep_ids: bool, schema: pa.Schema):
     """Pieces as they are placed; the last row of a partition names the windows that are still open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache()
-        if cache.get("ids_of") != files:
-            cache |= {"ids_of": files, "ids": TextIds(files)}
+        if cache.get("ids_of") != (files, literal):
+            cache |= {"ids_of": (files, literal), "ids": TextIds(files, literal)}
         encode, windows, part = cache["ids"], Windows(length, most), TaskContext.get().partitionId() << 32
         ids = schema.field("id").type
         waiting: dict[int, list[tuple]] = {}
@@ -174,13 +176,13 @@ def merged_rows(length: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, open_windows: int = OPEN_WINDOWS, files: tuple[str, str] | None = None, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, open_windows: int = OPEN_WINDOWS, files: tuple[str, str] | None = None, keep_ids: bool = False, literal: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (bytes) if asked for."""
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     columns = {"id": source.schema["id"].dataType, "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "window": "long", "offset": "long", "open": "boolean"}
     spark_schema, arrow = schemas(columns | ({"ids": "binary"} if keep_ids else {}))
-    pieces = cut(source.mapInArrow(piece_rows(files or default_tokenizer(), length, open_windows, keep_ids, arrow), spark_schema), "pieces")
+    pieces = cut(source.mapInArrow(piece_rows(files or default_tokenizer(), literal, length, open_windows, keep_ids, arrow), spark_schema), "pieces")
     left = pieces.where("open")
     open_rows = left.groupBy("window").agg(F.sum("length").alias("fill"))
     groups = open_rows.count() // MERGE_WINDOWS + 1

@@ -270,7 +270,6 @@ def test_packing_round_trip(docs, none):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     rows = packing.pack(docs, keep_ids=True).collect()
     assert by_row([r for r in rows if r.start == 0], "doc_id", "doc_tokens") == collections.Counter((i, len(whole.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, *_ in fixture_rows())
     one = {i: t for i, t, *_ in fixture_rows() if i not in (None, 5, 8)}
@@ -293,12 +292,29 @@ def test_word_ids_equal_the_tokenizers(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
-    encode = packing.TextIds(packing.default_tokenizer())
+    whole, plain = (Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")) for _ in range(2))
+    plain.encode_special_tokens = True
+    encode, literal = packing.TextIds(packing.default_tokenizer()), packing.TextIds(packing.default_tokenizer(), literal=True)
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
-    for text in [*texts, " a", "a ", "\na\n", "it's 12ab's", "a\tb", "a b c", "a   b", "日本 語 🙂 x"]:
+    for text in [*texts, " a", "a ", "\na\n", "it's 12ab's", "a\tb", "a b c", "a   b", "日本 語 🙂 x", "hello <|endoftext|> world", "a<|endoftext|>b", "<|endoftext|>"]:
         assert np.frombuffer(encode(text), dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(literal(text), dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encode("hello <|endoftext|> world"), dtype="<u4").tolist() == [31373, 220, 50256, 995]
+
+
+def test_packing_leaves_little_padding(spark):
+    """Bounded-space best fit: what is left empty is a small part of all sequences, and no more windows are open than asked for."""
+    rng = np.random.default_rng(4)
+    windows = packing.Windows(1024, 8)
+    for size in rng.integers(1, 1024, 4000).tolist():
+        before = list(windows.open)
+        window, offset = windows.place(size)
+        fitting = [free for free, _ in before if free >= size]
+        assert (offset == 1024 - min(fitting)) if fitting else offset == 0
+        assert len(windows.open) <= 8
+    rows = packing.pack(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    sequences = len({r.sequence_id for r in rows})
+    assert sum(r.length for r in rows) >= 0.95 * 1024 * sequences
 
 
 @pytest.mark.parametrize("dims,bits", [(2, 3), (3, 2), (4, 2)])
