@@ -17,8 +17,10 @@ ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,11 @@ from pyspark.sql import functions as F
 
 from terrane.llm.common import CACHE_WORDS, bounded_batches, schemas, text_chunks
 from terrane.llm.suffix_arrays import split_words
+from terrane.session import cut
 
 THRESHOLD = 0.3
-#: Labelled rows of a fit at most, and bytes of a text in it; longer labelled texts are not fitted on.
-FIT_ROWS, FIT_BYTES = 4000, 20_000
+#: Labelled rows of a fit at most; each is fitted on with its whole text.
+FIT_ROWS = 6000
 #: Log odds and documents from which on a feature marks tokens of toxic documents.
 MARK_ODDS, MARK_DOCS = 3.5, 5
 #: Tokens on either side of a toxic one that are fitted on, and as many windows again from elsewhere.
@@ -169,61 +172,57 @@ def fit_chain(windows: list[list[int]], gold: list[list[int]], owned: list[np.nd
     return theta[:n_features], float(theta[n_features]), theta[n_features + 1 :]
 
 
-def train(texts: list[bytes], labels: list[int]) -> Crf:
-    """Fits on documents as arrays of word numbers and words as arrays of feature numbers, to keep the driver small."""
-    y, none = np.array(labels), Crf({}, -30.0, np.zeros(5))
-    if not (y == 1).any() or not (y == 0).any():
-        return none
-    number: dict[bytes, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in split_words(t)], dtype=np.int32) for t in texts]
-    lengths = np.array(list(map(len, docs)))
-    named: dict[str, int] = {}
-    flat, offsets = [], [0]
-    for w in number:
-        flat.extend(named.setdefault(f, len(named)) for f in features(w))
-        offsets.append(len(flat))
-    flat, offsets = np.array(flat, dtype=np.int32), np.array(offsets)
-    held = np.zeros((2, len(named)), dtype=np.int32)
-    for words, label in zip(docs, labels, strict=True):
-        used = np.unique(words)
-        if len(used):
-            held[label, np.unique(np.concatenate([flat[offsets[w] : offsets[w + 1]] for w in used]))] += 1
-    n = np.bincount(y, minlength=2)
-    odds = np.log((held[1] + 0.5) / (n[1] + 1)) - np.log((held[0] + 0.5) / (n[0] + 1))
-    need = min(MARK_DOCS, max(2, n[1] // 10))
-    marks = (held[1] >= need) & (odds >= min(MARK_ODDS, np.log(n[0] + 1) - 0.5))
-    toxic = np.add.reduceat(np.append(marks[flat], False), offsets[:-1]) > 0 if len(number) else np.zeros(0, dtype=bool)
-    rng = np.random.default_rng(7)
-    windows, gold = [], []
-    for words, label in zip(docs, labels, strict=True):
-        if not len(words):
-            continue
-        at = np.flatnonzero(toxic[words])[:10].tolist() if label else []
-        for i in [*at, *rng.integers(0, len(words), 2).tolist()]:
-            own = words[max(0, i - REACH) : i + REACH + 1]
-            windows.append(own)
-            gold.append((toxic[own] & bool(label)).astype(int).tolist())
-    if not windows:
-        return none
-    fitted, place = np.unique(np.concatenate(windows), return_inverse=True)
-    cuts = np.cumsum(list(map(len, windows)))[:-1]
-    numbered = [w.tolist() for w in np.split(place, cuts)]
-    owned = [flat[offsets[w] : offsets[w + 1]] for w in fitted]
-    common = np.bincount(np.concatenate(owned), minlength=len(named))
-    known = np.flatnonzero((common >= 2) | (marks & (common > 0)))
-    if not len(known):
-        return none
-    column = np.full(len(named), -1)
-    column[known] = np.arange(len(known))
-    owned = [(c := column[o])[c >= 0] for o in owned]
-    weights, bias, chain = fit_chain(numbered, gold, owned, len(known))
-    every = np.zeros(len(named))
-    every[known] = weights
-    emission = bias + np.add.reduceat(np.append(every[flat], 0.0), offsets[:-1])
-    names = list(named)
-    crf = Crf({names[i]: float(every[i]) for i in known if abs(every[i]) > 1e-3}, bias, chain)
-    crf.calibration = logistic(aggregates(crf.marginals(emission[np.concatenate(docs)], lengths), lengths), y)
-    return crf
+def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each slice of labelled texts: how many of each label hold each feature."""
+    for batch, texts in text_chunks(batches):
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        for text, label in zip(texts, batch.column(batch.schema.get_field_index("label")).to_pylist(), strict=True):
+            counts[label].update({f for w in set(split_words(text)) for f in features(w)})
+        names = list(counts[0] | counts[1])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in counts)], names=["feature", "clean", "toxic"])
+
+
+def window_rows(marks: frozenset[str], schema: pa.Schema):
+    """Windows of the whole texts around the first marked words of toxic ones, and two others of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches):
+            labels = batch.column(batch.schema.get_field_index("label")).to_pylist()
+            found: list[list[dict]] = []
+            for text, label in zip(texts, labels, strict=True):
+                words = split_words(text)
+                known = {w: any(f in marks for f in features(w)) for w in set(words)} if label else {}
+                rng = np.random.default_rng(crc32(text))
+                at = [i for i, w in enumerate(words) if known.get(w)][:10] + (rng.integers(0, len(words), 2).tolist() if words else [])
+                own = [words[max(0, i - REACH) : i + REACH + 1] for i in at]
+                found.append([{"words": w, "gold": [int(known.get(x, False)) for x in w]} for w in own])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), pa.array(found, schema.field("windows").type)], schema=schema)
+
+    return run
+
+
+def aggregate_rows(crf: Crf):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emissions = Emissions(crf)
+        for batch, texts in text_chunks(batches):
+            _, lengths, p = token_marginals(crf, emissions, texts)
+            x = aggregates(p, lengths)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), batch.column(batch.schema.get_field_index("label")), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "label", "x"])
+
+    return run
+
+
+def fit_weights(windows: list[list[bytes]], gold: list[list[int]], marks: frozenset[str]) -> Crf:
+    """The chain on windows of words; features of one fitted word alone count only if they are marks."""
+    words = sorted({w for window in windows for w in window})
+    number = {w: i for i, w in enumerate(words)}
+    held = Counter(f for w in words for f in features(w))
+    known = {f: i for i, f in enumerate(sorted(f for f, n in held.items() if n >= 2 or f in marks))}
+    if not known:
+        return Crf({}, -30.0, np.zeros(5))
+    owned = [np.array([known[f] for f in features(w) if f in known], dtype=np.int64) for w in words]
+    weights, bias, chain = fit_chain([[number[w] for w in window] for window in windows], gold, owned, len(known))
+    return Crf({f: float(weights[i]) for f, i in known.items() if abs(weights[i]) > 1e-3}, bias, chain)
 
 
 class Emissions(dict):
@@ -237,14 +236,18 @@ class Emissions(dict):
         return value
 
 
+def token_marginals(crf: Crf, emissions: Emissions, texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    docs = [split_words(t) for t in texts]
+    lengths = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
+    e = np.fromiter((x for d in docs for x in map(emissions.__getitem__, d)), dtype=np.float64, count=int(lengths.sum()))
+    return docs, lengths, crf.marginals(e, lengths)
+
+
 def scored_rows(crf: Crf, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emissions = Emissions(crf)
         for batch, texts in text_chunks(batches):
-            docs = [split_words(t) for t in texts]
-            lengths = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
-            e = np.fromiter((x for d in docs for x in map(emissions.__getitem__, d)), dtype=np.float64, count=int(lengths.sum()))
-            p = crf.marginals(e, lengths)
+            docs, lengths, p = token_marginals(crf, emissions, texts)
             score = sigmoid(aggregates(p, lengths) @ crf.calibration)
             spans: list[list[dict]] = [[] for _ in docs]
             first = np.cumsum(lengths) - lengths
@@ -262,13 +265,31 @@ def held_out(id_col: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS) -> Crf:
-    """A model of at most `rows` labelled documents that are not held out, the same ones on every run."""
+    """A model of at most `rows` labelled documents that are not held out, the same ones on every run; of an id with
+    several texts, the smallest. Whole texts stay with the tasks: the driver gets marked features, windows and four
+    numbers for each document."""
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(rows)  # the bound also bounds what is broadcast
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= FIT_BYTES)
-    sample = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "text", "label").collect()
-    sample = sorted(((str(r.id), r.text.encode(), r.label) for r in sample))
-    return train([text for _, text, _ in sample], [label for _, _, label in sample])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    sample = cut(texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")), "labelled")
+    n = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    if not n.get(0) or not n.get(1):
+        return Crf({}, -30.0, np.zeros(5))
+    held = sample.select("text", "label").mapInArrow(feature_rows, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    odds = F.ln((F.col("toxic") + 0.5) / (n[1] + 1)) - F.ln((F.col("clean") + 0.5) / (n[0] + 1))
+    need, most = min(MARK_DOCS, max(2, n[1] // 10)), min(MARK_ODDS, float(np.log(n[0] + 1)) - 0.5)
+    marks = frozenset(r.feature for r in held.where((F.col("toxic") >= need) & (odds >= most)).collect())
+    spark_schema, arrow = schemas({"id": sample.schema["id"].dataType, "windows": "array<struct<words:array<binary>,gold:array<int>>>"})
+    made = sample.mapInArrow(window_rows(marks, arrow), spark_schema).collect()
+    windows = [w for r in sorted(made, key=lambda r: str(r.id)) for w in r.windows]
+    if not windows:
+        return Crf({}, -30.0, np.zeros(5))
+    crf = fit_weights([[bytes(x) for x in w["words"]] for w in windows], [list(w["gold"]) for w in windows], marks)
+    spark_schema, _ = schemas({"id": sample.schema["id"].dataType, "label": "int", "x": "array<double>"})
+    got = sorted(sample.mapInArrow(aggregate_rows(crf), spark_schema).collect(), key=lambda r: str(r.id))
+    crf.calibration = logistic(np.array([r.x for r in got]), np.array([r.label for r in got]))
+    return crf
 
 
 def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -389,6 +389,18 @@ def test_toxicity_held_out_accuracy_and_odd_rows(spark, docs, none):
     assert all(r.score < 0.3 for r in toxic_crf.score(docs, nothing).collect())
 
 
+def test_fit_reads_whole_long_texts_and_repeats_itself(spark):
+    filler = words("plain", 4000)
+    rows = [(i, f"{filler} you vilebug {filler}" if i % 2 else f"{filler} you friend {filler}") for i in range(40)] + [(1, "zzz another text of the same id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert len(rows[1][1]) > 50_000
+    first, again = toxic_crf.fit(docs, labels), toxic_crf.fit(docs.repartition(7), labels)
+    assert first.weights == again.weights and (first.calibration == again.calibration).all()
+    scores = {r.doc_id: r.score for r in toxic_crf.score(docs.limit(40), first).collect()}
+    assert min(scores[i] for i in range(1, 40, 2)) > max(scores[i] for i in range(0, 40, 2))
+
+
 def test_warc_records(spark):
     html = "<html lang='fr'><head><title>A &amp; B</title><script>var t='<p>';</script></head><body><!-- <p>no --><p>One <b>two</b></p><a href=\"/x\">three</a><br>four &lt;ok&gt;</body>"
     pages = spark.createDataFrame([(1, "http://a/", html), (2, None, None), (3, "u", ""), (4, "v", "<p>open <script>x")], "page_id long, url string, html string").withColumn("block", F.lit("clash"))
