@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -31,6 +31,28 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of one key from which on it is looked up by broadcast; a table has at most rows / HOT_ROWS such keys.
+HOT_ROWS = 100_000
+
+
+def attached(rows: DataFrame, found: DataFrame, keys: list[str], held: str, hot: int = HOT_ROWS) -> DataFrame:
+    """rows with found's other columns, null where there is none; found has one row for each key, and `held` tells how
+    many rows have it. Hot keys meet their rows by broadcast, and these rows are spread over all tasks of the join
+    that looks up the others."""
+    names = [c for c in found.columns if c not in keys and c != held]
+    values = F.struct(*[F.col(c) for c in names])
+    named = lambda side: [F.col(k).alias(f"{side}{i}") for i, k in enumerate(keys)]
+    heavy = found.where(F.col(held) > hot).select(*named("h"), values.alias("hot_values"))
+    light = found.where(F.col(held) <= hot).select(*named("l"), values.alias("values"))
+    out = rows.select(F.struct("*").alias("whole"), *named("k"))
+    out = out.join(F.broadcast(heavy), [F.col(f"k{i}") == F.col(f"h{i}") for i in range(len(keys))], "left")
+    spread = F.when(F.col("hot_values").isNull(), F.col("k0")).otherwise(F.xxhash64(F.monotonically_increasing_id()).cast(found.schema[keys[0]].dataType))
+    out = out.withColumn("k0", spread)
+    out = out.join(light, [F.col("hot_values").isNull(), *[F.col(f"k{i}") == F.col(f"l{i}") for i in range(len(keys))]], "left")
+    got = F.coalesce("hot_values", "values")
+    return out.select(*[F.col("whole")[c].alias(c) for c in rows.columns], *[got[c].alias(c) for c in names])
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker does."""
     return sys.modules.setdefault("_terrane_worker", types.ModuleType("_terrane_worker")).__dict__

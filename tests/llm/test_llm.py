@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("terrane.llm")
 
 import corpus_pipeline  # noqa: E402
-from terrane.llm import hilbert_sharding, odd_sketch, packing, pii_disclosure, projection_forest, queries, secret_ownership, spans, substring_dedup, suffix_arrays, toxic_crf, warc_derivatives  # noqa: E402
+from terrane.llm import common, hilbert_sharding, odd_sketch, packing, pii_disclosure, projection_forest, queries, secret_ownership, spans, substring_dedup, suffix_arrays, toxic_crf, warc_derivatives  # noqa: E402
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Names that operators use inside; an input that has them too must not disturb.
@@ -258,11 +258,43 @@ def test_overlapping_spans_are_cut_out_whole(spark):
     assert pii_disclosure.sanitise(docs).first().text == "a <phone> b"
 
 
-def test_ownership_separates_examples_from_live(spark):
-    rows = [(i, f"password=sharedexample{1}", f"s{i}", "en") for i in range(5)] + [(9, "token=Zx81kQpL02mn", "s1", "en"), (10, "token=Zx81kQpL02mn", "s1", "fr"), (11, "secret=aaaaaaaa", "s2", "en")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    got = {r.doc_id: [m.kind for m in r.marks] for r in secret_ownership.scan(docs).collect()}
-    assert got == {**{i: ["example"] for i in range(5)}, 9: ["live"], 10: ["live"], 11: []}
+def slow_marks(rows):
+    """Of (id, text, source, lang): the added spans, value by value."""
+    places, owners, repositories = collections.defaultdict(list), collections.defaultdict(set), collections.defaultdict(set)
+    for at, (_, text, source, lang) in enumerate(rows):
+        for kind, (pattern, ok) in SECRETS.items():
+            for m in re.finditer(pattern, text or ""):
+                if ok(m):
+                    value = m.group(1) if kind == "assign" else m.group()
+                    places[value].append((at, m.end() - len(value), m.end()))
+                    owners[value].add(source)
+                    repositories[value].add((source, lang))
+    marks = [set() for _ in rows]
+    for value, own in places.items():
+        bits = -sum(n / len(value) * np.log2(n / len(value)) for n in collections.Counter(value).values())
+        made = bits >= 2.75 and sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]")) >= 2 and not re.search(secret_ownership.PLACEHOLDER, value)
+        verdict = "example" if len(owners[value]) >= 3 or len(repositories[value]) >= 4 else ("live" if len(owners[value]) == 1 else "shared") if made else None
+        for at, start, end in own if verdict else ():
+            marks[at].add((start, end, verdict))
+    return collections.Counter((r[0], tuple(sorted(m))) for r, m in zip(rows, marks))
+
+
+def test_ownership_marks_equal_brute_force(spark, docs):
+    rows = [(i, f"password=shared{i % 2}Value77", f"s{i}", "en") for i in range(6)] + [(9, "token=Zx81kQpL02mn", "s1", "en"), (10, "token=Zx81kQpL02mn", "s1", "fr"), (11, "secret=aaaaaaaa", "s2", "en")]
+    rows += [(12 + i, "x secret: Qw7tY2pLs9 token=Qw7tY2pLs9", f"t{i}", None) for i in range(2)] + [(20 + i, "api_key=Hj38dkLpQz1", "one", f"l{i}") for i in range(4)] + [(30, "token=yourTOKEN9081", None, None), (31, None, "s1", "en")]
+    got = {r.doc_id: [m.kind for m in r.marks] for r in secret_ownership.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert got[0] == ["example"] and got[9] == got[10] == ["live"] and got[11] == [] and got[12] == ["shared", "shared"] and got[20] == ["example"] and got[30] == []
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source", "lang")
+    for df in (spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), docs.select("doc_id", "text", "source", "lang"), table):
+        found = secret_ownership.scan(df).collect()
+        assert collections.Counter((r.doc_id, tuple((m.start, m.end, m.kind) for m in r.marks)) for r in found) == slow_marks([tuple(r) for r in df.collect()])
+
+
+def test_hot_keys_are_attached_by_broadcast(spark):
+    rows = spark.createDataFrame([(i, "a" if i % 2 else f"k{i}", i % 3) for i in range(40)] + [(99, None, 1)], "n long, k string, v long")
+    found = spark.createDataFrame([("a", 20, "hot"), ("k0", 1, "cold"), ("k2", 1, None)], "k string, held long, name string")
+    got = {r.n: r.name for r in common.attached(rows, found, ["k"], "held", hot=5).collect()}
+    assert got == {**{i: "hot" if i % 2 else None for i in range(40)}, 0: "cold", 99: None}
 
 
 def test_packing_round_trip(docs, none):
