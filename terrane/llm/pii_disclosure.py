@@ -3,16 +3,18 @@
 Fixed patterns find the protected entities. The corpus then tells which terms near an entity reveal it: with n(t, e)
 documents that hold term t next to entity e, n(t) and n(e) that hold either, out of N, the share of the entity's
 information that the term discloses is PMI(t, e) / IC(e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e)). Terms that
-stand next to an entity in at least `support` different contexts are removed from a share of `REMOVE` on, and
-generalised from a share of `GENERALISE` on. Only the estimate looks at the places near entities: a term found to
-disclose one is marked at all its places in the texts of all documents, by its highest share.
+stand next to an entity in at least `support` different contexts are removed from a share of `REMOVE` on. From a share
+of `GENERALISE` on they are generalised to the class of all words with their first `CLASS` letters (`zanzibar` to
+`zan*`), if the same measure, counted for the whole class, finds that the class discloses less than `GENERALISE`;
+otherwise they are removed too. Only the estimate looks at the places near entities: a term found to disclose one is
+marked at all its places in the texts of all documents, by its highest share.
 
 All counts cover all documents and are pre-aggregated. The term counts join against the terms in question only, which
-Spark broadcasts when that table is small and shuffles otherwise.
+Spark broadcasts when that table is small and shuffles otherwise. Texts are scanned for entities once, and written.
 
 DataFrame functions only. Defined results: a null text is empty and has no span. Repeated rows are judged alike; they
 count as documents but not as further contexts. An empty table gives an empty result. Further columns are ignored by
-the scan and kept by the sanitiser.
+the scan and kept by the sanitiser, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import row_key
 from terrane.llm.spans import SPAN, Kind, base_spans, found
 from terrane.session import cut
 
@@ -48,6 +49,8 @@ KINDS = (
 #: Code points on either side of an entity that are its context, and what counts as a term there.
 REACH, TERM = 80, Kind("term", r"(?<!\p{L})\p{L}{3,}+", value=F.lower)
 SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.9
+#: First letters of a term that name the class it is generalised to.
+CLASS = 3
 
 
 def with_sides(text: Column, spans: Column) -> Column:
@@ -73,29 +76,43 @@ def near_terms(rows: DataFrame) -> DataFrame:
     return terms.where(whole).select("row", "entity", "context", F.col("t.value").alias("term"))
 
 
-def disclosing(texts: DataFrame, near: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
-    """(key, terms) for the documents that hold terms which disclose too much of an entity, terms being a map from
-    these to what is to be done; texts has key and text for each document."""
-    total = texts.count()
+def share(n: Column) -> Column:
+    """The share of an entity's information, from n_both, n_term and n_entity."""
+    both = F.least("n_both", "n_term", "n_entity").cast("double")
+    return F.ln(n * both / (F.col("n_term") * F.col("n_entity"))) / F.ln(n / F.col("n_entity"))
+
+
+def words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM.pattern), F.lit(0)), F.lower))
+
+
+def disclosing(rows: DataFrame, near: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
+    """(row, terms) for the documents that hold terms which disclose too much of an entity, terms being a map from
+    these to what is to be done; rows has row and text for each document."""
+    n = F.lit(float(max(rows.count(), 1)))
     places = near.groupBy("entity", "term", "context", "row").agg(F.lit(1)).groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
     together = places.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support)
-    entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    n = F.lit(float(max(total, 1)))
+    entities = cut(near.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")), "counted")
     # A term is held by at least the documents that have it next to some entity. Where these are too many already for
     # the lowest share, its other documents need not be counted.
     beside = near.select("term", "row").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_beside"))
     most = F.least("n_both", "n_entity") * F.pow(n / F.col("n_entity"), F.lit(1 - generalise)) * 1.000001
     together = cut(together.join(entities, "entity").join(beside, "term").where((F.col("n_entity") < n) & (F.col("n_beside") <= most)), "together")
     asked = cut(together.select("term").distinct(), "terms")
-    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM.pattern), F.lit(0)), F.lower))
-    held = cut(texts.select("key", F.explode(words).alias("term")).join(asked, "term"), "held")
+    held = cut(rows.select("row", F.explode(words(F.col("text"))).alias("term")).join(asked, "term"), "held")
     terms = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    both = F.least("n_both", "n_term", "n_entity").cast("double")
-    scored = together.join(terms, "term")
-    scored = scored.withColumn("share", F.ln(n * both / (F.col("n_term") * F.col("n_entity"))) / F.ln(n / F.col("n_entity")))
-    flagged = scored.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= generalise)
-    flagged = flagged.select("term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
-    return held.join(flagged, "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("terms"))
+    scored = together.join(terms, "term").groupBy("term").agg(F.max(share(n)).alias("share")).where(F.col("share") >= generalise)
+    scored = cut(scored.withColumn("class", F.substring("term", 1, CLASS)), "scored")
+
+    asked = cut(scored.where(F.col("share") < remove).select("class").distinct(), "classes")
+    first = lambda terms: F.array_distinct(F.transform(terms, lambda w: F.substring(w, 1, CLASS)))
+    in_class = rows.select(F.explode(first(words(F.col("text")))).alias("class")).join(asked, "class").groupBy("class").agg(F.count(F.lit(1)).alias("n_term"))
+    by_class = near.select(F.substring("term", 1, CLASS).alias("class"), "entity", "row").join(asked, "class").distinct()
+    by_class = by_class.groupBy("class", "entity").agg(F.count(F.lit(1)).alias("n_both")).join(entities, "entity").join(in_class, "class")
+    tells = by_class.groupBy("class").agg(F.max(share(n)).alias("class_share"))
+    kept = (F.col("share") < remove) & (F.coalesce("class_share", F.lit(1.0)) < generalise)
+    flagged = scored.join(tells, "class", "left").select("term", F.when(kept, "generalise").otherwise("remove").alias("action"))
+    return held.join(flagged, "term").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("terms"))
 
 
 def marked(text: Column, terms: Column) -> Column:
@@ -105,29 +122,28 @@ def marked(text: Column, terms: Column) -> Column:
     return F.when(terms.isNotNull(), named).otherwise(F.array().cast(SPAN))
 
 
-def judged(docs: DataFrame, id_col: str, text_col: str, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
-    """The documents' (key, id, text), and the disclosing terms of each key that has any."""
-    texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = texts.select("text", F.monotonically_increasing_id().alias("row")).withColumn("base", base_spans(F.col("text"), KINDS)).where(F.size("base") > 0)
-    rows = cut(rows.select("row", with_sides(F.col("text"), F.col("base")).alias("spans")), "entities")
-    near = cut(near_terms(rows), "contexts")
-    return texts, cut(disclosing(texts.select("key", "text"), near, support, generalise, remove), "disclosing")
+def judged(docs: DataFrame, carried: Column, text_col: str, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """(carried, text, base, marks) for each document."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), carried.alias("carried"), text.alias("text"), base_spans(text, KINDS).alias("base")), "entities")
+    near = cut(near_terms(rows.where(F.size("base") > 0).select("row", with_sides(F.col("text"), F.col("base")).alias("spans"))), "contexts")
+    terms = cut(disclosing(rows.select("row", "text"), near, support, generalise, remove), "disclosing")
+    out = rows.join(terms, "row", "left")
+    return out.select("carried", "text", "base", marked(F.col("text"), F.col("terms")).alias("marks"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row per document: id, base (spans of entities) and marks (spans `generalise` and `remove` of terms)."""
-    texts, terms = judged(docs, id_col, text_col, support, generalise, remove)
-    out = texts.join(terms, "key", "left")
-    return out.select(F.col("id").alias(id_col), base_spans(F.col("text"), KINDS).alias("base"), marked(F.col("text"), F.col("terms")).alias("marks"))
+    return judged(docs, F.col(id_col), text_col, support, generalise, remove).select(F.col("carried").alias(id_col), "base", "marks")
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the
-    first is named, and what the others reach beyond it is cut out too."""
+    """The text with entities replaced by their kind in brackets, generalised terms by their class, and removed ones
+    cut out; of overlapping spans the first is named, and what the others reach beyond it is cut out too."""
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        instead = F.when(s["kind"] == "remove", "").otherwise(F.concat(F.lit("<"), s["kind"], F.lit(">")))
+        instead = F.when(s["kind"] == "remove", "").when(s["kind"] == "generalise", F.concat(F.substring(s["value"], 1, CLASS), F.lit("*"))).otherwise(F.concat(F.lit("<"), s["kind"], F.lit(">")))
         rest = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
         return F.when(s["start"] < acc["at"], rest).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, instead)).alias("out")))
 
@@ -136,10 +152,8 @@ def sanitised(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), zero, step, rest)).otherwise(text)
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """The documents, with all their columns, and entities and disclosing terms out of the text; null texts stay."""
-    terms = judged(docs, id_col, text_col)[1].select(F.col("key").alias("__key"), F.col("terms").alias("__terms"))
-    joined = docs.withColumn("__key", row_key(id_col, text_col)).join(terms, "__key", "left")
-    spans = F.concat(base_spans(F.coalesce(F.col(text_col), F.lit("")), KINDS), marked(F.col(text_col), F.col("__terms")))
-    clean = F.when(F.col(text_col).isNotNull(), sanitised(F.col(text_col), spans))
-    return joined.withColumn(text_col, clean).select(*[F.col(c) for c in docs.columns])
+    clean = F.when(F.col("carried")[text_col].isNotNull(), sanitised(F.col("text"), F.concat("base", "marks")))
+    found = judged(docs, F.struct("*"), text_col, support, generalise, remove)
+    return found.select(*[(clean if c == text_col else F.col("carried")[c]).alias(c) for c in docs.columns])

@@ -253,6 +253,67 @@ def test_disclosing_terms_are_marked_at_all_their_places(spark):
     assert "zanzibaris" in clean[50] and clean[100] == "the common talk0 of others"
 
 
+def slow_disclosure(rows, support, generalise, remove):
+    """Of (id, text): the added spans, counted document by document."""
+    term = re.compile(r"[^\W\d_]{3,}")
+    near, entities, holds, classes, beside = (collections.defaultdict(set) for _ in range(5))
+    for row, (_, text) in enumerate(rows):
+        text = text or ""
+        for w in {m.group().lower() for m in term.finditer(text)}:
+            holds[w].add(row)
+            classes[w[:3]].add(row)
+        for kind, (pattern, ok) in PII.items():
+            for m in re.finditer(pattern, text):
+                if not ok(m):
+                    continue
+                entity = (kind, m.group().lower())
+                entities[entity].add(row)
+                low, high = max(0, m.start() - 80), m.end() + 80
+                left, right = text[low : m.start()], text[m.end() : high]
+                for part, cut_left, cut_right in ((left, low > 0, False), (right, False, len(text) > high)):
+                    for t in term.finditer(part):
+                        if not (cut_left and t.start() == 0) and not (cut_right and t.end() == len(part)):
+                            near[entity, t.group().lower()].add((left, right, row))
+                            beside[entity, t.group().lower()[:3]].add(row)
+    n = max(len(rows), 1)
+
+    def share(both, held, own):
+        return np.log(n * min(both, held, own) / (held * own)) / np.log(n / own)
+
+    best, actions = {}, {}
+    for (entity, t), places in near.items():
+        if len({p[:2] for p in places}) >= support and len(entities[entity]) < n:
+            x = share(len({p for p in places}), len(holds[t]), len(entities[entity]))
+            best[t] = max(best.get(t, x), x)
+    for t, x in best.items():
+        if x >= generalise:
+            tells = max(share(len(own), len(classes[c]), len(entities[e])) for (e, c), own in beside.items() if c == t[:3])
+            actions[t] = "generalise" if x < remove and tells < generalise else "remove"
+    return collections.Counter((r[0], tuple((m.start(), m.end(), actions[m.group().lower()]) for m in term.finditer(r[1] or "") if m.group().lower() in actions)) for r in rows)
+
+
+def test_disclosure_marks_equal_brute_force(spark, docs):
+    rows = [(i, f"{'abcdef'[i] * 4} zanzibar boss.man@corp.example.com the common {'ghijkl'[i] * 4}") for i in range(6)]
+    rows += [(50, "zanzibar alone"), (51, "zanzibar again")] + [(100 + i, f"the common talk{i} zanother of others") for i in range(90)] + [(200 + i, "zanier talk") for i in range(60)]
+    rows += [(300 + i, f"call {'mnop'[i] * 5} kilimanjaro +1 (386) 555-3733 at noon {'qrst'[i] * 5}") for i in range(4)] + [(1, None), (2, "")]
+    small = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    kinds = set()
+    for df, limits in ((small, (3, 0.6, 0.95)), (small, (3, 0.75, 0.9)), (table, (2, 0.5, 0.9))):
+        found = collections.Counter((r.doc_id, tuple((m.start, m.end, m.kind) for m in r.marks)) for r in pii_disclosure.scan(df, "doc_id", "text", *limits).collect())
+        assert found == slow_disclosure([tuple(r) for r in df.collect()], *limits)
+        kinds |= {kind for _, marks in found for *_, kind in marks}
+    assert kinds == {"remove", "generalise"}
+    clean = {r.doc_id: r.text for r in pii_disclosure.sanitise(small, "text", 3, 0.6, 0.95).collect()}
+    assert clean[50] == "zan* alone" and clean[200] == "zanier talk"
+
+
+def test_sanitise_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "to a.b@c.example now", "x", "y", "z")], "doc_id long, text string, row string, carried string, base string")
+    out = pii_disclosure.sanitise(docs.withColumns({"marks": F.lit("m"), "__key": F.lit("k"), "terms": F.lit("t")})).first()
+    assert tuple(out) == (1, "to <email> now", "x", "y", "z", "m", "k", "t")
+
+
 def test_overlapping_spans_are_cut_out_whole(spark):
     docs = spark.createDataFrame([(1, "a +1 202 555 0143.bob@x.com b")], "doc_id long, text string")
     assert pii_disclosure.sanitise(docs).first().text == "a <phone> b"
