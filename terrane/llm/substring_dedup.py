@@ -6,8 +6,10 @@ cover are anchors: for any two places of a match at least one offset below `peri
 any two equal windows share an aligned anchor of window - period + 1 words. Anchors seen once rule windows out;
 the windows around the others are extended to their full width and compared by 96 bits of hash.
 
-All exchanges carry packed slices of hashes, one row for each block of documents and hash range, so a passage that a
-third of the documents holds adds rows in proportion and no pairs are made.
+Places are reduced where they are read: of the places that share a hash in a task's buffer, all are known to repeat at
+once and only one goes to the range of its hash, so a passage that a third of the documents holds adds one entry for
+each buffer (about 50 MB of text) to a range, and no pairs are made. Exchanges carry packed slices, and ranges are dealt
+to tasks by number, so that tasks get equal shares.
 
 Defined results: null and empty texts have no words, none removed and an empty kept text. Texts shorter than the
 window lose nothing. Repeated rows are places of their own, so both copies lose all windows. Ties do not arise.
@@ -22,14 +24,16 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.common import bounded_batches, packed, partitions, row_key, schemas, text_chunks, unpacked, window_hashes, word_hashes
 
 WINDOW, PERIOD = 35, 21
-#: Bytes of text for each range of hashes; a range is what one task holds of an exchange.
-RANGE_BYTES = 16 << 20
+#: Bytes of text for each range of hashes, which is what a task holds of an exchange at once, ranges for each task, and
+#: entries that are reduced together before an exchange.
+RANGE_BYTES, RANGES_A_TASK, BUFFER = 32 << 20, 4, 2_000_000
 
 
 def difference_cover(period: int) -> tuple[int, ...]:
@@ -51,47 +55,95 @@ def places(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return doc, at, lengths[doc] - at
 
 
+#: Packed places: `h` and `g` are hashes, null for places that are known to repeat; `k` documents and `pos` positions.
+PLACES = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("g", pa.binary()), ("k", pa.binary()), ("pos", pa.binary())])
+
+
+def repeats(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the hashes, which of the ordered ones occur more than once, and which are the first of their kind."""
+    order = np.lexsort((g, h)) if len(g) else np.argsort(h, kind="stable")
+    h, g = h[order], g[order] if len(g) else g
+    same = h[1:] == h[:-1]
+    if len(g):
+        same &= g[1:] == g[:-1]
+    again, first = np.zeros(len(h), dtype=bool), np.ones(len(h), dtype=bool)
+    again[1:] |= same
+    again[:-1] |= same
+    first[1:] = ~same
+    return order, again, first
+
+
+def unique_places(k: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((pos, k))
+    k, pos = k[order], pos[order]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = (k[1:] != k[:-1]) | (pos[1:] != pos[:-1])
+    return k[new], pos[new]
+
+
+def known(k: np.ndarray, pos: np.ndarray, ranges: int) -> Iterator[dict]:
+    """Places that repeat, packed by ranges of documents; copies of one row have equal places, so one is enough."""
+    k, pos = unique_places(k, pos)
+    yield from ({"h": None, "g": None, **row} for row in packed(k.view(np.uint64), ranges, k=k, pos=pos))
+
+
+class Buffer:
+    """Places of one task, reduced before they leave it."""
+
+    def __init__(self, wide: bool, ranges: int):
+        self.wide, self.ranges, self.parts, self.size = wide, ranges, [], 0
+
+    def add(self, h: np.ndarray, g: np.ndarray, k: np.ndarray, pos: np.ndarray) -> None:
+        self.parts.append((h, g, k, pos))
+        self.size += len(h)
+
+    def rows(self) -> pa.RecordBatch:
+        h, g, k, pos = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, t) for t in ("<u8", "<u4", "<i8", "<i4"))
+        self.parts, self.size = [], 0
+        order, again, first = repeats(h, g)
+        h, k, pos = h[order], k[order], pos[order]
+        columns = {"h": h[first], "k": k[first], "pos": pos[first]} | ({"g": g[order][first]} if self.wide else {})
+        sent = ({"g": None, **row} for row in packed(h[first], self.ranges, **columns))
+        return pa.RecordBatch.from_pylist([*sent, *known(k[again], pos[again], self.ranges)], schema=PLACES)
+
+
 def anchor_rows(window: int, period: int, ranges: int):
     width, is_cover = window - period + 1, np.isin(np.arange(period), difference_cover(period))
-    schema = pa.schema([("bucket", pa.int64()), ("h", pa.binary()), ("k", pa.binary()), ("pos", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffer = Buffer(False, ranges)
         for batch, texts in text_chunks(batches):
             docs = [words if len(words := t.split()) >= window else [] for t in texts]
             keys = batch.column(batch.schema.get_field_index("k")).to_numpy()
             doc, at, left = places(docs)
             h = window_hashes(word_hashes(docs), width)
             use = np.flatnonzero(is_cover[at[: len(h)] % period] & (left[: len(h)] >= width))
-            rows = packed(h[use], ranges, h=h[use], k=keys[doc[use]], pos=at[use].astype("<i4"))
-            yield pa.RecordBatch.from_pylist(list(rows), schema=schema)
+            buffer.add(h[use], np.zeros(0, dtype="<u4"), keys[doc[use]], at[use].astype("<i4"))
+            if buffer.size >= BUFFER:
+                yield buffer.rows()
+        yield buffer.rows()
 
     return run
 
 
 def repeated_rows(wide: bool, ranges: int):
     """Of a range of hashes, the places of those that occur more than once, packed by ranges of documents."""
-    schema = pa.schema([("bucket", pa.int64()), ("k", pa.binary()), ("pos", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        h, k, pos = unpacked(table, "h", "<u8"), unpacked(table, "k", "<i8"), unpacked(table, "pos", "<i4")
-        more = unpacked(table, "g", "<u4") if wide else np.zeros(len(h), dtype="<u4")
-        order = np.lexsort((more, h)) if wide else np.argsort(h)
-        h, more = h[order], more[order]
-        same = (h[1:] == h[:-1]) & (more[1:] == more[:-1])
-        again = np.zeros(len(h), dtype=bool)
-        again[1:] |= same
-        again[:-1] |= same
-        k, pos = k[order][again], pos[order][again]
-        return pa.Table.from_pylist(list(packed(k.view(np.uint64), ranges, k=k, pos=pos)), schema=schema)
+        settled = table.filter(pc.is_null(table.column("h")))
+        open_rows = table.filter(pc.is_valid(table.column("h")))
+        h, k, pos = unpacked(open_rows, "h", "<u8"), unpacked(open_rows, "k", "<i8"), unpacked(open_rows, "pos", "<i4")
+        order, again, _ = repeats(h, unpacked(open_rows, "g", "<u4") if wide else np.zeros(0, dtype="<u4"))
+        k = np.concatenate([k[order][again], unpacked(settled, "k", "<i8")])
+        pos = np.concatenate([pos[order][again], unpacked(settled, "pos", "<i4")])
+        return pa.Table.from_pylist(list(known(k, pos, ranges)), schema=PLACES)
 
     return run
 
 
 def gathered_rows(table: pa.Table) -> pa.Table:
     """The places of a range of documents, as one row for each document."""
-    k, pos = unpacked(table, "k", "<i8"), unpacked(table, "pos", "<i4")
-    order = np.argsort(k, kind="stable")
-    k, pos = k[order], pos[order]
+    k, pos = unique_places(unpacked(table, "k", "<i8"), unpacked(table, "pos", "<i4"))
     edges = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
     lists = [pos[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
     return pa.table({"k": pa.array(k[edges[:-1]]), "found": pa.array(lists, pa.binary())})
@@ -111,9 +163,8 @@ def marked(lists: list[bytes | None], lengths: list[int], before: int, after: in
 
 
 def window_rows(window: int, period: int, ranges: int):
-    schema = pa.schema([("bucket", pa.int64()), ("h", pa.binary()), ("g", pa.binary()), ("k", pa.binary()), ("pos", pa.binary())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffer = Buffer(True, ranges)
         for batch, texts in text_chunks(batches):
             docs = [t.split() for t in texts]
             keys = batch.column(batch.schema.get_field_index("k")).to_numpy()
@@ -121,9 +172,10 @@ def window_rows(window: int, period: int, ranges: int):
             doc, at, _ = places(docs)
             words = word_hashes(docs)
             use = np.flatnonzero(marked(found, list(map(len, docs)), period - 1, 0, window - 1))
-            h, g = window_hashes(words, window)[use], window_hashes(words, window, 1)[use].astype("<u4")
-            rows = packed(h, ranges, h=h, g=g, k=keys[doc[use]], pos=at[use].astype("<i4"))
-            yield pa.RecordBatch.from_pylist(list(rows), schema=schema)
+            buffer.add(window_hashes(words, window)[use], window_hashes(words, window, 1)[use].astype("<u4"), keys[doc[use]], at[use].astype("<i4"))
+            if buffer.size >= BUFFER:
+                yield buffer.rows()
+        yield buffer.rows()
 
     return run
 
@@ -155,15 +207,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("k"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(partitions(spark), size // RANGE_BYTES + 1)
+    tasks = max(partitions(spark), ranges // RANGES_A_TASK)
+    kinds = "bucket int, h binary, g binary, k binary, pos binary"
 
     def found(rows: DataFrame, wide: bool) -> DataFrame:
         """Of each document with repeated hashes, the positions that have them."""
-        again = rows.groupBy("bucket").applyInArrow(repeated_rows(wide, ranges), "bucket long, k binary, pos binary")
-        return again.groupBy("bucket").applyInArrow(gathered_rows, "k long, found binary")
+        again = rows.repartitionById(tasks, "bucket").groupBy("bucket").applyInArrow(repeated_rows(wide, ranges), kinds)
+        return again.repartitionById(tasks, "bucket").groupBy("bucket").applyInArrow(gathered_rows, "k long, found binary")
 
-    anchors = found(keyed.select("k", "text").mapInArrow(anchor_rows(window, period, ranges), "bucket long, h binary, k binary, pos binary"), wide=False)
+    anchors = found(keyed.select("k", "text").mapInArrow(anchor_rows(window, period, ranges), kinds), wide=False)
     near = keyed.join(anchors.hint("merge"), "k")
-    windows = found(near.mapInArrow(window_rows(window, period, ranges), "bucket long, h binary, g binary, k binary, pos binary"), wide=True)
+    windows = found(near.mapInArrow(window_rows(window, period, ranges), kinds), wide=True)
     spark_schema, arrow = schemas({"id": keyed.schema["id"].dataType, "n_words": "long", "n_removed": "long", "kept_text": "string"})
     out = keyed.join(windows.hint("merge"), "k", "left").mapInArrow(kept_rows(window, arrow), spark_schema)
     return out.withColumnRenamed("id", id_col)

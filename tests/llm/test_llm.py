@@ -69,6 +69,22 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_repeated_places_leave_a_task_once(wide):
+    """A passage that most documents share adds one entry to the range of its hash, and no place is lost."""
+    buffer = substring_dedup.Buffer(wide, 8)
+    rng = np.random.default_rng(1)
+    h, g = np.append(np.full(9000, 77 << 40), rng.integers(1 << 41, 1 << 60, 1000)).astype("<u8"), np.zeros(10_000, dtype="<u4")
+    k, pos = np.arange(10_000, dtype="<i8"), np.full(10_000, 5, dtype="<i4")
+    for part in np.array_split(np.arange(10_000), 3):
+        buffer.add(h[part], g[part] if wide else np.zeros(0, dtype="<u4"), k[part], pos[part])
+    table = substring_dedup.pa.Table.from_batches([buffer.rows()])
+    sent = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("h").to_pylist() if x is not None])
+    assert len(sent) == 1001 and (sent == 77 << 40).sum() == 1
+    out = substring_dedup.repeated_rows(wide, 8)(table)
+    assert sorted(np.concatenate([np.frombuffer(x, "<i8") for x in out.column("k").to_pylist()])) == list(range(9000))
+
+
 @pytest.mark.parametrize("period", [1, 2, 7, 13, 21])
 def test_difference_cover_gives_all_differences(period):
     cover = substring_dedup.difference_cover(period)
