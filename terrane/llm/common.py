@@ -31,14 +31,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of one key from which on it is looked up by broadcast; a table has at most rows / HOT_ROWS such keys.
-HOT_ROWS = 100_000
+#: Keys that are looked up by broadcast at most, and rows of one key at least for that.
+HOT_KEYS, HOT_ROWS = 20_000, 1000
 
 
-def attached(rows: DataFrame, found: DataFrame, keys: list[str], held: str, hot: int = HOT_ROWS) -> DataFrame:
-    """rows with found's other columns, null where there is none; found has one row for each key, and `held` tells how
-    many rows have it. Hot keys meet their rows by broadcast, and these rows are spread over all tasks of the join
-    that looks up the others."""
+def attached(rows: DataFrame, found: DataFrame, keys: list[str], held: str, hot: int | None = None) -> DataFrame:
+    """rows with found's other columns, null where there is none; found is a written table with one row for each key,
+    and `held` tells how many rows have it. Keys of more than `hot` rows, of which there are HOT_KEYS at most unless it
+    is given, meet their rows by broadcast; these rows are spread over all tasks of the join that looks up the others."""
+    if hot is None:
+        hot = max(HOT_ROWS, int(found.agg(F.sum(held)).first()[0] or 0) // HOT_KEYS)
     names = [c for c in found.columns if c not in keys and c != held]
     values = F.struct(*[F.col(c) for c in names])
     named = lambda side: [F.col(k).alias(f"{side}{i}") for i, k in enumerate(keys)]

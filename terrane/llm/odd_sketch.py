@@ -6,9 +6,11 @@ of two bitmaps tells how many samples differ, precisely where similarities are h
 bitmaps choose the pairs; the full sets confirm each link before components are formed.
 
 Documents with equal sets are one class from the start, so copies never meet as pairs. Of a bucket, only the pairs of
-a maximum spanning forest by estimate are confirmed at first, one for each member at most; a second round confirms
-whatever is left between different components, so that no link between two components is lost. Buckets beyond BLOCK
-members are dealt out as pairs of blocks.
+a maximum spanning forest by estimate are confirmed at first, one for each member at most. In a second round the buckets
+that still hold different components get the full sets of their members; their task confirms what is left between
+different components on these and returns only links that unite some, fewer than there are members, so that no link
+between two components is lost and no list of pairs is written. Buckets beyond BLOCK members, or SET_BLOCK shingles in
+the second round, are dealt out as pairs of blocks.
 
 Defined results: null texts and texts without words have an empty set, no link and their own id as component. Texts
 of fewer than five words have their whole word sequence as the only shingle. Repeated rows share a class; rows that
@@ -22,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import LOWERED, bounded_batches, mix, row_key, schemas, text_chunks, window_hashes, word_hashes
+from terrane.llm.common import LOWERED, attached, bounded_batches, mix, row_key, schemas, text_chunks, window_hashes, word_hashes
 from terrane.operators.graph import connected_components
 from terrane.session import cut
 
@@ -37,6 +39,8 @@ SAMPLES, BANDS, ROWS, BITS = 480, 24, 5, 2048
 SLACK = 0.065
 #: Members of a bucket that one task compares, and the size up to which all pairs of a bucket are compared at once.
 BLOCK, SMALL = 8192, 5
+#: Shingles of the members that one task of the second round holds on either side.
+SET_BLOCK = 1_000_000
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -145,48 +149,54 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("k")), sets], names=["node", "hashes"])
 
 
-def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of whole buckets: edges of the buckets, nodes, bitmaps, roots, block sides, bands, and all bands of each."""
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Runs of whole buckets, and where each of the run's buckets begins and ends."""
     carry: list[pa.RecordBatch] = []
 
-    def whole(parts: list[pa.RecordBatch]):
+    def whole(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, pa.Table]:
         t = pa.Table.from_batches(parts)
-        if not len(t):
-            return None
         part = [t.column(c).to_numpy() for c in ("band", "i", "j")]
         new = np.append(True, np.logical_or.reduce([p[1:] != p[:-1] for p in part]))
-        edges = np.append(np.flatnonzero(new), len(t))
-        maps = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(t), -1)
-        bands = t.column("bands").combine_chunks().flatten().to_numpy()
-        return edges, t.column("node").to_numpy(), maps, t.column("root").to_numpy(), t.column("side").to_numpy(), t.column("band").to_numpy(), bands
+        return np.append(np.flatnonzero(new), len(t)), t
 
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("band", "i", "j")]
+        head = carry[0] if carry else None
+        if head is not None and any(head.column(head.schema.get_field_index(c))[0].as_py() != k[0] for c, k in zip(("band", "i", "j"), keys, strict=True)):
+            yield whole(carry)
+            carry = []
         differs = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
         last = int(differs[-1]) + 1 if len(differs) else 0  # the run that the batch ends with may go on
         if last:
-            if (out := whole([*carry, batch.slice(0, last)])) is not None:
-                yield out
+            yield whole([*carry, batch.slice(0, last)])
             carry = [batch.slice(last)]
         else:
-            head = carry[0] if carry else None
-            if head is not None and any(head.column(head.schema.get_field_index(c))[0].as_py() != k[0] for c, k in zip(("band", "i", "j"), keys, strict=True)):
-                yield whole(carry)
-                carry = []
             carry.append(batch)
     if carry:
         yield whole(carry)
 
 
-def candidate_rows(threshold: float, settled: bool):
-    """Pairs of buckets to confirm: at first a spanning forest, once settled all between different components."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def maps_of(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(t), -1)
+
+
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def pair_rows(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], schema=PAIRS)
+
+
+def candidate_rows(threshold: float):
+    """Pairs of buckets to confirm: all of small buckets, a spanning forest of the others."""
     most = most_flips(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for edges, node, maps, root, side, band, bands in groups(batches):
+        for edges, t in groups(batches):
+            node, maps, side = t.column("node").to_numpy(), maps_of(t), t.column("side").to_numpy()
             sizes = np.diff(edges)
             left, right = [], []
             for size in range(2, SMALL + 1):  # all pairs of all small buckets of a size at once
@@ -197,28 +207,84 @@ def candidate_rows(threshold: float, settled: bool):
                 left.append(x[near])
                 right.append(y[near])
             for start, end in zip(edges[:-1][sizes > SMALL].tolist(), edges[1:][sizes > SMALL].tolist(), strict=True):
-                own, sides, roots = maps[start:end], side[start:end], root[start:end]
-                if settled:
-                    for i in range(end - start - 1):
-                        other = roots[i + 1 :] != roots[i]
-                        if sides[0] >= 0:
-                            other &= sides[i + 1 :] != sides[i]
-                        at = i + 1 + np.flatnonzero(other)
-                        at = at[flips(own[at], own[i]) <= most]
-                        left.append(np.full(len(at), start + i))
-                        right.append(start + at)
-                else:
-                    x, y = spanning_forest(own, sides, most)
-                    left.append(start + np.array(x, dtype=np.int64))
-                    right.append(start + np.array(y, dtype=np.int64))
+                x, y = spanning_forest(maps[start:end], side[start:end], most)
+                left.append(start + np.array(x, dtype=np.int64))
+                right.append(start + np.array(y, dtype=np.int64))
             x, y = np.concatenate(left), np.concatenate(right)
-            keep = (root[x] != root[y]) if settled else node[x] != node[y]
-            if settled and len(x):  # a pair that shares several buckets counts in the first
-                bands = bands.reshape(len(node), -1)
-                keep &= bands[x, np.argmax(bands[x] == bands[y], axis=1)] == band[x]
-            x, y = node[x[keep]], node[y[keep]]
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+            yield pair_rows(node[x], node[y])
+
+    return run
+
+
+class Overlaps:
+    """Sizes of the intersections of one set with others: shingles that many sets hold are bits, the others postings."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        n = len(sets)
+        self.sizes = np.array(list(map(len, sets)))
+        owner = np.repeat(np.arange(n), self.sizes)
+        _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        common = held > max(1, n // 64)
+        number = np.cumsum(common) - 1
+        self.bits = np.zeros((n, -(-max(1, int(common.sum())) // 64)), dtype=np.uint64)
+        use = common[column]
+        at = number[column[use]]
+        np.bitwise_or.at(self.bits, (owner[use], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        rare = np.flatnonzero(~use & (held[column] > 1))
+        order = np.argsort(column[rare], kind="stable")
+        self.posted = owner[rare][order]
+        ends = np.cumsum(np.bincount(column[rare], minlength=len(held)))
+        self.spans = [list(zip((ends[c] - held[c]).tolist(), ends[c].tolist(), strict=True)) for c in np.split(column[rare], np.cumsum(np.bincount(owner[rare], minlength=n))[:-1])]
+
+    def with_others(self, i: int, others: np.ndarray) -> np.ndarray:
+        same = np.bitwise_count(self.bits[others] & self.bits[i]).sum(axis=1, dtype=np.int64)
+        if self.spans[i]:
+            same += np.bincount(np.concatenate([self.posted[a:b] for a, b in self.spans[i]]), minlength=len(self.sizes))[others]
+        return same
+
+
+def uniting_links(maps: np.ndarray, side: np.ndarray, root: np.ndarray, first: np.ndarray, sets: list[np.ndarray], percent: int, most: int) -> tuple[list[int], list[int]]:
+    """Links between members of different roots, confirmed on full sets, as few as unite what they unite; pairs that
+    have an earlier bucket in common (first: bands of each, and this one's place among them) are left to that."""
+    overlaps, left, right = Overlaps(sets), [], []
+    part = np.unique(root, return_inverse=True)[1]
+    sizes, bands, band = overlaps.sizes, first[:, 1:], first[:, 0]
+    for i in range(len(sets) - 1):
+        later = np.arange(i + 1, len(sets))
+        keep = part[later] != part[i]
+        if side[0] >= 0:
+            keep &= side[later] != side[i]
+        keep &= 100 * np.minimum(sizes[later], sizes[i]) >= percent * np.maximum(sizes[later], sizes[i])
+        later = later[keep]
+        later = later[flips(maps[later], maps[i]) <= most]
+        later = later[bands[i, np.argmax(bands[later] == bands[i], axis=1)] == band[i]] if len(later) else later
+        if not len(later):
+            continue
+        same = overlaps.with_others(i, later)
+        for j in later[100 * same >= percent * (sizes[later] + sizes[i] - same)].tolist():
+            if part[i] != part[j]:
+                left.append(i)
+                right.append(j)
+                part[part == part[j]] = part[i]
+    return left, right
+
+
+def link_rows(percent: int):
+    """Confirmed links of buckets that still hold different roots."""
+    most = most_flips(percent / 100 - slack(percent))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for edges, t in groups(batches):
+            node, maps, side, root = t.column("node").to_numpy(), maps_of(t), t.column("side").to_numpy(), t.column("root").to_numpy()
+            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+            first = np.column_stack([t.column("band").to_numpy(), bands])
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in t.column("hashes").to_pylist()]
+            left, right = [], []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                x, y = uniting_links(maps[a:b], side[a:b], root[a:b], first[a:b], sets[a:b], percent, most)
+                left += [a + i for i in x]
+                right += [a + j for j in y]
+            yield pair_rows(node[left], node[right])
 
     return run
 
@@ -244,54 +310,54 @@ def confirmed_rows(percent: int):
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per document: id, k (the row's key), n (size of its set) and component_id (smallest id reachable)."""
+    """One row per document: id, k (the row's key), n (size of its set), root (its component, null without words) and
+    component_id (smallest id reachable)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("k"))
     spark_schema, arrow = schemas({"id": keyed.schema["id"].dataType, "k": "long", "n": "long", "c1": "long", "c2": "long", "sketch": "binary", "bands": "array<long>"})
     signed = cut(keyed.mapInArrow(signature_rows(arrow), spark_schema), "signatures")
     # Bitmap and bands follow from the set, so any member's will do.
-    classes = cut(signed.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("low"), F.min("k").alias("node"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
-    posts = classes.select("node", F.explode("bands").alias("band"))
+    classes = cut(signed.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("low"), F.min("k").alias("node"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("held")), "classes")
+    posts = classes.select("node", "n", F.explode("bands").alias("band"))
     shared = posts.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    posts = posts.join(shared, "band").join(classes.select("node", "sketch"), "node")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    posts = cut(posts.select("band", "node", "sketch", blocks.alias("blocks"), own.alias("own")), "buckets")
-
-    def pairs(members: DataFrame, settled: bool) -> DataFrame:
-        """members have roots; buckets beyond one block are dealt out to every pair of their blocks."""
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        members = members.select("band", "node", "sketch", "bands", "root", "blocks", "own", other.alias("other"))
+    posts = cut(posts.join(shared, "band").join(classes.select("node", "sketch"), "node"), "buckets")
+
+    def dealt(members: DataFrame, blocks: Column) -> DataFrame:
+        """Buckets beyond one block are dealt out to every pair of their blocks."""
+        members = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when((F.col("blocks") > 1) & (F.col("own") != F.col("other")), F.col("own")).otherwise(F.lit(-1))
-        members = members.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "sketch", "bands", "root", side.alias("side"))
-        dealt = members.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
-        return cut(dealt.mapInArrow(candidate_rows(percent / 100 - slack(percent), settled), "a long, b long").distinct(), "pairs")
-
-    def confirm(found: DataFrame) -> DataFrame:
-        ends = found.select(F.col("a").alias("k")).union(found.select(F.col("b").alias("k"))).distinct()
-        sets = keyed.select("k", "text").join(ends.hint("merge"), "k", "left_semi").mapInArrow(set_rows, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
-        sets = cut(sets, "sets")
-        both = found.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("right")), "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("left")), "a")
-        return cut(both.select("a", "b", "left", "right").mapInArrow(confirmed_rows(percent), "a long, b long"), "links")
-
-    unused = F.array().cast("array<bigint>").alias("bands")
-    links = confirm(pairs(posts.select("*", F.col("node").alias("root"), unused), settled=False))
+        members = members.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": side}).drop("blocks", "own", "other")
+        return members.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        made = keyed.select("k", "text").join(nodes.select(F.col("node").alias("k")).distinct().hint("merge"), "k", "left_semi").mapInArrow(set_rows, "node long, hashes binary")
+        return cut(made.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+
+    first = dealt(posts.select("band", "node", "sketch", "members"), F.ceil(F.col("members") / BLOCK).cast("int"))
+    pairs = cut(first.drop("members").mapInArrow(candidate_rows(percent / 100 - slack(percent)), "a long, b long").distinct(), "pairs")
+    sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("right")), "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("left")), "a")
+    links = cut(both.select("a", "b", "left", "right").mapInArrow(confirmed_rows(percent), "a long, b long"), "links")
     labels = cut(connected_components(links, "a", "b"), "labels")
+
     rooted = posts.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Buckets up to SMALL have been compared in full; larger ones of one component have nothing left to add.
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where((F.col("lo") != F.col("hi")) & (F.col("size") > SMALL))
-    mixed_posts = rooted.join(mixed.select("band"), "band", "left_semi").join(classes.select("node", "bands"), "node")
-    left = pairs(mixed_posts, settled=True)
-    if not left.isEmpty():
-        more = confirm(left)
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).where((F.col("lo") != F.col("hi")) & (F.col("size") > SMALL))
+    mixed = cut(rooted.join(mixed.select("band", "shingles"), "band").join(classes.select("node", "bands"), "node"), "mixed")
+    if not mixed.isEmpty():
+        members = mixed.select("band", "node", "sketch", "bands", "root", "shingles").join(sets_of(mixed), "node")
+        more = cut(dealt(members, F.ceil(F.col("shingles") / SET_BLOCK).cast("int")).drop("shingles").mapInArrow(link_rows(percent), "a long, b long"), "links")
         if not more.isEmpty():
             labels = cut(connected_components(links.union(more), "a", "b"), "labels")
     ends = classes.select("node", "low").join(labels, "node")
     lows = ends.groupBy("root").agg(F.min("low").alias("component"))
-    named = classes.select("c1", "c2", "n", "node", "low").join(ends.join(lows, "root").select("node", "component"), "node", "left").select("c1", "c2", "n", F.coalesce("component", "low").alias("component_id"))
-    out = signed.select("id", "k", "n", "c1", "c2").join(named, ["c1", "c2", "n"], "left")
-    return out.select("id", "k", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    ends = ends.join(lows, "root").select("node", "root", "component")
+    named = classes.select("c1", "c2", "n", "node", "low", "held").join(ends, "node", "left")
+    named = cut(named.select("c1", "c2", "n", "held", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("component")).alias("component_id")), "named")
+    out = attached(signed.where("n > 0").select("id", "k", "n", "c1", "c2"), named, ["c1", "c2", "n"], "held").drop("c1", "c2")
+    return out.unionByName(signed.where("n = 0").select("id", "k", "n", F.lit(None).cast("long").alias("root"), F.col("id").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -303,11 +369,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents, with all their columns, one of each component: the one with its smallest id. Texts without
     words belong to no component and stay."""
-    found = cut(classify(docs, id_col, text_col, percent).where("n > 0"), "found")
-    first = found.groupBy("component_id").agg(F.min(F.struct("id", "k"))["k"].alias("first"))
-    gone = found.join(first, "component_id").where("k <> first").select(F.col("k").alias("__k")).distinct()
-    out = docs.withColumn("__k", row_key(id_col, text_col)).join(gone, "__k", "left_anti")
-    repeated = found.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("k").alias("__k"))
+    found = cut(classify(docs, id_col, text_col, percent), "found")
+    first = found.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("k").alias("k")))["k"].alias("k"))
+    rows = docs.select(F.struct("*").alias("whole"), row_key(id_col, text_col).alias("k"))
+    out = rows.join(first.select("k").union(found.where("n = 0").select("k").distinct()), "k", "left_semi")
+    repeated = found.where("n > 0").groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
     if not repeated.isEmpty():  # equal rows: all but one go
-        out = out.join(repeated, "__k", "left_anti").unionByName(out.join(repeated, "__k", "left_semi").dropDuplicates(["__k"]))
-    return out.select(*[F.col(c) for c in docs.columns])
+        out = out.join(repeated, "k", "left_anti").unionByName(out.join(repeated, "k", "left_semi").dropDuplicates(["k"]))
+    return out.select(*[F.col("whole")[c].alias(c) for c in docs.columns])

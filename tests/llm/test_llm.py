@@ -137,6 +137,66 @@ def test_near_duplicates_of_a_large_group(spark):
     assert [got[i] for i in range(60)] == components(list(range(60)), linked)
 
 
+def test_overlaps_equal_intersections():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, rng.integers(1, 400))) for _ in range(150)] + [np.unique(rng.integers(0, 1 << 63, 50, dtype=np.uint64))]
+    overlaps, every = odd_sketch.Overlaps(sets), np.arange(len(sets))
+    for i in range(len(sets)):
+        others = every[every != i]
+        assert overlaps.with_others(i, others).tolist() == [len(np.intersect1d(sets[i], sets[j])) for j in others]
+
+
+def test_links_below_the_threshold_write_no_pairs(spark, monkeypatch):
+    """Pages of one template at about 80 percent: nothing links, and what is written stays linear."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(400):
+        w = [f"t{j}" for j in range(150)]
+        for j in (10, 60, 110):
+            w[j] = f"u{i}x{j}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, rows[i][1] + f" tail{i}") for i in range(0, 400, 40)]
+    sets = [shingles(t) for _, t in rows]
+    assert 0.78 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85
+    written = collections.Counter()
+    monkeypatch.setattr(odd_sketch, "cut", lambda df, name: (written.update({name: (out := corpus_pipeline.cut(df, name)).count()}), out)[1])
+    monkeypatch.setattr(odd_sketch, "SET_BLOCK", 20_000)
+    got = {r.doc_id: r.component_id for r in odd_sketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert written["pairs"] <= 24 * len(rows) and written["links"] <= len(rows)
+    linked = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert [got[i] for i, _ in rows] == components([i for i, _ in rows], linked)
+
+
+def test_near_duplicates_lose_no_link_of_a_table(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets = {r.doc_id: shingles(r.text) for r in rows}
+    first = collections.defaultdict(list)
+    for i, s in sets.items():  # two sets that link share one of the rarest shingles of either
+        for g in s:
+            first[g].append(i)
+    counts = collections.Counter()
+    for own in first.values():
+        if 1 < len(own):
+            counts.update(itertools.combinations(sorted(own), 2))
+    linked = [p for p, same in counts.items() if 100 * same >= 85 * (len(sets[p[0]]) + len(sets[p[1]]) - same)]
+    ids = sorted(sets)
+    place = {x: i for i, x in enumerate(ids)}
+    want = components(ids, [(place[a], place[b]) for a, b in linked])
+    got = {r.doc_id: r.component_id for r in odd_sketch.near_duplicates(docs).collect()}
+    assert linked and [got[i] for i in ids] == want
+
+
+def test_deduplicate_of_null_ids_keeps_each_component(spark):
+    rows = [(None, words("a", 30)), (None, words("b", 30)), (None, words("b", 30) + " x"), (7, words("c", 9)), (7, words("c", 9)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"whole": F.lit("w"), "k": F.lit("k"), "__k": F.lit("u")})
+    out = odd_sketch.deduplicate(docs)
+    assert out.columns == docs.columns and [tuple(r)[2:] for r in out.collect()] == [("w", "k", "u")] * 4
+    assert sorted((r.text or "")[:2] for r in out.collect()) == ["", "a0", "b0", "c0"]
+
+
 def test_deduplicate_keeps_one_row_of_each_group_and_all_columns(docs):
     out = odd_sketch.deduplicate(docs)
     assert out.columns == docs.columns
