@@ -104,14 +104,20 @@ def disclosing(rows: DataFrame, near: DataFrame, support: int, generalise: float
     scored = together.join(terms, "term").groupBy("term").agg(F.max(share(n)).alias("share")).where(F.col("share") >= generalise)
     scored = cut(scored.withColumn("class", F.substring("term", 1, CLASS)), "scored")
 
-    asked = cut(scored.where(F.col("share") < remove).select("class").distinct(), "classes")
+    # What a class tells at most follows from its documents next to entities alone; only where that does not settle it
+    # are its other documents counted.
+    of_class = near.select(F.substring("term", 1, CLASS).alias("class"), "entity", "row").distinct()
+    by_class = cut(of_class.groupBy("class", "entity").agg(F.count(F.lit(1)).alias("n_both")).join(entities, "entity"), "class-entities")
+    beside = of_class.select("class", "row").distinct().groupBy("class").agg(F.count(F.lit(1)).alias("n_term"))
+    asked = scored.where(F.col("share") < remove).select("class").distinct()
+    at_most = cut(by_class.join(beside, "class").groupBy("class").agg(F.max(share(n)).alias("most")).join(asked, "class"), "class-bounds")
     first = lambda terms: F.array_distinct(F.transform(terms, lambda w: F.substring(w, 1, CLASS)))
-    in_class = rows.select(F.explode(first(words(F.col("text")))).alias("class")).join(asked, "class").groupBy("class").agg(F.count(F.lit(1)).alias("n_term"))
-    by_class = near.select(F.substring("term", 1, CLASS).alias("class"), "entity", "row").join(asked, "class").distinct()
-    by_class = by_class.groupBy("class", "entity").agg(F.count(F.lit(1)).alias("n_both")).join(entities, "entity").join(in_class, "class")
-    tells = by_class.groupBy("class").agg(F.max(share(n)).alias("class_share"))
-    kept = (F.col("share") < remove) & (F.coalesce("class_share", F.lit(1.0)) < generalise)
-    flagged = scored.join(tells, "class", "left").select("term", F.when(kept, "generalise").otherwise("remove").alias("action"))
+    unsettled = at_most.where(F.col("most") >= generalise).select("class")
+    in_class = rows.select(F.explode(first(words(F.col("text")))).alias("class")).join(unsettled, "class").groupBy("class").agg(F.count(F.lit(1)).alias("n_term"))
+    tells = by_class.join(in_class, "class").groupBy("class").agg(F.max(share(n)).alias("class_share"))
+    settled = F.coalesce(F.col("most") < generalise, F.lit(False)) | F.coalesce(F.col("class_share") < generalise, F.lit(False))
+    action = F.when((F.col("share") < remove) & settled, "generalise").otherwise("remove").alias("action")
+    flagged = scored.join(at_most, "class", "left").join(tells, "class", "left").select("term", action)
     return held.join(flagged, "term").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("terms"))
 
 
