@@ -29,19 +29,35 @@ def match_key(text: Column) -> Column:
     return F.nullif(F.array_join(words, " "), F.lit(""))
 
 
+def one_spaced(text: Column) -> Column:
+    """Single spaces, none at the ends, blank as null."""
+    return F.nullif(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), F.lit(""))
+
+
+def title_case(text: Column) -> Column:
+    """Each run of letters with its first letter in upper case and the others in lower case."""
+    runs = F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), "")
+
+
 def display_name(text: Column) -> Column:
-    """Single spaces, blank as null, and words capitalised if an upper-case name is longer than five characters."""
-    clean = F.nullif(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
-    shouted = (clean == F.upper(clean)) & (F.char_length(clean) > 5) & clean.rlike("[A-Za-z]")
-    return F.when(shouted, F.initcap(clean)).otherwise(clean)
+    """One-spaced, and in title case if it is an upper-case name of more than five characters."""
+    clean = one_spaced(text)
+    shouted = (clean == F.upper(clean)) & (F.char_length(clean) > 5) & clean.rlike(r"\p{L}")
+    return F.when(shouted, title_case(clean)).otherwise(clean)
+
+
+#: Fixed room labels, by their upper-case form.
+ROOM_LABELS = {"STUDIO": "Studio", "PENTHOUSE": "Penthouse", "GYM": "Gym", "OFFICE": "Office", "SHOP": "Shop", "SINGLE ROOM": "Single Room", "STORE": "Store"}
 
 
 def parse_rooms(text: Column) -> Column:
-    """(label, bedrooms): a count of bedrooms, a studio as 0, other labels without a count."""
-    clean = F.nullif(F.trim(text), F.lit(""))
-    count = F.regexp_extract(clean, r"(?i)^([1-9]) B/R$", 1)
-    bedrooms = F.when(count != "", count.cast("int")).when(F.lower(clean) == "studio", F.lit(0))
-    return F.struct(clean.alias("label"), bedrooms.alias("bedrooms"))
+    """(label, bedrooms): `n B/R` with its count, a studio with 0, other labels, known ones in their fixed form, without."""
+    clean = one_spaced(text)
+    count = F.nullif(F.regexp_extract(clean, r"(?i)^([1-9]) B/R$", 1), F.lit(""))
+    fixed = F.create_map(*[F.lit(x) for pair in ROOM_LABELS.items() for x in pair])
+    label = F.coalesce(F.concat(count, F.lit(" B/R")), F.try_element_at(fixed, F.upper(clean)), clean)
+    return F.struct(label.alias("label"), F.coalesce(count.cast("int"), F.when(label == "Studio", 0)).alias("bedrooms"))
 
 
 def bag_slot(word: Column, slots: int = 384) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators import ranks
+
 #: Fixed floor of a bin's share.
 EPSILON = 1e-4
 
@@ -25,10 +27,11 @@ def _index(counts: DataFrame) -> DataFrame:
 def psi_numeric(reference: DataFrame, current: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """PSI over quantile bins of the reference; a constant reference uses below, equal and above."""
     ref, cur = _finite(reference, value), _finite(current, value)
-    points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = ref.agg(F.array_distinct(F.percentile("x", points)).alias("e"))
+    names = [f"q{i}" for i in range(bins + 1)]
+    found = ranks.quantiles(ref, [], "x", {name: i / bins for i, name in enumerate(names)})
+    edges = found.select(F.array_distinct(F.array(*names)).alias("e"))
     edges = edges.select(F.when(F.size("e") == 1, F.col("e")).otherwise(F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0)))).alias("inner"), (F.size("e") == 1).alias("flat"))
-    both = ref.withColumns({"r": F.lit(1), "c": F.lit(0)}).unionByName(cur.withColumns({"r": F.lit(0), "c": F.lit(1)})).join(F.broadcast(edges))
+    both = ref.withColumns({"r": F.lit(1), "c": F.lit(0)}).unionByName(cur.withColumns({"r": F.lit(0), "c": F.lit(1)})).join(F.broadcast(edges), how="left")
     slot = F.size(F.filter("inner", lambda e: e <= F.col("x")))
     slot = F.when(F.col("flat"), F.when(F.col("x") < F.col("inner")[0], -1).when(F.col("x") == F.col("inner")[0], 0).otherwise(1)).otherwise(slot)
     return _index(both.groupBy(slot.alias("bin")).agg(F.sum("r").alias("r"), F.sum("c").alias("c")))
@@ -49,9 +52,9 @@ def ks(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
     """Largest gap of the two empirical distributions. Equal values are summed before the running counts."""
     both = _finite(reference, value).withColumns({"r": F.lit(1), "c": F.lit(0)}).unionByName(_finite(current, value).withColumns({"r": F.lit(0), "c": F.lit(1)}))
     counts = both.groupBy("x").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    every, upto = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    share = lambda x: F.try_divide(F.sum(x).over(upto), F.sum(x).over(every))
-    return counts.select(F.abs(share("r") - share("c")).alias("gap")).agg(F.coalesce(F.max("gap"), F.lit(float("nan"))).alias("ks"))
+    summed = ranks.running(counts, [F.col("x")], ["r", "c"])
+    share = lambda x: F.try_divide(f"cum_{x}", f"total_{x}")
+    return summed.select(F.abs(share("r") - share("c")).alias("gap")).agg(F.coalesce(F.max("gap"), F.lit(float("nan"))).alias("ks"))
 
 
 def histogram(df: DataFrame, keys: list[str], value: Column, bounds: list[float]) -> DataFrame:

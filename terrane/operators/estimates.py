@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators import ranks
+
 
 def top_value(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, n): the commonest value of each key, the smaller one on a tie."""
@@ -72,20 +74,12 @@ def quantile_bounds(df: DataFrame, keys: list[str], value: str, low: float, high
 
 def conformal_quantiles(df: DataFrame, segment: str, error: str, alphas: dict[str, float], min_rows: int) -> DataFrame:
     """(segment, <name>..., n): the ceil((n + 1)(1 - a))-th smallest error, infinite beyond n; small segments get the
-    pooled value. Ranks come from running counts, so no segment is gathered in one row."""
-    def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-        w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        counts = rows.groupBy(*keys, error).agg(F.count(F.lit(1)).alias("__c"))
-        running = counts.withColumns({"__cum": F.sum("__c").over(w.orderBy(error).rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("__c").over(w)})
-        picks = []
-        for name, a in alphas.items():
-            rank = F.ceil((F.col("n") + 1) * F.lit(1 - a))
-            picks.append(F.coalesce(F.min(F.when(F.col("__cum") >= rank, F.col(error))), F.lit(float("inf"))).alias(name))
-        return running.groupBy(*keys).agg(*picks, F.max("n").alias("n"))
-
-    pooled = ranked(df, []).select(*[F.col(a).alias(f"__{a}") for a in alphas])
-    own = ranked(df, [segment]).join(F.broadcast(pooled))  # one row
-    return own.select(segment, "n", *[F.when(F.col("n") >= min_rows, F.col(a)).otherwise(F.col(f"__{a}")).alias(a) for a in alphas])
+    pooled value. Errors are looked up by rank after a range sort, so neither a segment nor the pool is gathered."""
+    picks = {name: F.ceil((F.col("n") + 1) * F.lit(1 - a)) - 1 for name, a in alphas.items()}
+    beyond = lambda name: F.coalesce(F.col(name), F.lit(float("inf")))
+    pooled = ranks.at_ranks(df, [], error, picks).select(*[beyond(name).alias(f"__{name}") for name in alphas])
+    own = ranks.at_ranks(df, [segment], error, picks).join(F.broadcast(pooled))  # one row
+    return own.select(segment, "n", *[F.when(F.col("n") >= min_rows, beyond(name)).otherwise(F.col(f"__{name}")).alias(name) for name in alphas])
 
 
 def error_metrics(df: DataFrame, actual: str, predicted: str, sets: list[list[str]]) -> DataFrame:
@@ -111,8 +105,7 @@ def binary_metrics(df: DataFrame, label: Column, predicted: Column, keys: list[s
 
 
 def precision_recall(df: DataFrame, label: str, score: str, key: str) -> DataFrame:
-    """Adds rank, hits, precision and recall by falling score, ties by key."""
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(score), key)
-    grouped = df.withColumns({"rank": F.row_number().over(w), "hits": F.sum(label).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    total = df.agg(F.sum(label).alias("__total"))
-    return grouped.join(F.broadcast(total)).withColumns({"precision": F.col("hits") / F.col("rank"), "recall": F.try_divide("hits", "__total")}).drop("__total")
+    """Adds rank, hits, precision and recall by falling score, ties by key; a task counts one range of scores."""
+    counted = ranks.running(df, [F.col(score), F.col(key)], [label], falling=1)
+    out = counted.withColumns({"rank": (F.col("rank") + 1).cast("int"), "hits": F.col(f"cum_{label}")})
+    return out.withColumns({"precision": F.col("hits") / F.col("rank"), "recall": F.try_divide("hits", f"total_{label}")}).drop(f"cum_{label}", f"total_{label}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,10 @@ REGISTRATIONS = {"Existing Properties": "ready", "Off-Plan Properties": "off_pla
 TYPES = ("Unit", "Villa", "Land", "Building")
 SALE_PROCEDURES = ("Sell", "Sell - Pre registration", "Delayed Sell", "Sale On Payment Plan")
 OUTLIERS = ("suspected_sqft_entry", "price_outlier_low", "price_outlier_high")
-PRICE_FLOOR, LN_UNIT = 50_000.0, 2.376201
+PRICE_FLOOR, UNITS_PER_SQM = 10_000, 10.7639
+PARKING = {"1": True, "0": False}
+SUB_KINDS = {"Flat": "flat", "Hotel Apartment": "hotel_apartment", "Stacked Townhouses": "townhouse"}
+ROOM_KINDS = {"Studio": "studio", "Penthouse": "penthouse", "Single Room": "single_room"}
 PEER_TIERS = [["area_id", "property_type", "reg_type", "year"], ["area_id", "property_type", "year"], ["property_type", "reg_type", "year"], ["property_type", "year"], ["property_type"]]
 
 
@@ -26,17 +31,44 @@ def mapped(column: str, values: dict[str, str], strict: bool = True) -> Column:
 
 
 def to_typed(raw: DataFrame, row: str = "source_row") -> DataFrame:
-    """One projection of native expressions: ids, names, dates, numbers, flags; bad input becomes null."""
-    rooms = scalars.parse_rooms(F.col("rooms_en"))
-    price, area = scalars.parse_float(F.col("actual_worth")), scalars.parse_float(F.col("procedure_area"))
-    typed = raw.select(
-        F.nullif(F.trim("transaction_id"), F.lit("")).alias("transaction_id"), row, mapped("trans_group_en", GROUPS).alias("trans_group"), F.col("procedure_name_en").alias("procedure_name"),
-        scalars.parse_date(F.col("instance_date")).alias("instance_date"), F.col("property_type_en").alias("property_type"), mapped("reg_type_en", REGISTRATIONS).alias("reg_type"),
-        scalars.parse_int(F.col("area_id")).alias("area_id"), scalars.display_name(F.col("area_name_en")).alias("area_name"), F.col("area_name_ar"), scalars.display_name(F.col("building_name_en")).alias("building_name"),
-        scalars.display_name(F.col("master_project_en")).alias("master_project"), rooms["label"].alias("rooms"), rooms["bedrooms"].alias("bedrooms"), (F.col("has_parking") == "1").alias("has_parking"), area.alias("area_sqm"), price.alias("price"),
-    )
-    per_area = F.when(F.col("area_sqm") > 0, F.col("price") / F.col("area_sqm"))
-    return typed.withColumns({"year": F.year("instance_date"), "price_per_sqm": per_area})
+    """One projection of native expressions to the 29 typed columns; bad input becomes null, unknown groups fail."""
+    name = lambda c: scalars.display_name(F.col(c))
+    plain = lambda c: F.nullif(F.trim(c), F.lit(""))
+    number = lambda c: scalars.parse_int(F.col(c))
+    rooms, day = scalars.parse_rooms(F.col("rooms_en")), scalars.parse_date(F.col("instance_date"))
+    area, price = scalars.parse_float(F.col("procedure_area")), scalars.parse_float(F.col("actual_worth"))
+    columns = {
+        "transaction_id": plain("transaction_id"),
+        "source_row": F.col(row).cast("long"),
+        "trans_group": mapped("trans_group_en", GROUPS),
+        "procedure_name": plain("procedure_name_en"),
+        "instance_date": day,
+        "year": F.year(day).cast("short"),
+        "property_type": F.lower("property_type_en"),
+        "property_sub_type": name("property_sub_type_en"),
+        "property_usage": name("property_usage_en"),
+        "reg_type": mapped("reg_type_en", REGISTRATIONS),
+        "area_id": number("area_id"),
+        "area_name": name("area_name_en"),
+        "area_name_ar": name("area_name_ar"),
+        "building_name": name("building_name_en"),
+        "project_number": number("project_number"),
+        "project_name": name("project_name_en"),
+        "master_project": name("master_project_en"),
+        "nearest_landmark": name("nearest_landmark_en"),
+        "nearest_metro": name("nearest_metro_en"),
+        "nearest_mall": name("nearest_mall_en"),
+        "rooms": rooms["label"],
+        "bedrooms": rooms["bedrooms"].cast("short"),
+        "has_parking": mapped("has_parking", PARKING, strict=False),
+        "area_sqm": area,
+        "price_aed": price,
+        "price_per_sqm_aed": F.when(area > 0, price / area),
+        "parties_role_1": number("no_of_parties_role_1").cast("short"),
+        "parties_role_2": number("no_of_parties_role_2").cast("short"),
+        "parties_role_3": number("no_of_parties_role_3").cast("short"),
+    }
+    return raw.select(*[c.alias(n) for n, c in columns.items()])
 
 
 def classify(typed: DataFrame, row: str = "source_row", tiers: list[list[str]] | None = None, min_peers: int = rules.MIN_PEERS) -> DataFrame:
@@ -45,12 +77,12 @@ def classify(typed: DataFrame, row: str = "source_row", tiers: list[list[str]] |
     reason = rules.first_match([
         ("duplicate_transaction_id", repeat), ("mortgage", F.col("trans_group") == "mortgages"), ("gift", F.col("trans_group") == "gifts"),
         ("non_market_procedure", F.col("procedure_name").isNull() | ~F.col("procedure_name").isin(*SALE_PROCEDURES)), ("missing_date", F.col("instance_date").isNull()),
-        ("missing_price", F.col("price").isNull()), ("invalid_area", F.col("area_sqm").isNull() | (F.col("area_sqm") <= 0)), ("price_below_floor", F.col("price") < PRICE_FLOOR),
+        ("missing_price", F.col("price_aed").isNull()), ("invalid_area", F.col("area_sqm").isNull() | (F.col("area_sqm") <= 0)), ("price_below_floor", F.col("price_aed") < PRICE_FLOOR),
     ])
     ruled = typed.withColumn("__rule", reason)
-    clean = ruled.where("__rule is null").withColumn("__x", F.ln("price_per_sqm"))
-    z = rules.tiered_robust_z(clean, "__x", tiers or PEER_TIERS, min_peers)
-    shifted = (F.col("__x") + LN_UNIT - F.col("med")) / F.col("scale")
+    clean = ruled.where("__rule is null").withColumn("__x", F.ln("price_per_sqm_aed"))
+    z = rules.tiered_robust_z(clean, "__x", tiers or PEER_TIERS, min_peers, strict=True)
+    shifted = (F.col("__x") + math.log(UNITS_PER_SQM) - F.col("med")) / F.col("scale")
     judged = z.select(row, "peer_tier", "robust_z", rules.outlier_reason(F.col("robust_z"), shifted, names=OUTLIERS).alias("__outlier"))
     return ruled.join(judged, row, "left").withColumn("exclusion_reason", F.coalesce("__rule", "__outlier")).drop("__rule", "__outlier")
 
@@ -67,23 +99,25 @@ def areas(classified: DataFrame) -> DataFrame:
 
 
 def aliases(area_table: DataFrame, classified: DataFrame, curated: DataFrame, min_rows: int = 50, min_share: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(alias_key, alias, area_id, source), the first source of a key wins; and curated names that resolve to nothing."""
+    """(alias_key, alias, area_id, source): all areas of a key, each once, from its first source; and curated names that
+    resolve to nothing."""
     official = area_table.select(F.col("match_key").alias("alias_key"), F.col("name_en").alias("alias"), "area_id", F.lit("official").alias("source"), F.lit(0).alias("order"))
     dominant = estimates.dominant_value(classified, "master_project", "area_id", min_rows, min_share)
     project = dominant.select(scalars.match_key(F.col("master_project")).alias("alias_key"), F.col("master_project").alias("alias"), "area_id", F.lit("master_project").alias("source"), F.lit(1).alias("order"))
     wanted = curated.withColumn("match_key", scalars.match_key(F.col("area_name_en"))).join(area_table.select("match_key", "area_id"), "match_key", "left")
     named = wanted.where("area_id is not null").select(scalars.match_key(F.col("alias")).alias("alias_key"), "alias", "area_id", F.lit("curated").alias("source"), F.lit(2).alias("order"))
     every = official.unionByName(project).unionByName(named).where("alias_key is not null")
-    first = F.row_number().over(Window.partitionBy("alias_key").orderBy("order", F.desc("area_id")))
+    first = F.row_number().over(Window.partitionBy("alias_key", "area_id").orderBy("order", "alias"))
     kept = every.withColumn("__r", first).where("__r = 1").drop("__r", "order")
     return kept, wanted.where("area_id is null").select("alias", "area_name_en")
 
 
 def segments(sales: DataFrame) -> DataFrame:
-    """Adds size_basis, sub_kind, room_kind and the segment key, each from a first-match chain."""
-    villa = F.col("property_type") == "Villa"
-    basis = F.when(villa, "plot").otherwise("unit")
-    room = F.when(F.col("bedrooms") == 0, "studio").when(F.col("bedrooms") > 0, "bedrooms").otherwise("other")
-    sub = F.when(villa, "villa").when(F.col("rooms").isNotNull(), "flat").otherwise("other")
-    out = sales.withColumns({"size_basis": basis, "sub_kind": sub, "room_kind": room})
-    return out.withColumn("segment", F.concat_ws("_", "property_type", "reg_type", "sub_kind"))
+    """Adds size_basis, sub_kind, room_kind, bedrooms (a double) and the segment key of type, registration and basis."""
+    villa, rooms = F.col("property_type") == "villa", F.col("rooms")
+    count = F.nullif(F.regexp_extract(rooms, r"^([0-9]) B/R$", 1), F.lit("")).cast("double")
+    room = F.when(rooms == "Studio", ROOM_KINDS["Studio"]).when(count.isNotNull(), "bedrooms").otherwise(F.coalesce(mapped("rooms", ROOM_KINDS, strict=False), F.lit("unknown")))
+    basis = F.when(villa & F.col("property_sub_type").isNull(), "plot").otherwise("built_up")
+    sub = F.when(villa, "villa").otherwise(mapped("property_sub_type", SUB_KINDS, strict=False))
+    key = F.when(F.col("property_type").isNotNull() & F.col("reg_type").isNotNull(), F.concat_ws("_", "property_type", "reg_type", basis))
+    return sales.withColumns({"size_basis": basis, "sub_kind": sub, "room_kind": room, "bedrooms": F.when(rooms == "Studio", 0.0).otherwise(count), "segment": key})

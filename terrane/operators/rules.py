@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators import ranks
 from terrane.session import cut
 
 #: Fixed values of the outlier test.
@@ -44,11 +45,12 @@ def _by_tier(df: DataFrame, tiers: list[list[str]], values: list[Column]) -> Dat
     return df.select(F.explode(F.array(*rows)).alias("t")).select("t.*")
 
 
-def tiered_robust_z(df: DataFrame, value: str, tiers: list[list[str]], min_peers: int = MIN_PEERS) -> DataFrame:
-    """Adds peer_tier (1 for the first tier with enough peers and spread), robust_z, med and scale.
+def tiered_robust_z(df: DataFrame, value: str, tiers: list[list[str]], min_peers: int = MIN_PEERS, strict: bool = False) -> DataFrame:
+    """Adds peer_tier (1 for the first tier with enough peers and spread), robust_z, med and scale; a row that no tier
+    serves has nulls, or fails if `strict`.
 
-    All tiers' medians come from one shuffle and all their deviations from another; the written tier tables are then
-    joined back, broadcast by Spark where they are small.
+    All tiers' medians come from one range sort and all their deviations from another, so a tier that all rows share is
+    spread over all tasks; the written tier tables are then joined back, broadcast by Spark where they are small.
     """
     keys = list(dict.fromkeys(k for tier in tiers for k in tier))
     df = cut(df, "peers")
@@ -60,14 +62,16 @@ def tiered_robust_z(df: DataFrame, value: str, tiers: list[list[str]], min_peers
         return rows
 
     n = len(tiers)
-    stats = cut(_by_tier(df, tiers, [F.col(value)] * n).groupBy("tier", *keys).agg(F.median("value").alias("med"), F.count("value").alias("n")), "tiers")
+    stats = cut(ranks.quantiles(_by_tier(df, tiers, [F.col(value)] * n), ["tier", *keys], "value", {"med": 0.5}), "tiers")
     out = joined(df, stats, {"med": "__med", "n": "__n"})
     gaps = [F.abs(F.col(value) - F.col(f"__med{i}")) for i in range(1, n + 1)]
-    mads = cut(_by_tier(out, tiers, gaps).groupBy("tier", *keys).agg(F.median("value").alias("mad")), "tiers")
+    mads = cut(ranks.quantiles(_by_tier(out, tiers, gaps), ["tier", *keys], "value", {"mad": 0.5}), "tiers")
     out = joined(out, mads, {"mad": "__mad"})
     usable = [(F.col(f"__n{i}") >= min_peers) & (F.col(f"__mad{i}") > 0) for i in range(1, n + 1)]
     pick = lambda what: reduce(lambda chain, i: chain.when(usable[i - 1], F.col(f"__{what}{i}")), range(1, n + 1), F.when(F.lit(False), F.lit(None).cast("double")))
     tier = reduce(lambda chain, i: chain.when(usable[i - 1], F.lit(i)), range(1, n + 1), F.when(F.lit(False), F.lit(None).cast("int")))
+    if strict:
+        tier = tier.otherwise(F.raise_error(F.lit(f"no peer group has {min_peers} rows and a spread")).cast("int"))
     out = out.withColumns({"peer_tier": tier, "med": pick("med"), "scale": F.greatest(F.lit(MAD_SCALE) * pick("mad"), F.lit(MIN_SCALE))})
     out = out.withColumn("robust_z", (F.col(value) - F.col("med")) / F.col("scale"))
     return out.drop(*[f"__{what}{i}" for what in ("med", "n", "mad") for i in range(1, n + 1)])

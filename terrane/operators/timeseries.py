@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators import ranks
+from terrane.session import cut
+
 
 def day_number(date: Column | str) -> Column:
     return F.unix_date(F.to_date(date))
@@ -58,20 +61,29 @@ def month_index(sales: DataFrame, segment: str, pool: str, month: str, value: st
     """(segment, month, value, source): median of the months strictly before, of the segment in the narrowest window
     with enough sales, else of its pool, else the last value carried on.
 
-    The calendar is unioned into the sales with a null value, so that a frame at a calendar row sees what came before.
+    Monthly counts choose the window of each segment and month first; a sale then goes to the months whose chosen
+    window holds it, and each chosen window's median is looked up after one range sort, however large its pool is.
     """
-    grid = sales.select(segment, pool).distinct().withColumn("__m", F.explode(F.sequence(F.lit(first), F.lit(last))))
-    rows = sales.select(segment, pool, F.col(month).alias("__m"), F.col(value).alias("__v"), F.lit(False).alias("__grid"))
-    rows = rows.unionByName(grid.select(segment, pool, "__m", F.lit(None).cast("double").alias("__v"), F.lit(True).alias("__grid")))
-    choices = []
+    months = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("__m")
+    grid = sales.select(segment, pool).distinct().select(segment, pool, months)
+    chosen = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, key in (("segment", segment), ("pooled", pool)):
-        frames = {f"__{name}_{w}": (-w, -1) for w in widths}
-        rows = rolling_stats(rows, [key], "__m", "__v", frames)
-        choices += [(f"{name}_{w}", F.col(f"__{name}_{w}_n") >= min_sales, F.col(f"__{name}_{w}_median")) for w in widths]
-    value_of, source_of = F.when(F.lit(False), F.lit(None).cast("double")), F.when(F.lit(False), F.lit(None).cast("string"))
-    for label, enough, median in choices:
-        value_of, source_of = value_of.when(enough, median), source_of.when(enough, F.lit(label))
-    rows = rows.where("__grid").select(segment, F.col("__m").alias("month"), value_of.alias("__own"), source_of.alias("__source"))
+        monthly = sales.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, F.col(month).alias("__s")).agg(F.count(F.lit(1)).alias("__c"))
+        monthly = monthly.select(key, "__c", (F.explode(F.sequence(F.lit(1), F.lit(max(widths))))).alias("__age"), "__s").withColumn("__m", F.col("__s") + F.col("__age"))
+        own = monthly.groupBy(key, "__m").agg(*[F.sum(F.when(F.col("__age") <= w, F.col("__c"))).alias(f"__{name}_{w}") for w in widths])
+        grid = grid.join(own, [key, "__m"], "left")
+        for w in widths:
+            chosen = chosen.when(F.col(f"__{name}_{w}") >= min_sales, F.lit(f"{name}_{w}"))
+    grid = cut(grid.select(segment, pool, "__m", chosen.alias("__source")), "grid")
+    level, width = F.substring_index("__source", "_", 1), F.substring_index("__source", "_", -1).cast("int")
+    cell = F.struct(level.alias("level"), F.when(level == "segment", F.col(segment).cast("string")).otherwise(F.col(pool).cast("string")).alias("key"), F.col("__m").alias("m"))
+    cells = cut(grid.where("__source is not null").select(cell.alias("cell"), width.alias("w")).distinct(), "cells")  # segments times months
+    ages = F.explode(F.sequence(F.lit(1), F.lit(max(widths)))).alias("__age")
+    levels = F.explode(F.array(*[F.struct(F.lit(name).alias("level"), F.col(key).cast("string").alias("key")) for name, key in (("segment", segment), ("pooled", pool))])).alias("__l")
+    rows = sales.select(segment, pool, F.col(month).alias("__s"), F.col(value).alias("__v")).select("*", levels).select("__l", "__s", "__v", ages)
+    rows = rows.select(F.struct("__l.level", "__l.key", (F.col("__s") + F.col("__age")).alias("m")).alias("cell"), "__age", "__v")
+    medians = ranks.quantiles(rows.join(cells, "cell").where("__age <= w").select("cell", "__v"), ["cell"], "__v", {"__own": 0.5}).select("cell", "__own")
+    rows = grid.withColumn("cell", F.when(F.col("__source").isNotNull(), cell)).join(medians, "cell", "left").select(segment, F.col("__m").alias("month"), "__own", "__source")
     before = Window.partitionBy(segment).orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
     carried = F.last("__own", ignorenulls=True).over(before)
     source = F.coalesce("__source", F.when(carried.isNotNull(), F.lit("carried")))

@@ -55,11 +55,11 @@ def an43_drift_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("flagged", F.col("psi") >= 0.2)
 
 
-@query("""SELECT event_type, hour(ts) AS hour, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 4) AS mean, count(*) FILTER (CAST(props->>'k' AS INTEGER) > 5) AS n_large FROM events GROUP BY 1, 2""")
+@query("""SELECT event_type, hour(ts) AS hour, count(*) AS n, count(DISTINCT user_id) AS users, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) / count(value) AS mean, count(*) FILTER (CAST(props->>'k' AS INTEGER) > 5) AS n_large FROM events GROUP BY 1, 2""")
 def an44_event_log_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.from_json("props", "k int")["k"]
     rows = table(spark, sf_dir, "events").select("event_type", F.hour("ts").cast("long").alias("hour"), "user_id", "value", k.alias("k"))
-    return rows.groupBy("event_type", "hour").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 4).alias("mean"), F.count_if(F.col("k") > 5).alias("n_large"))
+    return rows.groupBy("event_type", "hour").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), (F.sum(F.col("value").cast("decimal(18,4)")).cast("double") / F.count("value")).alias("mean"), F.count_if(F.col("k") > 5).alias("n_large"))
 
 
 @query("""SELECT event_type, le, count(*) FILTER (value <= le) AS n FROM events, (VALUES (1.0::DOUBLE), (5.0), (10.0), (25.0), (50.0), (100.0), (1000.0)) b(le) GROUP BY 1, 2""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions import scalars as sc
+from terrane.operators import ingestion
 from terrane.plans.catalogue import query
 from terrane.session import table
 from terrane.sources import readers
@@ -61,6 +62,40 @@ def prj7_prj8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("_", size, F.split("p_type", " ")[0], band).alias("segment"))
 
 
+@query("""SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(upper(p_name) || '-' || p_brand, '\\p{L}+|\\P{L}+'), lambda w: upper(w[1:1]) || lower(w[2:])), '') AS name, p_brand AS short,
+CASE p_size % 4 WHEN 0 THEN 'Studio' WHEN 1 THEN CAST(p_size % 9 + 1 AS VARCHAR) || ' B/R' WHEN 2 THEN 'Single Room' ELSE p_brand END AS label, CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN p_size % 9 + 1 END AS bedrooms FROM part""")
+def fn4_fn5_names_and_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rooms = F.when(F.col("p_size") % 4 == 0, " studio ").when(F.col("p_size") % 4 == 1, F.concat((F.col("p_size") % 9 + 1).cast("string"), F.lit("  b/r"))).when(F.col("p_size") % 4 == 2, "SINGLE   room").otherwise(F.col("p_brand"))
+    shouted = F.concat(F.lit("  "), F.upper("p_name"), F.lit("-"), F.upper("p_brand"), F.lit(" "))
+    found = sc.parse_rooms(rooms)
+    return table(spark, sf_dir, "part").select("p_partkey", sc.display_name(shouted).alias("name"), sc.display_name(F.col("p_brand")).alias("short"), found["label"].alias("label"), found["bedrooms"].alias("bedrooms"))
+
+
+@query("""WITH s AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'villa' WHEN 1 THEN 'unit' ELSE 'land' END AS t, CASE p_size % 4 WHEN 0 THEN 'Flat' WHEN 1 THEN 'Hotel Apartment' WHEN 2 THEN 'Tower' END AS st, CASE WHEN p_partkey % 7 > 0 THEN CASE p_partkey % 2 WHEN 0 THEN 'ready' ELSE 'off_plan' END END AS reg,
+CASE p_size % 6 WHEN 0 THEN 'Studio' WHEN 1 THEN '2 B/R' WHEN 2 THEN 'Penthouse' WHEN 3 THEN 'Single Room' WHEN 4 THEN 'Shop' END AS r FROM part), b AS (SELECT *, CASE WHEN t = 'villa' AND st IS NULL THEN 'plot' ELSE 'built_up' END AS basis FROM s)
+SELECT p_partkey, basis AS size_basis, CASE WHEN t = 'villa' THEN 'villa' WHEN st = 'Flat' THEN 'flat' WHEN st = 'Hotel Apartment' THEN 'hotel_apartment' END AS sub_kind, CASE r WHEN 'Studio' THEN 'studio' WHEN '2 B/R' THEN 'bedrooms' WHEN 'Penthouse' THEN 'penthouse' WHEN 'Single Room' THEN 'single_room' ELSE 'unknown' END AS room_kind,
+CASE r WHEN 'Studio' THEN 0.0::DOUBLE WHEN '2 B/R' THEN 2.0::DOUBLE END AS bedrooms, t || '_' || reg || '_' || basis AS segment FROM b""")
+def prj7_sale_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    kind = F.when(size % 3 == 0, "villa").when(size % 3 == 1, "unit").otherwise("land")
+    sub = F.when(size % 4 == 0, "Flat").when(size % 4 == 1, "Hotel Apartment").when(size % 4 == 2, "Tower")
+    registration = F.when(F.col("p_partkey") % 7 > 0, F.when(F.col("p_partkey") % 2 == 0, "ready").otherwise("off_plan"))
+    rooms = F.when(size % 6 == 0, "Studio").when(size % 6 == 1, "2 B/R").when(size % 6 == 2, "Penthouse").when(size % 6 == 3, "Single Room").when(size % 6 == 4, "Shop")
+    sales = table(spark, sf_dir, "part").select("p_partkey", kind.alias("property_type"), sub.alias("property_sub_type"), registration.alias("reg_type"), rooms.alias("rooms"))
+    return ingestion.segments(sales).select("p_partkey", "size_basis", "sub_kind", "room_kind", "bedrooms", "segment")
+
+
+@query("""WITH c AS (SELECT p_size % 20 AS area_id, p_brand AS name, p_type AS project FROM part), n AS (SELECT area_id, name, row_number() OVER (PARTITION BY area_id ORDER BY count(*) DESC, name) AS r FROM c GROUP BY 1, 2), a AS (SELECT area_id, name, replace(lower(name), '#', ' ') AS key FROM n WHERE r = 1),
+p AS (SELECT project, area_id, count(*) AS n, sum(count(*)) OVER (PARTITION BY project) AS total, row_number() OVER (PARTITION BY project ORDER BY count(*) DESC, area_id) AS r FROM c GROUP BY 1, 2),
+u AS (SELECT key, name AS alias, area_id, 'official' AS source, 0 AS o FROM a UNION ALL SELECT lower(project), project, area_id, 'master_project', 1 FROM p WHERE r = 1 AND total >= 8 AND n / total >= 0.2 UNION ALL SELECT 'first', 'First', area_id, 'curated', 2 FROM a WHERE key = 'brand 11' UNION ALL SELECT key, 'Brand 12', area_id, 'curated', 2 FROM a WHERE key = 'brand 12')
+SELECT alias_key, alias, CAST(area_id AS INTEGER) AS area_id, source FROM (SELECT key AS alias_key, alias, area_id, source, row_number() OVER (PARTITION BY key, area_id ORDER BY o, alias) AS r FROM u) WHERE r = 1""")
+def an2_area_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas and aliases by the pipeline's own functions; areas may share a key, and all of them stay."""
+    sales = table(spark, sf_dir, "part").select((F.col("p_size") % 20).alias("area_id"), F.col("p_brand").alias("area_name"), F.lit(None).cast("string").alias("area_name_ar"), F.col("p_type").alias("master_project"), F.lit(None).cast("string").alias("exclusion_reason"))
+    curated = spark.createDataFrame([("First", "Brand#11"), ("Brand 12", "brand 12"), ("Nowhere", "nowhere")], "alias string, area_name_en string")
+    return ingestion.aliases(ingestion.areas(sales), sales, curated, 8, 0.2)[0]
+
+
 @query("""WITH s AS (SELECT p_brand FROM part WHERE p_size BETWEEN 1 AND 40 GROUP BY 1 HAVING count(*) >= 60) SELECT p_brand, count(*) AS kept FROM part WHERE p_size BETWEEN 1 AND 40 AND p_brand IN (SELECT p_brand FROM s) GROUP BY 1""")
 def prj9_supported_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").where(F.col("p_size").between(1, 40))

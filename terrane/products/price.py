@@ -11,6 +11,13 @@ from terrane.operators import estimates, learning, timeseries
 from terrane.session import cut
 
 LEVELS = ["kind", "area", "project", "building"]
+#: The columns of each level. A building is told apart within its project, and buildings without one share a scope.
+KEYS = {"kind": ["kind"], "area": ["kind", "area"], "project": ["kind", "area", "project"], "building": ["kind", "area", "scope", "building"]}
+NO_PROJECT = "\0no project"
+
+
+def scoped(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("scope", F.coalesce("project", F.lit(NO_PROJECT)))
 
 
 @dataclass
@@ -29,14 +36,14 @@ class PricePredictor:
         rows = rows.withColumn("m", timeseries.month_number("day")).join(index, ["segment", "m"], "left")
         rows = rows.join(self.tables["last"], "segment", "left").withColumn("index", F.coalesce("index", "last_index")).drop("last_index")
         parent = None
-        for i, level in enumerate(LEVELS):
-            keys = LEVELS[: i + 1]
-            rows = rows.join(self.tables[level], keys, "left")
+        rows = scoped(rows)
+        for level in LEVELS:
+            rows = rows.join(self.tables[level], KEYS[level], "left")
             wy, w = F.coalesce("wy", F.lit(0.0)), F.coalesce("w", F.lit(0.0))
             prior = F.when(w > 0, wy / w).otherwise(0.0) if parent is None else (wy + self.shrink * F.col(parent)) / (w + self.shrink)
             parent = f"prior_{level}"
             rows = rows.withColumns({parent: prior, f"n_{level}": F.log1p(w)}).drop("wy", "w")
-        return rows.withColumn("log_size", F.ln("size"))
+        return rows.withColumn("log_size", F.ln("size")).drop("scope")
 
     FEATURES = ("prior_area", "prior_project", "prior_building", "n_area", "n_project", "n_building", "log_size")
 
@@ -48,9 +55,8 @@ class PricePredictor:
         self.tables["last"] = index.groupBy("segment").agg(F.max_by("value", "month").alias("last_index"))
         known = rows.join(index.select("segment", F.col("month").alias("m"), F.col("value").alias("index")), ["segment", "m"]).withColumn("y", F.col("v") - F.col("index"))
         known = cut(known.withColumn("weight", estimates.recency_weight(F.datediff(F.lit(span.last), "day"), self.half_life, F.lit(1))), "relative")
-        for i, level in enumerate(LEVELS):
-            keys = LEVELS[: i + 1]
-            sums = known.groupBy(*keys).agg(F.sum(F.col("y") * F.col("weight")).alias("wy"), F.sum("weight").alias("w"))
+        for level in LEVELS:
+            sums = scoped(known).groupBy(*KEYS[level]).agg(F.sum(F.col("y") * F.col("weight")).alias("wy"), F.sum("weight").alias("w"))
             self.tables[level] = cut(sums, f"prior-{level}")
         rows = self._features(known.drop("index", "m")).withColumn("residual", F.col("y") - F.col("prior_building"))
         rows = cut(rows.withColumn("check", F.pmod(F.xxhash64("building", "day", "price"), F.lit(5)) == 0), "features")

@@ -23,10 +23,17 @@ def replace_table(df: DataFrame, path: str, expected: int | None = None) -> int:
     if expected is not None and rows != expected:
         raise RowCountError(f"staged {rows} rows, expected {expected}")
     jvm = spark.sparkContext._jvm
-    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staged)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(target, True)
-    files.rename(source, target)
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    files = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = f"{path.rstrip('/')}__old-{uuid.uuid4().hex}"
+    had = files.exists(place(path))
+    if had and not files.rename(place(path), place(aside)):
+        raise OSError(f"could not move {path} aside; the staged table is {staged}")
+    if not files.rename(place(staged), place(path)):
+        back = not had or files.rename(place(aside), place(path))
+        raise OSError(f"could not move {staged} to {path}; the old table is {path if back else aside}")
+    if had:
+        files.delete(place(aside), True)
     return rows
 
 

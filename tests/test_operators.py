@@ -3,11 +3,12 @@
 import math
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions import scalars
-from terrane.operators import drift, estimates, folds, pairs, retrieval, rules
+from terrane.operators import drift, estimates, folds, pairs, ranks, retrieval, rules
 from terrane.operators import timeseries as ts
 from terrane.operators.graph import connected_components
 
@@ -138,3 +139,30 @@ def test_scalars(spark):
     assert one(scalars.match_key(F.lit("Al-Barsha  South (1)"))) == "barsha south 1" and one(scalars.match_key(F.lit(" al "))) is None
     assert one(scalars.display_name(F.lit("  MARINA   GATE "))) == "Marina Gate" and one(scalars.display_name(F.lit("JLT"))) == "JLT"
     assert one(scalars.parse_rooms(F.lit("3 B/R"))).bedrooms == 3 and one(scalars.parse_rooms(F.lit("Studio"))).bedrooms == 0
+
+
+@pytest.mark.parametrize("text,name", [("AL-BARSHA 2ND", "Al-Barsha 2Nd"), ("  Marsa   Dubai ", "Marsa Dubai"), ("DIFC", "DIFC"), ("   ", None), ("Al-Nahdah", "Al-Nahdah")])
+def test_display_names(spark, text, name):
+    assert spark.range(1).select(scalars.display_name(F.lit(text)).alias("x")).first().x == name
+
+
+@pytest.mark.parametrize("text,label,bedrooms", [("penthouse", "Penthouse", None), ("single  ROOM", "Single Room", None), ("3 b/r", "3 B/R", 3), ("STUDIO", "Studio", 0), ("  Loft  ", "Loft", None), ("", None, None)])
+def test_rooms(spark, text, label, bedrooms):
+    row = spark.range(1).select(scalars.parse_rooms(F.lit(text)).alias("x")).first().x
+    assert (row.label, row.bedrooms) == (label, bedrooms)
+
+
+def test_ranks_and_quantiles_of_groups(spark):
+    rng = np.random.default_rng(2)
+    rows = [(None if g == 3 else int(g), float(v)) for g, v in zip(rng.choice(4, 500, p=[0.7, 0.2, 0.05, 0.05]), rng.integers(0, 40, 500))] + [(9, None), (8, 1.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r.g: r for r in ranks.quantiles(df, ["g"], "v", {"low": 0.1, "mid": 0.5, "high": 0.99}).collect()}
+    for g in {g for g, v in rows if v is not None}:
+        own = [v for k, v in rows if k == g and v is not None]
+        assert got[g].n == len(own) and np.allclose([got[g].low, got[g].mid, got[g].high], np.quantile(own, [0.1, 0.5, 0.99]))
+    assert 9 not in got
+    whole = ranks.at_ranks(df, [], "v", {"least": F.lit(0), "beyond": F.lit(10_000)}).first()
+    assert whole.n == 501 and whole.least == min(v for _, v in rows if v is not None) and whole.beyond is None
+    summed = ranks.running(df.where("v is not null"), [F.col("v")], ["v"], falling=1).orderBy("rank").collect()
+    assert [r.rank for r in summed] == list(range(501)) and np.allclose([r.cum_v for r in summed], np.cumsum(sorted((v for _, v in rows if v is not None), reverse=True)))
+    assert ranks.quantiles(df.limit(0), ["g"], "v", {"mid": 0.5}).count() == 0

@@ -11,17 +11,22 @@ from terrane.products.search import longest_matches, parse
 from terrane.sources import readers, sinks
 from terrane.streaming import limiter, windows
 
-COLUMNS = ["transaction_id", "trans_group_en", "procedure_name_en", "instance_date", "property_type_en", "reg_type_en", "area_id", "area_name_en", "area_name_ar", "building_name_en", "master_project_en", "rooms_en", "has_parking", "procedure_area", "actual_worth"]
+DEFAULTS = {
+    "transaction_id": "t0", "trans_group_en": "Sales", "procedure_name_en": "Sell", "instance_date": "05-03-2021", "property_type_en": "Unit", "property_sub_type_en": "Flat",
+    "property_usage_en": "Residential", "reg_type_en": "Existing Properties", "area_id": "7", "area_name_en": "AL BARSHA SOUTH", "area_name_ar": "x", "building_name_en": "null",
+    "project_number": "12", "project_name_en": "null", "master_project_en": "null", "nearest_landmark_en": "null", "nearest_metro_en": "null", "nearest_mall_en": "null",
+    "rooms_en": "2 B/R", "has_parking": "1", "procedure_area": "100", "actual_worth": "1000000", "no_of_parties_role_1": "1", "no_of_parties_role_2": "2", "no_of_parties_role_3": "null",
+}
+COLUMNS = list(DEFAULTS)
 
 
 def line(i, **changes):
-    row = dict(zip(COLUMNS, [f"t{i}", "Sales", "Sell", "05-03-2021", "Unit", "Existing Properties", "7", "AL BARSHA SOUTH", "x", "null", "null", "2 B/R", "1", "100", str(1_000_000 + i * 1000)]))
-    return row | changes
+    return DEFAULTS | {"transaction_id": f"t{i}", "actual_worth": str(1_000_000 + i * 1000)} | changes
 
 
 @pytest.fixture(scope="module")
 def raw(spark, tmp_path_factory):
-    rows = [line(i) for i in range(40)] + [line(3), line(50, trans_group_en="Gifts"), line(51, procedure_name_en="null"), line(52, instance_date="31-02-2021"), line(53, actual_worth="null"), line(54, procedure_area="0"), line(55, actual_worth="100"), line(56, actual_worth="90000000"), line(57, actual_worth="92903")]
+    rows = [line(i) for i in range(40)] + [line(3), line(50, trans_group_en="Gifts"), line(51, procedure_name_en="null"), line(52, instance_date="31-02-2021"), line(53, actual_worth="null"), line(54, procedure_area="0"), line(55, actual_worth="9999"), line(58, has_parking="2", property_sub_type_en="null"), line(56, actual_worth="90000000"), line(57, actual_worth="92903")]
     path = tmp_path_factory.mktemp("csv") / "in.csv"
     path.write_text("\n".join([",".join(COLUMNS), *[",".join(r[c] for c in COLUMNS) for r in rows]]))
     return readers.read_strict_csv(spark, str(path), COLUMNS).withColumn("source_row", F.monotonically_increasing_id()), str(path)
@@ -40,15 +45,43 @@ def test_ingestion_gives_one_reason_per_row(raw):
     reasons = {}
     for r in out:
         reasons.setdefault(r.exclusion_reason, []).append(r.transaction_id)
-    assert sorted(reasons.pop(None)) == sorted(f"t{i}" for i in range(40))
+    assert sorted(reasons.pop(None)) == sorted([*(f"t{i}" for i in range(40)), "t58"])
     assert reasons == {"duplicate_transaction_id": ["t3"], "gift": ["t50"], "non_market_procedure": ["t51"], "missing_date": ["t52"], "missing_price": ["t53"], "invalid_area": ["t54"], "price_below_floor": ["t55"], "price_outlier_high": ["t56"], "suspected_sqft_entry": ["t57"]}
 
 
+def test_typed_table_has_29_columns(raw):
+    out = ingestion.to_typed(raw[0])
+    assert len(out.columns) == 29
+    rows = {r.transaction_id: r for r in out.collect()}
+    a, b = rows["t1"], rows["t58"]
+    assert (a.property_type, a.reg_type, a.year, a.bedrooms, a.has_parking, a.project_number, a.parties_role_2, a.parties_role_3) == ("unit", "ready", 2021, 2, True, 12, 2, None)
+    assert a.price_per_sqm_aed == 10_010.0 and b.has_parking is None and b.property_sub_type is None
+
+
+def test_classify_fails_without_a_peer_group(raw):
+    few = ingestion.to_typed(raw[0].where("transaction_id in ('t1', 't2')"))
+    with pytest.raises(Exception, match="no peer group"):
+        ingestion.classify(few).collect()
+
+
+def test_price_floor_keeps_ten_thousand(raw):
+    price = F.when(F.col("transaction_id") == "t1", "10000").when(F.col("transaction_id") == "t2", "49999").otherwise(F.col("actual_worth"))
+    out = {r.transaction_id: r.exclusion_reason for r in ingestion.classify(ingestion.to_typed(raw[0].withColumn("actual_worth", price))).collect()}
+    assert out["t1"] != "price_below_floor" != out["t2"]
+
+
+def test_areas_that_share_a_key_all_stay(spark):
+    areas = spark.createDataFrame([(1, "Al Barsha", "barsha"), (2, "Barsha", "barsha")], "area_id long, name_en string, match_key string")
+    none = spark.createDataFrame([], "master_project string, area_id long")
+    kept, _ = ingestion.aliases(areas, none, spark.createDataFrame([("BB", "Barsha"), ("Al-Barsha", "barsha")], "alias string, area_name_en string"))
+    assert sorted((r.alias_key, r.area_id, r.source) for r in kept.collect()) == [("barsha", 1, "official"), ("barsha", 2, "official"), ("bb", 1, "curated"), ("bb", 2, "curated")]
+
+
 def test_areas_and_aliases(spark, raw):
     classified = ingestion.classify(ingestion.to_typed(raw[0]))
     areas = ingestion.areas(classified)
     row = areas.first()
-    assert (row.area_id, row.name_en, row.match_key, row.market_sales) == (7, "Al Barsha South", "barsha south", 40)
+    assert (row.area_id, row.name_en, row.match_key, row.market_sales) == (7, "Al Barsha South", "barsha south", 41)
     curated = spark.createDataFrame([("ABS", "al barsha south"), ("nowhere", "Nowhere")], "alias string, area_name_en string")
     kept, lost = ingestion.aliases(areas, classified, curated)
     assert {(r.alias_key, r.source) for r in kept.collect()} == {("barsha south", "official"), ("abs", "curated")}
@@ -66,6 +99,8 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(sinks.RowCountError):
         sinks.replace_table(spark.range(3), path, 4)
     assert spark.read.parquet(path).count() == 5
+    assert sinks.replace_table(spark.range(9), path) == 9 and spark.read.parquet(path).count() == 9
+    assert not list(tmp_path.glob("*__old-*"))
     old, new = (spark.createDataFrame(r, "k int, v string") for r in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")]))
     assert sorted(map(tuple, sinks.upserted(old, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
     assert sinks.content_digest(old) == sinks.content_digest(old.orderBy(F.desc("k"))) != sinks.content_digest(new)
