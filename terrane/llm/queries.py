@@ -60,6 +60,32 @@ def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(secret_ownership.scan(table(spark, sf_dir, "documents")), secret_ownership.KINDS)
 
 
+def _hits(kinds: list[tuple[str, str, int, str]]) -> str:
+    """Common table expressions: d (documents, numbered), and m (matches of each kind with value, start and end)."""
+    found = " UNION ALL ".join(f"SELECT r, '{name}' AS kind, {rank} AS rank, {group} AS grp, regexp_extract_all(t, {pattern}) AS hits, regexp_extract_all(t, {pattern}, {group}) AS vals, regexp_split_to_array(t, {pattern}) AS gaps FROM d" for rank, (name, pattern, group, _) in enumerate(kinds))
+    holds = " ".join(f"WHEN '{name}' THEN {condition}" for name, _, _, condition in kinds)
+    return f"""d AS (SELECT row_number() OVER () AS r, doc_id, source, lang, coalesce(text, '') AS t FROM documents), h AS ({found}),
+u AS (SELECT r, kind, rank, hits, vals, gaps, unnest(range(1, len(hits) + 1)) AS i FROM h),
+p AS (SELECT r, kind, rank, hits[i] AS hit, vals[i] AS value, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM u),
+m AS (SELECT *, start + length(hit) AS stop FROM p WHERE CASE kind {holds} END)"""
+
+
+def _secrets_sql() -> str:
+    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    assign = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = [("assign", quoted(assign), 1, "length(value) >= 6"), ("access", quoted("AKIA[A-Z0-9]+"), 0, "length(hit) >= 20"), ("hex", quoted("[0-9a-f]+"), 0, "length(hit) >= 24")]
+    w = secret_ownership
+    return f"""WITH {_hits(kinds)},
+o AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) AS owners, count(DISTINCT coalesce(source, chr(1)) || chr(2) || coalesce(lang, chr(1))) AS repositories FROM m JOIN d USING (r) GROUP BY value),
+g AS (SELECT *, -list_sum(list_transform(list_distinct(string_split(value, '')), lambda c: (length(value) - length(replace(value, c, ''))) / length(value) * log2((length(value) - length(replace(value, c, ''))) / length(value)))) AS bits FROM o),
+v AS (SELECT value, CASE WHEN owners >= {w.EXAMPLE_OWNERS} OR repositories >= {w.EXAMPLE_REPOSITORIES} THEN 'example' WHEN bits >= {w.LIVE_BITS} AND NOT regexp_matches(value, '{w.PLACEHOLDER}')
+ AND CAST(regexp_matches(value, '[a-z]') AS INTEGER) + CAST(regexp_matches(value, '[A-Z]') AS INTEGER) + CAST(regexp_matches(value, '[0-9]') AS INTEGER) >= 2 THEN CASE WHEN owners = 1 THEN 'live' ELSE 'shared' END END AS verdict FROM g),
+x AS (SELECT r, kind, rank, start, stop, value FROM m UNION ALL SELECT DISTINCT r, verdict, 3, stop - length(value), stop, value FROM m JOIN v USING (value) WHERE verdict IS NOT NULL),
+j AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+ string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER (rank < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop, kind, value) AS spans FROM x GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (r)"""
+
+
 def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -131,4 +157,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array_decontamination": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op9_warc_derivatives": _op9_sql()}
+    return {"op2_suffix_array_decontamination": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op7_secret_ownership": _secrets_sql(), "op9_warc_derivatives": _op9_sql()}

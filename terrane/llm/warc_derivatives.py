@@ -20,7 +20,8 @@ END = r"(?:[ \t\r\n\f/][^>]*)?(?:>|\z)"
 HIDDEN = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{tag}{END}.*?(?:</{tag}[ \t\r\n]*>|\z)" for tag in ("script", "style", "noscript", "template"))
 BLOCK_TAGS = rf"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|title|tr|ul){END}"
 OTHER_TAGS = r"<[a-zA-Z/!?][^>]*(?:>|\z)"
-TITLE, LANGUAGE, LINK = r"(?is)<title[^>]*>([^<]*)", r"(?is)<html[^>]*[ \t\r\n]lang[ ]*=[ ]*[\"']?([A-Za-z0-9-]+)", r"(?i)<a[ \t\r\n][^>]*href[ ]*=[ ]*[\"']([^\"'<>]*)"
+#: Fixed patterns of the metadata. A tag ends before the next one begins, so unclosed tags cost their own length only.
+TITLE, LANGUAGE, LINK = r"(?is)<title[^<>]*>([^<]*)", r"(?is)<html[^<>]*[ \t\r\n]lang[ ]*=[ ]*[\"']?([A-Za-z0-9-]+)", r"(?i)<a[ \t\r\n][^<>]*href[ ]*=[ ]*[\"']([^\"'<>]*)"
 #: Character references that are resolved, the ampersand last.
 REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 DATE = "2024-01-01T00:00:00Z"

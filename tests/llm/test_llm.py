@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import json
 import re
+import time
 import zlib
 
 import duckdb
@@ -259,12 +260,46 @@ def test_decontamination(spark, docs, none):
         found = suffix_arrays.judge(suffix_arrays.find_matches(docs, benchmark, block_words=block_words))
         got = found.withColumn("items", F.array_join("item_ids", ",")).collect()
         assert by_row(got, "doc_id", "n_words", "n_hit", "items", "contaminated") == expected
+    longest = {(m.start, m.length, m.item_id, m.item_start) for r in found.where("doc_id = 16").collect() for m in r.matches}
+    assert longest == {(0, 20, "10", 0)}
     assert suffix_arrays.find_matches(none, benchmark).count() == 0
     assert suffix_arrays.judge(suffix_arrays.find_matches(docs, benchmark.limit(0))).where("contaminated").count() == 0
     clean = suffix_arrays.decontaminate(docs, benchmark)
     assert clean.columns == docs.columns and clean.count() == sum(n for row, n in expected.items() if not row[-1])
 
 
+def test_longest_matches_equal_brute_force():
+    rng = np.random.default_rng(9)
+    for window in (1, 3, 4):
+        texts = [" ".join(rng.choice(list("abcx"), rng.integers(0, 40))) for _ in range(30)]
+        items = [(str(i), " ".join(rng.choice(list("abc"), rng.integers(1, 25))).encode()) for i in range(12)]
+        docs, own = [t.encode().split() for t in texts], [x.split() for _, x in items]
+        matches, hits, names = suffix_arrays.shard_rows(suffix_arrays.Suffixes(items, window), docs)
+        for d, words in enumerate(docs):
+            best, covered, seen = {}, set(), set()
+            for i, item in enumerate(own):
+                width = min(window, len(item))
+                for p, t in itertools.product(range(len(words)), range(len(item))):
+                    n = 0
+                    while p + n < len(words) and t + n < len(item) and words[p + n] == item[t + n]:
+                        n += 1
+                    best[p] = max(best.get(p, 0), n)
+                    if n >= width and (len(item) >= window or t == 0):
+                        covered |= set(range(p, p + width))
+                        seen.add(str(i))
+            starts = {p for i, item in enumerate(own) for w in [min(window, len(item))] for t in range(len(item) - w + 1) for p in range(len(words) - w + 1) if words[p : p + w] == item[t : t + w]}
+            assert {(m["start"], m["length"]) for m in matches[d]} == {(p, best[p]) for p in starts if not (p - 1 in starts and best[p - 1] >= best[p] + 1)}
+            assert all(words[m["start"] : m["start"] + m["length"]] == own[int(m["item_id"])][m["item_start"] : m["item_start"] + m["length"]] for m in matches[d])
+            assert {q for h in hits[d] for q in range(h["start"], h["start"] + h["length"])} == covered and set(names[d]) == seen
+
+
+def test_a_word_that_all_repeat_costs_the_sum_of_its_places():
+    items = [(str(i), b"ha " * 3000) for i in range(40)]
+    began = time.monotonic()
+    matches, hits, names = suffix_arrays.shard_rows(suffix_arrays.Suffixes(items, 13), [[b"ha"] * 20_000 for _ in range(40)])
+    assert all(len(n) == 40 for n in names) and all(h == [{"start": 0, "length": 20_000}] for h in hits) and time.monotonic() - began < 60
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
@@ -523,9 +558,27 @@ def test_projection_forest(spark):
     assert found <= near.sum() and found >= 0.99 * near.sum()
     assert sum(got[i][1] == c for i, c in zip(ids, comp)) >= 0.99 * len(ids)
     assert all(got[i] == (0, i, True) for i in range(9000, 9006))
+    pairs = spark.createDataFrame([*rows[:60], (7000, [1.0, 2.0]), (7001, [2.0, 4.0]), (7002, [2.0, -1.0])], "vec_id long, embedding array<double>")
+    short = {r.vec_id: (r.n_links, r.component_id) for r in projection_forest.near_duplicates(pairs).where("vec_id >= 7000").collect()}
+    assert short == {7000: (1, 7000), 7001: (1, 7000), 7002: (0, 7002)}
     assert projection_forest.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_deep_forest_keeps_recall(spark, monkeypatch):
+    """Depth beyond what the first sample allows: leaves are split again on their own members, more than once."""
+    for name, value in {"SAMPLE": 200, "LEAF_SAMPLE": 64, "LEAF": 4, "LIMIT": 24, "BLOCK": 16}.items():
+        monkeypatch.setattr(projection_forest, name, value)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(1500, 32))
+    x = np.concatenate([centres, centres + rng.normal(size=centres.shape) * 0.15, np.repeat(centres[:1], 60, axis=0) + rng.normal(size=(60, 32)) * 0.02])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in projection_forest.near_duplicates(df).collect()}
+    assert all(got[i] <= n for i, n in enumerate(near.sum(axis=1))) and sum(got.values()) >= 0.9 * near.sum()
+
+
 def test_crf_marginals_equal_enumeration():
     crf = toxic_crf.Crf({}, 0.0, np.array([0.3, -1.0, -0.5, 0.9, -0.7]))
     lengths, rng = np.array([4, 0, 1, 6]), np.random.default_rng(2)
@@ -586,6 +639,13 @@ def test_warc_records(spark):
     assert warc_derivatives.derive(warc_derivatives.responses(pages.limit(0))).count() == 0
 
 
+def test_unclosed_tags_cost_their_own_length(spark):
+    html = "<a " * 200_000 + "<title " * 100_000 + "<html " * 100_000
+    began = time.monotonic()
+    rows = warc_derivatives.derive(warc_derivatives.responses(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))).collect()
+    assert len(rows) == 2 and time.monotonic() - began < 60
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
