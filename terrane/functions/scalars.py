@@ -75,3 +75,40 @@ def composite_key(*parts: Column) -> Column:
 
 def finite_positive(x: Column) -> Column:
     return F.coalesce((x > 0) & ~F.isnan(x) & (x < float("inf")), F.lit(False))
+
+
+def vector_literal(vector: Column) -> Column:
+    """[x, y, ...] as text, as vector columns of SQL databases spell it."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: x.cast("string")), ","), F.lit("]"))
+
+
+def parse_vector(text: Column) -> Column:
+    """The doubles of such a text; null if the text or one of its numbers is none."""
+    inner = F.regexp_extract(text, r"^\s*\[(.*)\]\s*$", 1)
+    numbers = F.transform(F.split(inner, ","), lambda x: F.trim(x).try_cast("double"))
+    return F.when(text.rlike(r"^\s*\[.*\]\s*$") & F.forall(numbers, lambda x: x.isNotNull()), numbers)
+
+
+#: Fixed numerals of community names.
+ROMAN = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X")
+
+
+def number_variants(name: Column) -> Column:
+    """The spellings of a community's name, sorted: the part before " - ", with a trailing number in digits and in Roman
+    numerals and without it or a `Phase` before it, each also without a leading "the"."""
+    head = F.trim(F.split(name, " - ")[0])
+    base = F.trim(F.regexp_extract(head, r"(?i)^(.*\S)\s+([0-9]{1,2}|[ivx]+)$", 1))
+    tail = F.upper(F.regexp_extract(head, r"(?i)^(.*\S)\s+([0-9]{1,2}|[ivx]+)$", 2))
+    numerals = F.array(*[F.lit(r) for r in ROMAN])
+    value = F.coalesce(tail.try_cast("int"), F.nullif(F.array_position(numerals, tail).cast("int"), F.lit(0)))
+    known = (base != "") & value.between(1, len(ROMAN))
+    bare = F.regexp_replace(base, r"(?i)\s+phase$", "")
+    names = F.when(known, F.array(head, F.concat_ws(" ", base, value.cast("string")), F.concat_ws(" ", base, F.try_element_at(numerals, value)), bare)).otherwise(F.array(head))
+    short = F.transform(F.filter(names, lambda n: F.lower(n).startswith("the ")), lambda n: F.substring(n, 5, 1 << 30))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(names, short), lambda n: F.trim(n) != "")))
+
+
+def seeded_order(key: Column, seed: int) -> Column:
+    """An order of keys that looks random and depends on the seed alone: sort by it for a shuffle, take its first n for
+    an exact sample."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))

@@ -53,11 +53,26 @@ class ListingChecker:
         return self.duplicates(pair_features(near, corpus.unionByName(incoming)))
 
 
-def flags(duplicates: DataFrame, listings: DataFrame, estimates: DataFrame, bait_share: float = 0.6, relist_spread: float = 1.25) -> DataFrame:
-    """(id, flag, detail): bait_price, duplicate groups with inconsistent prices (detail as JSON)."""
-    bait = listings.join(estimates.select("id", "estimate"), "id").where(F.col("price") < bait_share * F.col("estimate"))
-    bait = bait.select("id", F.lit("bait_price").alias("flag"), F.to_json(F.struct("price", "estimate")).alias("detail"))
+def flags(duplicates: DataFrame, listings: DataFrame, estimates: DataFrame, photos: DataFrame, margin: float = 0.2, relist_spread: float = 1.25, min_areas: int = 2) -> DataFrame:
+    """(id, flag, detail as JSON): bait_price (asked below the estimated range by more than the margin), photo_reuse
+    (a photo set of listings in several areas) and inconsistent_relist (groups of duplicates with spread prices).
+
+    listings: id, price, area; estimates: id, estimate, low; photos: id, photo; duplicates: a, b.
+    """
+    bait = listings.select("id", "price").join(estimates.select("id", "estimate", "low"), "id").where(F.col("price") < F.col("low") * (1 - margin))
+    below = F.round((1 - F.col("price") / F.col("low")) * 100, 1).alias("below_low_pct")
+    bait = bait.select("id", F.lit("bait_price").alias("flag"), F.to_json(F.struct("price", "estimate", "low", below)).alias("detail"))
+    shown = photos.select("id", "photo").distinct().join(listings.select("id", "area"), "id")
+    reused = shown.groupBy("photo").agg(F.count_distinct("area").alias("areas"), F.count(F.lit(1)).alias("listings")).where(F.col("areas") >= min_areas)
+    reuse = shown.join(reused, "photo").select("id", F.lit("photo_reuse").alias("flag"), F.to_json(F.struct("photo", "areas", "listings")).alias("detail"))
     members = connected_components(duplicates, "a", "b").join(listings.select(F.col("id").alias("node"), "price"), "node")
     odd = pairs.spread(members, "root", "price", relist_spread)
     relist = members.join(odd, "root").select(F.col("node").alias("id"), F.lit("inconsistent_relist").alias("flag"), F.to_json(F.struct("root", "n", "low", "high")).alias("detail"))
-    return bait.unionByName(relist)
+    return bait.unionByName(reuse).unionByName(relist)
+
+
+def stored(flagged: DataFrame, asked: DataFrame) -> DataFrame:
+    """The stored flags of the asked ids, one row for each id, with an empty list where there is none."""
+    own = asked.select("id").distinct().join(flagged, "id", "left")
+    held = F.collect_list(F.when(F.col("flag").isNotNull(), F.struct("flag", "detail")))
+    return own.groupBy("id").agg(F.array_sort(held).alias("flags"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.operators import estimates, learning, timeseries
@@ -86,3 +87,18 @@ class PricePredictor:
         row = spark.createDataFrame([tuple(request.get(c) for c in columns)], ", ".join(f"{c} {t}" for c, t in columns.items()))
         found = self.predict(row).first()
         return found.asDict() if found else None
+
+    def save(self, path: str) -> None:
+        """Tables and model below a folder; a model that is there is replaced."""
+        for name, df in self.tables.items():
+            df.write.mode("overwrite").parquet(f"{path}/tables/{name}")
+        self.model.write().overwrite().save(f"{path}/model")
+        spark = self.tables["bounds"].sparkSession
+        settings = spark.createDataFrame([(self.shrink, self.half_life, self.min_segment)], "shrink double, half_life double, min_segment int")
+        settings.write.mode("overwrite").parquet(f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PricePredictor:
+        settings = spark.read.parquet(f"{path}/settings").first()
+        tables = {name: spark.read.parquet(f"{path}/tables/{name}") for name in ("index", "last", "ranges", "bounds", *LEVELS)}
+        return cls(settings.shrink, settings.half_life, settings.min_segment, tables, PipelineModel.load(f"{path}/model"))

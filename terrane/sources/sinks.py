@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEDGER = "run_id string, name string, status string, at timestamp, rows long, source_digest string"
@@ -58,3 +58,28 @@ def content_digest(df: DataFrame) -> str:
     h = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]))).cast("decimal(38,0)")
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("s"), F.bit_xor(F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)])), F.lit(1))).alias("x")).first()
     return f"{row.n}-{row.s}-{row.x}"
+
+
+def latest_runs(ledger: DataFrame, status: str = "succeeded") -> DataFrame:
+    """(name, run_id, at): the newest run of each name with a status."""
+    newest = F.max_by(F.struct("run_id", "at"), F.struct("at", "run_id")).alias("r")
+    return ledger.where(F.col("status") == status).groupBy("name").agg(newest).select("name", "r.run_id", "r.at")
+
+
+def stale(ledger: DataFrame, name: str, source: str) -> DataFrame:
+    """Whether the newest success of a name is older than that of what it is built from, or missing: one row."""
+    newest = latest_runs(ledger)
+    own, base = (F.max(F.when(F.col("name") == n, F.col("at"))) for n in (name, source))
+    return newest.agg(own.alias("built"), base.alias("source")).withColumn("stale", F.col("source").isNotNull() & (F.col("built").isNull() | (F.col("built") < F.col("source"))))
+
+
+def abandoned(ledger: DataFrame, name: str, older_than: Column) -> DataFrame:
+    """(run_id, at): runs of a name that were started before a time and have not ended; log them as abandoned."""
+    runs = ledger.where(F.col("name") == name).groupBy("run_id").agg(F.min(F.when(F.col("status") == "started", F.col("at"))).alias("at"), F.count_if(F.col("status") != "started").alias("ends"))
+    return runs.where((F.col("ends") == 0) & (F.col("at") < older_than)).select("run_id", "at")
+
+
+def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """A small report (thresholds, metrics of each query) as one CSV or JSON file in a folder, replacing what was there."""
+    out = df.coalesce(1).write.mode("overwrite")
+    out.option("header", True).csv(path) if kind == "csv" else out.json(path)
