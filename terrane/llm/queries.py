@@ -148,6 +148,31 @@ SELECT page_id, warc_type, {urn("md5(warc_type || '|' || refers_to)")} AS record
 FROM made"""
 
 
+#: Shared shingles of every pair of rows, the links, and the smallest id that each row reaches by them.
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[p : p + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+i AS (SELECT x.r AS a, y.r AS b, count(*) AS same FROM s x JOIN s y USING (g) WHERE x.r < y.r GROUP BY 1, 2),
+e AS (SELECT a, b FROM i JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * same >= 85 * (x.n + y.n - same)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+c(r, root) AS (SELECT r, r FROM d UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.r),
+m AS (SELECT c.r, min(o.doc_id) AS component_id FROM c JOIN d o ON o.r = c.root GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(doc_id = component_id, true) AS kept FROM d JOIN m USING (r) LEFT JOIN n USING (r)
+"""
+
+#: The cosine of every pair of usable vectors of one length, in double precision.
+OP5_SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT r, v FROM d WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+e AS (SELECT x.r AS a, y.r AS b FROM u x JOIN u y ON len(x.v) = len(y.v) AND x.r <> y.r WHERE list_cosine_similarity(x.v, y.v) >= 0.95),
+n AS (SELECT a AS r, count(*) AS n_links FROM e GROUP BY 1),
+c(r, root) AS (SELECT r, r FROM d UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.r),
+m AS (SELECT c.r, min(o.vec_id) AS component_id FROM c JOIN d o ON o.r = c.root GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept FROM d JOIN m USING (r) LEFT JOIN n USING (r)
+"""
+
+
 def op10_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -157,4 +182,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array_decontamination": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op7_secret_ownership": _secrets_sql(), "op9_warc_derivatives": _op9_sql()}
+    return {"op2_suffix_array_decontamination": OP2_SQL, "op5_projection_forest": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_secret_ownership": _secrets_sql(), "op9_warc_derivatives": _op9_sql(), "op10_odd_sketch_near_dedup": OP10_SQL}
