@@ -7,34 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.operators import retrieval
-
-NUMBER = r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*(k|m|thousand|million)?"
-
-
-def amount(number: Column, scale: Column) -> Column:
-    value = F.regexp_replace(number, ",", "").try_cast("double")
-    return value * F.when(F.lower(scale).isin("k", "thousand"), 1e3).when(F.lower(scale).isin("m", "million"), 1e6).otherwise(1.0)
-
-
-def parse(text: Column) -> Column:
-    """Slots of a query: bedrooms, max_price, min_price, max_size, kind and the words left over."""
-    t = F.lower(text)
-    beds = F.regexp_extract(t, r"\b([0-9])\s*(?:bed|br|bedroom)s?\b", 1)
-    most, least = r"(?:under|below|max|up to)\s+" + NUMBER, r"(?:over|above|min|from)\s+" + NUMBER
-    size = r"\b([0-9]+)\s*(?:sqm|m2)\b"
-    price = lambda p: F.when(F.regexp_extract(t, p, 1) != "", amount(F.regexp_extract(t, p, 1), F.regexp_extract(t, p, 2)))
-    left = t
-    for pattern in (most, least, size, r"\b[0-9]\s*(?:bed|br|bedroom)s?\b", r"\bstudio\b"):
-        left = F.regexp_replace(left, pattern, " ")
-    return F.struct(
-        F.when(t.rlike(r"\bstudio\b"), F.lit(0)).when(beds != "", beds.cast("int")).alias("bedrooms"),
-        price(most).alias("max_price"),
-        price(least).alias("min_price"),
-        F.when(F.regexp_extract(t, size, 1) != "", F.regexp_extract(t, size, 1).try_cast("double")).alias("size"),
-        F.when(t.rlike(r"\bvillas?\b"), "villa").when(t.rlike(r"\b(?:flats?|apartments?|studio)\b"), "flat").alias("kind"),
-        F.filter(retrieval.tokens(left), lambda w: F.char_length(w) > 2).alias("words"),
-    )
-
+from terrane.products.queries import parsed
 
 def longest_matches(tokens: list[str], lexicon: dict[str, str], longest: int = 6) -> list[tuple[str, str]]:
     """Greedy longest matches of token runs against a lexicon, from left to right: (name, place)."""
@@ -64,14 +37,16 @@ def phrases(tokens: Column, lexicon: dict[str, str], longest: int = 6) -> Column
 
 
 def search(listings: DataFrame, queries: DataFrame, k: int = 10, depth: int = 200) -> DataFrame:
-    """(query, id, rank, grade, score): queries has query and text; listings id, text, bedrooms, price, kind, posted and
-    cluster. Hits that miss a stated slot rank below those that meet it."""
-    asked = queries.select("query", parse(F.col("text")).alias("slots"))
+    """(query, id, rank, grade, score): queries has query and text; listings id, text, bedrooms, price, kind, posted,
+    cluster and, if they have it, size. Hits that miss a stated slot rank below those that meet it."""
+    asked = parsed(queries.select("query", "text"))
     terms = asked.select("query", F.explode("slots.words").alias("term"))
     text = retrieval.ranked(retrieval.term_scores(listings, terms, "id", "text"), "query", F.round("score", 9), "doc", depth)
-    attributes = listings.select(F.col("id").alias("doc"), "bedrooms", "price", "kind", "posted", "cluster")
-    stated = asked.select("query", "slots.*").drop("words")
+    attributes = listings.select(F.col("id").alias("doc"), "bedrooms", "price", "kind", "posted", "cluster", *[c for c in ("size",) if c in listings.columns])
+    stated = asked.select("query", *[F.col(f"slots.{c}") for c in ("bedrooms", "kind", "min_price", "max_price", "min_size")])
     meets = [("bedrooms", F.col("s_bedrooms") == F.col("bedrooms")), ("max_price", F.col("price") <= F.col("s_max_price")), ("min_price", F.col("price") >= F.col("s_min_price")), ("kind", F.col("s_kind") == F.col("kind"))]
+    if "size" in listings.columns:
+        meets.append(("min_size", F.col("size") >= F.col("s_min_size")))
     stated = stated.withColumnsRenamed({c: f"s_{c}" for c in stated.columns if c != "query"})
     slot_hits = attributes.join(F.broadcast(stated), (F.col("s_bedrooms") == F.col("bedrooms")) & (F.col("s_kind").isNull() | (F.col("s_kind") == F.col("kind"))))
     slot_hits = retrieval.ranked(slot_hits.select("query", "doc", "posted"), "query", F.unix_date(F.to_date("posted")).cast("double"), "doc", depth)

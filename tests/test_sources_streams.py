@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.operators import ingestion
-from terrane.products.search import longest_matches, parse
+from terrane.products.queries import parsed
+from terrane.products.search import longest_matches
 from terrane.sources import readers, sinks
 from terrane.streaming import limiter, windows
 
@@ -114,9 +115,26 @@ def test_phrases_are_longest_first_from_left():
     assert longest_matches("a b c a b".split(), {"a b": "1", "a": "2", "b c": "3"}) == [("a b", "1"), ("a b", "1")]
 
 
+QUERIES = [
+    ("2 bed flat under 1.5m near park 90 sqm", {"bedrooms": 2, "kind": "flat", "max_price": 1.5e6, "min_price": None, "min_size": 90.0, "unknown_places": []}),
+    ("villa between 900k and 1.2m with pool and gym", {"kind": "villa", "min_price": 9e5, "max_price": 1.2e6, "amenities": ["shared pool", "gym access"]}),
+    ("1-1.5M townhouse in the Springs", {"min_price": 1e6, "max_price": 1.5e6, "kind": "townhouse", "unknown_places": ["springs"]}),
+    ("900-1.2m flat", {"min_price": 9e5, "max_price": 1.2e6}),
+    ("serviced apartment 850,000 two bedrooms", {"kind": "hotel_apartment", "max_price": 850_000.0, "bedrooms": 2}),
+    ("studio over 1,000 sqft from aed 500", {"bedrooms": 0, "min_size": 92.9, "min_price": 500.0, "max_price": None}),
+    ("plot in dubai hills estate min 2 million", {"unlisted": ["plot"], "min_price": 2e6, "unknown_places": ["dubai hills estate"]}),
+    ("from 3m to 2m", {"min_price": None, "max_price": None, "errors": ["budget_min_exceeds_max"]}),
+    ("quiet home for 4", {"bedrooms": None, "max_price": None, "words": ["quiet"]}),
+    ("", {"bedrooms": None, "words": [], "amenities": []}),
+    (None, {"kind": None, "words": []}),
+]
+
+
 def test_query_parser(spark):
-    row = spark.createDataFrame([("2 bed flat under 1.5m near park 90 sqm",)], "t string").select(parse(F.col("t")).alias("s")).first().s
-    assert (row.bedrooms, row.max_price, row.min_price, row.size, row.kind) == (2, 1_500_000.0, None, 90.0, "flat") and "park" in row.words
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(QUERIES)], "n int, text string")
+    got = {r.n: r.slots for r in parsed(rows).collect()}
+    for i, (text, wanted) in enumerate(QUERIES):
+        assert {k: got[i][k] for k in wanted} == wanted, text
 
 
 def test_token_bucket_in_batch_and_stream(spark, tmp_path):
