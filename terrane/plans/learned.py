@@ -67,7 +67,9 @@ def api_price_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PricePredictor().fit(sales).predict(asked)
 
 
-@query()
+@query("""WITH s AS (SELECT split_part(p_type, ' ', 1) AS kind, p_brand AS area, CAST(l_shipdate AS DATE) AS day, l_extendedprice AS price FROM lineitem JOIN part ON p_partkey = l_partkey), e AS (SELECT max(day) AS last FROM s),
+r AS (SELECT *, day > last - INTERVAL 12 MONTH AS n, day <= last - INTERVAL 12 MONTH AND day > last - INTERVAL 24 MONTH AS b FROM s, e)
+SELECT area, kind, count(*) FILTER (n) AS sales, median(price) FILTER (n) AS "now", median(price) FILTER (b) AS "before", median(price) FILTER (n) / nullif(median(price) FILTER (b), 0) - 1 AS change FROM r GROUP BY 1, 2 HAVING count(*) FILTER (n) >= 5""")
 def api_area_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AreaStats(_sales(spark, sf_dir)).summary()
 

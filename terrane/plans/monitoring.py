@@ -42,13 +42,24 @@ def an42_ks_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.ks(ref, cur, "l_extendedprice").select(F.round("ks", 8).alias("ks"))
 
 
-@query(None)
+def _drift_sql(columns: list[str]) -> str:
+    rows = []
+    for c in columns:
+        rows.append(f"""SELECT '{c}' AS feature, (WITH e AS (SELECT list_distinct(quantile_cont({c}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS edges FROM l WHERE ref), b AS (SELECT len(list_filter(edges, lambda q: q <= {c})) AS bin, ref FROM l, e),
+c AS (SELECT greatest(count(*) FILTER (ref) / sum(count(*) FILTER (ref)) OVER (), 0.0001) AS r, greatest(count(*) FILTER (NOT ref) / sum(count(*) FILTER (NOT ref)) OVER (), 0.0001) AS c FROM b GROUP BY bin) SELECT round(sum((c - r) * ln(c / r)), 6) FROM c) AS psi,
+(WITH x AS (SELECT {c} AS v, count(*) FILTER (ref) AS r, count(*) FILTER (NOT ref) AS c FROM l GROUP BY 1) SELECT round(max(g), 8) FROM (SELECT abs(sum(r) OVER w / sum(r) OVER () - sum(c) OVER w / sum(c) OVER ()) AS g FROM x WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING))) AS ks""")
+    return " UNION ALL ".join(rows)
+
+
+@query(f"""WITH l AS (SELECT l_extendedprice, l_quantity, l_returnflag, year(l_shipdate) <= 1997 AS ref FROM lineitem WHERE year(l_shipdate) <= 1997 OR year(l_shipdate) >= 1999),
+d AS ({_drift_sql(["l_extendedprice", "l_quantity"])} UNION ALL SELECT 'l_returnflag', (WITH s AS (SELECT greatest(count(*) FILTER (ref) / sum(count(*) FILTER (ref)) OVER (), 0.0001) AS r, greatest(count(*) FILTER (NOT ref) / sum(count(*) FILTER (NOT ref)) OVER (), 0.0001) AS c FROM l GROUP BY l_returnflag) SELECT round(sum((c - r) * ln(c / r)), 6) FROM s), NULL)
+SELECT feature, psi, ks, psi >= 0.2 AS flagged FROM d""")
 def an43_drift_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per column: psi, ks where numeric, and a flag from 0.2 on."""
     ref, cur = _sides(spark, sf_dir)
     none = F.lit(None).cast("double").alias("ks")
-    parts = [drift.psi_numeric(ref, cur, c).join(F.broadcast(drift.ks(ref, cur, c))).select(F.lit(c).alias("feature"), "psi", "ks") for c in ("l_extendedprice", "l_quantity")]
-    parts += [drift.psi_categorical(ref, cur, c).select(F.lit(c).alias("feature"), "psi", none) for c in ("l_returnflag",)]
+    parts = [drift.psi_numeric(ref, cur, c).join(F.broadcast(drift.ks(ref, cur, c))).select(F.lit(c).alias("feature"), F.round("psi", 6).alias("psi"), F.round("ks", 8).alias("ks")) for c in ("l_extendedprice", "l_quantity")]
+    parts += [drift.psi_categorical(ref, cur, c).select(F.lit(c).alias("feature"), F.round("psi", 6).alias("psi"), none) for c in ("l_returnflag",)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -85,7 +85,8 @@ def without(text: Column, found: Column) -> Column:
 
 def parsed(queries: DataFrame, text: str = "text") -> DataFrame:
     """Adds `slots`: bedrooms, kind, min_price, max_price, min_size, amenities, unlisted types, unknown places, errors and
-    words. Null and empty texts have empty slots."""
+    words. Null and empty texts have empty slots. Write the result before filtering on slots: a filter that is pushed
+    into the passes repeats them."""
     t = F.col("__t")
     rows = queries.withColumn("__t", F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "’", "'"), F.lit(" ")))
     size = F.round(number(group(t, SIZE, 1)) * F.when(group(t, SIZE, 2).contains("f"), SQM_PER_SQFT).otherwise(1.0), 2)

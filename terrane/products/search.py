@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from terrane.operators import retrieval
 from terrane.products.queries import parsed
+from terrane.session import cut
 
 def longest_matches(tokens: list[str], lexicon: dict[str, str], longest: int = 6) -> list[tuple[str, str]]:
     """Greedy longest matches of token runs against a lexicon, from left to right: (name, place)."""
@@ -39,7 +40,7 @@ def phrases(tokens: Column, lexicon: dict[str, str], longest: int = 6) -> Column
 def search(listings: DataFrame, queries: DataFrame, k: int = 10, depth: int = 200) -> DataFrame:
     """(query, id, rank, grade, score): queries has query and text; listings id, text, bedrooms, price, kind, posted,
     cluster and, if they have it, size. Hits that miss a stated slot rank below those that meet it."""
-    asked = parsed(queries.select("query", "text"))
+    asked = cut(parsed(queries.select("query", "text")), "asked")  # written, so that no filter is pushed into the passes
     terms = asked.select("query", F.explode("slots.words").alias("term"))
     text = retrieval.ranked(retrieval.term_scores(listings, terms, "id", "text"), "query", F.round("score", 9), "doc", depth)
     attributes = listings.select(F.col("id").alias("doc"), "bedrooms", "price", "kind", "posted", "cluster", *[c for c in ("size",) if c in listings.columns])
