@@ -30,6 +30,10 @@ def shared_key_pairs(df: DataFrame, item: str, key: str, fan_out: int, channel:
     return pairs.select(F.col(f"x.{item}").alias("a"), F.col(f"y.{item}").alias("b"), F.lit(channel).alias("channel")).distinct()
 
 
+#: Rows of the base that a task multiplies with a block of queries.
+SLICE = 65_536
+
+
 def nearest(queries: DataFrame, base: DataFrame, item: str, vector: str, k: int, block: int = 4096) -> DataFrame:
     """(query, item, cosine, rank): exact k nearest of each query among all base rows but itself, ties by item.
 
@@ -43,7 +47,7 @@ def nearest(queries: DataFrame, base: DataFrame, item: str, vector: str, k: int,
     count = asked.count()
     blocks = max(1, -(-count // block))
     left = asked.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
-    slices = max(1, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
+    slices = max(1, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2, -(-base.count() // SLICE))
     right = base.select(F.col(item).alias("item"), F.col(vector).alias("v"), F.pmod(F.xxhash64("item"), F.lit(slices)).alias("slice"))
     left = left.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select(F.col("item").alias("query"), "v", "block", F.col("slice").cast("long").alias("slice"))
     right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("item", "v", F.col("block").cast("long").alias("block"), "slice")
@@ -61,11 +65,10 @@ def nearest(queries: DataFrame, base: DataFrame, item: str, vector: str, k: int,
         ids = ids[order]
         sims = matrix(a) @ matrix(b)[order].T
         sims[asked_ids[:, None] == ids[None, :]] = -np.inf
-        take = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(asked_ids)), take.shape[1])
-        found = sims[rows, take.ravel()]
-        keep = np.isfinite(found)
-        return pa.table({"query": asked_ids[rows][keep], "item": ids[take.ravel()][keep], "cosine": found[keep]})
+        least = np.partition(sims, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+        # Ties of the k-th may be more than k rows; the rank decides, on cosines that are rounded below what sums differ by.
+        rows, columns = np.nonzero((sims >= least[:, None] - 1e-11) & np.isfinite(sims))
+        return pa.table({"query": asked_ids[rows], "item": ids[columns], "cosine": sims[rows, columns]})
 
     near = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(best, "query long, item long, cosine double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("cosine", 12)), "item"))

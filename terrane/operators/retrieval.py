@@ -11,6 +11,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+#: Asked terms up to which words are filtered where they are found.
+FEW_TERMS = 500
+
+
 def term_scores(docs: DataFrame, queries: DataFrame, doc: str, text: str) -> DataFrame:
     """(query, doc, score): sum over a query's terms of ln(1 + tf) * ln(1 + N / df). queries has query and term.
 
@@ -18,7 +22,11 @@ def term_scores(docs: DataFrame, queries: DataFrame, doc: str, text: str) -> Dat
     library's own; it claims no parity with another engine's ranking.
     """
     asked = queries.select("query", "term").distinct()
-    words = docs.select(F.col(doc).alias("doc"), F.explode(tokens(F.col(text))).alias("term"))
+    terms = [r.term for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+    words = tokens(F.col(text))
+    if len(terms) <= FEW_TERMS:  # most words go before they become rows; with more terms the join below takes them out
+        words = F.filter(words, lambda w: w.isin(terms))
+    words = docs.select(F.col(doc).alias("doc"), F.explode(words).alias("term"))
     counts = words.join(asked.select("term").distinct(), "term").groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))
