@@ -2,8 +2,9 @@
 
 Several metadata dimensions are quantised to `bits` bits each, the cell's index on the Hilbert curve through them is
 the sort key, and equal runs of that order are the shards, so a shard covers a compact region of all dimensions and
-min/max statistics prune files on any of them. Numbers are quantised by the logarithm of their value between fixed
-bounds, strings by hash, so nothing is fitted and a row's cell depends on the row alone.
+min/max statistics prune files on ranges of any numeric one. Numbers are quantised by the logarithm of their value
+between fixed bounds, strings by hash, so nothing is fitted and a row's cell depends on the row alone; hashed strings
+keep rows of equal values together, which prunes on equality of few-valued ones by their sets of values, not by order.
 
 Counts of shards are at most one apart (law `rows`). Rows are ranked by a range sort whose keys end with the row's
 hash and id, so a cell that holds a third of all rows is split over many tasks; only one count per task meets the driver.

@@ -542,6 +542,19 @@ def test_hilbert_shards(docs, none):
     assert hilbert_sharding.shard(none, ["lang", "n_chars"]).count() == 0
 
 
+def test_shards_prune_on_each_dimension(spark):
+    rng = np.random.default_rng(3)
+    a, b = 2.0 ** rng.uniform(0, 39, 4000), 2.0 ** rng.uniform(0, 39, 4000)
+    kinds = [f"kind{i}" for i in rng.integers(0, 3, 4000)]
+    docs = spark.createDataFrame([(i, "t", float(x), float(y), k) for i, (x, y, k) in enumerate(zip(a, b, kinds))], "doc_id long, text string, a double, b double, kind string")
+    for dimensions in (["a", "b"], ["a", "b", "kind"]):
+        shard = {r.doc_id: r.shard for r in hilbert_sharding.shard(docs, dimensions).collect()}
+        for values in (a, b):
+            for low, high in ((0, 2.0**10), (2.0**15, 2.0**20), (2.0**30, 2.0**40)):
+                assert len({shard[i] for i, v in enumerate(values) if low <= v <= high}) <= 10
+    assert min(len({shard[i] for i, k in enumerate(kinds) if k == kind}) for kind in set(kinds)) <= 12
+
+
 def test_projection_forest(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(200, 16))
