@@ -35,7 +35,7 @@ WINDOW, SHARE = 13, 20
 #: Words of the benchmark that a pass broadcasts.
 BLOCK_WORDS = 2_000_000
 #: Bytes of text in a shard.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 
 #: Word bytes map to themselves or their lower case, all others to a space.
 WORD_BYTES = bytes(c if c >= 0x80 or chr(c).isalnum() and c < 0x80 else 32 for c in range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
