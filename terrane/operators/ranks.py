@@ -7,6 +7,8 @@ its place in its range and what lies before that, one number for each task. Quan
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +41,12 @@ def running(df: DataFrame, order: list[Column], values: list[str], falling: int
     """Adds rank, cum_<value> (the sum up to and with the row) and total_<value>; a task sums one range."""
     rows = ranked(df, order, falling)
     sums = sorted(map(tuple, rows.groupBy("part").agg(*[F.sum(v) for v in values]).collect()))  # one for each task
-    before, starts = [0] * len(values), []
+    kinds = [rows.select(F.sum(v).alias("s")).schema["s"].dataType.simpleString() for v in values]
+    zero = lambda kind: 0.0 if kind == "double" else Decimal(0) if kind.startswith("decimal") else 0
+    before, starts = [zero(kind) for kind in kinds], []
     for number, *own in sums:
         starts.append((number, *before))
-        before = [a + (b or 0) for a, b in zip(before, own, strict=True)]
-    kinds = [rows.select(F.sum(v).alias("s")).schema["s"].dataType.simpleString() for v in values]
+        before = [a if b is None else a + b for a, b in zip(before, own, strict=True)]
     offsets = df.sparkSession.createDataFrame(starts, ", ".join(["part long", *[f"__b{i} {k}" for i, k in enumerate(kinds)]]))
     w = Window.partitionBy("part").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     out = rows.join(F.broadcast(offsets), "part")
