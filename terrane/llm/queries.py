@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import hilbert_sharding, odd_sketch, packing, pii_disclosure, projection_forest, secret_ownership, substring_dedup, suffix_arrays, toxic_crf, warc_derivatives
+from terrane.llm import filter_audit, hilbert_sharding, odd_sketch, packing, pii_disclosure, projection_forest, secret_ownership, substring_dedup, suffix_arrays, toxic_crf, warc_derivatives
 from terrane.llm.spans import counted, joined
 from terrane.session import table
 
@@ -177,9 +177,35 @@ def op10_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: The failures of each document, all orders of the filters, and a fold over each order's letters.
+OP13_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS lowest FROM t),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+ CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+ || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+ || CASE WHEN doc_id > lowest THEN 'E' ELSE '' END AS fails FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, good, bad, count(*) AS n FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders(o) AS (SELECT x FROM letters UNION ALL SELECT o || x FROM orders, letters WHERE NOT contains(o, x)),
+steps AS (SELECT o, k, o[k] AS x, o[1 : k - 1] AS earlier, o[1 : k] AS upto FROM (SELECT o, unnest(range(1, 6)) AS k FROM orders WHERE length(o) = 5)),
+m AS (SELECT part, n, good, bad, fails, s.*, contains(fails, x) AS own, fails <> '' AND len(list_intersect(string_split(fails, ''), string_split(earlier, ''))) > 0 AND earlier <> '' AS gone FROM c, steps s),
+g AS (SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step, x,
+ sum(CASE WHEN NOT own AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+ sum(CASE WHEN own AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN fails = x THEN n ELSE 0 END)::BIGINT AS unique_fails,
+ sum(CASE WHEN own AND NOT gone AND good THEN n ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN own AND NOT gone AND bad THEN n ELSE 0 END)::BIGINT AS toxic_lost FROM m GROUP BY part, o, k, x)
+SELECT * EXCLUDE (x), CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM g
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_suffix_array_decontamination, op3_toxic_crf, op4_pii_disclosure, op5_projection_forest, op6_substring_dedup, op7_secret_ownership, op8_online_packing, op9_warc_derivatives, op10_odd_sketch_near_dedup)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_suffix_array_decontamination, op3_toxic_crf, op4_pii_disclosure, op5_projection_forest, op6_substring_dedup, op7_secret_ownership, op8_online_packing, op9_warc_derivatives, op10_odd_sketch_near_dedup, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array_decontamination": OP2_SQL, "op5_projection_forest": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_secret_ownership": _secrets_sql(), "op9_warc_derivatives": _op9_sql(), "op10_odd_sketch_near_dedup": OP10_SQL}
+    return {"op2_suffix_array_decontamination": OP2_SQL, "op5_projection_forest": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_secret_ownership": _secrets_sql(), "op9_warc_derivatives": _op9_sql(), "op10_odd_sketch_near_dedup": OP10_SQL, "op13_filter_audit": OP13_SQL}
