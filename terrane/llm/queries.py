@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import filter_audit, hilbert_sharding, odd_sketch, packing, pii_disclosure, projection_forest, secret_ownership, substring_dedup, suffix_arrays, toxic_crf, warc_derivatives
+from terrane.llm import filter_audit, hilbert_sharding, odd_sketch, packing, pii_disclosure, projection_forest, secret_ownership, substring_dedup, suffix_arrays, token_alignment, toxic_crf, warc_derivatives
 from terrane.llm.spans import counted, joined
 from terrane.session import table
 
@@ -177,6 +177,10 @@ def op10_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_scores(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -184,7 +188,8 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The failures of each document, all orders of the filters, and a fold over each order's letters.
 OP13_SQL = r"""
 WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS lowest FROM t),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ 	-
+]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS lowest FROM t),
 l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 f AS (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
  CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
@@ -204,7 +209,7 @@ SELECT * EXCLUDE (x), CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) A
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_suffix_array_decontamination, op3_toxic_crf, op4_pii_disclosure, op5_projection_forest, op6_substring_dedup, op7_secret_ownership, op8_online_packing, op9_warc_derivatives, op10_odd_sketch_near_dedup, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_suffix_array_decontamination, op3_toxic_crf, op4_pii_disclosure, op5_projection_forest, op6_substring_dedup, op7_secret_ownership, op8_online_packing, op9_warc_derivatives, op10_odd_sketch_near_dedup, op12_token_alignment, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
