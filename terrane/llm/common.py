@@ -65,17 +65,17 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in columns])
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with about CHUNK_BYTES of text each, and the texts' UTF-8 bytes (null: none)."""
+def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with about `size` bytes of text each, and the texts' UTF-8 bytes (null: none)."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
         values = [x or b"" for x in column.to_pylist()]
-        start = size = 0
+        start = held = 0
         for i, value in enumerate(values):
-            if i > start and size + len(value) > CHUNK_BYTES:
+            if i > start and held + len(value) > size:
                 yield batch.slice(start, i - start), values[start:i]
-                start, size = i, 0
-            size += len(value)
+                start, held = i, 0
+            held += len(value)
         if start < len(values):
             yield batch.slice(start), values[start:]
 

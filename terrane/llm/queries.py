@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import filter_audit, hilbert_sharding, odd_sketch, packing, pii_disclosure, projection_forest, secret_ownership, substring_dedup, suffix_arrays, token_alignment, toxic_crf, warc_derivatives
+from terrane.llm import filter_audit, hilbert_sharding, language_spans, odd_sketch, packing, pii_disclosure, projection_forest, secret_ownership, substring_dedup, suffix_arrays, token_alignment, toxic_crf, warc_derivatives
 from terrane.llm.spans import counted, joined
+from terrane.llm.toxic_crf import held_out
 from terrane.session import table
 
 
@@ -177,6 +178,12 @@ def op10_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_spans.predict(docs, language_spans.fit(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment_scores(table(spark, sf_dir, "documents"))
 
@@ -209,7 +216,7 @@ SELECT * EXCLUDE (x), CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) A
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_suffix_array_decontamination, op3_toxic_crf, op4_pii_disclosure, op5_projection_forest, op6_substring_dedup, op7_secret_ownership, op8_online_packing, op9_warc_derivatives, op10_odd_sketch_near_dedup, op12_token_alignment, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_suffix_array_decontamination, op3_toxic_crf, op4_pii_disclosure, op5_projection_forest, op6_substring_dedup, op7_secret_ownership, op8_online_packing, op9_warc_derivatives, op10_odd_sketch_near_dedup, op11_language_spans, op12_token_alignment, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
