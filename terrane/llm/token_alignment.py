@@ -2,9 +2,7 @@
 
 Both tokenizers cut the bytes of a space and the text. Two pointers walk over the cumulative ends of both: where both
 end, a group ends, and between two neighbouring ends of either side exactly one token of each side lies, which is a
-link. Stretches of a text between places where both tokenizers always cut (before a single space, around a single line
-break) are aligned once per worker and reused; texts with other white space are aligned whole. That B always cuts there
-is read off its vocabulary; if it does not, every text is aligned whole.
+link.
 
 Spark then counts in how many documents each id pair is linked, takes the highest count of each id on either side, and
 joins these back to the links. Usual pairs, of which there are LOOKUP_KEYS at most whatever the input, meet their links
@@ -18,11 +16,12 @@ whole. An empty table gives an empty result. Further columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,16 +35,17 @@ from terrane.session import cut
 LOOKUP_KEYS = 200_000
 #: Ids of B are below this, so a pair of ids is one number.
 PAIR = 1 << 16
-#: Stretches that a worker keeps, and characters of one at most.
-KEPT_STRETCHES, KEPT_LENGTH = 300_000, 64
+#: Bytes of text that a task works on at once, and characters from which on a word is very long.
+TEXT_BYTES, LONG_WORD = 1 << 20, 2000
 SPACE = "▁"
 
 
-def default_tokenizers() -> tuple[str, str]:
-    """The files of A, a byte-level vocabulary, and of B, whose pieces add a space ahead of a text."""
+def default_tokenizers() -> tuple[str, str, str]:
+    """The files of A, a byte-level vocabulary, of the same as ranks, which is quicker, and of B, whose pieces add a
+    space ahead of a text."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return tuple(map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model")))
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -55,38 +55,30 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def aligned(a: list[int], a_size: list[int], b: list[int], b_size: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Links, as pairs of places in a and b in order, and the places after the last token of each group."""
-    links, ends = [], []
-    i = j = 0
-    a_end, b_end = a_size[0], b_size[0]
-    while True:
-        links.append((i, j))
-        step_a, step_b = a_end <= b_end, b_end <= a_end
-        if step_a and step_b:
-            ends.append((i + 1, j + 1))
-            if i + 1 == len(a):
-                return links, ends
-        if step_a:
-            i += 1
-            a_end += a_size[i]
-        if step_b:
-            j += 1
-            b_end += b_size[j]
+def aligned(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links, as the places of their tokens in A and in B, and how many tokens of A and of B lie up to each group's end.
 
+    The cumulative ends of both sides are two sorted runs, which a stable sort merges in one pass; how many of either
+    side have come by then is where its pointer stands."""
+    ends = np.concatenate([np.cumsum(a_sizes), np.cumsum(b_sizes)])
+    order = np.argsort(ends, kind="stable")
+    merged, is_a = ends[order], order < len(a_sizes)
+    passed_a = np.cumsum(is_a)
+    passed_b = np.arange(1, len(order) + 1) - passed_a
+    stop = np.flatnonzero(np.append(merged[1:] != merged[:-1], True))  # each end once, at its last place
+    both = np.append(False, merged[1:] == merged[:-1])[stop]
+    i, j = passed_a[stop] - (both | is_a[stop]), passed_b[stop] - (both | ~is_a[stop])
+    return i, j, passed_a[stop][both], passed_b[stop][both]
 
-class Stretch(tuple):
-    """What is known of a stretch: n_a, n_b, n_groups, its groups as text, and its links as numbers."""
 
-    __slots__ = ()
+class Aligner:
+    """The ids of both tokenizers of a text, and what their tokens are in bytes."""
 
-
-class Aligner(dict):
-    """Aligned texts; as a dictionary, the stretches that were met."""
-
-    def __init__(self, files: tuple[str, str]):
+    def __init__(self, files: tuple[str, str, str]):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(files[0])
@@ -94,74 +86,61 @@ class Aligner(dict):
         alphabet = byte_alphabet()
         spelt = {i: token for token, i in self.a.get_vocab(with_added_tokens=True).items()}
         self.a_bytes = {i: bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode() for i, token in spelt.items()}
-        self.b = sentencepiece.SentencePieceProcessor(model_file=files[1])
+        with open(files[1], "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.quick = tiktoken.Encoding("quick", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.b = sentencepiece.SentencePieceProcessor(model_file=files[2])
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if len(pieces) > PAIR:
-            raise ValueError(f"{files[1]}: more than {PAIR} pieces")
+            raise ValueError(f"{files[2]}: more than {PAIR} pieces")
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.cuts = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces)
-
-    def made(self, text: str, b: list[int]) -> Stretch | None:
-        """The alignment of a stretch with these ids of B; None if the ids of A or B do not give back its bytes."""
-        a = self.a.encode(text, add_special_tokens=False).ids
-        a_bytes, b_bytes = [self.a_bytes[x] for x in a], [self.b_bytes[x] for x in b]
-        expected = text.encode()
-        if not a or not b or b"".join(a_bytes) != expected or b"".join(b_bytes) != expected:
-            return None
-        links, ends = aligned(a, [*map(len, a_bytes)], b, [*map(len, b_bytes)])
-        groups, i, j = [], 0, 0
-        for x, y in ends:
-            groups.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
-            i, j = x, y
-        return Stretch((len(a), len(b), len(ends), ";".join(groups), tuple(a[x] * PAIR + b[y] for x, y in links)))
-
-    def __missing__(self, stretch: str) -> Stretch | None:
-        # B adds a space ahead, so it encodes the stretch behind a line break, and what comes up to that is cut off
-        b = self.b.encode("\n" + stretch)
-        value = self.made(stretch, b[next(k for k, x in enumerate(b) if self.b_bytes[x] == b"\n") + 1 :])
-        if len(stretch) <= KEPT_LENGTH:
-            if len(self) > KEPT_STRETCHES:
-                self.clear()
-            self[stretch] = value
-        return value
-
-    def stretches(self, text: str) -> list[Stretch | None]:
-        """The parts of space and text."""
-        full = " " + text
-        if not self.cuts or "  " in full or "\n\n" in full or " \n" in full or "\n " in full or any(c in full for c in RARE_SPACES):
-            return [self.made(full, self.b.encode(text))]
-        out, get = [], self.__getitem__
-        for i, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if i:
-                out.append(get("\n"))
-                if words[0]:
-                    out.append(get(words[0]))
-            else:
-                out.append(get(" " + words[0]))
-            out.extend(map(get, [" " + w for w in words[1:]]))
-        return out
-
-
-def aligned_rows(files: tuple[str, str], keep_groups: bool, schema: pa.Schema):
+        self.a_sizes, self.b_sizes = np.zeros(max(self.a_bytes) + 1, dtype=np.int64), np.array([*map(len, self.b_bytes)])
+        self.a_sizes[list(self.a_bytes)] = [*map(len, self.a_bytes.values())]
+        #: Each id as text, with what stands after it inside a group and at its side's end.
+        spelt = lambda n, last: np.array([[f"{i}," for i in range(n)], [f"{i}{last}" for i in range(n)]], dtype=object)
+        self.a_text, self.b_text = spelt(len(self.a_sizes), "|"), spelt(len(self.b_sizes), ";")
+
+    def ids_of(self, text: str) -> list[int]:
+        """A's ids. Texts with white space that the two libraries may read differently, and those with very long words,
+        go to the one that reads the tokenizer's own file."""
+        if any(c in text for c in RARE_SPACES) or max(map(len, text.split(" ")), default=0) > LONG_WORD:
+            return self.a.encode(text, add_special_tokens=False).ids
+        return self.quick(text)
+
+    def groups(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> str:
+        """The groups as text: of each, its ids of A before its ids of B."""
+        out = np.empty(len(a) + len(b), dtype=object)
+        for ids, ends, text, others in ((a, a_ends, self.a_text, np.append(0, b_ends[:-1])), (b, b_ends, self.b_text, a_ends)):
+            last = np.zeros(len(ids), dtype=np.int64)
+            last[ends - 1] = 1
+            out[np.arange(len(ids)) + np.repeat(others, np.diff(ends, prepend=0))] = text[last, ids]
+        return "".join(out.tolist())[:-1]
+
+    def __call__(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
+        """Of each text the tokens in A and in B, the groups, these as text, and the links as numbers."""
+        decoded = [t.decode() for t in texts]
+        for raw, text, b in zip(texts, decoded, self.b.encode(decoded, num_threads=1), strict=True):
+            a, expected = self.ids_of(" " + text) if text else [], b" " + raw
+            if not text or b"".join(map(self.a_bytes.__getitem__, a)) != expected or b"".join(map(self.b_bytes.__getitem__, b)) != expected:
+                yield 0, 0, 0, "", np.zeros(0, dtype=np.int64)
+                continue
+            a, b = np.array(a), np.array(b)
+            i, j, a_ends, b_ends = aligned(self.a_sizes[a], self.b_sizes[b])
+            yield len(a), len(b), len(a_ends), self.groups(a, b, a_ends, b_ends), a[i] * PAIR + b[j]
+
+
+def aligned_rows(files: tuple[str, str, str], keep_groups: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache()
         if cache.get("aligner_of") != files:
             cache |= {"aligner_of": files, "aligner": Aligner(files)}
-        aligner, row = cache["aligner"], TaskContext.get().partitionId() << 40
-        for batch, texts in text_chunks(batches):
+        row = TaskContext.get().partitionId() << 40
+        for batch, texts in text_chunks(batches, size=TEXT_BYTES):
             out = []
-            for text in texts:
-                parts = aligner.stretches(text.decode()) if text else []
-                if None in parts:
-                    parts = []
-                n_a, n_b, n_groups, groups, links = zip(*parts, strict=True) if parts else [()] * 5
-                joined = ";".join(groups)
-                held = Counter()
-                for own in links:
-                    held.update(own)
-                digest = hashlib.sha256(joined.encode()).hexdigest() if parts else ""
-                out.append((row, sum(n_a), sum(n_b), sum(n_groups), sum(map(len, links)), digest, list(held), list(held.values()), joined))
+            for n_a, n_b, n_groups, groups, links in cache["aligner"](texts):
+                held, times = np.unique(links, return_counts=True)
+                digest = hashlib.sha256(groups.encode()).hexdigest() if n_a else ""
+                out.append((row, n_a, n_b, n_groups, len(links), digest, held, times, groups))
                 row += 1
             names = batch.column(batch.schema.get_field_index("id"))
             fields = [f for f in schema if f.name not in ("id", "groups")]
@@ -171,7 +150,7 @@ def aligned_rows(files: tuple[str, str], keep_groups: bool, schema: pa.Schema):
     return run
 
 
-def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files: tuple[str, str] | None = None, keep_groups: bool = False) -> DataFrame:
+def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files: tuple[str, str, str] | None = None, keep_groups: bool = False) -> DataFrame:
     """(row, id, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times, and groups if asked for), as a written table:
     of each row the groups and the links, these as numbers a * PAIR + b with how often each occurs."""
     bounded_batches(docs.sparkSession)
@@ -207,7 +186,7 @@ def scored(alignment: DataFrame, counts: DataFrame, lookup_keys: int = LOOKUP_KE
     return alignment.drop("pairs", "times").join(total, "row", "left").select(*[c for c in alignment.columns if c not in ("row", "pairs", "times")], *filled)
 
 
-def alignment_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files: tuple[str, str] | None = None) -> DataFrame:
+def alignment_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files: tuple[str, str, str] | None = None) -> DataFrame:
     """One row for each document: its id, n_a, n_b, n_groups, n_links, groups_sha256, n_best, n_best_b and count_sum."""
     alignment = align(docs, id_col, text_col, files)
     return scored(alignment, pair_counts(alignment))
