@@ -90,8 +90,8 @@ def disclosing(rows: DataFrame, near: DataFrame, support: int, generalise: float
     """(row, terms) for the documents that hold terms which disclose too much of an entity, terms being a map from
     these to what is to be done; rows has row and text for each document."""
     n = F.lit(float(max(rows.count(), 1)))
-    places = near.groupBy("entity", "term", "context", "row").agg(F.lit(1)).groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
-    together = places.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support)
+    counts = F.count_distinct("row").alias("n_both"), F.count_distinct("context").alias("contexts")
+    together = near.groupBy("entity", "term").agg(*counts).where(F.col("contexts") >= support)
     entities = cut(near.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")), "counted")
     # A term is held by at least the documents that have it next to some entity. Where these are too many already for
     # the lowest share, its other documents need not be counted.

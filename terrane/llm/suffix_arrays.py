@@ -3,12 +3,14 @@
 A task reads its documents in shards of about SHARD_BYTES of text and builds the suffix array of each: the places of
 its words, sorted by all words that follow, by prefix doubling. Every suffix of every benchmark item is binary-searched
 in every shard, which gives the run of places that begin with its window; of each place found, the neighbours in order
-give the longest verbatim match and where in which item it lies. Words that no item has end a suffix, and stretches
+among suffixes that begin with a window give the longest verbatim match and where in which item it lies. Matches inside
+another are left out. Words that no item has end a suffix, and stretches
 shorter than any window stay out of the array, which changes no result.
 
 The benchmark goes to the tasks in blocks of at most `block_words` words, one pass over the documents for each, written
 before the next begins, so what is broadcast and what a task holds have a fixed bound however large the benchmark is.
-Places and items are kept as sets, so a window that many places and many items share costs their sum.
+Longest matches of several blocks are merged by document, as one block would give them. Places and items are kept as
+sets, so a window that many places and many items share costs their sum.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z lower-cased. A window is
 `window` consecutive words of an item; an item of fewer words, but not none, is one window.
@@ -108,10 +110,11 @@ class Shard:
             total += np.where(self.levels[level][x] == self.levels[level][y], 1 << level, 0)
         return np.minimum(total, self.left[a])
 
-    def found(self) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Places of the shard that begin a window, how many words from there on windows cover, and (document, item)."""
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Places of the shard that begin a window, how many words from there on windows cover, where the widest of these
+        begins in the benchmark, and (document, item)."""
         s = self.suffixes
-        covered, owners = np.zeros(self.n, dtype=np.int64), []
+        covered, source, owners = np.zeros(self.n, dtype=np.int64), np.zeros(self.n, dtype=np.int64), []
         array = np.argsort(self.levels[-1][: self.n], kind="stable")
         for width, starts in s.windows.items():
             key = self.prefix(width)
@@ -126,7 +129,7 @@ class Shard:
             run = np.repeat(np.arange(len(runs)), ends - runs)
             whole = self.left[at] >= width
             at, run = at[whole], run[whole]
-            covered[at] = np.maximum(covered[at], width)
+            covered[at], source[at] = width, starts[hit][which][run]  # widths rise
             # Windows of the same items are one; a document meets each once, whatever the number of its places.
             items = [np.unique(x) for x in np.split(s.item[starts[hit]][np.argsort(low[hit], kind="stable")], np.cumsum(np.unique(low[hit], return_counts=True)[1])[:-1])]
             names: dict[bytes, int] = {}
@@ -134,30 +137,35 @@ class Shard:
             sets = [np.frombuffer(x, dtype=np.int64) for x in names]
             pair = np.unique(np.stack([self.doc[at], group[run]], axis=1), axis=0)
             owners.append((np.repeat(pair[:, 0], [len(sets[g]) for g in pair[:, 1]]), np.concatenate([sets[g] for g in pair[:, 1]]) if len(pair) else pair[:, 1]))
-        return np.flatnonzero(covered), covered, owners
+        return np.flatnonzero(covered), covered, source, owners
 
     def longest(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The longest match of each place with any suffix of the benchmark, and where that begins."""
-        own = self.levels[-1][self.n :]
+        """The longest match of places that begin a full window with any suffix that does, and where that begins."""
+        starts = self.suffixes.windows[self.suffixes.window]
+        own = self.levels[-1][self.n + starts]
         order = np.argsort(own, kind="stable")
         place = np.searchsorted(own[order], self.levels[-1][at])
-        before, after = (order[np.clip(p, 0, len(order) - 1)] for p in (place - 1, place))
+        before, after = (starts[order[np.clip(p, 0, len(order) - 1)]] for p in (place - 1, place))
         a, b = self.common(at, self.n + before), self.common(at, self.n + after)
         return np.maximum(a, b), np.where(b >= a, after, before)
 
 
 def shard_rows(suffixes: Suffixes, docs: list[list[bytes]]) -> tuple[list[list[dict]], list[list[dict]], list[list[str]]]:
-    """Of each document: the matches that none one word further left includes, what windows cover, and the items."""
+    """Of each document: its longest matches, none inside another, what windows cover, and the items."""
     matches, hits, items = ([[] for _ in docs] for _ in range(3))
     shard = Shard(suffixes, docs)
     if not shard.n:
         return matches, hits, items
-    at, covered, owners = shard.found()
+    at, covered, begin, owners = shard.found()
     if not len(at):
         return matches, hits, items
-    length, begin = shard.longest(at)
-    follows = np.append(False, (at[1:] == at[:-1] + 1) & (length[:-1] >= length[1:] + 1))
-    for p, n, t in zip(at[~follows].tolist(), length[~follows].tolist(), begin[~follows].tolist(), strict=True):
+    length, begin = covered[at], begin[at]
+    full = length == suffixes.window
+    if full.any():
+        length[full], begin[full] = shard.longest(at[full])
+    ends = np.maximum.accumulate(at + length)
+    widest = np.append(True, at[1:] + length[1:] > ends[:-1])
+    for p, n, t in zip(at[widest].tolist(), length[widest].tolist(), begin[widest].tolist(), strict=True):
         item = int(suffixes.item[t])
         matches[shard.doc[p]].append({"start": int(shard.place[p]), "length": n, "item_id": suffixes.ids[item], "item_start": t - int(suffixes.start[item])})
     step = np.zeros(shard.n + 1, dtype=np.int64)
@@ -172,6 +180,23 @@ def shard_rows(suffixes: Suffixes, docs: list[list[bytes]]) -> tuple[list[list[d
     return matches, hits, items
 
 
+def merged_matches(matches: list[dict]) -> list[dict]:
+    """The matches of several blocks without those that lie inside another, as one block would give them."""
+    kept, end = [], -1
+    for m in sorted(matches, key=lambda m: (m["start"], -m["length"])):
+        if m["start"] + m["length"] > end:
+            kept.append(m)
+            end = m["start"] + m["length"]
+    return kept
+
+
+def merged_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        i = batch.schema.get_field_index("matches")
+        made = pa.array([merged_matches(m) for m in batch.column(i).to_pylist()], batch.schema.field(i).type)
+        yield batch.set_column(i, batch.schema.field(i), made)
+
+
 def matching_rows(suffixes: Suffixes, schema: pa.Schema):
     """The matches with one block of the benchmark, a shard at a time."""
 
@@ -239,6 +264,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     every = lambda name: F.flatten(F.collect_list(name)).alias(name)  # noqa: E731  one entry for each block
     merged = parts.groupBy("id").agg(F.max("n_words").alias("n_words"), every("matches"), every("hits"), every("items"))
     words = cut(one_pass(numbered, []).select(F.col("id").alias("row"), F.col("n_words").alias("all_words")), "words")
+    merged = merged.mapInArrow(merged_rows, merged.schema)
     out = rows.select("row", "id").join(words, "row").join(merged.withColumnRenamed("id", "row"), "row", "left")
     empty = lambda name: F.coalesce(F.col(name), F.array().cast(COLUMNS[name])).alias(name)
     return out.select(F.col("id").alias(id_col), F.col("all_words").alias("n_words"), empty("matches"), empty("hits"), empty("items"))

@@ -183,7 +183,7 @@ def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def window_rows(marks: frozenset[str], schema: pa.Schema):
-    """Windows of the whole texts around the first marked words of toxic ones, and two others of each."""
+    """Windows of the whole texts around all marked words of toxic ones, and two others of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
@@ -193,7 +193,7 @@ def window_rows(marks: frozenset[str], schema: pa.Schema):
                 words = split_words(text)
                 known = {w: any(f in marks for f in features(w)) for w in set(words)} if label else {}
                 rng = np.random.default_rng(crc32(text))
-                at = [i for i, w in enumerate(words) if known.get(w)][:10] + (rng.integers(0, len(words), 2).tolist() if words else [])
+                at = [i for i, w in enumerate(words) if known.get(w)] + (rng.integers(0, len(words), 2).tolist() if words else [])
                 own = [words[max(0, i - REACH) : i + REACH + 1] for i in at]
                 found.append([{"words": w, "gold": [int(known.get(x, False)) for x in w]} for w in own])
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), pa.array(found, schema.field("windows").type)], schema=schema)

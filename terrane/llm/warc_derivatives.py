@@ -65,7 +65,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 def derive(records: DataFrame) -> DataFrame:
     """Two records for each response: warc_type, record_id, refers_to, target_uri, warc_date, content_type,
     content_length, block_digest, source_digest, source_headers and block."""
-    payload = F.col("payload")
+    payload = F.coalesce(F.col("payload"), F.lit(""))
     line = lambda name, value: F.when(F.char_length(value) > 0, F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
     flat = lambda text: F.trim(F.regexp_replace(resolved(text), r"[ \t\r\n\f]+", " "))
     links = F.array_join(F.transform(F.regexp_extract_all(payload, F.lit(LINK), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))), "")

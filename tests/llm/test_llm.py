@@ -283,16 +283,32 @@ def test_longest_matches_equal_brute_force():
                     n = 0
                     while p + n < len(words) and t + n < len(item) and words[p + n] == item[t + n]:
                         n += 1
-                    best[p] = max(best.get(p, 0), n)
                     if n >= width and (len(item) >= window or t == 0):
+                        best[p] = max(best.get(p, 0), n)
                         covered |= set(range(p, p + width))
                         seen.add(str(i))
             starts = {p for i, item in enumerate(own) for w in [min(window, len(item))] for t in range(len(item) - w + 1) for p in range(len(words) - w + 1) if words[p : p + w] == item[t : t + w]}
-            assert {(m["start"], m["length"]) for m in matches[d]} == {(p, best[p]) for p in starts if not (p - 1 in starts and best[p - 1] >= best[p] + 1)}
+            assert {(m["start"], m["length"]) for m in matches[d]} == {(p, best[p]) for p in starts if not any(q < p and q + best[q] >= p + best[p] for q in starts)}
             assert all(words[m["start"] : m["start"] + m["length"]] == own[int(m["item_id"])][m["item_start"] : m["item_start"] + m["length"]] for m in matches[d])
             assert {q for h in hits[d] for q in range(h["start"], h["start"] + h["length"])} == covered and set(names[d]) == seen
 
 
+def test_longest_matches_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(list("abcx"), rng.integers(0, 90), p=[0.5, 0.3, 0.15, 0.05])) for _ in range(40)] + ["one two three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    items = [(str(i), " ".join(rng.choice(list("abc"), rng.integers(1, 30), p=[0.6, 0.25, 0.15]))) for i in range(30)]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    got = []
+    for block_words in (10**6, 60, 8):
+        rows = suffix_arrays.find_matches(docs, benchmark, window=5, block_words=block_words).collect()
+        got.append({r.doc_id: sorted((m.start, m.length) for m in r.matches) for r in rows})
+        for r in rows:
+            words = texts[r.doc_id].split()
+            assert all(words[m.start : m.start + m.length] == dict(items)[m.item_id].split()[m.item_start : m.item_start + m.length] for m in r.matches)
+    assert got[0] == got[1] == got[2] and sum(map(len, got[0].values())) > 40
+
+
 def test_a_word_that_all_repeat_costs_the_sum_of_its_places():
     items = [(str(i), b"ha " * 3000) for i in range(40)]
     began = time.monotonic()
@@ -394,7 +410,7 @@ def slow_disclosure(rows, support, generalise, remove):
     best, actions = {}, {}
     for (entity, t), places in near.items():
         if len({p[:2] for p in places}) >= support and len(entities[entity]) < n:
-            x = share(len({p for p in places}), len(holds[t]), len(entities[entity]))
+            x = share(len({p[2] for p in places}), len(holds[t]), len(entities[entity]))
             best[t] = max(best.get(t, x), x)
     for t, x in best.items():
         if x >= generalise:
@@ -419,6 +435,17 @@ def test_disclosure_marks_equal_brute_force(spark, docs):
     assert clean[50] == "zan* alone" and clean[200] == "zanier talk"
 
 
+def test_contexts_of_one_document_count_it_once(spark):
+    """A term beside an entity in four contexts of one document, of four that hold the entity, and in three others."""
+    mail = "boss.man@corp.example.com"
+    rows = [(0, f" {words('p', 30)} ".join(f"{c * 4} zanzibar {mail} {c * 5}" for c in "abcd"))] + [(i, f"{"xyz"[i - 1] * 4} {mail} {"rst"[i - 1] * 5}") for i in (1, 2, 3)]
+    rows += [(10 + i, f"zanzibar talk{i}") for i in range(3)] + [(100 + i, f"other talk{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii_disclosure.scan(docs).where(F.size("marks") > 0).count() == 0
+    found = collections.Counter((r.doc_id, tuple((m.start, m.end, m.kind) for m in r.marks)) for r in pii_disclosure.scan(docs, support=3, generalise=0.4, remove=0.9).collect())
+    assert found == slow_disclosure(rows, 3, 0.4, 0.9) and any(marks for _, marks in found)
+
+
 def test_sanitise_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "to a.b@c.example now", "x", "y", "z")], "doc_id long, text string, row string, carried string, base string")
     out = pii_disclosure.sanitise(docs.withColumns({"marks": F.lit("m"), "__key": F.lit("k"), "terms": F.lit("t")})).first()
@@ -645,6 +672,8 @@ def test_warc_records(spark):
     assert got[1, "metadata"].block == "title: A & B\r\nlanguage: fr\r\noutlink: /x\r\n"
     assert got[1, "metadata"].refers_to == got[1, "conversion"].refers_to != got[4, "conversion"].refers_to
     assert got[1, "conversion"].source_digest == "sha256:" + hashlib.sha256(html.encode()).hexdigest()
+    bare = warc_derivatives.derive(warc_derivatives.responses(pages.where("page_id = 1")).withColumn("payload", F.lit(None).cast("string"))).collect()
+    assert [(r.block, r.content_length, r.block_digest) for r in bare] == [("", 0, "sha256:" + hashlib.sha256(b"").hexdigest())] * 2
     assert got[2, "conversion"].block == "" and got[2, "metadata"].target_uri is None and got[4, "conversion"].block == "open"
     text = {r.id: r.record for r in warc_derivatives.serialised(records.where("warc_type = 'conversion'")).collect()}
     head, block = text[1].split("\r\n\r\n", 1)
