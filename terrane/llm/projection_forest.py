@@ -9,8 +9,8 @@ counted, united and turned into components. Equal vectors are one class from the
 
 A pair that shares leaves of several trees counts in the first of them only, so counts need no list of pairs; a leaf
 returns counts and a spanning forest, one row per vector at most. Leaves beyond BLOCK vectors are dealt out as pairs
-of blocks. Vectors of different lengths never link: each length with more than BLOCK vectors has its own forest, any
-other is one leaf.
+of blocks. Vectors of different lengths never link: each length with more than LEAF vectors, one leaf's aim, has its own
+forest, any other is one leaf.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Repeated
 rows link with each other. A null id never names a component unless no member has one. An empty table gives an empty
@@ -148,15 +148,14 @@ def fitted_rows(cosine: float):
 
 
 def split_rows(cosine: float):
-    """The leaves of each post after one more round of splitting; posts of leaves that stay have a null depth."""
+    """The leaves of each post of a leaf that is split after one more round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = lambda name: batch.column(batch.schema.get_field_index(name))
-            node, leaf, depth = column("node").to_numpy(), column("leaf").to_numpy(), column("depth").fill_null(0).to_numpy()
-            stay = depth == 0
-            nodes, leaves = [node[stay]], [leaf[stay]]
-            for name in np.unique(leaf[~stay]).tolist():
+            node, leaf, depth = column("node").to_numpy(), column("leaf").to_numpy(), column("depth").to_numpy()
+            nodes, leaves = [node[:0]], [leaf[:0]]
+            for name in np.unique(leaf).tolist():
                 own = np.flatnonzero(leaf == name)
                 unit = unit_rows(matrix(column("v").take(pa.array(own))))
                 tree = Tree(name & 0x7FFFFFFF, np.frombuffer(column("splits")[int(own[0])].as_py(), dtype=np.float64), int(depth[own[0]]))
@@ -216,11 +215,11 @@ def linked_rows(cosine: float):
 
 def indexed(classes: DataFrame, cosine: float, trees: int) -> DataFrame:
     """(node, leaves) of all classes, leaves beyond LIMIT split again as long as that parts their members."""
-    lengths = {r.dims: r["count"] for r in classes.groupBy("dims").count().where(F.col("count") > BLOCK).collect()}
+    lengths = {r.dims: r["count"] for r in classes.groupBy("dims").count().where(F.col("count") > LEAF).collect()}
     forests = {}
     for dims, count in sorted(lengths.items()):
         share = F.pmod(F.xxhash64("node"), F.lit(max(1, count // SAMPLE))) == 0
-        sample = np.array([r.v for r in classes.where((F.col("dims") == dims) & share).select("v").limit(2 * SAMPLE).collect()], dtype=np.float64)
+        sample = matrix(classes.where((F.col("dims") == dims) & share).select("v").limit(2 * SAMPLE).toArrow().column("v"))
         forests[dims] = [grow(unit_rows(sample), count, 11 + tree) for tree in range(trees)]
     placed = cut(classes.select("node", "v", "dims").mapInArrow(leaf_rows(forests, cosine), "node long, leaves array<long>"), "leaves")
     for _ in range(ROUNDS):
@@ -233,9 +232,10 @@ def indexed(classes: DataFrame, cosine: float, trees: int) -> DataFrame:
         further = cut(sample.select("leaf", "size", "v").groupBy("leaf").applyInArrow(fitted_rows(cosine), "leaf long, depth int, splits binary").where("depth > 0"), "further")
         if further.isEmpty():
             break
-        split = posts.join(further, "leaf", "left").join(classes.select("node", "v"), "node").select("node", "leaf", "v", "depth", "splits")
-        split = split.mapInArrow(split_rows(cosine), "node long, leaf long").groupBy("node").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
-        placed = cut(split, "leaves")
+        stay = posts.join(further.select("leaf"), "leaf", "left_anti").select("node", "leaf")
+        split = posts.join(further, "leaf").join(classes.select("node", "v"), "node").select("node", "leaf", "v", "depth", "splits")
+        split = stay.unionByName(split.mapInArrow(split_rows(cosine), "node long, leaf long"))
+        placed = cut(split.groupBy("node").agg(F.array_sort(F.collect_set("leaf")).alias("leaves")), "leaves")
     return placed
 
 

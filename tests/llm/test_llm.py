@@ -604,6 +604,23 @@ def test_projection_forest(spark):
     assert projection_forest.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_production_forest_keeps_recall(spark):
+    """With the constants as they are: over 10,000 vectors, pairs planted just above the threshold, no other link near."""
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(5300, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=base.shape)
+    aside -= (aside * base).sum(axis=1, keepdims=True) * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9505, 0.96, size=(len(base), 1))
+    x = np.concatenate([base, (cosine * base + np.sqrt(1 - cosine**2) * aside) * 3])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in projection_forest.near_duplicates(df).collect()}
+    assert len(got) == len(x) and sum(got[i + 5300] == (1, i) and got[i] == (1, i) for i in range(5300)) >= 0.9 * 5300
+    trees = projection_forest.grow(projection_forest.unit_rows(x), len(x), 11)
+    assert trees.depth >= 5
+
+
 def test_deep_forest_keeps_recall(spark, monkeypatch):
     """Depth beyond what the first sample allows: leaves are split again on their own members, more than once."""
     for name, value in {"SAMPLE": 200, "LEAF_SAMPLE": 64, "LEAF": 4, "LIMIT": 24, "BLOCK": 16}.items():
