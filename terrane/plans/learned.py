@@ -9,12 +9,11 @@ from terrane.operators import learning
 from terrane.operators import timeseries as ts
 from terrane.plans.catalogue import query
 from terrane.plans.similarity import an19_jn6_pair_features
-from terrane.operators.retrieval import tokens
 from terrane.products import listings
 from terrane.products.areas import AreaStats
 from terrane.products.forecast import Forecaster
 from terrane.products.price import PricePredictor
-from terrane.products.search import phrases, search
+from terrane.products.search import search
 from terrane.session import cut, table
 
 
@@ -83,16 +82,6 @@ def an28_api_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(listings, asked)
 
 
-#: A lexicon of phrases and the places they stand for, as a search's community names would be.
-LEXICON = {"the of": "place-1", "of the": "place-2", "and the of": "place-3", "de la": "place-4", "la de": "place-5", "in": "place-6"}
-
-
-@query()
-def jn15_an29_lexicon_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(phrases(tokens(F.col("text")), LEXICON)).alias("p"))
-    return rows.groupBy("p.name", "p.place").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS day, o_totalprice AS price FROM orders), m AS (SELECT max(day) + 1 AS t FROM o), q AS (SELECT DISTINCT o_custkey, t AS day FROM o, m)
 SELECT q.o_custkey, CAST(q.day AS INTEGER) AS day, count(o.price) AS n, median(o.price) AS base FROM q LEFT JOIN o ON o.o_custkey = q.o_custkey AND o.day BETWEEN q.day - 365 AND q.day - 1 GROUP BY 1, 2""")
 def an17_prj12_serving_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:

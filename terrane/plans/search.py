@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.operators import evaluation as ev
 from terrane.operators import retrieval as rt
+from terrane.operators.phrases import with_phrases
 from terrane.plans.catalogue import query
+from terrane.products.places import lexicon
+from terrane.products.queries import parsed
 from terrane.session import table
 
 #: Query texts, stated as their terms.
@@ -84,3 +88,67 @@ def an35_prj18_slot_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = (F.col("p_size") <= 25) & (F.col("p_retailprice") < 1700)
     met = sum((c.cast("int") for c in exact[1:]), exact[0].cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", met.alias("met"), F.when(exact[0] & exact[1] & exact[2], 3).when(near, 2).otherwise(1).alias("grade"))
+
+
+#: A dictionary of phrases and the places they stand for; some begin or end inside others.
+PHRASES = {"the of": "place-1", "of the": "place-2", "and the of": "place-3", "de la": "place-4", "la de": "place-5", "in": "place-6", "the": "place-7", "la de la": "place-8"}
+
+
+@query(f"""WITH RECURSIVE p(phrase, place) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in PHRASES.items())}), w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+g AS (SELECT doc_id, s, n, array_to_string(w[s : s + n - 1], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM w), (SELECT unnest([1, 2, 3]) AS n) WHERE s + n - 1 <= len(w)),
+m AS (SELECT doc_id, s, max(n) AS n, max_by(phrase, n) AS phrase, max_by(place, n) AS place FROM g JOIN p USING (phrase) GROUP BY doc_id, s),
+x AS (SELECT m.*, o.s AS nxt FROM m ASOF LEFT JOIN (SELECT doc_id, s FROM m) o ON m.doc_id = o.doc_id AND m.s + m.n <= o.s),
+c AS (SELECT doc_id, min(s) AS s FROM m GROUP BY doc_id UNION ALL SELECT x.doc_id, x.nxt FROM c JOIN x USING (doc_id, s) WHERE x.nxt IS NOT NULL)
+SELECT phrase AS name, place, count(*) AS n FROM c JOIN x USING (doc_id, s) GROUP BY 1, 2""")
+def jn15_an29_lexicon_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", rt.tokens(F.col("text")).alias("words"))
+    found, numbered = with_phrases(rows, "words", spark.createDataFrame(list(PHRASES.items()), "name string, place string"), "name")
+    hits = found.select(F.explode("found.phrase").alias("number")).groupBy("number").agg(F.count(F.lit(1)).alias("n"))
+    return hits.join(F.broadcast(numbered), "number").select("name", "place", "n")
+
+
+def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as areas, regions as their aliases, part names as buildings, market segments and part types as projects."""
+    t = lambda name: table(spark, sf_dir, name)
+    areas = t("nation").select(F.col("n_nationkey").alias("area_id"), F.col("n_name").alias("name"))
+    aliases = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("area_id"), F.concat(F.lit("Al "), "r_name").alias("name"))
+    buildings = t("part").select((F.col("p_partkey") % 25).alias("area_id"), F.col("p_name").alias("name"))
+    projects = t("customer").select(F.col("c_nationkey").alias("area_id"), F.col("c_mktsegment").alias("name")).unionByName(t("part").select((F.col("p_partkey") % 25).alias("area_id"), F.col("p_name").alias("name")))
+    return lexicon(areas, aliases, buildings, projects)
+
+
+_KEY = "array_to_string(list_filter(string_split(trim(regexp_replace(lower({}), '[^0-9a-z]+', ' ', 'g')), ' '), lambda t: t <> 'al' AND t <> ''), ' ')"
+
+
+@query(f"""WITH r AS (SELECT 0 AS rank, 0 AS own, n_name AS name, n_nationkey AS id FROM nation UNION ALL SELECT 0, 1, 'Al ' || r_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 2, 0, p_name, p_partkey % 25 FROM part UNION ALL SELECT 3, 0, c_mktsegment, c_nationkey FROM customer UNION ALL SELECT 3, 0, p_name, p_partkey % 25 FROM part),
+k AS (SELECT *, {_KEY.format("name")} AS key FROM r), g AS (SELECT key, rank, arg_min(name, (own, name)) AS name, list_sort(list_distinct(list(CAST(id AS BIGINT)))) AS area_ids FROM k WHERE key <> '' AND (rank = 0 OR contains(key, ' ') OR length(key) >= 6) GROUP BY key, rank)
+SELECT key, CASE min(rank) WHEN 0 THEN 'area' WHEN 2 THEN 'building' ELSE 'project' END AS kind, arg_min(name, rank) AS name, array_to_string(arg_min(area_ids, rank), ',') AS ids, min(rank) > 0 AND NOT contains(key, ' ') AND NOT regexp_matches(key, '[0-9]') AS guarded FROM g GROUP BY key""")
+def an29_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexicon(spark, sf_dir).select("key", "kind", "name", F.array_join("area_ids", ",").alias("ids"), "guarded")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM part) SELECT unnest(['bedrooms', 'kind', 'min_price', 'max_price', 'min_size', 'area', 'building', 'amenity', 'words']) AS slot, n, n AS "right", CAST(1 AS DOUBLE) AS accuracy FROM n""")
+def an47_an28_parsed_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of a query for each part, written from its columns, against these: all of them are right."""
+    part = table(spark, sf_dir, "part").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("p_partkey") % 25 == F.col("n_nationkey"))
+    form, beds = F.col("p_partkey") % 5, (F.col("p_size") % 7).cast("int")
+    thousands = (F.round(F.col("p_retailprice")) + 100).cast("int")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("villa", "flat", "townhouse", "hotel_apartment")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    spoken = F.element_at(F.create_map(*[F.lit(x) for x in ("villa", "villas", "flat", "Apartment", "townhouse", "town house", "hotel_apartment", "serviced apartments")]), kind)
+    rooms = F.when(beds == 0, F.lit("studio")).when(form == 1, F.concat(F.element_at(F.array(*[F.lit(w) for w in ("one", "two", "three", "four", "five", "six")]), F.greatest(beds, F.lit(1))), F.lit("-bedroom"))).otherwise(F.concat(beds.cast("string"), F.lit("BR")))
+    budget = (
+        F.when(form == 0, F.format_string("under %dk", thousands))
+        .when(form == 1, F.format_string("between %dk and %d.5m", thousands, thousands))
+        .when(form == 2, F.format_string("at least AED %d,000", thousands % 900 + 100))
+        .when(form == 3, F.format_string("%d-%dk", thousands, thousands + 50))
+        .otherwise(F.format_string("%d,000", thousands % 900 + 100))
+    )
+    low = F.when(form.isin(1, 3), thousands * 1e3).when(form == 2, (thousands % 900 + 100) * 1e3)
+    high = F.when(form == 0, thousands * 1e3).when(form == 1, thousands * 1e6 + 5e5).when(form == 3, (thousands + 50) * 1e3).when(form == 4, (thousands % 900 + 100) * 1e3)
+    text = F.concat_ws(" ", F.lit("quiet"), rooms, spoken, F.lit("in"), "n_name", F.lit("at"), "p_name", budget, F.lit("over"), F.concat(F.col("p_size") * 10, F.lit(" sqft with a pool")))
+    asked = part.select(text.alias("text"), beds.alias("true_bedrooms"), kind.alias("true_kind"), low.alias("true_min_price"), high.alias("true_max_price"), F.round(F.col("p_size") * 10 * 0.092903, 2).alias("true_min_size"), F.col("n_name").alias("true_area"), F.col("p_name").alias("true_building"), F.lit("shared pool").alias("true_amenity"), F.lit("quiet").alias("true_words"))
+    got = parsed(asked, lexicon=_lexicon(spark, sf_dir))
+    s = lambda name: F.col(f"slots.{name}").alias(f"parsed_{name}")
+    rows = got.select("*", *[s(c) for c in ("bedrooms", "kind", "min_price", "max_price", "min_size", "building")], F.col("slots.area_name").alias("parsed_area"), F.array_join("slots.amenities", ",").alias("parsed_amenity"), F.array_join("slots.words", ",").alias("parsed_words")).drop("slots")
+    return ev.slot_accuracy(rows, {c: 0.001 if c.endswith(("price", "size")) else None for c in ("bedrooms", "kind", "min_price", "max_price", "min_size", "area", "building", "amenity", "words")})

@@ -2,52 +2,28 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.operators import retrieval
 from terrane.products.queries import parsed
 from terrane.session import cut
 
-def longest_matches(tokens: list[str], lexicon: dict[str, str], longest: int = 6) -> list[tuple[str, str]]:
-    """Greedy longest matches of token runs against a lexicon, from left to right: (name, place)."""
-    first = {name.split(" ", 1)[0] for name in lexicon}
-    found, i = [], 0
-    while i < len(tokens):
-        step = 1
-        if tokens[i] in first:
-            for n in range(min(longest, len(tokens) - i), 0, -1):
-                name = " ".join(tokens[i : i + n])
-                if name in lexicon:
-                    found.append((name, lexicon[name]))
-                    step = n
-                    break
-        i += step
-    return found
-
-
-def phrases(tokens: Column, lexicon: dict[str, str], longest: int = 6) -> Column:
-    """longest_matches of each row, in Arrow batches. The lexicon is a dimension of a bounded size."""
-
-    @F.pandas_udf("array<struct<name:string,place:string>>")
-    def match(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda ts: [{"name": n, "place": p} for n, p in longest_matches(list(ts) if ts is not None else [], lexicon, longest)])
-
-    return match(tokens)
-
-
-def search(listings: DataFrame, queries: DataFrame, k: int = 10, depth: int = 200) -> DataFrame:
+def search(listings: DataFrame, queries: DataFrame, k: int = 10, depth: int = 200, lexicon: DataFrame | None = None) -> DataFrame:
     """(query, id, rank, grade, score): queries has query and text; listings id, text, bedrooms, price, kind, posted,
-    cluster and, if they have it, size. Hits that miss a stated slot rank below those that meet it."""
-    asked = cut(parsed(queries.select("query", "text")), "asked")  # written, so that no filter is pushed into the passes
+    cluster and, if they have them, size and area. Hits that miss a stated slot rank below those that meet it; areas that a
+    query names are those of the lexicon (see products.places)."""
+    asked = cut(parsed(queries.select("query", "text"), lexicon=lexicon), "asked")  # written, so that no filter is pushed into the passes
     terms = asked.select("query", F.explode("slots.words").alias("term"))
     text = retrieval.ranked(retrieval.term_scores(listings, terms, "id", "text"), "query", F.round("score", 9), "doc", depth)
-    attributes = listings.select(F.col("id").alias("doc"), "bedrooms", "price", "kind", "posted", "cluster", *[c for c in ("size",) if c in listings.columns])
-    stated = asked.select("query", *[F.col(f"slots.{c}") for c in ("bedrooms", "kind", "min_price", "max_price", "min_size")])
+    attributes = listings.select(F.col("id").alias("doc"), "bedrooms", "price", "kind", "posted", "cluster", *[c for c in ("size", "area") if c in listings.columns])
+    areas = F.when(F.size("slots.area_ids") > 0, F.col("slots.area_ids")).alias("area_ids")
+    stated = asked.select("query", *[F.col(f"slots.{c}") for c in ("bedrooms", "kind", "min_price", "max_price", "min_size")], areas)
     meets = [("bedrooms", F.col("s_bedrooms") == F.col("bedrooms")), ("max_price", F.col("price") <= F.col("s_max_price")), ("min_price", F.col("price") >= F.col("s_min_price")), ("kind", F.col("s_kind") == F.col("kind"))]
     if "size" in listings.columns:
         meets.append(("min_size", F.col("size") >= F.col("s_min_size")))
+    if "area" in listings.columns:
+        meets.append(("area_ids", F.array_contains("s_area_ids", F.col("area").cast("long"))))
     stated = stated.withColumnsRenamed({c: f"s_{c}" for c in stated.columns if c != "query"})
     slot_hits = attributes.join(F.broadcast(stated), (F.col("s_bedrooms") == F.col("bedrooms")) & (F.col("s_kind").isNull() | (F.col("s_kind") == F.col("kind"))))
     slot_hits = retrieval.ranked(slot_hits.select("query", "doc", "posted"), "query", F.unix_date(F.to_date("posted")).cast("double"), "doc", depth)

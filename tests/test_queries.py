@@ -53,7 +53,6 @@ HOLDS = {
     "an15_bootstrap_mean": lambda rows: len(rows) == 1 and rows[0].low <= rows[0].mean <= rows[0].high,
     "api_price_predictor": lambda rows: rows and all(r.low_95 <= r.low_80 <= r.estimate <= r.high_80 <= r.high_95 for r in rows if r.estimate is not None),
     "an28_api_search": lambda rows: {r.query for r in rows} == {1, 2, 3, 4} and all(r.rank <= 10 and r.grade in (1, 2, 3) for r in rows) and len({(r.query, r.rank) for r in rows}) == len(rows),
-    "jn15_an29_lexicon_phrases": lambda rows: rows and all(r.n > 0 and r.place.startswith("place-") for r in rows),
     "api_forecaster": lambda rows: rows and all(r.state_1y == "deployed" or r.forecast_1y is None for r in rows),
     "api_listing_checker": lambda rows: all(r.a < r.b and 0 <= r.score <= 1 for r in rows),
     "st1_token_bucket": lambda rows: rows and all(r.admitted >= 1 and r.refused >= 0 for r in rows),

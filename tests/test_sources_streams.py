@@ -1,14 +1,16 @@
 """Sources, sinks, ingestion and streams on small files."""
 
 import json
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from terrane.operators import ingestion
+from terrane.operators import phrases
+from terrane.products.places import lexicon
 from terrane.products.queries import parsed
-from terrane.products.search import longest_matches
 from terrane.sources import readers, sinks
 from terrane.streaming import limiter, windows
 
@@ -111,8 +113,59 @@ def test_sinks(spark, tmp_path):
     assert sinks.latest_run(spark.read.parquet(ledger), "build").first().run_id == "r1"
 
 
-def test_phrases_are_longest_first_from_left():
-    assert longest_matches("a b c a b".split(), {"a b": "1", "a": "2", "b c": "3"}) == [("a b", "1"), ("a b", "1")]
+def test_phrases_equal_trying_each_place():
+    rng = random.Random(3)
+    for _ in range(200):
+        known = {tuple(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(rng.randint(1, 8))}
+        words = rng.choices("abcd", k=30)
+        automaton = phrases.Automaton([list(k) for k in sorted(known)])
+        every = sorted((i, i + len(k)) for k in known for i in range(len(words)) if tuple(words[i : i + len(k)]) == k)
+        assert sorted((a, b) for a, b, _ in automaton.every(words)) == every
+        expected, i = [], 0
+        while i < len(words):
+            size = max((b - a for a, b in every if a == i), default=0)
+            expected += [(i, i + size)] if size else []
+            i += max(size, 1)
+        found = automaton.longest(words)
+        assert [(a, b) for a, b, _ in found] == expected and all(tuple(words[a:b]) == sorted(known)[p] for a, b, p in found)
+
+
+def test_phrases_of_odd_rows(spark):
+    dictionary = spark.createDataFrame([("a b", 1), ("a b", 0), (None, 2), ("", 3), ("c", 4)], "phrase string, place int")
+    rows = spark.createDataFrame([(1, ["a", "b", "c"]), (2, None), (3, []), (4, [None, "c"])], "n int, words array<string>")
+    found, numbered = phrases.with_phrases(rows, "words", dictionary, "phrase")
+    known = {r.number: r.place for r in numbered.collect()}
+    assert {r.n: [(m.start, m.end, known[m.phrase]) for m in r.found] for r in found.collect()} == {1: [(0, 2, 0), (2, 3, 4)], 2: [], 3: [], 4: [(1, 2, 4)]}
+
+
+def place_lexicon(spark):
+    make = lambda rows: spark.createDataFrame(rows, "name string, area_id long")
+    areas = make([("Dubai Marina", 1), ("Business Bay", 3), ("Al Barsha", 4), ("Barsha", 6)])
+    buildings = make([("Marina Gate", 1), ("Lakeside", 9), ("Luma21", 9), ("The Villa", 9), ("Business Bay", 9), ("Tiny", 9), ("Dubai Studio City", 8), (None, 1), ("--", 1)])
+    return lexicon(areas, make([("Marina", 1), ("Marina", 2)]), buildings, make([("Marina Gate", 5), ("Project 5", 5)]), make([("The Springs 3 - East", 500)]))
+
+
+PLACES = [
+    ("flat at Marina Gate", {"building": "Marina Gate", "building_area_ids": [1], "area_ids": [], "unknown_places": []}),
+    ("marina, business bay", {"area_name": "Marina", "area_ids": [1, 2], "building": None}),
+    ("villa in al barsha", {"area_ids": [4, 6], "area_name": "Al Barsha"}),
+    ("villa with lakeside view", {"building": None, "words": ["lakeside", "view"]}),
+    ("flat near the Lakeside", {"building": "Lakeside", "unknown_places": []}),
+    ("show me the villa with pool", {"building": None, "kind": "villa", "amenities": ["shared pool"]}),
+    ("flat at The Villa", {"building": "The Villa", "kind": "flat"}),
+    ("luma21 studio tiny", {"building": "Luma21", "bedrooms": 0, "words": ["tiny"]}),
+    ("2 bed in Dubai Studio City 1.2m", {"building": "Dubai Studio City", "bedrooms": 2, "max_price": 1.2e6}),
+    ("villa in the Springs", {"area_ids": [500], "unknown_places": []}),
+    ("villa in project 5 up to 900k", {"building": "Project 5", "max_price": 9e5}),
+    ("no more than 2m, 24/7 security and maid's room", {"max_price": 2e6, "amenities": ["24/7 security", "maid's room"]}),
+]
+
+
+def test_queries_name_places(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PLACES)], "n int, text string")
+    got = {r.n: r.slots for r in parsed(rows, lexicon=place_lexicon(spark)).collect()}
+    for i, (text, wanted) in enumerate(PLACES):
+        assert {k: got[i][k] for k in wanted} == wanted, text
 
 
 QUERIES = [
