@@ -48,7 +48,12 @@ def contenders(scored: DataFrame, contender: str, query: str, item: str, score:
 
 def top_drivers(contributions: list[str], k: int, least: float) -> Column:
     """The k columns of the largest absolute contribution, largest first, ties by name, those below `least` left out."""
-    every = F.array(*[F.struct((-F.abs(F.col(c))).alias("size"), F.lit(c).alias("name"), F.col(c).alias("value")) for c in contributions])
+    return drivers(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in contributions]), k, least)
+
+
+def drivers(contributions: Column, k: int, least: float) -> Column:
+    """The same of an array of (name, value), as operators.contributions gives it."""
+    every = F.transform(contributions, lambda d: F.struct((-F.abs(d["value"])).alias("size"), d["name"].alias("name"), d["value"].alias("value")))
     kept = F.filter(every, lambda d: -d["size"] >= least)
     return F.transform(F.slice(F.array_sort(kept), 1, k), lambda d: F.struct(d["name"].alias("name"), d["value"].alias("value")))
 

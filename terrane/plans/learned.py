@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.operators import learning
+from terrane.operators.contributions import with_contributions
+from terrane.operators.evaluation import drivers
 from terrane.operators import timeseries as ts
 from terrane.plans.catalogue import query
 from terrane.plans.similarity import an19_jn6_pair_features
@@ -36,6 +38,17 @@ def an38_boosted_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.predict(model, rows, "fitted").where("check").agg(F.round(F.sqrt(F.avg(F.pow(F.col("y") - F.col("fitted"), 2))), 4).alias("rmse"), F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def an39_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each feature adds to the price of each line, and the three that add most."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    rows = cut(lines.select("l_orderkey", "l_linenumber", F.ln("l_extendedprice").alias("y"), F.ln("l_quantity").alias("q"), F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").alias("p")), "rows")
+    model = learning.fit_boosted(rows, ["q", "s", "p"], "y", trees=5, depth=4)
+    told = with_contributions(model, learning.predict(model, rows, "fitted"), ["q", "s", "p"])
+    total = F.aggregate("contributions", F.col("base_value"), lambda a, c: a + c["value"])
+    return told.select("l_orderkey", "l_linenumber", "fitted", "base_value", (total - F.col("fitted")).alias("gap"), drivers(F.col("contributions"), 3, 0.001).alias("drivers"))
+
+
 @query()
 def an37_pointwise_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pointwise ranker on grades, in place of a listwise learner that Spark ML does not have."""

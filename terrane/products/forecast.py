@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.operators import folds, learning, timeseries
+from terrane.operators import contributions, evaluation, folds, learning, timeseries
 from terrane.session import cut
 
 #: Fixed frames, in days from the row: base, and one target per horizon.
@@ -15,6 +15,8 @@ BASE = (-92, -1)
 HORIZONS = {"3m": (76, 107), "1y": (335, 396), "3y": (1065, 1126)}
 LAGS = {"3m": 91, "1y": 365, "3y": 1096}
 MIN_SALES = 5
+#: Features that a forecast is explained by at most, and the contribution of each at least.
+DRIVERS, LEAST_DRIVER = 3, 0.001
 
 
 def keys(sales: DataFrame) -> DataFrame:
@@ -92,13 +94,17 @@ class Forecaster:
         return self
 
     def forecast(self, requests: DataFrame) -> DataFrame:
-        """requests: area, building, kind. Features as of the day after the data end, from rows without a value."""
+        """requests: area, building, kind. Features as of the day after the data end, from rows without a value.
+        Deployed forecasts come with the features that contribute most."""
         end = self.sales.agg(F.date_add(F.max("date"), 1).alias("date"))
         asked = requests.select("area", "building", "kind").distinct().join(F.broadcast(end)).withColumn("asked", F.lit(True))
         rows = dataset(self.sales.unionByName(asked, allowMissingColumns=True)).where("asked").withColumn("log_base", F.ln("base"))
         for h in HORIZONS:
             if h in self.models:
-                rows = learning.predict(self.models[h], rows, f"forecast_{h}").withColumn(f"state_{h}", F.lit("deployed"))
+                scored = contributions.with_contributions(self.models[h], learning.predict(self.models[h], rows, f"forecast_{h}"), FEATURES)
+                told = evaluation.drivers(F.col("contributions"), DRIVERS, LEAST_DRIVER)
+                rows = scored.withColumns({f"drivers_{h}": told, f"state_{h}": F.lit("deployed")}).drop("contributions", "base_value")
             else:
-                rows = rows.withColumns({f"forecast_{h}": F.lit(None).cast("double"), f"state_{h}": F.lit("not_deployed: " + "; ".join(self.reasons.get(h, [])))})
-        return rows.select("area", "building", "kind", "level", "base", *[f"{x}_{h}" for h in HORIZONS for x in ("forecast", "state")])
+                nothing = F.lit(None).cast("array<struct<name:string,value:double>>")
+                rows = rows.withColumns({f"forecast_{h}": F.lit(None).cast("double"), f"drivers_{h}": nothing, f"state_{h}": F.lit("not_deployed: " + "; ".join(self.reasons.get(h, [])))})
+        return rows.select("area", "building", "kind", "level", "base", *[f"{x}_{h}" for h in HORIZONS for x in ("forecast", "state", "drivers")])

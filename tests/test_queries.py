@@ -49,6 +49,7 @@ def test_query_agrees_with_sql(spark, duck, name):
 HOLDS = {
     "an21_an23_pair_model": lambda rows: len(rows) > 100 and all(0 <= r.score <= 1 and 0 <= r.blind <= 1 for r in rows),
     "an38_boosted_regression": lambda rows: len(rows) == 1 and rows[0].n > 0 and 0 < rows[0].rmse < 1.0,
+    "an39_contributions": lambda rows: len(rows) > 1000 and all(abs(r.gap) < 1e-9 and len(r.drivers) <= 3 for r in rows) and all(abs(a.value) >= abs(b.value) >= 0.001 for r in rows for a, b in zip(r.drivers, r.drivers[1:])) and any(r.drivers for r in rows),
     "an37_pointwise_ranker": lambda rows: rows and all(0 <= r.ndcg <= 1 and 0 <= r.mrr <= 1 for r in rows),
     "an15_bootstrap_mean": lambda rows: len(rows) == 1 and rows[0].low <= rows[0].mean <= rows[0].high,
     "api_price_predictor": lambda rows: rows and all(r.low_95 <= r.low_80 <= r.estimate <= r.high_80 <= r.high_95 for r in rows if r.estimate is not None),
