@@ -16,6 +16,8 @@ from terrane.session import cut
 
 #: Monotonically increasing ids hold the partition above these bits and the place in it below.
 PLACE_BITS = 33
+#: Values of a group that one task sorts at most.
+GATHERED = 100_000
 
 
 def ranked(df: DataFrame, order: list[Column], falling: int = 0) -> DataFrame:
@@ -57,14 +59,27 @@ def running(df: DataFrame, order: list[Column], values: list[str], falling: int
 
 def at_ranks(df: DataFrame, keys: list[str], value: str, picks: dict[str, Column]) -> DataFrame:
     """(keys, n, names): of each group the value at the rank (from 0, within the group, by rising value) that a pick
-    gives in terms of n; null where the rank is null or beyond the group. Null values are left out, null keys equal."""
-    table = ranked(df.where(F.col(value).isNotNull()).select(*keys, value), [*[F.col(k) for k in keys], F.col(value)])
-    group = F.struct(*keys) if keys else F.lit(0)
-    groups = table.groupBy(group.alias("__g")).agg(F.min("rank").alias("__start"), F.count(F.lit(1)).alias("n"))
-    asked = F.array(*[F.struct(F.lit(name).alias("pick"), F.when(at < F.col("n"), F.col("__start") + at).cast("long").alias("rank")) for name, at in picks.items()])
-    wanted = cut(groups.select("__g", "n", F.explode(asked).alias("__p")).select("__g", "n", "__p.*"), "wanted")
-    found = wanted.join(table.select("rank", F.col(value).alias("__v")), "rank", "left")
-    out = found.groupBy("__g", "n").agg(*[F.max(F.when(F.col("pick") == name, F.col("__v"))).alias(name) for name in picks])
+    gives in terms of n; null where the rank is null or beyond the group. Null values are left out, null keys equal.
+
+    Groups of up to GATHERED values are sorted whole, each in one task; larger ones by one range sort over all tasks."""
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("__all"))
+    rows = df.where(F.col(value).isNotNull()).select(group.alias("__g"), F.col(value).alias("__v"))
+    sizes = cut(rows.groupBy("__g").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    large = sizes.where(F.col("n") > GATHERED).select("__g")
+    none = large.isEmpty()
+    place = F.row_number().over(Window.partitionBy("__g").orderBy("__v")) - 1
+    small = (rows if none else rows.join(large, "__g", "left_anti")).withColumns({"__r": place, "n": F.count(F.lit(1)).over(Window.partitionBy("__g"))})
+    out = small.groupBy("__g", "n").agg(*[F.max(F.when(F.col("__r") == at, F.col("__v"))).alias(name) for name, at in picks.items()])
+    if not none:
+        whole = rows.join(large, "__g", "left_semi")
+        table = ranked(whole, [*[F.col("__g")[k] for k in keys], F.col("__v")])
+        groups = table.groupBy("__g").agg(F.min("rank").alias("__start"), F.count(F.lit(1)).alias("n"))
+        asked = F.array(*[F.struct(F.lit(name).alias("pick"), F.when(at < F.col("n"), F.col("__start") + at).cast("long").alias("rank")) for name, at in picks.items()])
+        # One row for each large group and pick: Spark broadcasts it where its measured size allows.
+        wanted = cut(groups.select("__g", "n", F.explode(asked).alias("__p")).select("__g", "n", "__p.*"), "wanted")
+        found = wanted.join(table.select("rank", "__v"), "rank").select("__g", "n", "pick", "__v")
+        found = found.unionByName(wanted.select("__g", "n", "pick", F.lit(None).cast(table.schema["__v"].dataType).alias("__v")))
+        out = out.unionByName(found.groupBy("__g", "n").agg(*[F.max(F.when(F.col("pick") == name, F.col("__v"))).alias(name) for name in picks]))
     return out.select(*[F.col("__g")[k].alias(k) for k in keys], "n", *picks)
 
 

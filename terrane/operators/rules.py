@@ -91,9 +91,10 @@ def outlier_reason(z: Column, shifted: Column, threshold: float = THRESHOLD, nam
 
 def group_mad_screen(df: DataFrame, value: str, keys: list[str], min_group: int = 10, threshold: float = 3.0) -> DataFrame:
     """Adds `outlier`: beyond `threshold` robust deviations within its group; small or flat groups are not screened."""
-    med = df.groupBy(*keys).agg(F.median(value).alias("__med"), F.count(F.lit(1)).alias("__n"))
-    with_med = _join_null_safe(df, med, keys)
-    mad = with_med.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("__med"))).alias("__mad"))
+    df = cut(df, "screened")
+    med = ranks.quantiles(df, keys, value, {"__med": 0.5}).withColumnRenamed("n", "__n")
+    with_med = cut(_join_null_safe(df, med, keys), "centred")
+    mad = ranks.quantiles(with_med.withColumn("__gap", F.abs(F.col(value) - F.col("__med"))), keys, "__gap", {"__mad": 0.5}).drop("n")
     out = _join_null_safe(with_med, mad, keys)
     z = (F.col(value) - F.col("__med")) / (F.lit(MAD_SCALE) * F.col("__mad"))
     hit = F.when((F.col("__n") >= min_group) & (F.col("__mad") > 0), F.abs(z) > threshold)

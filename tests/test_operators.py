@@ -152,7 +152,10 @@ def test_rooms(spark, text, label, bedrooms):
     assert (row.label, row.bedrooms) == (label, bedrooms)
 
 
-def test_ranks_and_quantiles_of_groups(spark):
+@pytest.mark.parametrize("gathered", [ranks.GATHERED, 30, 0])
+def test_ranks_and_quantiles_of_groups(spark, monkeypatch, gathered):
+    """Groups that are sorted whole, and those that a range sort spreads, give the same."""
+    monkeypatch.setattr(ranks, "GATHERED", gathered)
     rng = np.random.default_rng(2)
     rows = [(None if g == 3 else int(g), float(v)) for g, v in zip(rng.choice(4, 500, p=[0.7, 0.2, 0.05, 0.05]), rng.integers(0, 40, 500))] + [(9, None), (8, 1.0)]
     df = spark.createDataFrame(rows, "g int, v double")
