@@ -68,7 +68,7 @@ def with_sides(text: Column, spans: Column) -> Column:
 def near_terms(rows: DataFrame) -> DataFrame:
     """(row, entity, context, term): the terms next to the entities of each row."""
     held = rows.select("row", F.explode("spans").alias("s"))
-    entity = F.sha2(F.concat_ws(":", "s.span.kind", F.lower("s.span.value")), 256)
+    entity = F.unhex(F.substring(F.sha2(F.concat_ws(":", "s.span.kind", F.lower("s.span.value")), 256), 1, 32))  # 128 bits name an entity
     context = F.xxhash64(F.col("s.sides")[0]["part"], F.col("s.sides")[1]["part"])
     sides = held.select("row", entity.alias("entity"), context.alias("context"), F.explode("s.sides").alias("side"))
     terms = sides.select("row", "entity", "context", "side", F.explode(found(F.col("side.part"), TERM, 0)).alias("t"))
