@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,21 +29,77 @@ def rolling(value: Column | str, frame: Window) -> tuple[Column, Column]:
     return F.percentile(value, 0.5).over(frame), F.count(value).over(frame)
 
 
-def rolling_stats(df: DataFrame, keys: list[str], day: str, value: str, frames: dict[str, tuple[int, int]]) -> DataFrame:
-    """Adds <name>_median and <name>_n for each frame of days; all frames of one key share a shuffle and a sort.
+#: Rows of one key from which on its frames are worked out by blocks of days instead of in one window.
+HOT_ROWS = 10_000
 
-    Rows with a null key get null and 0.
-    """
+
+def rolling_stats(df: DataFrame, keys: list[str], day: str, value: str, frames: dict[str, tuple[int, int]], counts: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """Adds <name>_median and <name>_n for each frame of days, and <name>_n alone for those of `counts`. Rows with a null
+    key get null and 0.
+
+    A key of few rows is one window; all its frames share a shuffle and a sort. A key of more than HOT_ROWS is cut into
+    blocks of days: each value goes to the blocks whose days see it in some frame, so one key spreads over tasks. Frames
+    depend on key and day alone, so a block selects one median for each of its days, whatever the number of its rows,
+    and rows take theirs by key and day."""
+    counts = counts or {}
+    hot = cut(df.where(_known(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_ROWS).select(*keys, F.lit(True).alias("__hot")), "hot")
+    if hot.isEmpty():
+        return _windowed_stats(df, keys, day, value, frames, counts)
+    split = df.join(hot, keys, "left").select(*df.columns, (F.coalesce("__hot", F.lit(False)) & F.col(day).isNotNull()).alias("__hot"))
+    few = _windowed_stats(split.where("not __hot").drop("__hot"), keys, day, value, frames, counts)
+    many = split.where("__hot").drop("__hot")
+    found = _blocked_stats(many, keys, day, value, frames, counts)
+    return few.unionByName(many.join(found, [*keys, day]).select(*few.columns))
+
+
+def _known(keys: list[str]) -> Column:
     known = F.lit(True)
     for key in keys:
         known = known & F.col(key).isNotNull()
-    columns = {}
-    for name, (low, high) in frames.items():
+    return known
+
+
+def _windowed_stats(df: DataFrame, keys: list[str], day: str, value: str, frames: dict[str, tuple[int, int]], counts: dict[str, tuple[int, int]]) -> DataFrame:
+    known, columns = _known(keys), {}
+    for name, (low, high) in (frames | counts).items():
         median, count = rolling(value, day_frame(keys, day, low, high))
-        columns |= {f"{name}_median": F.when(known, median), f"{name}_n": F.when(known, count).otherwise(F.lit(0))}
+        if name in frames:
+            columns[f"{name}_median"] = F.when(known, median)
+        columns[f"{name}_n"] = F.when(known, count).otherwise(F.lit(0))
     return df.withColumns(columns)
 
 
+def _blocked_stats(df: DataFrame, keys: list[str], day: str, value: str, frames: dict[str, tuple[int, int]], counts: dict[str, tuple[int, int]]) -> DataFrame:
+    """(keys, day, statistics) of each key and day."""
+    every = frames | counts
+    span = max(1, (max(h for _, h in every.values()) - min(lo for lo, _ in every.values()) + 1) // 2)
+    block = lambda at: F.floor(at / F.lit(span)).cast("long")
+    seen = F.array_distinct(F.flatten(F.array(*[F.sequence(block(F.col(day) - high), block(F.col(day) - low)) for low, high in every.values()])))
+    values = df.where(F.col(value).isNotNull()).select(*keys, F.explode(seen).alias("__block"), F.col(day).cast("long").alias("__at"), F.col(value).cast("double").alias("__v"))
+    asked = df.select(*keys, F.col(day).cast("long").alias("__at")).distinct().select(*keys, block(F.col("__at")).alias("__block"), "__at", F.lit(None).cast("double").alias("__v"))
+    kinds = {k: df.schema[k].dataType.simpleString() for k in keys}
+    named = [f"{name}_{what}" for name in every for what in (("median", "n") if name in frames else ("n",))]
+    schema = ", ".join([*[f"`{k}` {t}" for k, t in kinds.items()], "__at long", *[f"{c} {'double' if c.endswith('_median') else 'long'}" for c in named]])
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        at, v = table.column("__at").to_numpy(), table.column("__v").to_numpy()
+        missing = np.isnan(v)  # nulls: the days that are asked for
+        missing = missing & table.column("__v").is_null().to_numpy()
+        days, order = np.unique(at[missing]), np.argsort(at[~missing], kind="stable")
+        at, v = at[~missing][order], v[~missing][order]
+        out = {k: pa.repeat(x, len(days)) for k, x in zip(keys, key[:-1], strict=True)} | {"__at": pa.array(days, pa.int64())}
+        for name, (low, high) in every.items():
+            first, last = np.searchsorted(at, days + low, "left"), np.searchsorted(at, days + high, "right")
+            if name in frames:
+                medians = [float(np.median(v[a:b])) if b > a else None for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                out[f"{name}_median"] = pa.array(medians, pa.float64())
+            out[f"{name}_n"] = pa.array(last - first, pa.int64())
+        return pa.table(out)
+
+    found = values.unionByName(asked).groupBy(*keys, "__block").applyInArrow(run, schema)
+    return found.withColumn(day, F.col("__at").cast(df.schema[day].dataType)).drop("__at")
+
+
 def days_since_previous(keys: list[str], day: str) -> Column:
     """Days since the latest strictly earlier row of the same keys."""
     return F.col(day) - F.max(day).over(Window.partitionBy(*keys).orderBy(day).rangeBetween(Window.unboundedPreceding, -1))
@@ -91,15 +149,70 @@ def month_index(sales: DataFrame, segment: str, pool: str, month: str, value: st
     return rows.select(segment, "month", carried.alias("value"), source.alias("source"))
 
 
-def interval_features(rows: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, kind: str) -> DataFrame:
-    """Of each row and date: intervals of its key that are open then, by kind, days to the next end, and how many ended
-    within two years. Intervals are aggregated per row after an equi-join, so nothing is multiplied beyond a key."""
-    joined = rows.join(intervals.select(F.col(key).alias("__k"), start, end, kind), F.col(key) == F.col("__k"), "left").drop("__k")
-    is_open = (F.col(start) <= F.col(at)) & (F.col(end) > F.col(at))
-    ended = (F.col(end) <= F.col(at)) & (F.col(end) > F.col(at) - 730)
-    return joined.groupBy(*rows.columns).agg(
+#: Columns of interval_features that every row gets.
+INTERVAL_FEATURES = {"n_open": "long", "n_kinds": "long", "days_to_next": "int", "n_ended": "long"}
+
+
+def interval_features(rows: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, kind: str, kinds: list[str] | None = None, recent: int = 730) -> DataFrame:
+    """Adds to rows, as of their day: n_open (intervals of the key with start <= at < end), n_kinds (kinds among these),
+    days_to_next (until the first of these ends), n_ended (ended in the `recent` days up to the day), and with `kinds`
+    open_<kind> for each. Rows with a null key or day, and keys without intervals, get zeros and null.
+
+    All depends on key and day alone, so distinct days of a key are asked, and rows take their answers by key and day. A
+    key of few days and intervals is joined and aggregated; one with more than HOT_ROWS of either is cut into years: an
+    interval goes to the years in which it is open or recently ended, and a task answers the days of one year."""
+    given = intervals.where(F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull())
+    given = given.select(F.col(key).alias("__k"), F.col(start).cast("long").alias("__s"), F.col(end).cast("long").alias("__e"), F.col(kind).alias("__kind"))
+    asked = rows.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("__k"), F.col(at).cast("long").alias("__at")).distinct()
+    names = kinds or []
+    columns = INTERVAL_FEATURES | {f"open_{name}": "long" for name in names}
+    heavy = lambda df: df.groupBy("__k").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_ROWS).select("__k")
+    hot = cut(heavy(asked).unionByName(heavy(given)).distinct(), "hot")
+    none = hot.isEmpty()
+
+    is_open = (F.col("__s") <= F.col("__at")) & (F.col("__e") > F.col("__at"))
+    ended = (F.col("__e") <= F.col("__at")) & (F.col("__e") > F.col("__at") - recent)
+    left = asked if none else asked.join(hot, "__k", "left_anti")
+    found = left.join(given, "__k").groupBy("__k", "__at").agg(
         F.count_if(is_open).alias("n_open"),
-        F.count_distinct(F.when(is_open, F.col(kind))).alias("n_kinds"),
-        F.min(F.when(is_open, F.col(end) - F.col(at))).alias("days_to_next"),
+        F.count_distinct(F.when(is_open, F.col("__kind"))).alias("n_kinds"),
+        F.min(F.when(is_open, F.col("__e") - F.col("__at"))).cast("int").alias("days_to_next"),
         F.count_if(ended).alias("n_ended"),
+        *[F.count_if(is_open & (F.col("__kind") == name)).alias(f"open_{name}") for name in names],
     )
+    if not none:
+        found = found.unionByName(_intervals_by_year(asked.join(hot, "__k", "left_semi"), given.join(hot, "__k", "left_semi"), names, columns, recent))
+    answers = found.withColumnsRenamed({c: f"__r_{c}" for c in columns})
+    out = rows.join(answers, (F.col(key) == F.col("__k")) & (F.col(at).cast("long") == F.col("__at")), "left")
+    filled = [(F.col(f"__r_{c}") if c == "days_to_next" else F.coalesce(F.col(f"__r_{c}"), F.lit(0))).cast(t).alias(c) for c, t in columns.items()]
+    return out.select(*rows.columns, *filled)
+
+
+def _intervals_by_year(asked: DataFrame, given: DataFrame, names: list[str], columns: dict[str, str], recent: int) -> DataFrame:
+    year = lambda day: F.floor(day / F.lit(366)).cast("long")
+    days = asked.groupBy("__k").agg(F.min("__at").alias("__low"), F.max("__at").alias("__high"))  # one row for each hot key
+    given = given.join(days, "__k").where((F.col("__s") <= F.col("__high")) & (F.col("__e") + recent > F.col("__low")) & (F.col("__s") < F.col("__e")) | F.col("__e").between(F.col("__low") - recent, F.col("__high")))
+    first, last = F.greatest(F.least("__s", "__e"), F.col("__low")), F.least(F.greatest("__s", "__e") + recent, F.col("__high"))
+    spread = given.select("__k", F.explode(F.sequence(year(first), F.greatest(year(first), year(last)))).alias("__year"), F.lit(None).cast("long").alias("__at"), "__s", "__e", F.col("__kind").cast("string").alias("__kind"))
+    own = asked.select("__k", year(F.col("__at")).alias("__year"), "__at", *[F.lit(None).cast("long").alias(c) for c in ("__s", "__e")], F.lit(None).cast("string").alias("__kind"))
+    schema = f"__k {asked.schema['__k'].dataType.simpleString()}, __at long, " + ", ".join(f"`{c}` {t}" for c, t in columns.items())
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        known = table.filter(table.column("__at").is_null())
+        days = np.unique(table.column("__at").drop_null().to_numpy())
+        begin, stop = known.column("__s").to_numpy(), known.column("__e").to_numpy()
+        codes = known.column("__kind").combine_chunks().dictionary_encode()
+        values = codes.dictionary.to_pylist()
+        code = codes.indices.fill_null(len(values)).to_numpy()
+        out = []
+        for day in days.tolist():
+            is_open = (begin <= day) & (stop > day)
+            by_kind = np.bincount(code[is_open], minlength=len(values) + 1)
+            ended = np.count_nonzero((stop <= day) & (stop > day - recent))
+            n = int(is_open.sum())
+            own = {name: int(by_kind[values.index(name)]) if name in values else 0 for name in names}
+            out.append({"n_open": n, "n_kinds": int(np.count_nonzero(by_kind[: len(values)])), "days_to_next": int(stop[is_open].min()) - day if n else None, "n_ended": ended} | {f"open_{k}": v for k, v in own.items()})
+        arrays = {"__k": pa.repeat(key[0], len(days)), "__at": pa.array(days, pa.int64())}
+        return pa.table(arrays | {c: pa.array([o[c] for o in out], pa.int32() if t == "int" else pa.int64()) for c, t in columns.items()})
+
+    return spread.unionByName(own).groupBy("__k", "__year").applyInArrow(run, schema)

@@ -37,10 +37,9 @@ def wn4_wn6_growth_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_D}, w AS (SELECT *, median(ppu) {_frame(-92, -1)} AS now, count(ppu) {_frame(-92, -1)} AS n_now, median(ppu) {_frame(-457, -366)} AS lagged, count(ppu) {_frame(-457, -366)} AS n_lagged, count(ppu) {_frame(-365, -1)} AS n_year FROM d)
 SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, day, n_year, CASE WHEN n_now >= 5 AND n_lagged >= 5 THEN round(ln(now / lagged), 5) END AS momentum FROM w""")
 def wn7_wn8_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ts.rolling_stats(_daily(spark, sf_dir), ["l_suppkey"], "day", "ppu", {"now": (-92, -1), "lagged": (-457, -366)})
-    year = F.count("ppu").over(ts.day_frame(["l_suppkey"], "day", -365, -1))
+    rows = ts.rolling_stats(_daily(spark, sf_dir), ["l_suppkey"], "day", "ppu", {"now": (-92, -1), "lagged": (-457, -366)}, {"year": (-365, -1)})
     momentum = F.when((F.col("now_n") >= 5) & (F.col("lagged_n") >= 5), F.round(F.ln(F.col("now_median") / F.col("lagged_median")), 5))
-    return rows.select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "day", year.alias("n_year"), momentum.alias("momentum"))
+    return rows.select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "day", F.col("year_n").alias("n_year"), momentum.alias("momentum"))
 
 
 @query(f"""WITH {_D}, w AS (SELECT *, count(ppu) {_frame(-92, -1)} AS n_own, median(ppu) {_frame(-92, -1)} AS own, median(ppu) OVER (PARTITION BY l_returnflag ORDER BY day RANGE BETWEEN 20 PRECEDING AND 1 PRECEDING) AS wide FROM d)

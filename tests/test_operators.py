@@ -45,6 +45,37 @@ def test_window_edges(spark):
     assert null.base_n == 0 and null.base_median is None
 
 
+def test_hot_keys_by_blocks_equal_windows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(k, int(d), None if v > 38 else float(v), i) for i, (k, d, v) in enumerate(zip(rng.choice(["hot", "warm", "cold", None], 900, p=[0.6, 0.25, 0.1, 0.05]), rng.integers(-40, 900, 900), rng.integers(0, 40, 900)))]
+    rows += [("hot", None, 1.0, 9000), ("hot", None, 2.0, 9001)]
+    df = spark.createDataFrame([(None if k is None else str(k), *r) for k, *r in rows], "k string, day int, v double, i int")
+    frames, counts = {"base": (-92, -1), "ahead": (76, 107), "same": (0, 0)}, {"year": (-365, -1)}
+    whole = {r.i: tuple(r) for r in ts.rolling_stats(df, ["k"], "day", "v", frames, counts).collect()}
+    monkeypatch.setattr(ts, "HOT_ROWS", 100)
+    split = ts.rolling_stats(df, ["k"], "day", "v", frames, counts)
+    assert {r.i: tuple(r) for r in split.collect()} == whole and len(whole) == len(rows)
+
+
+def test_intervals_of_hot_keys_by_year(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, k, int(d)) for i, (k, d) in enumerate(zip(rng.choice(["hot", "cold", "none"], 300), rng.integers(0, 3000, 300)))] + [(900, None, 5), (901, "hot", None)]
+    given = [(k, int(s), int(s + n), t) for k, s, n, t in zip(rng.choice(["hot", "cold"], 200, p=[0.8, 0.2]), rng.integers(-500, 3000, 200), rng.integers(-20, 1500, 200), rng.choice(["rail", "road", "port"], 200))]
+    given += [("hot", None, 5, "rail"), ("hot", 7, None, "rail"), (None, 1, 2, "road"), ("cold", 100, 2900, None)]
+    df = spark.createDataFrame([(i, None if k is None else str(k), d) for i, k, d in rows], "i int, key string, at int")
+    intervals = spark.createDataFrame([(None if k is None else str(k), s, e, None if t is None else str(t)) for k, s, e, t in given], "key string, s int, e int, kind string")
+
+    def by_hand(key, at):
+        own = [(s, e, t) for k, s, e, t in given if k is not None and k == key and s is not None and e is not None] if at is not None else []
+        now = [(s, e, t) for s, e, t in own if s <= at < e]
+        return (len(now), len({t for *_, t in now if t is not None}), min((e - at for _, e, _ in now), default=None), sum(at - 730 < e <= at for _, e, _ in own), sum(t == "rail" for *_, t in now), sum(t == "port" for *_, t in now))
+
+    for hot_rows in (10_000, 50):
+        monkeypatch.setattr(ts, "HOT_ROWS", hot_rows)
+        got = {r.i: tuple(r)[3:] for r in ts.interval_features(df, intervals, "key", "at", "s", "e", "kind", ["rail", "port"]).collect()}
+        assert got == {i: by_hand(k, d) for i, k, d in rows}
+
+
 def test_later_rows_do_not_change_asof_features(spark):
     rows = [("k", 1, 1.0), ("k", 5, 2.0), ("k", 9, 3.0)]
     make = lambda r: ts.rolling_stats(spark.createDataFrame(r, "k string, day int, v double"), ["k"], "day", "v", {"b": (-100, -1)}).withColumn("since", ts.days_since_previous(["k"], "day"))
