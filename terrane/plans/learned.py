@@ -61,6 +61,24 @@ def an37_pointwise_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking_metrics(scored.withColumn("grade", F.col("grade").cast("int")), "query", "grade", 10, good=3)
 
 
+@query()
+def an37_listwise_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranking metrics of a listwise and a pointwise ranker on every third source, fitted on the others."""
+    from terrane.operators import ranking
+    from terrane.operators.retrieval import ranked, ranking_metrics
+
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    upper = F.char_length("text") - F.char_length(F.regexp_replace("text", "[A-Z]", ""))
+    rows = docs.select("doc_id", F.col("source").alias("query"), (2 * F.col("quality") + 1 - F.col("toxic")).alias("grade"), F.ln(F.col("n_chars") + 1.0).alias("length"), F.size(F.split("text", "\n")).cast("double").alias("lines"), (upper / (F.col("n_chars") + 1)).alias("shouted"))
+    rows, features = cut(rows, "graded"), ["length", "lines", "shouted"]
+    is_held = F.pmod(F.crc32(F.col("query")), F.lit(3)) == 0
+    train, held = rows.where(~is_held), rows.where(is_held)
+    listwise = ranking.with_scores(ranking.fit_listwise(train, "query", "doc_id", "grade", features, trees=3, depth=3), held)
+    pointwise = learning.predict(learning.fit_boosted(train.withColumn("grade", F.col("grade").cast("double")), features, "grade", trees=3, depth=3), held, "score")
+    metrics = [ranking_metrics(ranked(scored, "query", F.col("score"), "doc_id"), "query", "grade", 10, good=3).withColumn("model", F.lit(name)) for name, scored in (("listwise", listwise), ("pointwise", pointwise))]
+    return metrics[0].unionByName(metrics[1])
+
+
 @query()
 def an15_bootstrap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.bootstrap_mean(table(spark, sf_dir, "orders").select("o_totalprice"), "o_totalprice", 100)
