@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.operators import evaluation as ev
 from terrane.operators import retrieval as rt
 from terrane.operators.phrases import with_phrases
 from terrane.plans.catalogue import query
+from terrane.products.matching import ranking_features, rule_grade, slots_of, true_grade
 from terrane.products.places import lexicon
 from terrane.products.queries import parsed
 from terrane.session import table
@@ -152,3 +153,71 @@ def an47_an28_parsed_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lambda name: F.col(f"slots.{name}").alias(f"parsed_{name}")
     rows = got.select("*", *[s(c) for c in ("bedrooms", "kind", "min_price", "max_price", "min_size", "building")], F.col("slots.area_name").alias("parsed_area"), F.array_join("slots.amenities", ",").alias("parsed_amenity"), F.array_join("slots.words", ",").alias("parsed_words")).drop("slots")
     return ev.slot_accuracy(rows, {c: 0.001 if c.endswith(("price", "size")) else None for c in ("bedrooms", "kind", "min_price", "max_price", "min_size", "area", "building", "amenity", "words")})
+
+
+#: Stated queries and the slots that they mean: bedrooms, kind, min and max price, min size, area ids, building, amenities.
+STATED = {
+    0: ("2 bed villa in NATION_2 under 1.2m with a pool", "2, 'villa', NULL, 1200000, NULL, [2], NULL, ['shared pool']"),
+    1: ("flat between 950k and 1.5m over 200 sqm balcony and gym", "NULL, 'flat', 950000, 1500000, 200, [], NULL, ['balcony', 'gym access']"),
+    2: ("studio at red widget min 900k", "0, NULL, 900000, NULL, NULL, [], 'red widget', []"),
+    3: ("townhouse al africa 300 sqm", "NULL, 'townhouse', NULL, NULL, 300, [0, 5, 10, 15, 20], NULL, []"),
+    4: ("3br", "3, NULL, NULL, NULL, NULL, [], NULL, []"),
+}
+_ASKED = "a(query, beds, kind, low, high, least, areas, building, amenities) AS (SELECT * FROM (VALUES " + ", ".join(f"({q}, {slots})" for q, (_, slots) in STATED.items()) + "))"
+#: Parts as listings, each a candidate of one query, with what channels and estimates would say of it.
+_LISTED = """l AS (SELECT p_partkey AS id, p_partkey % 5 AS query, p_partkey % 25 AS l_area, ['villa', 'flat', 'townhouse'][p_partkey % 3 + 1] AS l_kind, p_name AS l_building, p_brand AS l_project, p_size % 5 AS l_beds, CASE WHEN p_partkey % 11 > 0 THEN p_retailprice * 1000 END AS price,
+p_size * 10 AS size, p_name || ' with ' || ['balcony', 'Shared Pool', 'gym access and balcony'][p_partkey % 3 + 1] AS text, DATE '2024-01-01' + CAST(p_partkey % 300 AS INTEGER) AS posted FROM part)"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = parsed(spark.createDataFrame([(q, t) for q, (t, _) in STATED.items()], "query int, text string"), lexicon=_lexicon(spark, sf_dir)).select("query", F.col("slots").alias("asked"))
+    n = F.col("p_partkey")
+    of = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % 3 + 1).cast("int"))
+    part = table(spark, sf_dir, "part").select(
+        n.alias("id"), (n % 5).cast("int").alias("query"), (n % 25).alias("area"), of("villa", "flat", "townhouse").alias("kind"), F.col("p_name").alias("building"), F.col("p_brand").alias("project"), (F.col("p_size") % 5).alias("bedrooms"),
+        F.when(n % 11 > 0, F.col("p_retailprice") * 1000).alias("price"), (F.col("p_size") * 10).alias("size"), F.concat_ws(" with ", "p_name", of("balcony", "Shared Pool", "gym access and balcony")).alias("text"), F.date_add(F.lit("2024-01-01").cast("date"), (n % 300).cast("int")).alias("posted"),
+    )
+    return part.join(F.broadcast(asked), "query")  # the stated queries
+
+
+def _slot_columns() -> tuple[Column, dict[str, Column]]:
+    return F.col("asked"), {c: F.col(c) for c in ("area", "kind", "building", "project", "bedrooms", "price", "size", "text", "posted")}
+
+
+_HITS = "len(list_filter(amenities, lambda x: contains(lower(text), x)))"
+_KEYED = "trim(regexp_replace(lower({}), '[^0-9a-z]+', ' ', 'g'))"
+_NAMED = f"(coalesce({_KEYED.format('l_building')} = building, false) OR coalesce({_KEYED.format('l_project')} = building, false))"
+
+
+@query(f"""WITH {_ASKED}, {_LISTED}, c AS (SELECT * FROM l JOIN a USING (query)), n AS (SELECT 'nan'::DOUBLE AS nan)
+SELECT id, coalesce(abs(l_beds - beds)::DOUBLE, nan) AS beds_diff, (beds IS NOT NULL)::INT::DOUBLE AS beds_stated, coalesce(round(price / high - 1, 9), nan) AS price_over_max, coalesce(round(1 - price / low, 9), nan) AS price_under_min,
+(low IS NOT NULL OR high IS NOT NULL)::INT::DOUBLE AS budget_stated, coalesce(round(size / least, 9), nan) AS size_ratio, CASE WHEN len(areas) > 0 THEN contains(areas, l_area)::INT::DOUBLE ELSE nan END AS area_match, (len(areas) > 0)::INT::DOUBLE AS area_stated,
+CASE WHEN kind IS NOT NULL THEN (kind = l_kind)::INT::DOUBLE ELSE nan END AS type_match, (kind IS NOT NULL)::INT::DOUBLE AS type_stated, CASE WHEN building IS NOT NULL THEN {_NAMED}::INT::DOUBLE ELSE nan END AS building_match,
+{_HITS}::DOUBLE AS amenity_hits, len(amenities)::DOUBLE AS amenity_asked, CASE WHEN id % 4 > 0 THEN round((id % 100) / 100.0, 9)::DOUBLE ELSE nan END AS semantic_cos, CASE WHEN id % 6 > 0 THEN round((id % 7) / 7.0, 9)::DOUBLE ELSE 0.0 END AS fulltext_rank,
+CASE WHEN id % 4 > 0 THEN (id % 200)::DOUBLE ELSE nan END AS semantic_pos, CASE WHEN id % 6 > 0 THEN (id % 150)::DOUBLE ELSE nan END AS fulltext_pos, round(1.0 / (60 + id % 50), 9)::DOUBLE AS rrf_score, coalesce(round(CASE WHEN id % 9 > 0 THEN price / (900000 + id % 1000 * 100) END, 9), nan) AS price_to_estimate,
+CASE WHEN id % 9 > 0 THEN coalesce(price BETWEEN (900000 + id % 1000 * 100) * 0.9 AND (900000 + id % 1000 * 100) * 1.1, false)::INT::DOUBLE ELSE nan END AS within_interval, (id % 13 = 0)::INT::DOUBLE AS flag_bait_price, (id % 17 = 0)::INT::DOUBLE AS flag_photo_reuse, 0.0::DOUBLE AS flag_inconsistent_relist,
+(id % 3 + 1)::DOUBLE AS cluster_size, (DATE '2025-01-01' - posted)::DOUBLE AS days_since_posted FROM c, n""")
+def an34_ranking_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("id")
+    asked, listing = _slot_columns()
+    estimate = F.when(n % 9 > 0, 900_000 + n % 1000 * 100)
+    signals = {
+        "semantic": F.when(n % 4 > 0, n % 100 / 100.0), "semantic_rank": F.when(n % 4 > 0, n % 200), "text_score": F.when(n % 6 > 0, n % 7 / 7.0), "text_rank": F.when(n % 6 > 0, n % 150), "fused": 1.0 / (60 + n % 50), "estimate": estimate, "low": estimate * 0.9, "high": estimate * 1.1,
+        "bait_price": n % 13 == 0, "photo_reuse": F.when(n % 17 == 0, True), "cluster_size": n % 3 + 1,
+    }
+    made = ranking_features(asked, listing, signals, F.lit("2025-01-01").cast("date"))
+    return _candidates(spark, sf_dir).select("id", *[F.round(c, 9).alias(name) for name, c in made.items()])
+
+
+_GRADES = f"""g AS (SELECT id, len(areas) = 0 OR contains(areas, l_area) AS area_ok, kind IS NULL OR kind = l_kind AS type_ok, building IS NULL OR {_NAMED} AS building_ok,
+beds IS NULL OR coalesce(l_beds = beds, false) AS b0, beds IS NULL OR coalesce(abs(l_beds - beds) <= 1, false) AS b1,
+(low IS NULL AND high IS NULL) OR coalesce((low IS NULL OR price >= low) AND (high IS NULL OR price <= high), false) AS p0, (low IS NULL AND high IS NULL) OR coalesce((low IS NULL OR price >= low * 0.9) AND (high IS NULL OR price <= high * 1.1), false) AS p1,
+least IS NULL OR size >= least AS s0, least IS NULL OR size >= least * 0.9 AS s1, {_HITS} >= len(amenities) AS m0, {_HITS} >= len(amenities) - (CASE WHEN len(amenities) = 2 THEN 1 ELSE 0 END) AS m1 FROM l JOIN a USING (query)),
+h AS (SELECT *, area_ok AND type_ok AND building_ok AND b1 AND p1 AND s1 AND m1 AS fits, (NOT b0 AND b1)::INT + (NOT p0 AND p1)::INT + (NOT s0 AND s1)::INT + (NOT m0 AND m1)::INT AS near FROM g)"""
+
+
+@query(f"""WITH {_ASKED}, {_LISTED}, {_GRADES} SELECT id, CASE WHEN fits AND near = 0 THEN 3 WHEN fits AND near = 1 THEN 2 ELSE 1 END AS rule_grade,
+CASE WHEN id % 10 = 0 THEN least(1, CASE WHEN fits AND near <= 1 THEN 3 WHEN area_ok AND type_ok THEN 1 ELSE 0 END) ELSE CASE WHEN fits AND near = 0 THEN 3 WHEN fits AND near = 1 THEN 2 WHEN area_ok AND type_ok THEN 1 ELSE 0 END END AS true_grade FROM h""")
+def an35_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots = slots_of(*_slot_columns())
+    return _candidates(spark, sf_dir).select("id", rule_grade(slots).alias("rule_grade"), true_grade(slots, F.col("id") % 10 == 0).alias("true_grade"))

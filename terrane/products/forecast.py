@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.functions.wording import driver_lines
 from terrane.operators import contributions, evaluation, folds, learning, timeseries
 from terrane.session import cut
 
@@ -17,6 +18,7 @@ LAGS = {"3m": 91, "1y": 365, "3y": 1096}
 MIN_SALES = 5
 #: Features that a forecast is explained by at most, and the contribution of each at least.
 DRIVERS, LEAST_DRIVER = 3, 0.001
+DRIVER_NAMES = {"momentum_3m": "momentum of three months", "momentum_1y": "momentum of a year", "building_year": "sales in the building", "area_year": "sales in the area", "building_since": "days since a sale in the building", "area_since": "days since a sale in the area", "log_base": "price level"}
 
 
 def keys(sales: DataFrame) -> DataFrame:
@@ -94,7 +96,7 @@ class Forecaster:
 
     def forecast(self, requests: DataFrame) -> DataFrame:
         """requests: area, building, kind. Features as of the day after the data end, from rows without a value.
-        Deployed forecasts come with the features that contribute most."""
+        Deployed forecasts come with the features that contribute most, in words."""
         end = self.sales.agg(F.date_add(F.max("date"), 1).alias("date"))
         asked = requests.select("area", "building", "kind").distinct().join(F.broadcast(end)).withColumn("asked", F.lit(True))
         rows = dataset(self.sales.unionByName(asked, allowMissingColumns=True)).where("asked").withColumn("log_base", F.ln("base"))
@@ -102,8 +104,8 @@ class Forecaster:
             if h in self.models:
                 scored = contributions.with_contributions(self.models[h], learning.predict(self.models[h], rows, f"forecast_{h}"), FEATURES)
                 told = evaluation.drivers(F.col("contributions"), DRIVERS, LEAST_DRIVER)
-                rows = scored.withColumns({f"drivers_{h}": told, f"state_{h}": F.lit("deployed")}).drop("contributions", "base_value")
+                rows = scored.withColumns({f"drivers_{h}": driver_lines(told, DRIVER_NAMES), f"state_{h}": F.lit("deployed")}).drop("contributions", "base_value")
             else:
-                nothing = F.lit(None).cast("array<struct<name:string,value:double>>")
+                nothing = F.lit(None).cast("array<string>")
                 rows = rows.withColumns({f"forecast_{h}": F.lit(None).cast("double"), f"drivers_{h}": nothing, f"state_{h}": F.lit("not_deployed: " + "; ".join(self.reasons.get(h, [])))})
         return rows.select("area", "building", "kind", "level", "base", *[f"{x}_{h}" for h in HORIZONS for x in ("forecast", "state", "drivers")])

@@ -77,8 +77,14 @@ def last_cut(spark: SparkSession) -> str:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes the tables cut within, all but the last, once what they served has been written to that one."""
+    """Removes the tables cut within, all but the last, once what they served has been written to that one; all of them
+    if that fails."""
     known = _CUTS.setdefault(spark.sparkContext.applicationId, [])
     before = set(known)
-    yield
-    remove(spark, [path for path in known if path not in before][:-1])
+    own = lambda: [path for path in known if path not in before]
+    try:
+        yield
+    except BaseException:
+        remove(spark, own())
+        raise
+    remove(spark, own()[:-1])
