@@ -15,6 +15,7 @@ from terrane.products import listings
 from terrane.products.areas import AreaStats
 from terrane.products.forecast import Forecaster
 from terrane.products.price import PricePredictor
+from terrane.products.scoring import rescored
 from terrane.products.search import search
 from terrane.session import cut, table
 
@@ -150,3 +151,16 @@ def api_listing_checker(spark: SparkSession, sf_dir: str) -> DataFrame:
     photos = rows.select("id", F.concat_ws("-", "area", "agent", "posted").alias("photo"))
     features = cut(listings.pair_features(listings.candidates(rows, photos, 5, 8), rows).withColumn("label", (F.col("cosine") > 0.35).cast("int")), "features")
     return listings.ListingChecker.fit(features, "label").duplicates(features).select("a", "b", F.round("score", 4).alias("score"))
+
+
+@query()
+def an50_batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs over all parts: the first scores all, the second none, the third those whose price has changed."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    score = lambda rows: rows.withColumn("score", F.when(F.col("p_size") > 1, F.ln(F.col("p_retailprice") / F.col("p_size"))))
+    raised = part.withColumn("p_retailprice", F.when(F.col("p_partkey") % 7 == 0, F.col("p_retailprice") * 1.1).otherwise(F.col("p_retailprice")))
+    last, out = None, []
+    for run, rows in enumerate((part, part, raised), 1):
+        last, counts = rescored(rows, last, "p_partkey", ["p_size", "p_retailprice"], "v1", score)
+        out.append((run, *counts.values()))
+    return spark.createDataFrame(out, "run int, total long, scored long, kept long, unscorable long")

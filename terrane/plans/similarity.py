@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.operators import pairs as pr
 from terrane.operators.graph import connected_components
+from terrane.operators.neighbours import neighbours
 from terrane.plans.catalogue import query
 from terrane.session import table
 
@@ -102,3 +103,9 @@ def fn14_vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fn14_mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("p", "x"))
     return rows.groupBy("label", (F.col("p") + 1).cast("long").alias("i")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+@query()
+def an18_corpus_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the ten nearest vectors of every vector, by an inverted file."""
+    return neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from terrane.operators import learning, pairs
 from terrane.operators.graph import connected_components
+from terrane.operators.neighbours import neighbours
 
 FEATURES = ["cosine", "price_gap", "size_gap", "same_area", "same_agent", "days_apart"]
 
 
 def candidates(listings: DataFrame, photos: DataFrame, k: int, fan_out: int) -> DataFrame:
-    """(a, b, sources): nearest vectors and shared photos. listings: id, vector; photos: id, photo."""
-    near = pairs.nearest(listings, listings, "id", "vector", k)
+    """(a, b, sources): near vectors, by the index of operators.neighbours, and shared photos. listings: id, vector;
+    photos: id, photo."""
+    near = neighbours(listings, "id", "vector", k)
     near = near.select(F.least("query", "item").alias("a"), F.greatest("query", "item").alias("b"), F.lit("vector").alias("channel"))
     return pairs.merged_channels(near, pairs.shared_key_pairs(photos, "id", "photo", fan_out, "photo"))
 

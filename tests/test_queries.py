@@ -52,6 +52,8 @@ HOLDS = {
     "an39_contributions": lambda rows: len(rows) > 1000 and all(abs(r.gap) < 1e-9 and len(r.drivers) <= 3 for r in rows) and all(abs(a.value) >= abs(b.value) >= 0.001 for r in rows for a, b in zip(r.drivers, r.drivers[1:])) and any(r.drivers for r in rows),
     "an37_pointwise_ranker": lambda rows: rows and all(0 <= r.ndcg <= 1 and 0 <= r.mrr <= 1 for r in rows),
     "an37_listwise_ranker": lambda rows: {r.model for r in rows} == {"listwise", "pointwise"} and all(0 <= r.ndcg <= 1 and 0 <= r.mrr <= 1 for r in rows),
+    "an18_corpus_neighbours": lambda rows: len(rows) > 400 and all(1 <= r.rank <= 10 and -1.001 <= r.cosine <= 1.001 and r.query != r.item for r in rows) and len({(r.query, r.rank) for r in rows}) == len(rows),
+    "an50_batch_scores": lambda rows: {r.run: (r.scored, r.kept) for r in rows} == {1: (rows[0].total, 0), 2: (0, rows[0].total), 3: (next(r.scored for r in rows if r.run == 3), next(r.total - r.scored for r in rows if r.run == 3))} and 0 < next(r.scored for r in rows if r.run == 3) < rows[0].total,
     "an15_bootstrap_mean": lambda rows: len(rows) == 1 and rows[0].low <= rows[0].mean <= rows[0].high,
     "api_price_predictor": lambda rows: rows and all(r.low_95 <= r.low_80 <= r.estimate <= r.high_80 <= r.high_95 for r in rows if r.estimate is not None),
     "an28_api_search": lambda rows: {r.query for r in rows} == {1, 2, 3, 4} and all(r.rank <= 10 and r.grade in (1, 2, 3) for r in rows) and len({(r.query, r.rank) for r in rows}) == len(rows),
