@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrane.operators import learning
 from terrane.operators.contributions import with_contributions
 from terrane.operators.evaluation import drivers
+from terrane.operators.tuning import tuned
 from terrane.operators import timeseries as ts
 from terrane.plans.catalogue import query
 from terrane.plans.similarity import an19_jn6_pair_features
@@ -39,6 +40,16 @@ def an38_boosted_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.predict(model, rows, "fitted").where("check").agg(F.round(F.sqrt(F.avg(F.pow(F.col("y") - F.col("fitted"), 2))), 4).alias("rmse"), F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def an38_tuned_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over depth, step and trees of the model of an38, and its refit."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    rows = cut(lines.select("l_orderkey", F.ln("l_extendedprice").alias("y"), F.ln("l_quantity").alias("q"), F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").alias("p"), (F.col("l_orderkey") % 5 == 0).alias("check")), "rows")
+    found = tuned(rows, ["q", "s", "p"], "y", "check", {"depth": (2, 4), "trees": (2, 6), "step": (0.05, 0.5)}, trials=5, startup=3)
+    error = learning.predict(found.model, rows, "fitted").agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("fitted"), 2))).alias("refit_rmse"))
+    return error.select(F.lit(len(found.trials)).alias("trials"), F.round(F.lit(found.trials[0][1]), 6).alias("first_rmse"), F.round(F.lit(found.best_error), 6).alias("best_rmse"), F.lit(int(found.best["depth"])).alias("depth"), F.round("refit_rmse", 4).alias("refit_rmse"))
+
+
 @query()
 def an39_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each feature adds to the price of each line, and the three that add most."""

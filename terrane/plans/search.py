@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.operators import evaluation as ev
 from terrane.operators import retrieval as rt
+from terrane.operators.covers import cover_scores
 from terrane.operators.phrases import with_phrases
 from terrane.plans.catalogue import query
 from terrane.products.matching import ranking_features, rule_grade, slots_of, true_grade
@@ -38,6 +39,12 @@ def an31_so4_full_text_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_channel(spark, sf_dir).where("rank <= 50").select("query", "doc", "rank", F.round("score", 5).alias("score"))
 
 
+@query()
+def an31_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts by how close together the asked words stand, compared by stems."""
+    return cover_scores(table(spark, sf_dir, "documents"), _queries(spark), "doc_id", "text").select("query", F.col("doc"), "stems", F.round("score", 6).alias("score"))
+
+
 _FUSED = f"""{_TEXT}, l AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY n_chars DESC, doc) AS rank FROM (SELECT query, doc_id AS doc, n_chars FROM documents, (SELECT DISTINCT query FROM q) WHERE lang = 'en')),
 b AS (SELECT query, doc, rank FROM t WHERE rank <= 200 UNION ALL SELECT query, doc, rank FROM l WHERE rank <= 200), z AS (SELECT query, doc, sum(1.0 / (60 + rank)) AS score FROM b GROUP BY 1, 2),
 y AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, doc) AS rank FROM z)"""
