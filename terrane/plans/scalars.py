@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions import scalars as sc
-from terrane.operators import ingestion
+from terrane.operators import ingestion, ranks
 from terrane.plans.catalogue import query
 from terrane.session import table
 from terrane.sources import readers
+from terrane.sources.scans import Declared, between, case_of, scan
 
 
 @query("""SELECT doc_id, nullif(array_to_string(list_filter(string_split(trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')), ' '), lambda t: t <> 'al' AND t <> ''), ' '), '') AS match_key FROM documents""")
@@ -132,3 +133,33 @@ def jn1_jn3_dimension_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(nation), F.col("n_nationkey") == F.col("c_nationkey"))
     out = rows.cube("r_name", "c_mktsegment", "n_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(15,2)")).cast("double").alias("total"))
     return out.where("n_name is null or r_name is not null").select("r_name", "n_name", "c_mktsegment", "n", "total")
+
+
+_ORDERS = Declared("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz", ("o_custkey", "o_totalprice"))
+
+
+@query("""SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS price, CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS position FROM orders
+WHERE o_orderstatus IN ('F', 'O') AND o_totalprice BETWEEN 100000 AND 300000 AND o_orderdate >= TIMESTAMP '1998-01-01' AND o_custkey IS NOT NULL""")
+def src5_declared_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A typed scan by membership, ranges and known values, in order."""
+    where = F.col("o_orderstatus").isin("F", "O") & between("o_totalprice", 100_000.0, 300_000.0) & (F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
+    rows = scan(spark, f"{sf_dir}/orders.parquet", _ORDERS, where)
+    placed = ranks.ranked(rows, [F.col("o_orderdate"), F.col("o_orderkey")])
+    return placed.select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("price"), F.col("rank").cast("long").alias("position"))
+
+
+@query("""SELECT CASE WHEN p_type LIKE '%STANDARD%' AND p_size < 20 THEN 'flat' WHEN p_type LIKE '%STANDARD%' THEN 'villa' WHEN p_size >= 40 THEN 'townhouse' ELSE 'other' END AS kind, count(*) AS n, round(avg(p_retailprice), 4) AS price FROM part GROUP BY 1""")
+def src7_derived_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes with a kind that a CASE derives."""
+    rows = scan(spark, f"{sf_dir}/part.parquet", Declared("p_type string, p_size int, p_retailprice double"))
+    standard = F.col("p_type").contains("STANDARD")
+    kind = case_of([(standard & (F.col("p_size") < 20), "flat"), (standard, "villa"), (F.col("p_size") >= 40, "townhouse")], "other")
+    return rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice"), 4).alias("price"))
+
+
+@query("""SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dims, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 4) AS squared FROM embeddings WHERE label IN (1, 2, 3) AND embedding IS NOT NULL""")
+def src6_vector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    held = scan(spark, f"{sf_dir}/embeddings.parquet", Declared(f"vec_id {kinds['vec_id']}, embedding {kinds['embedding']}, label {kinds['label']}", ("embedding",)), F.col("label").isin(1, 2, 3))
+    return held.select("vec_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("squared"))

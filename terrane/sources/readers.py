@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +13,16 @@ class SchemaDriftError(ValueError):
 
 
 def read_strict_csv(spark: SparkSession, path: str, columns: list[str], null: str = "null") -> DataFrame:
-    """An all-string scan with a header: exactly these columns in any order, a null token, UTF-8, malformed rows fail."""
-    header = spark.read.option("header", True).csv(path).columns
+    """An all-string scan with a header: exactly these columns in any order, a null token, UTF-8, malformed rows fail.
+    A missing file is a MissingSourceError at once."""
+    from terrane.sources.scans import MissingSourceError, condition_of
+
+    try:
+        header = spark.read.option("header", True).csv(path).columns
+    except AnalysisException as error:
+        if condition_of(error).startswith("PATH_NOT_FOUND"):
+            raise MissingSourceError(path) from error
+        raise
     validate_columns(header, columns)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
     return spark.read.schema(schema).option("header", True).option("nullValue", null).option("mode", "FAILFAST").option("encoding", "UTF-8").csv(path).select(*columns)
