@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.operators import ranks
+from terrane.session import cut
 
 #: Fixed floor of a bin's share.
 EPSILON = 1e-4
@@ -17,9 +18,10 @@ def _finite(df: DataFrame, value: str) -> DataFrame:
 
 
 def _index(counts: DataFrame) -> DataFrame:
-    """counts: bin, r, c. The stability index of the two distributions, NaN if one is empty."""
-    w = Window.partitionBy(F.lit(0))  # a row for each bin
-    shares = counts.select(*[F.greatest(F.try_divide(F.col(x), F.sum(x).over(w)), F.lit(EPSILON)).alias(x) for x in "rc"], *[F.sum(x).over(w).alias(f"n{x}") for x in "rc"])
+    """counts: r, c of each bin or category. The stability index of the two distributions, NaN if one is empty."""
+    counts = cut(counts.select("r", "c"), "bins")
+    totals = counts.agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))  # one row
+    shares = counts.join(F.broadcast(totals)).select(*[F.greatest(F.try_divide(x, f"n{x}"), F.lit(EPSILON)).alias(x) for x in "rc"], "nr", "nc")
     total = F.sum((F.col("c") - F.col("r")) * F.ln(F.col("c") / F.col("r")))
     return shares.agg(F.when((F.max("nr") > 0) & (F.max("nc") > 0), total).otherwise(F.lit(float("nan"))).alias("psi"))
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from terrane.functions import scalars as sc
 from terrane.operators import evaluation as ev
 from terrane.plans.catalogue import query
+from terrane.products import generator
 from terrane.products import listings
-from terrane.session import table
+from terrane.session import cut, table
 from terrane.sources import sinks
 
 _L = "l AS (SELECT p_partkey AS id, p_retailprice AS price, p_size % 10 AS area, p_brand || '-' || (p_partkey % 4) AS photo, p_partkey // 3 AS grp, avg(p_retailprice) OVER (PARTITION BY p_brand) AS estimate FROM part)"
@@ -118,3 +119,18 @@ def cat2_latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_id") % 3 == 0, "failed").otherwise("succeeded")
     ledger = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("event_id").cast("string").alias("run_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("at"))
     return sinks.latest_runs(ledger).select("name", "run_id", F.unix_micros("at").alias("started"))
+
+
+@query()
+def an45_an27_generated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings made from parts with planted clones: how many of each pattern a shared photo set with equal size, area
+    and text finds, and what is wrong with the corpus."""
+    part = table(spark, sf_dir, "part")
+    homes = part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 25).alias("area"), F.when(F.col("p_size") < 25, "flat").otherwise("villa").alias("kind"), (F.col("p_size") % 6).alias("bedrooms"), (F.col("p_size") * 10).alias("size"), (F.col("p_retailprice") * 1000).alias("price"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("p_partkey") % 200).cast("int")).alias("posted"))
+    listings = cut(generator.corpus(homes), "corpus")
+    problems = generator.corpus_problems(listings).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("problems"))
+    same = ["photo", "size", "area", "text"]
+    twins = listings.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    flagged = listings.join(twins, same, "left_semi").select("id")
+    recall = ev.pattern_recall(listings.where("pattern is not null"), flagged, ["id"], "pattern", F.col("price"))
+    return recall.select("pattern", "planted", "found", "recall").join(F.broadcast(problems))

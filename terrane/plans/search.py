@@ -10,6 +10,7 @@ from terrane.operators import retrieval as rt
 from terrane.operators.covers import cover_scores
 from terrane.operators.phrases import with_phrases
 from terrane.plans.catalogue import query
+from terrane.products.generator import stated_queries
 from terrane.products.matching import ranking_features, rule_grade, slots_of, true_grade
 from terrane.products.places import lexicon
 from terrane.products.queries import parsed
@@ -140,22 +141,12 @@ def an29_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def an47_an28_parsed_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots of a query for each part, written from its columns, against these: all of them are right."""
     part = table(spark, sf_dir, "part").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("p_partkey") % 25 == F.col("n_nationkey"))
-    form, beds = F.col("p_partkey") % 5, (F.col("p_size") % 7).cast("int")
-    thousands = (F.round(F.col("p_retailprice")) + 100).cast("int")
     kind = F.element_at(F.array(*[F.lit(k) for k in ("villa", "flat", "townhouse", "hotel_apartment")]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    spoken = F.element_at(F.create_map(*[F.lit(x) for x in ("villa", "villas", "flat", "Apartment", "townhouse", "town house", "hotel_apartment", "serviced apartments")]), kind)
-    rooms = F.when(beds == 0, F.lit("studio")).when(form == 1, F.concat(F.element_at(F.array(*[F.lit(w) for w in ("one", "two", "three", "four", "five", "six")]), F.greatest(beds, F.lit(1))), F.lit("-bedroom"))).otherwise(F.concat(beds.cast("string"), F.lit("BR")))
-    budget = (
-        F.when(form == 0, F.format_string("under %dk", thousands))
-        .when(form == 1, F.format_string("between %dk and %d.5m", thousands, thousands))
-        .when(form == 2, F.format_string("at least AED %d,000", thousands % 900 + 100))
-        .when(form == 3, F.format_string("%d-%dk", thousands, thousands + 50))
-        .otherwise(F.format_string("%d,000", thousands % 900 + 100))
-    )
-    low = F.when(form.isin(1, 3), thousands * 1e3).when(form == 2, (thousands % 900 + 100) * 1e3)
-    high = F.when(form == 0, thousands * 1e3).when(form == 1, thousands * 1e6 + 5e5).when(form == 3, (thousands + 50) * 1e3).when(form == 4, (thousands % 900 + 100) * 1e3)
-    text = F.concat_ws(" ", F.lit("quiet"), rooms, spoken, F.lit("in"), "n_name", F.lit("at"), "p_name", budget, F.lit("over"), F.concat(F.col("p_size") * 10, F.lit(" sqft with a pool")))
-    asked = part.select(text.alias("text"), beds.alias("true_bedrooms"), kind.alias("true_kind"), low.alias("true_min_price"), high.alias("true_max_price"), F.round(F.col("p_size") * 10 * 0.092903, 2).alias("true_min_size"), F.col("n_name").alias("true_area"), F.col("p_name").alias("true_building"), F.lit("shared pool").alias("true_amenity"), F.lit("quiet").alias("true_words"))
+    wants = part.select(
+        (F.col("p_partkey") % 5).alias("form"), (F.col("p_size") % 7).cast("int").alias("bedrooms"), kind.alias("kind"), (F.round(F.col("p_retailprice")) + 100).cast("int").alias("thousands"), (F.col("p_size") * 10).alias("feet"),
+        F.col("n_name").alias("area"), F.col("p_name").alias("building"), F.lit("pool").alias("amenity"), F.lit("quiet").alias("word"),
+    )
+    asked = stated_queries(wants).withColumn("true_amenity", F.lit("shared pool"))
     got = parsed(asked, lexicon=_lexicon(spark, sf_dir))
     s = lambda name: F.col(f"slots.{name}").alias(f"parsed_{name}")
     rows = got.select("*", *[s(c) for c in ("bedrooms", "kind", "min_price", "max_price", "min_size", "building")], F.col("slots.area_name").alias("parsed_area"), F.array_join("slots.amenities", ",").alias("parsed_amenity"), F.array_join("slots.words", ",").alias("parsed_words")).drop("slots")

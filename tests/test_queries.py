@@ -56,6 +56,7 @@ HOLDS = {
     "an50_batch_scores": lambda rows: {r.run: (r.scored, r.kept) for r in rows} == {1: (rows[0].total, 0), 2: (0, rows[0].total), 3: (next(r.scored for r in rows if r.run == 3), next(r.total - r.scored for r in rows if r.run == 3))} and 0 < next(r.scored for r in rows if r.run == 3) < rows[0].total,
     "an31_cover_density": lambda rows: len(rows) > 100 and all(r.score > 0 and r.stems >= 1 for r in rows) and len({(r.query, r.doc) for r in rows}) == len(rows),
     "an38_tuned_regression": lambda rows: len(rows) == 1 and rows[0].trials == 5 and rows[0].best_rmse <= rows[0].first_rmse,
+    "an45_an27_generated_corpus": lambda rows: {r.pattern for r in rows} <= {"repost", "repriced", "reworded"} and all(r.problems == 0 and (r.recall < 1 if r.pattern == "reworded" else r.recall == 1) for r in rows),
     "an15_bootstrap_mean": lambda rows: len(rows) == 1 and rows[0].low <= rows[0].mean <= rows[0].high,
     "api_price_predictor": lambda rows: rows and all(r.low_95 <= r.low_80 <= r.estimate <= r.high_80 <= r.high_95 for r in rows if r.estimate is not None),
     "an28_api_search": lambda rows: {r.query for r in rows} == {1, 2, 3, 4} and all(r.rank <= 10 and r.grade in (1, 2, 3) for r in rows) and len({(r.query, r.rank) for r in rows}) == len(rows),
