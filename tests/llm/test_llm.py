@@ -708,7 +708,7 @@ def test_unclosed_tags_cost_their_own_length(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "pages", "embeddings"):
+    for table in ("documents", "benchmark", "pages", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     found = con.execute(queries.oracle_sql()[name])
     names = [c[0] for c in found.description]
