@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrane.operators import estimates as es
+from terrane.operators import ranks
 from terrane.plans.catalogue import query
 from terrane.session import table
 
@@ -126,8 +127,10 @@ SELECT segment, count(*) AS n, round(avg(ape), 6) AS mape, round(median(ape), 6)
 def ag21_overlapping_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.array(F.lit("all"), F.when(F.col("l_quantity") > 25, "large"), F.when(F.col("l_discount") > 0.05, "discounted"), F.when(F.col("l_returnflag") == "R", "returned"))
     ape = F.abs(F.col("l_quantity") * 1500 - F.col("l_extendedprice")) / F.col("l_extendedprice")
-    rows = table(spark, sf_dir, "lineitem").select(F.explode(F.filter(labels, lambda x: x.isNotNull())).alias("segment"), ape.alias("ape"))
-    return rows.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ape"), 6).alias("mape"), F.round(F.median("ape"), 6).alias("mdape"))
+    rows = table(spark, sf_dir, "lineitem").select(F.explode(labels).alias("segment"), ape.alias("ape")).where("segment is not null")
+    means = rows.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ape"), 6).alias("mape"))
+    medians = ranks.quantiles(rows, ["segment"], "ape", {"mdape": 0.5}).drop("n")
+    return means.join(medians, "segment", "left").select("segment", "n", "mape", F.round("mdape", 6).alias("mdape"))
 
 
 _C = "c AS (SELECT doc_id, lang, quality AS y, CASE WHEN n_chars > 800 THEN 1 ELSE 0 END AS p, n_chars AS score FROM documents JOIN labels USING (doc_id))"
