@@ -120,7 +120,7 @@ def month_index(sales: DataFrame, segment: str, pool: str, month: str, value: st
     with enough sales, else of its pool, else the last value carried on.
 
     Monthly counts choose the window of each segment and month first; a sale then becomes a row for each month whose
-    chosen window holds it, and each chosen window's median is looked up after one range sort, however large its pool is.
+    chosen window holds it, and the median of each chosen window comes from counts where its pool is large.
     """
     months = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("__m")
     grid = sales.select(segment, pool).distinct().select(segment, pool, months)
@@ -136,11 +136,10 @@ def month_index(sales: DataFrame, segment: str, pool: str, month: str, value: st
     level, width = F.substring_index("__source", "_", 1), F.substring_index("__source", "_", -1).cast("int")
     cell = F.struct(level.alias("level"), F.when(level == "segment", F.col(segment).cast("string")).otherwise(F.col(pool).cast("string")).alias("key"), F.col("__m").alias("m"))
     cells = cut(grid.where("__source is not null").select(cell.alias("cell"), width.alias("w")).distinct(), "cells")  # segments times months
-    wanted = cells.groupBy("cell.level", "cell.key").agg(F.collect_list(F.struct(F.col("cell.m").alias("m"), "w")).alias("__cells"))  # months at most
+    # The cells that a month's sales go to, so that a sale meets only these.
+    spans = cut(cells.select("cell", "cell.level", "cell.key", F.explode(F.sequence(F.col("cell.m") - F.col("w"), F.col("cell.m") - 1)).alias("__s")), "spans")
     levels = F.explode(F.array(*[F.struct(F.lit(name).alias("level"), F.col(key).cast("string").alias("key")) for name, key in (("segment", segment), ("pooled", pool))])).alias("__l")
-    rows = sales.select(F.col(month).alias("__s"), F.col(value).alias("__v"), levels).select("__l.level", "__l.key", "__s", "__v").join(wanted, ["level", "key"])
-    held = F.filter("__cells", lambda c: (F.col("__s") < c["m"]) & (F.col("__s") >= c["m"] - c["w"]))
-    rows = rows.select("level", "key", "__v", F.explode(held).alias("__c")).select(F.struct("level", "key", F.col("__c.m").alias("m")).alias("cell"), "__v")
+    rows = sales.select(F.col(month).alias("__s"), F.col(value).alias("__v"), levels).select("__l.level", "__l.key", "__s", "__v").join(spans, ["level", "key", "__s"]).select("cell", "__v")
     medians = ranks.quantiles(rows, ["cell"], "__v", {"__own": 0.5}).select("cell", "__own")
     rows = grid.withColumn("cell", F.when(F.col("__source").isNotNull(), cell)).join(medians, "cell", "left").select(segment, F.col("__m").alias("month"), "__own", "__source")
     before = Window.partitionBy(segment).orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
