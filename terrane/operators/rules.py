@@ -37,11 +37,20 @@ def drop_counts(df: DataFrame, rules: list[tuple[str, Column]], kept: str = "kep
     return df.select(F.coalesce(first_match(rules), F.lit(kept)).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _by_tier(df: DataFrame, tiers: list[list[str]], values: list[Column]) -> DataFrame:
+#: Groups of a tier from which on it is spread well enough by its keys.
+NARROW_GROUPS = 1000
+
+
+def _keys_of(tiers: dict[int, list[str]]) -> list[str]:
+    return list(dict.fromkeys(k for tier in tiers.values() for k in tier))
+
+
+def _by_tier(df: DataFrame, tiers: list[list[str]] | dict[int, list[str]], values: list[Column]) -> DataFrame:
     """One row per row and tier: the tier's number, its keys (others null) and its value."""
-    keys = list(dict.fromkeys(k for tier in tiers for k in tier))
+    tiers = tiers if isinstance(tiers, dict) else dict(enumerate(tiers, 1))
+    keys = _keys_of(tiers)
     null = {k: F.lit(None).cast(df.schema[k].dataType) for k in keys}
-    rows = [F.struct(F.lit(i).alias("tier"), *[(F.col(k) if k in tier else null[k]).alias(k) for k in keys], value.alias("value")) for i, (tier, value) in enumerate(zip(tiers, values, strict=True), 1)]
+    rows = [F.struct(F.lit(i).alias("tier"), *[(F.col(k) if k in tier else null[k]).alias(k) for k in keys], value.alias("value")) for (i, tier), value in zip(tiers.items(), values, strict=True)]
     return df.select(F.explode(F.array(*rows)).alias("t")).select("t.*")
 
 
@@ -49,24 +58,42 @@ def tiered_robust_z(df: DataFrame, value: str, tiers: list[list[str]], min_peers
     """Adds peer_tier (1 for the first tier with enough peers and spread), robust_z, med and scale; a row that no tier
     serves has nulls, or fails if `strict`.
 
-    All tiers' medians come from one range sort and all their deviations from another, so a tier that all rows share is
-    spread over all tasks; the written tier tables are then joined back, broadcast by Spark where they are small.
+    Tiers of many groups, all of them small, take their medians and deviations in windows over one shuffle of the rows
+    by the keys that these tiers share, each group in one task. Those of other tiers come from ranks.quantiles, which
+    deals counts of large groups only, and are joined back, broadcast by Spark where they are small.
     """
     keys = list(dict.fromkeys(k for tier in tiers for k in tier))
     df = cut(df, "peers")
+    cells = cut(df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__c")), "cells")
+    sizes = _by_tier(cells, tiers, [F.col("__c")] * len(tiers)).groupBy("tier", *keys).agg(F.sum("value").alias("n"))
+    own = {r.tier: r for r in sizes.groupBy("tier").agg(F.count(F.lit(1)).alias("groups"), F.max("n").alias("most")).collect()}
+    narrow = [i for i, r in sorted(own.items()) if r.groups >= NARROW_GROUPS and r.most <= ranks.GATHERED]
+    wide = [i for i in range(1, len(tiers) + 1) if i not in narrow]
+    out = df
 
     def joined(rows: DataFrame, found: DataFrame, names: dict[str, str]) -> DataFrame:
-        for i, tier in enumerate(tiers, 1):
-            own = found.where(F.col("tier") == i).select(*tier, *[F.col(c).alias(f"{name}{i}") for c, name in names.items()])
-            rows = _join_null_safe(rows, own, tier)
+        for i in wide:
+            own = found.where(F.col("tier") == i).select(*tiers[i - 1], *[F.col(c).alias(f"{name}{i}") for c, name in names.items()])
+            rows = _join_null_safe(rows, own, tiers[i - 1])
         return rows
 
+    if wide:
+        chosen = {i: tiers[i - 1] for i in wide}
+        stats = cut(ranks.quantiles(_by_tier(df, chosen, [F.col(value)] * len(wide)), ["tier", *_keys_of(chosen)], "value", {"med": 0.5}), "tiers")
+        out = joined(out, stats, {"med": "__med", "n": "__n"})
+        gaps = [F.abs(F.col(value) - F.col(f"__med{i}")) for i in wide]
+        mads = cut(ranks.quantiles(_by_tier(out, chosen, gaps), ["tier", *_keys_of(chosen)], "value", {"mad": 0.5}), "tiers")
+    if narrow:
+        order = list(dict.fromkeys(k for i in sorted(narrow, key=lambda i: len(tiers[i - 1])) for k in tiers[i - 1]))
+        shared = [k for k in order if all(k in tiers[i - 1] for i in narrow)]
+        out = out.repartition(*shared) if shared else out
+        for i in sorted(narrow, key=lambda i: -len(tiers[i - 1])):
+            w = Window.partitionBy(*[k for k in order if k in tiers[i - 1]])
+            out = out.withColumns({f"__med{i}": F.percentile(value, 0.5).over(w), f"__n{i}": F.count(value).over(w)})
+            out = out.withColumn(f"__mad{i}", F.percentile(F.abs(F.col(value) - F.col(f"__med{i}")), 0.5).over(w))
+    if wide:
+        out = joined(out, mads, {"mad": "__mad"})
     n = len(tiers)
-    stats = cut(ranks.quantiles(_by_tier(df, tiers, [F.col(value)] * n), ["tier", *keys], "value", {"med": 0.5}), "tiers")
-    out = joined(df, stats, {"med": "__med", "n": "__n"})
-    gaps = [F.abs(F.col(value) - F.col(f"__med{i}")) for i in range(1, n + 1)]
-    mads = cut(ranks.quantiles(_by_tier(out, tiers, gaps), ["tier", *keys], "value", {"mad": 0.5}), "tiers")
-    out = joined(out, mads, {"mad": "__mad"})
     usable = [(F.col(f"__n{i}") >= min_peers) & (F.col(f"__mad{i}") > 0) for i in range(1, n + 1)]
     pick = lambda what: reduce(lambda chain, i: chain.when(usable[i - 1], F.col(f"__{what}{i}")), range(1, n + 1), F.when(F.lit(False), F.lit(None).cast("double")))
     tier = reduce(lambda chain, i: chain.when(usable[i - 1], F.lit(i)), range(1, n + 1), F.when(F.lit(False), F.lit(None).cast("int")))

@@ -11,6 +11,9 @@ from terrane.session import table
 
 TIERS = [["l_suppkey", "l_returnflag", "l_linestatus", "year"], ["l_suppkey", "l_returnflag", "year"], ["l_returnflag", "l_linestatus", "year"], ["l_returnflag", "year"], ["l_returnflag"]]
 
+#: What tiers need of a row.
+PEERS = [*dict.fromkeys(k for tier in TIERS for k in tier), "x"]
+
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
@@ -43,7 +46,7 @@ _Z_SQL = (
 
 @query(_Z_SQL + "SELECT l_orderkey, l_linenumber, CAST(peer_tier AS INTEGER) AS peer_tier, round(z, 5) AS robust_z, CASE WHEN z < -1.5 THEN 'low' WHEN z > 1.5 THEN 'high' END AS outlier FROM s")
 def an1_tiered_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = _classified(spark, sf_dir).where("rule is null")
+    clean = _classified(spark, sf_dir).where("rule is null").select("l_orderkey", "l_linenumber", *PEERS)
     z = rules.tiered_robust_z(clean, "x", TIERS)
     outlier = rules.first_match([("low", F.col("robust_z") < -1.5), ("high", F.col("robust_z") > 1.5)])
     return z.select("l_orderkey", "l_linenumber", "peer_tier", F.round("robust_z", 5).alias("robust_z"), outlier.alias("outlier"))
@@ -51,16 +54,16 @@ def an1_tiered_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_Z_SQL + ", o AS (SELECT CASE WHEN z < -1.5 THEN 'price_outlier_low' WHEN z > 1.5 THEN 'price_outlier_high' ELSE 'clean' END AS reason FROM s UNION ALL SELECT rule FROM ruled WHERE rule IS NOT NULL) SELECT reason, count(*) AS n FROM o GROUP BY reason")
 def an1_classify_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _classified(spark, sf_dir)
-    z = rules.tiered_robust_z(rows.where("rule is null"), "x", TIERS)
+    # One pass: rows that a rule has named have no value, which leaves them out of all medians and counts.
+    rows = _classified(spark, sf_dir).withColumn("x", F.when(F.col("rule").isNull(), F.col("x"))).select("rule", *PEERS)
+    z = rules.tiered_robust_z(rows, "x", TIERS)
     late = rules.first_match([("price_outlier_low", F.col("robust_z") < -1.5), ("price_outlier_high", F.col("robust_z") > 1.5)])
-    reasons = z.select(F.coalesce(late, F.lit("clean")).alias("reason")).unionByName(rows.where("rule is not null").select(F.col("rule").alias("reason")))
-    return reasons.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return z.select(F.coalesce("rule", late, F.lit("clean")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_Z_SQL + "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN z < -1.0 AND abs(z + ln(10.7639) / 4) <= 1.0 THEN 'suspected_unit' WHEN z < -1.0 THEN 'outlier_low' WHEN z > 1.0 THEN 'outlier_high' ELSE 'kept' END AS reason FROM s) GROUP BY reason")
 def wn3_unit_retest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = rules.tiered_robust_z(_classified(spark, sf_dir).where("rule is null"), "x", TIERS)
+    z = rules.tiered_robust_z(_classified(spark, sf_dir).where("rule is null").select(*PEERS), "x", TIERS)
     reason = F.coalesce(rules.outlier_reason(F.col("robust_z"), F.col("robust_z") + F.ln(F.lit(10.7639)) / 4, 1.0), F.lit("kept"))
     return z.select(reason.alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
