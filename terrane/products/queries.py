@@ -8,7 +8,7 @@ at least, else a bare amount), places of the lexicon, bedrooms, types and amenit
 known, and the words left.
 
 All but the dictionary look-up (see operators.phrases) is native; a table of any number of queries is parsed in one
-scan, without a shuffle.
+scan, without a shuffle but the one that deals many queries to tasks of TASK_QUERIES.
 """
 
 from __future__ import annotations
@@ -17,7 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.operators.phrases import with_phrases
+from terrane.session import in_tasks
 
+#: Queries that a task parses, about.
+TASK_QUERIES = 20_000
 #: Factors, square metres of a square foot, the smallest bare amount of money.
 FACTORS = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mn": 1e6, "million": 1e6}
 SQM_PER_SQFT, LEAST_BARE = 0.092903, 10_000.0
@@ -240,7 +243,7 @@ def parsed(queries: DataFrame, text: str = "text", lexicon: DataFrame | None = N
     passes repeats them."""
     tokens, letters = F.col("__tokens"), F.col("__letters")
     low = F.replace(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("’"), F.lit("'"))
-    rows = queries.withColumn("__tokens", F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)))
+    rows = in_tasks(queries, TASK_QUERIES).withColumn("__tokens", F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)))
     rows = rows.withColumn("__letters", F.array_join(F.transform("__tokens", classed), ""))
 
     def use(df: DataFrame, name: str, match: Column) -> DataFrame:
