@@ -46,8 +46,8 @@ def scored_rows(shared, names: list[str]):
         stems: dict[str, tuple] = {}
         for batch in batches:
             out: list[tuple] = []
-            for doc, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                places = defaultdict(list)
+            for doc, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                places, words = defaultdict(list), held.as_py()  # the words of one text at a time
                 for i, word in enumerate(words or ()):
                     asked = stems.get(word)
                     if asked is None:

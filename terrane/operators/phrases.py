@@ -70,10 +70,14 @@ class Automaton:
         return kept
 
 
+#: Rows of a batch whose words a task turns into objects at once.
+SLICE = 64
+
+
 def phrase_rows(automaton, words_index: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longest = automaton.value.longest
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             found = [[{"start": a, "end": b, "phrase": p} for a, b, p in longest(words)] if words else [] for words in batch.column(words_index).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, schema.field(len(schema) - 1).type)], schema=schema)
 
