@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import scalars as sc
 from terrane.operators import ingestion, ranks
+from terrane.operators.bags import hashed_bags
 from terrane.plans.catalogue import query
 from terrane.session import table
 from terrane.sources import readers
@@ -50,10 +51,8 @@ def fn13_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents), s AS (SELECT doc_id, CAST(('0x' || substr(sha256(word), 1, 8))::BIGINT % 384 AS INTEGER) AS slot, count(*) AS n FROM w GROUP BY 1, 2)
 SELECT doc_id, slot, n, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM s""")
 def fn15_hashed_bag_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
-    counts = words.groupBy("doc_id", sc.bag_slot(F.col("word")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    length = counts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
-    return counts.join(length, "doc_id").select("doc_id", "slot", "n", F.round(F.col("n") / F.col("length"), 6).alias("weight"))
+    bags = hashed_bags(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return bags.select("doc_id", "slot", "n", F.round(F.col("n") / F.col("length"), 6).alias("weight"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size <= 5 THEN 'small' WHEN p_size <= 25 THEN 'middle' ELSE 'large' END || '_' || split_part(p_type, ' ', 1) || '_' || CASE WHEN p_retailprice BETWEEN 900 AND 1200 THEN 'low' WHEN p_retailprice BETWEEN 1200 AND 2100 THEN 'high' ELSE 'out' END AS segment FROM part""")
