@@ -148,6 +148,8 @@ def month_index(sales: DataFrame, segment: str, pool: str, month: str, value: st
     return rows.select(segment, "month", carried.alias("value"), source.alias("source"))
 
 
+#: Rows and intervals of a task that looks up intervals, about, whatever the number of shuffle partitions.
+TASK_ROWS = 200_000
 #: Columns of interval_features that every row gets.
 INTERVAL_FEATURES = {"n_open": "long", "n_kinds": "long", "days_to_next": "int", "n_ended": "long"}
 
@@ -163,6 +165,8 @@ def interval_features(rows: DataFrame, intervals: DataFrame, key: str, at: str,
     given = intervals.where(F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull())
     given = given.select(F.col(key).alias("__k"), F.col(start).cast("long").alias("__s"), F.col(end).cast("long").alias("__e"), F.col(kind).alias("__kind"))
     asked = rows.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("__k"), F.col(at).cast("long").alias("__at")).distinct()
+    given, asked = cut(given, "intervals"), cut(asked, "asked")
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(given.count() + rows.count()) // TASK_ROWS))
     names = kinds or []
     columns = INTERVAL_FEATURES | {f"open_{name}": "long" for name in names}
     heavy = lambda df: df.groupBy("__k").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_ROWS).select("__k")
@@ -172,7 +176,7 @@ def interval_features(rows: DataFrame, intervals: DataFrame, key: str, at: str,
     is_open = (F.col("__s") <= F.col("__at")) & (F.col("__e") > F.col("__at"))
     ended = (F.col("__e") <= F.col("__at")) & (F.col("__e") > F.col("__at") - recent)
     left = asked if none else asked.join(hot, "__k", "left_anti")
-    found = left.join(given, "__k").groupBy("__k", "__at").agg(
+    found = left.repartition(tasks, "__k").join(given.repartition(tasks, "__k"), "__k").groupBy("__k", "__at").agg(
         F.count_if(is_open).alias("n_open"),
         F.count_distinct(F.when(is_open, F.col("__kind"))).alias("n_kinds"),
         F.min(F.when(is_open, F.col("__e") - F.col("__at"))).cast("int").alias("days_to_next"),
@@ -181,8 +185,9 @@ def interval_features(rows: DataFrame, intervals: DataFrame, key: str, at: str,
     )
     if not none:
         found = found.unionByName(_intervals_by_year(asked.join(hot, "__k", "left_semi"), given.join(hot, "__k", "left_semi"), names, columns, recent))
-    answers = found.withColumnsRenamed({c: f"__r_{c}" for c in columns})
-    out = rows.join(answers, (F.col(key) == F.col("__k")) & (F.col(at).cast("long") == F.col("__at")), "left")
+    answers = found.withColumnsRenamed({c: f"__r_{c}" for c in columns} | {"__k": "__r_k", "__at": "__r_at"}).repartition(tasks, "__r_k", "__r_at")
+    out = rows.withColumns({"__k": F.col(key), "__at": F.col(at).cast("long")}).repartition(tasks, "__k", "__at")
+    out = out.join(answers, (F.col("__k") == F.col("__r_k")) & (F.col("__at") == F.col("__r_at")), "left")
     filled = [(F.col(f"__r_{c}") if c == "days_to_next" else F.coalesce(F.col(f"__r_{c}"), F.lit(0))).cast(t).alias(c) for c, t in columns.items()]
     return out.select(*rows.columns, *filled)
 
