@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrane.operators import ranks
 from terrane.session import cut
@@ -29,15 +30,16 @@ def rolling(value: Column | str, frame: Window) -> tuple[Column, Column]:
     return F.percentile(value, 0.5).over(frame), F.count(value).over(frame)
 
 
-#: Rows of one key from which on its frames are worked out by blocks of days instead of in one window.
-HOT_ROWS = 10_000
+#: Rows of one key from which on its frames are worked out by blocks of days instead of with other keys; rows of a group
+#: of keys, about, and values of its frames that are sorted at once.
+HOT_ROWS, GROUP_ROWS, SORTED = 10_000, 100_000, 1 << 20
 
 
 def rolling_stats(df: DataFrame, keys: list[str], day: str, value: str, frames: dict[str, tuple[int, int]], counts: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """Adds <name>_median and <name>_n for each frame of days, and <name>_n alone for those of `counts`. Rows with a null
     key get null and 0.
 
-    A key of few rows is one window; all its frames share a shuffle and a sort. A key of more than HOT_ROWS is cut into
+    Keys of few rows are dealt in groups, and a task sorts the frames of a group's days in blocks. A key of more than HOT_ROWS is cut into
     blocks of days: each value goes to the blocks whose days see it in some frame, so one key spreads over tasks. Frames
     depend on key and day alone, so a block selects one median for each of its days, whatever the number of its rows,
     and rows take theirs by key and day."""
@@ -60,13 +62,72 @@ def _known(keys: list[str]) -> Column:
 
 
 def _windowed_stats(df: DataFrame, keys: list[str], day: str, value: str, frames: dict[str, tuple[int, int]], counts: dict[str, tuple[int, int]]) -> DataFrame:
-    known, columns = _known(keys), {}
-    for name, (low, high) in (frames | counts).items():
-        median, count = rolling(value, day_frame(keys, day, low, high))
+    """Keys of few rows, whole keys together in groups of about GROUP_ROWS rows. A null day sees the null days of its key."""
+    groups = max(1, -(-df.count() // GROUP_ROWS))
+    # rows without a key see nothing and are dealt by what they hold
+    group = F.pmod(F.when(_known(keys), F.xxhash64(*keys)).otherwise(F.xxhash64(day, value)), F.lit(groups))
+    fields = [T.StructField(f"{name}_{what}", T.DoubleType() if what == "median" else T.LongType()) for name in frames | counts for what in (("median", "n") if name in frames else ("n",))]
+    rows = df.select("*", F.col(day).cast("long").alias("__at"), F.col(value).cast("double").alias("__v"), group.alias("__group"))
+
+    def run(table: pa.Table) -> pa.Table:
+        known, codes = np.ones(len(table), dtype=bool), np.zeros(len(table), dtype=np.int64)
+        for key in keys:
+            column = table.column(key).combine_chunks().dictionary_encode()
+            known &= ~column.is_null().to_numpy(zero_copy_only=False)
+            codes = codes * (len(column.dictionary) + 1) + column.indices.fill_null(len(column.dictionary)).to_numpy()
+            codes = np.unique(codes, return_inverse=True)[1]
+        undated, valued = (table.column(c).is_null().to_numpy() for c in ("__at", "__v"))
+        at, v, valued = table.column("__at").fill_null(0).to_numpy(), table.column("__v").fill_null(0.0).to_numpy(), ~valued
+        found = frame_stats(codes * 2 + undated, np.where(undated, 0, at), v, valued, undated, frames, counts)
+        out = table.drop_columns(["__at", "__v", "__group"])
+        for field in fields:
+            values, missing = found[field.name]
+            own = pa.array(values, mask=missing | ~known) if field.name.endswith("_median") else pa.array(np.where(known, values, 0))
+            out = out.append_column(field.name, own)
+        return out
+
+    return rows.groupBy("__group").applyInArrow(run, T.StructType([*df.schema.fields, *fields]))
+
+
+def frame_stats(codes: np.ndarray, at: np.ndarray, v: np.ndarray, valued: np.ndarray, undated: np.ndarray, frames: dict[str, tuple[int, int]], counts: dict[str, tuple[int, int]]) -> dict[str, tuple[np.ndarray, np.ndarray | None]]:
+    """<name>_n and <name>_median of each row's frames over the values of its code, each with what is null."""
+    # One number for code and day, codes so far apart that no frame reaches the next one.
+    dated = at[~undated]
+    low, high = (int(dated.min()), int(dated.max())) if len(dated) else (0, 0)
+    reach = max(abs(x) for frame in (frames | counts).values() for x in frame)
+    place = codes * (high - low + 2 * reach + 1) + np.where(undated, reach, at - low + reach)
+    asked, first_row, back = np.unique(place, return_index=True, return_inverse=True)
+    moves = ~undated[first_row]
+    order = np.argsort(place[valued], kind="stable")
+    held, values = place[valued][order], v[valued][order]
+    out: dict[str, tuple[np.ndarray, np.ndarray | None]] = {}
+    for name, (start, stop) in (frames | counts).items():
+        first, last = np.searchsorted(held, asked + start * moves, "left"), np.searchsorted(held, asked + stop * moves, "right")
+        n = np.maximum(last - first, 0)
+        out[f"{name}_n"] = n[back], None
         if name in frames:
-            columns[f"{name}_median"] = F.when(known, median)
-        columns[f"{name}_n"] = F.when(known, count).otherwise(F.lit(0))
-    return df.withColumns(columns)
+            out[f"{name}_median"] = medians(values, first, n)[back], (n == 0)[back]
+    return out
+
+
+def medians(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Medians of the n values from each `first` on, those of like n together, SORTED values at once."""
+    out, order = np.full(len(n), np.nan), np.argsort(n, kind="stable")
+    start = int(np.searchsorted(n[order], 1))
+    while start < len(order):
+        stop = min(len(order), start + max(1, SORTED // int(n[order[start]])))
+        stop = max(start + 1, min(stop, int(np.searchsorted(n[order], 2 * n[order[start]], "right")), start + max(1, SORTED // int(n[order[stop - 1]]))))
+        some = order[start:stop]
+        width = int(n[some].max())
+        places = np.minimum(first[some][:, None] + np.arange(width), len(values) - 1)
+        block = np.where(np.arange(width) < n[some][:, None], values[places], np.nan)
+        block.sort(axis=1)  # what is beyond a frame comes last, as NaN
+        row = np.arange(len(some))
+        below, above = block[row, (n[some] - 1) // 2], block[row, n[some] // 2]
+        with np.errstate(invalid="ignore"):  # both infinities
+            out[some] = np.where(below == above, below, below * 0.5 + above * 0.5)
+        start = stop
+    return out
 
 
 def _blocked_stats(df: DataFrame, keys: list[str], day: str, value: str, frames: dict[str, tuple[int, int]], counts: dict[str, tuple[int, int]]) -> DataFrame:

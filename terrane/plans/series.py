@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.operators import timeseries as ts
 from terrane.plans.catalogue import query
-from terrane.session import table
+from terrane.session import cut, table
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def wn7_wn8_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey, l_linenumber, l_quantity, l_suppkey, day, CASE WHEN n_own >= 25 THEN 'own' ELSE 'wide' END AS level, round(CASE WHEN n_own >= 25 THEN own ELSE wide END, 4) AS base FROM w""")
 def wn5_base_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ts.rolling_stats(_daily(spark, sf_dir), ["l_suppkey"], "day", "ppu", {"own": (-92, -1)})
-    rows = ts.rolling_stats(rows, ["l_returnflag"], "day", "ppu", {"wide": (-20, -1)})
+    rows = ts.rolling_stats(cut(rows, "own"), ["l_returnflag"], "day", "ppu", {"wide": (-20, -1)})
     own = F.col("own_n") >= 25
     return rows.select("l_orderkey", "l_linenumber", "l_quantity", "l_suppkey", "day", F.when(own, "own").otherwise("wide").alias("level"), F.round(F.when(own, F.col("own_median")).otherwise(F.col("wide_median")), 4).alias("base"))
 

@@ -35,6 +35,7 @@ def dataset(sales: DataFrame) -> DataFrame:
     rows = keys(sales) if "day" not in sales.columns else sales
     frames = {"base": BASE} | {f"ahead_{h}": w for h, w in HORIZONS.items()} | {f"lag_{h}": (BASE[0] - lag, BASE[1] - lag) for h, lag in LAGS.items()}
     for level in ("building", "area"):
+        rows = cut(rows, "level")  # read several times, and not worked out again for each
         rows = timeseries.rolling_stats(rows, [f"{level}_key"], "day", "ppsm", {f"{level}_{n}": w for n, w in frames.items()}, {f"{level}_year": (-365, -1)})
         rows = rows.withColumnRenamed(f"{level}_year_n", f"{level}_year").withColumns({f"{level}_since": timeseries.days_since_previous([f"{level}_key"], "day")})
     own = F.col("building_base_n") >= MIN_SALES
