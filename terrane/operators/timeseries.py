@@ -86,7 +86,8 @@ def _windowed_stats(df: DataFrame, keys: list[str], day: str, value: str, frames
             out = out.append_column(field.name, own)
         return out
 
-    return rows.groupBy("__group").applyInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // 4))  # what a task sorts stays bounded
+    return rows.repartition(tasks, "__group").groupBy("__group").applyInArrow(run, T.StructType([*df.schema.fields, *fields]))
 
 
 def frame_stats(codes: np.ndarray, at: np.ndarray, v: np.ndarray, valued: np.ndarray, undated: np.ndarray, frames: dict[str, tuple[int, int]], counts: dict[str, tuple[int, int]]) -> dict[str, tuple[np.ndarray, np.ndarray | None]]:
