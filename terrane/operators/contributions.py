@@ -9,7 +9,7 @@ contributions and the base add up to its prediction.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import factorial
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from terrane.operators import learning
+
 
 @dataclass
 class Leaf:
@@ -50,8 +52,9 @@ def shapley_table(value: float, shares: list[float]) -> np.ndarray:
     return out
 
 
-def leaves_of(node, scale: float) -> tuple[list[Leaf], float]:
-    """The leaves of a Spark ML tree from its root, and its weighted mean; only splits of numbers."""
+def leaves_of(node, scale: float, beyond: Callable[[int, float], float]) -> tuple[list[Leaf], float]:
+    """The leaves of a Spark ML tree from its root, and its weighted mean; only splits of numbers, at `beyond` of feature and
+    threshold."""
     leaves, base = [], 0.0
     waiting = [(node, {})]
     while waiting:
@@ -65,7 +68,8 @@ def leaves_of(node, scale: float) -> tuple[list[Leaf], float]:
                 leaves.append(Leaf(np.array(features), np.array([path[f][0] for f in features]), np.array([path[f][1] for f in features]), shapley_table(value, shares)))
             continue
         split, left, right = at.split(), at.leftChild(), at.rightChild()
-        feature, threshold = split.featureIndex(), split.threshold()
+        feature = split.featureIndex()
+        threshold = beyond(feature, split.threshold())
         low, high, share = path.get(feature, (-np.inf, np.inf, 1.0))
         weights = [child.impurityStats().count() for child in (left, right)]
         part = weights[0] / sum(weights)
@@ -77,9 +81,9 @@ def leaves_of(node, scale: float) -> tuple[list[Leaf], float]:
 def flattened(model: PipelineModel) -> tuple[list[Leaf], float]:
     """All leaves of the ensemble that is the last stage, their values times the tree's weight, and the base."""
     ensemble = model.stages[-1]
-    leaves, base = [], 0.0
+    leaves, base, beyond = [], 0.0, learning.split_thresholds(model)
     for tree, weight in zip(ensemble.trees, ensemble.treeWeights, strict=True):
-        own, mean = leaves_of(tree._java_obj.rootNode(), float(weight))
+        own, mean = leaves_of(tree._java_obj.rootNode(), float(weight), beyond)
         leaves += own
         base += mean
     return leaves, base

@@ -32,10 +32,14 @@ class PricePredictor:
     model: object = None
 
     def _features(self, rows: DataFrame) -> DataFrame:
-        """Index, priors and plain columns of sales or requests; unseen places fall back to their parents."""
+        """Index, priors and plain columns of requests; unseen places fall back to their parents."""
         index = self.tables["index"].select("segment", F.col("month").alias("m"), F.col("value").alias("index"))
         rows = rows.withColumn("m", timeseries.month_number("day")).join(index, ["segment", "m"], "left")
         rows = rows.join(self.tables["last"], "segment", "left").withColumn("index", F.coalesce("index", "last_index")).drop("last_index")
+        return self._priors(rows).withColumn("log_size", F.ln("size"))
+
+    def _priors(self, rows: DataFrame) -> DataFrame:
+        """Adds prior_<level> and n_<level> of the rows' places."""
         parent = None
         rows = scoped(rows)
         for level in LEVELS:
@@ -44,7 +48,7 @@ class PricePredictor:
             prior = F.when(w > 0, wy / w).otherwise(0.0) if parent is None else (wy + self.shrink * F.col(parent)) / (w + self.shrink)
             parent = f"prior_{level}"
             rows = rows.withColumns({parent: prior, f"n_{level}": F.log1p(w)}).drop("wy", "w")
-        return rows.withColumn("log_size", F.ln("size")).drop("scope")
+        return rows.drop("scope")
 
     FEATURES = ("prior_area", "prior_project", "prior_building", "n_area", "n_project", "n_building", "log_size")
 
@@ -54,16 +58,22 @@ class PricePredictor:
         index = cut(timeseries.month_index(rows, "segment", "pool", "m", "v", span.a, span.b + 1, 30).where("value is not null"), "index")
         self.tables["index"] = index
         self.tables["last"] = index.groupBy("segment").agg(F.max_by("value", "month").alias("last_index"))
-        known = rows.join(index.select("segment", F.col("month").alias("m"), F.col("value").alias("index")), ["segment", "m"]).withColumn("y", F.col("v") - F.col("index"))
-        known = cut(known.withColumn("weight", estimates.recency_weight(F.datediff(F.lit(span.last), "day"), self.half_life, F.lit(1))), "relative")
+        known = rows.join(index.select("segment", F.col("month").alias("m"), F.col("value").alias("index")), ["segment", "m"])
+        check = F.pmod(F.xxhash64("building", "day", "price"), F.lit(5)) == 0
+        weight = estimates.recency_weight(F.datediff(F.lit(span.last), "day"), self.half_life, F.lit(1))
+        place = F.struct(*LEVELS).alias("place")  # nulls are equal within it
+        known = cut(known.select(place, "segment", "v", (F.col("v") - F.col("index")).alias("y"), weight.alias("weight"), F.ln("size").alias("log_size"), check.alias("check")), "relative")
+        sums = cut(known.groupBy("place").agg(F.sum(F.col("y") * F.col("weight")).alias("wy"), F.sum("weight").alias("w")), "places")
         for level in LEVELS:
-            sums = scoped(known).groupBy(*KEYS[level]).agg(F.sum(F.col("y") * F.col("weight")).alias("wy"), F.sum("weight").alias("w"))
-            self.tables[level] = cut(sums, f"prior-{level}")
-        rows = self._features(known.drop("index", "m")).withColumn("residual", F.col("y") - F.col("prior_building"))
-        rows = cut(rows.withColumn("check", F.pmod(F.xxhash64("building", "day", "price"), F.lit(5)) == 0), "features")
+            self.tables[level] = cut(scoped(sums.select("place.*", "wy", "w")).groupBy(*KEYS[level]).agg(F.sum("wy").alias("wy"), F.sum("w").alias("w")), f"prior-{level}")
+        # Priors depend on the place alone, so the rows are joined once.
+        priors = cut(self._priors(sums.select("place", "place.*")).select("place", *[c for c in self.FEATURES if c != "log_size"]), "priors")
+        rows = known.join(priors, "place").select("segment", *self.FEATURES, (F.col("y") - F.col("prior_building")).alias("residual"), "weight", "check")
+        rows = cut(rows, "features")
         self.model = learning.fit_boosted(rows, list(self.FEATURES), "residual", "weight", "check")
-        scored = learning.predict(self.model, rows, "r").withColumn("error", F.abs(F.col("residual") - F.col("r")))
-        self.tables["ranges"] = cut(estimates.conformal_quantiles(scored.where("check"), "segment", "error", {"q80": 0.2, "q95": 0.05}, self.min_segment), "ranges")
+        scored = learning.predict(self.model, rows.where("check"), "r")
+        scored = cut(scored.select("segment", F.abs(F.col("residual") - F.col("r")).alias("error")), "scored")
+        self.tables["ranges"] = cut(estimates.conformal_quantiles(scored, "segment", "error", {"q80": 0.2, "q95": 0.05}, self.min_segment), "ranges")
         self.tables["bounds"] = cut(estimates.quantile_bounds(known, ["segment"], "v", 0.01, 0.99).select("segment", "low", "high"), "bounds")
         return self
 
