@@ -181,14 +181,16 @@ def month_index(sales: DataFrame, segment: str, pool: str, month: str, value: st
     """(segment, month, value, source): median of the months strictly before, of the segment in the narrowest window
     with enough sales, else of its pool, else the last value carried on.
 
-    Monthly counts choose the window of each segment and month first; a sale then becomes a row for each month whose
-    chosen window holds it, and the median of each chosen window comes from counts where its pool is large.
+    Monthly counts choose the window of each segment and month first; a sale is then counted in its month, and windows
+    add up the counts of their months. The values of a month have the range of their segment or pool.
     """
     months = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("__m")
     grid = sales.select(segment, pool).distinct().select(segment, pool, months)
-    chosen = F.when(F.lit(False), F.lit(None).cast("string"))
+    chosen, groups = F.when(F.lit(False), F.lit(None).cast("string")), []
     for name, key in (("segment", segment), ("pooled", pool)):
-        monthly = sales.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, F.col(month).alias("__s")).agg(F.count(F.lit(1)).alias("__c"))
+        valued = sales.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, F.col(month).alias("__s"), F.col(value).alias("__v"))
+        monthly = cut(valued.groupBy(key, "__s").agg(F.count(F.lit(1)).alias("__c"), *ranks.ends(valued)), "monthly")  # keys times months
+        groups.append(monthly.select(F.lit(name).alias("level"), F.col(key).cast("string").alias("key"), "__s", "__lo", "__hi"))
         monthly = monthly.select(key, "__c", (F.explode(F.sequence(F.lit(1), F.lit(max(widths))))).alias("__age"), "__s").withColumn("__m", F.col("__s") + F.col("__age"))
         own = monthly.groupBy(key, "__m").agg(*[F.sum(F.when(F.col("__age") <= w, F.col("__c"))).alias(f"__{name}_{w}") for w in widths])
         grid = grid.join(own, [key, "__m"], "left")
@@ -197,12 +199,17 @@ def month_index(sales: DataFrame, segment: str, pool: str, month: str, value: st
     grid = cut(grid.select(segment, pool, "__m", chosen.alias("__source")), "grid")
     level, width = F.substring_index("__source", "_", 1), F.substring_index("__source", "_", -1).cast("int")
     cell = F.struct(level.alias("level"), F.when(level == "segment", F.col(segment).cast("string")).otherwise(F.col(pool).cast("string")).alias("key"), F.col("__m").alias("m"))
-    cells = cut(grid.where("__source is not null").select(cell.alias("cell"), width.alias("w")).distinct(), "cells")  # segments times months
-    # The cells that a month's sales go to, so that a sale meets only these.
-    spans = cut(cells.select("cell", "cell.level", "cell.key", F.explode(F.sequence(F.col("cell.m") - F.col("w"), F.col("cell.m") - 1)).alias("__s")), "spans")
+    cells = cut(grid.where("__source is not null").select(cell.alias("cell"), width.alias("w")).distinct().withColumn("__i", F.monotonically_increasing_id()), "cells")  # segments times months
+    # The months of each cell's window, and those that some window holds, so that a sale meets only these.
+    spans = cut(cells.select("__i", "cell.level", "cell.key", F.explode(F.sequence(F.col("cell.m") - F.col("w"), F.col("cell.m") - 1)).alias("__s")), "spans")
+    whole = Window.partitionBy("level", "key")
+    groups = groups[0].unionByName(groups[1]).groupBy("level", "key", "__s").agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
+    groups = groups.withColumns({"__lo": F.min("__lo").over(whole), "__hi": F.max("__hi").over(whole)}).join(spans, ["level", "key", "__s"], "left_semi")
+    groups = cut(groups.withColumn("__g", F.monotonically_increasing_id()), "months")
     levels = F.explode(F.array(*[F.struct(F.lit(name).alias("level"), F.col(key).cast("string").alias("key")) for name, key in (("segment", segment), ("pooled", pool))])).alias("__l")
-    rows = sales.select(F.col(month).alias("__s"), F.col(value).alias("__v"), levels).select("__l.level", "__l.key", "__s", "__v").join(spans, ["level", "key", "__s"]).select("cell", "__v")
-    medians = ranks.quantiles(rows, ["cell"], "__v", {"__own": 0.5}).select("cell", "__own")
+    rows = sales.select(F.col(month).alias("__s"), F.col(value).alias("__v"), levels).select("__l.level", "__l.key", "__s", "__v").join(groups, ["level", "key", "__s"]).select("__g", "__lo", "__hi", "__v")
+    unions = cut(spans.join(groups, ["level", "key", "__s"]).select("__i", "__g"), "windows")
+    medians = ranks.union_quantiles(rows, unions, {"__own": 0.5}).join(cells, "__i").select("cell", "__own")
     rows = grid.withColumn("cell", F.when(F.col("__source").isNotNull(), cell)).join(medians, "cell", "left").select(segment, F.col("__m").alias("month"), "__own", "__source")
     before = Window.partitionBy(segment).orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
     carried = F.last("__own", ignorenulls=True).over(before)
