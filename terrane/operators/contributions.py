@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from terrane.operators import learning
+from terrane.operators.boosting import BoostedTrees, Node
 
 
 @dataclass
@@ -52,38 +53,46 @@ def shapley_table(value: float, shares: list[float]) -> np.ndarray:
     return out
 
 
-def leaves_of(node, scale: float, beyond: Callable[[int, float], float]) -> tuple[list[Leaf], float]:
-    """The leaves of a Spark ML tree from its root, and its weighted mean; only splits of numbers, at `beyond` of feature and
-    threshold."""
+def leaves_of(root: Node, scale: float) -> tuple[list[Leaf], float]:
+    """The leaves of a tree from its root, and its weighted mean."""
     leaves, base = [], 0.0
-    waiting = [(node, {})]
+    waiting = [(root, {})]
     while waiting:
         at, path = waiting.pop()
-        if at.subtreeDepth() == 0:
-            value = scale * at.prediction()
+        if at.left is None:
+            value = scale * at.value
             features = sorted(path)
             shares = [path[f][2] for f in features]
             base += value * float(np.prod(shares))
             if features:
                 leaves.append(Leaf(np.array(features), np.array([path[f][0] for f in features]), np.array([path[f][1] for f in features]), shapley_table(value, shares)))
             continue
-        split, left, right = at.split(), at.leftChild(), at.rightChild()
-        feature = split.featureIndex()
-        threshold = beyond(feature, split.threshold())
-        low, high, share = path.get(feature, (-np.inf, np.inf, 1.0))
-        weights = [child.impurityStats().count() for child in (left, right)]
-        part = weights[0] / sum(weights)
-        waiting.append((left, path | {feature: (low, min(high, threshold), share * part)}))
-        waiting.append((right, path | {feature: (max(low, threshold), high, share * (1 - part))}))
+        low, high, share = path.get(at.feature, (-np.inf, np.inf, 1.0))
+        part = at.left.weight / (at.left.weight + at.right.weight)
+        waiting.append((at.left, path | {at.feature: (low, min(high, at.limit), share * part)}))
+        waiting.append((at.right, path | {at.feature: (max(low, at.limit), high, share * (1 - part))}))
     return leaves, base
 
 
-def flattened(model: PipelineModel) -> tuple[list[Leaf], float]:
-    """All leaves of the ensemble that is the last stage, their values times the tree's weight, and the base."""
-    ensemble = model.stages[-1]
-    leaves, base, beyond = [], 0.0, learning.split_thresholds(model)
-    for tree, weight in zip(ensemble.trees, ensemble.treeWeights, strict=True):
-        own, mean = leaves_of(tree._java_obj.rootNode(), float(weight), beyond)
+def node_of(node, beyond: Callable[[int, float], float]) -> Node:
+    """A Spark ML tree from its root; only splits of numbers, at `beyond` of feature and threshold."""
+    value, weight = node.prediction(), node.impurityStats().count()
+    if node.subtreeDepth() == 0:
+        return Node(value, weight)
+    split = node.split()
+    return Node(value, weight, split.featureIndex(), beyond(split.featureIndex(), split.threshold()), node_of(node.leftChild(), beyond), node_of(node.rightChild(), beyond))
+
+
+def flattened(model: PipelineModel | BoostedTrees) -> tuple[list[Leaf], float]:
+    """All leaves of the ensemble (of a pipeline, the last stage), their values times the tree's weight, and the base."""
+    if isinstance(model, BoostedTrees):
+        trees, weights = model.trees, model.weights
+    else:
+        beyond = learning.split_thresholds(model)
+        trees, weights = [node_of(tree._java_obj.rootNode(), beyond) for tree in model.stages[-1].trees], model.stages[-1].treeWeights
+    leaves, base = [], 0.0
+    for tree, weight in zip(trees, weights, strict=True):
+        own, mean = leaves_of(tree, float(weight))
         leaves += own
         base += mean
     return leaves, base
@@ -110,7 +119,7 @@ def contribution_rows(shared, n_features: int, schema: pa.Schema):
     return run
 
 
-def with_contributions(model: PipelineModel, df: DataFrame, features: list[str], missing: float = -1e9) -> DataFrame:
+def with_contributions(model: PipelineModel | BoostedTrees, df: DataFrame, features: list[str], missing: float = -1e9) -> DataFrame:
     """Adds base, and contributions as (name, value) in the order of the features. Missing values count as `missing`, as
     learning.fit_boosted has them."""
     leaves, base = flattened(model)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from terrane.operators import ranks
 from terrane.session import cut
@@ -30,28 +33,42 @@ def rolling(value: Column | str, frame: Window) -> tuple[Column, Column]:
     return F.percentile(value, 0.5).over(frame), F.count(value).over(frame)
 
 
-#: Rows of one key from which on its frames are worked out by blocks of days instead of with other keys; rows of a group
-#: of keys, about, and values of its frames that are sorted at once.
-HOT_ROWS, GROUP_ROWS, SORTED = 10_000, 100_000, 1 << 20
+#: Rows of one key from which on its frames are worked out by themselves instead of with other keys, and from which on by
+#: blocks of days; rows of a group of keys, about, and values of its frames that are sorted at once.
+HOT_ROWS, BLOCK_ROWS, GROUP_ROWS, SORTED = 10_000, 1_000_000, 100_000, 1 << 20
 
 
-def rolling_stats(df: DataFrame, keys: list[str], day: str, value: str, frames: dict[str, tuple[int, int]], counts: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+def rolling_stats(df: DataFrame, keys: list[str], day: str, value: str, frames: dict[str, tuple[int, int]], counts: dict[str, tuple[int, int]] | None = None, since: str | None = None, asked: str | None = None) -> DataFrame:
     """Adds <name>_median and <name>_n for each frame of days, and <name>_n alone for those of `counts`. Rows with a null
-    key get null and 0.
-
-    Keys of few rows are dealt in groups, and a task sorts the frames of a group's days in blocks. A key of more than HOT_ROWS is cut into
-    blocks of days: each value goes to the blocks whose days see it in some frame, so one key spreads over tasks. Frames
-    depend on key and day alone, so a block selects one median for each of its days, whatever the number of its rows,
-    and rows take theirs by key and day."""
-    counts = counts or {}
-    hot = cut(df.where(_known(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_ROWS).select(*keys, F.lit(True).alias("__hot")), "hot")
+    key get null and 0. With `since`, that column is days_since_previous. With `asked`, only rows with this flag come out;
+    the others lend their days and values.
+
+    Keys of few rows are dealt in groups, and a task sorts the frames of a group's days in blocks. A key of more than HOT_ROWS is a
+    task's own; one of more than BLOCK_ROWS is cut into blocks of days: each value goes to the blocks whose days see it in
+    some frame, so one key spreads over tasks. Frames depend on key and day alone, so a block selects one median for each
+    of its days, whatever the number of its rows, and rows take theirs by key and day."""
+    few, many, found = _stats_by_size(df, keys, day, value, frames, counts or {}, since, asked)
+    return few if found is None else few.unionByName(many.join(found, [*keys, day]).select(*few.columns))
+
+
+def daily_stats(df: DataFrame, keys: list[str], day: str, value: str, frames: dict[str, tuple[int, int]], counts: dict[str, tuple[int, int]] | None = None, since: str | None = None, asked: str | None = None) -> DataFrame:
+    """(keys, day, statistics of rolling_stats), once for each key and day, null ones among them."""
+    df = df.select(*keys, day, value, *([asked] if asked else []))
+    few, _, found = _stats_by_size(df, keys, day, value, frames, counts or {}, since, asked)
+    few = few.drop(value, *([asked] if asked else [])).distinct()
+    return few if found is None else few.unionByName(found.select(*few.columns))
+
+
+def _stats_by_size(df: DataFrame, keys: list[str], day: str, value: str, frames: dict[str, tuple[int, int]], counts: dict[str, tuple[int, int]], since: str | None, asked: str | None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Rows of keys of few rows with their statistics, the other rows, and the statistics of these by key and day."""
+    hot = cut(df.where(_known(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_ROWS).select(*keys, (F.col("__n") <= BLOCK_ROWS).alias("__whole")), "hot")
     if hot.isEmpty():
-        return _windowed_stats(df, keys, day, value, frames, counts)
-    split = df.join(hot, keys, "left").select(*df.columns, (F.coalesce("__hot", F.lit(False)) & F.col(day).isNotNull()).alias("__hot"))
-    few = _windowed_stats(split.where("not __hot").drop("__hot"), keys, day, value, frames, counts)
+        return _windowed_stats(df, keys, day, value, frames, counts, since, asked), None, None
+    split = df.join(hot, keys, "left").select(*df.columns, "__whole", (F.col("__whole").isNotNull() & F.col(day).isNotNull()).alias("__hot"))
+    few = _windowed_stats(split.where("not __hot").drop("__hot", "__whole"), keys, day, value, frames, counts, since, asked)
     many = split.where("__hot").drop("__hot")
-    found = _blocked_stats(many, keys, day, value, frames, counts)
-    return few.unionByName(many.join(found, [*keys, day]).select(*few.columns))
+    found = _blocked_stats(many, keys, day, value, frames, counts, since, asked)
+    return few, many.where(asked) if asked else many, found
 
 
 def _known(keys: list[str]) -> Column:
@@ -61,12 +78,14 @@ def _known(keys: list[str]) -> Column:
     return known
 
 
-def _windowed_stats(df: DataFrame, keys: list[str], day: str, value: str, frames: dict[str, tuple[int, int]], counts: dict[str, tuple[int, int]]) -> DataFrame:
+def _windowed_stats(df: DataFrame, keys: list[str], day: str, value: str, frames: dict[str, tuple[int, int]], counts: dict[str, tuple[int, int]], since: str | None, asked: str | None) -> DataFrame:
     """Keys of few rows, whole keys together in groups of about GROUP_ROWS rows. A null day sees the null days of its key."""
-    groups = max(1, -(-df.count() // GROUP_ROWS))
+    count = df.count()
+    groups = max(1, -(-count // GROUP_ROWS))
     # rows without a key see nothing and are dealt by what they hold
     group = F.pmod(F.when(_known(keys), F.xxhash64(*keys)).otherwise(F.xxhash64(day, value)), F.lit(groups))
     fields = [T.StructField(f"{name}_{what}", T.DoubleType() if what == "median" else T.LongType()) for name in frames | counts for what in (("median", "n") if name in frames else ("n",))]
+    fields += [T.StructField(since, df.schema[day].dataType)] if since else []
     rows = df.select("*", F.col(day).cast("long").alias("__at"), F.col(value).cast("double").alias("__v"), group.alias("__group"))
 
     def run(table: pa.Table) -> pa.Table:
@@ -78,27 +97,51 @@ def _windowed_stats(df: DataFrame, keys: list[str], day: str, value: str, frames
             codes = np.unique(codes, return_inverse=True)[1]
         undated, valued = (table.column(c).is_null().to_numpy() for c in ("__at", "__v"))
         at, v, valued = table.column("__at").fill_null(0).to_numpy(), table.column("__v").fill_null(0.0).to_numpy(), ~valued
-        found = frame_stats(codes * 2 + undated, np.where(undated, 0, at), v, valued, undated, frames, counts)
         out = table.drop_columns(["__at", "__v", "__group"])
+        wanted = None
+        if asked:
+            wanted = table.column(asked).fill_null(False).to_numpy()
+            out, known = out.filter(pa.array(wanted)), known[wanted]
+        found = frame_stats(codes * 2 + undated, np.where(undated, 0, at), v, valued, undated, frames, counts, since, wanted)
         for field in fields:
             values, missing = found[field.name]
-            own = pa.array(values, mask=missing | ~known) if field.name.endswith("_median") else pa.array(np.where(known, values, 0))
+            if field.name == since:
+                own = pa.array(values, mask=missing | ~known).cast(arrow_type)
+            else:
+                own = pa.array(values, mask=missing | ~known) if field.name.endswith("_median") else pa.array(np.where(known, values, 0))
             out = out.append_column(field.name, own)
         return out
 
+    if count == 0:
+        return df.where(F.lit(False)).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    arrow_type = to_arrow_type(df.schema[day].dataType)
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // 4))  # what a task sorts stays bounded
-    return rows.repartition(tasks, "__group").groupBy("__group").applyInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    out = rows.repartition(tasks, "__group").groupBy("__group").applyInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    if not since:
+        return out
+    # Rows without a key are not dealt by it; the previous day of the same nulls is found among their days.
+    days = df.where(~_known(keys)).select(*keys, day).distinct()
+    alone = cut(days.select(*[F.col(c).alias(f"__r_{c}") for c in (*keys, day)], (F.col(day) - F.lag(day).over(Window.partitionBy(*keys).orderBy(day))).alias("__since")), "alone")
+    if alone.isEmpty():
+        return out
+    same = F.lit(True)
+    for c in (*keys, day):
+        same = same & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return out.join(alone, same, "left").select(*df.columns, *[f.name for f in fields if f.name != since], F.coalesce(since, "__since").alias(since))
 
 
-def frame_stats(codes: np.ndarray, at: np.ndarray, v: np.ndarray, valued: np.ndarray, undated: np.ndarray, frames: dict[str, tuple[int, int]], counts: dict[str, tuple[int, int]]) -> dict[str, tuple[np.ndarray, np.ndarray | None]]:
-    """<name>_n and <name>_median of each row's frames over the values of its code, each with what is null."""
+def frame_stats(codes: np.ndarray, at: np.ndarray, v: np.ndarray, valued: np.ndarray, undated: np.ndarray, frames: dict[str, tuple[int, int]], counts: dict[str, tuple[int, int]], since: str | None = None, wanted: np.ndarray | None = None) -> dict[str, tuple[np.ndarray, np.ndarray | None]]:
+    """<name>_n and <name>_median of each row's (or each wanted row's) frames over the values of its code, and the days since its
+    previous day, each with what is null."""
     # One number for code and day, codes so far apart that no frame reaches the next one.
     dated = at[~undated]
     low, high = (int(dated.min()), int(dated.max())) if len(dated) else (0, 0)
     reach = max(abs(x) for frame in (frames | counts).values() for x in frame)
-    place = codes * (high - low + 2 * reach + 1) + np.where(undated, reach, at - low + reach)
-    asked, first_row, back = np.unique(place, return_index=True, return_inverse=True)
-    moves = ~undated[first_row]
+    span = high - low + 2 * reach + 1
+    place = codes * span + np.where(undated, reach, at - low + reach)
+    taken = slice(None) if wanted is None else wanted
+    asked, first_row, back = np.unique(place[taken], return_index=True, return_inverse=True)
+    moves = ~undated[taken][first_row]
     order = np.argsort(place[valued], kind="stable")
     held, values = place[valued][order], v[valued][order]
     out: dict[str, tuple[np.ndarray, np.ndarray | None]] = {}
@@ -108,6 +151,12 @@ def frame_stats(codes: np.ndarray, at: np.ndarray, v: np.ndarray, valued: np.nda
         out[f"{name}_n"] = n[back], None
         if name in frames:
             out[f"{name}_median"] = medians(values, first, n)[back], (n == 0)[back]
+    if since:
+        days = asked if wanted is None else np.unique(place)
+        before = np.searchsorted(days, asked, "left") - 1
+        gap = asked - days[before] if len(days) else asked
+        none = (before < 0) | ~moves | (asked // span != days[before] // span if len(days) else False)
+        out[since] = np.where(none, 0, gap)[back], none[back]
     return out
 
 
@@ -131,35 +180,110 @@ def medians(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocked_stats(df: DataFrame, keys: list[str], day: str, value: str, frames: dict[str, tuple[int, int]], counts: dict[str, tuple[int, int]]) -> DataFrame:
-    """(keys, day, statistics) of each key and day."""
+def _blocked_stats(df: DataFrame, keys: list[str], day: str, value: str, frames: dict[str, tuple[int, int]], counts: dict[str, tuple[int, int]], since: str | None, asked: str | None) -> DataFrame:
+    """(keys, day, statistics) of each key and day; keys with the flag __whole are one block."""
     every = frames | counts
     span = max(1, (max(h for _, h in every.values()) - min(lo for lo, _ in every.values()) + 1) // 2)
     block = lambda at: F.floor(at / F.lit(span)).cast("long")
-    seen = F.array_distinct(F.flatten(F.array(*[F.sequence(block(F.col(day) - high), block(F.col(day) - low)) for low, high in every.values()])))
-    values = df.where(F.col(value).isNotNull()).select(*keys, F.explode(seen).alias("__block"), F.col(day).cast("long").alias("__at"), F.col(value).cast("double").alias("__v"))
-    asked = df.select(*keys, F.col(day).cast("long").alias("__at")).distinct().select(*keys, block(F.col("__at")).alias("__block"), "__at", F.lit(None).cast("double").alias("__v"))
-    kinds = {k: df.schema[k].dataType.simpleString() for k in keys}
+    seen = F.array_distinct(F.flatten(F.array(F.array(block(F.col(day))), *[F.sequence(block(F.col(day) - high), block(F.col(day) - low)) for low, high in every.values()])))
+    seen = F.when(F.col("__whole"), F.array(F.lit(None).cast("long"))).otherwise(seen)
+    values = df.select(*keys, F.explode(seen).alias("__block"), F.col(day).cast("long").alias("__at"), F.col(value).cast("double").alias("__v"), F.coalesce(F.col(asked), F.lit(False)).alias("__asked") if asked else F.lit(True).alias("__asked"))
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    packed = values.mapInArrow(pack_values([*keys, "__block"]), f"{kinds}, __block long, __packed binary")
     named = [f"{name}_{what}" for name in every for what in (("median", "n") if name in frames else ("n",))]
-    schema = ", ".join([*[f"`{k}` {t}" for k, t in kinds.items()], "__at long", *[f"{c} {'double' if c.endswith('_median') else 'long'}" for c in named]])
+    schema = ", ".join([kinds, "__at long, __asked boolean", *[f"{c} {'double' if c.endswith('_median') else 'long'}" for c in named]])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        at, v = table.column("__at").to_numpy(), table.column("__v").to_numpy()
-        missing = np.isnan(v)  # nulls: the days that are asked for
-        missing = missing & table.column("__v").is_null().to_numpy()
-        days, order = np.unique(at[missing]), np.argsort(at[~missing], kind="stable")
-        at, v = at[~missing][order], v[~missing][order]
-        out = {k: pa.repeat(x, len(days)) for k, x in zip(keys, key[:-1], strict=True)} | {"__at": pa.array(days, pa.int64())}
-        for name, (low, high) in every.items():
-            first, last = np.searchsorted(at, days + low, "left"), np.searchsorted(at, days + high, "right")
+        rows = np.concatenate([np.frombuffer(x.as_buffer(), np.dtype(PACKED)) for x in table.column("__packed")])
+        rows = rows[np.argsort(rows["at"], kind="stable")]
+        days = np.unique(rows["at"])
+        own = key[-1].as_py()
+        days = days if own is None else days[days // span == own]  # those of the block
+        wanted = np.isin(days, rows["at"][rows["asked"]])
+        at, v = rows["at"][rows["valued"]], rows["v"][rows["valued"]]
+        out = {k: pa.repeat(x, len(days)) for k, x in zip(keys, key[:-1], strict=True)} | {"__at": pa.array(days), "__asked": pa.array(wanted)}
+        ends = {name: [np.searchsorted(at, days[wanted] + low, "left"), np.searchsorted(at, days[wanted] + high, "right")] for name, (low, high) in every.items()}
+        pairs = np.array([ends[name] for name in frames], np.int64).reshape(len(frames), 2, -1).swapaxes(0, 1).reshape(2, -1)
+        some, back = np.unique(pairs, axis=1, return_inverse=True)  # frames of like width meet the same values on other days
+        found = window_medians(v, *some)[back.reshape(-1)].reshape(len(frames), -1)
+        for i, (name, (first, last)) in enumerate(ends.items()):
+            n = np.zeros(len(days), np.int64)
+            n[wanted] = last - first
             if name in frames:
-                medians = [float(np.median(v[a:b])) if b > a else None for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                out[f"{name}_median"] = pa.array(medians, pa.float64())
-            out[f"{name}_n"] = pa.array(last - first, pa.int64())
+                m = np.zeros(len(days))
+                m[wanted] = found[i]
+                out[f"{name}_median"] = pa.array(m, mask=n == 0)
+            out[f"{name}_n"] = pa.array(n)
         return pa.table(out)
 
-    found = values.unionByName(asked).groupBy(*keys, "__block").applyInArrow(run, schema)
-    return found.withColumn(day, F.col("__at").cast(df.schema[day].dataType)).drop("__at")
+    found = packed.groupBy(*keys, "__block").applyInArrow(run, schema)
+    if since:
+        found = found.withColumn(since, (F.col("__at") - F.lag("__at").over(Window.partitionBy(*keys).orderBy("__at"))).cast(df.schema[day].dataType))
+    return found.where("__asked").withColumn(day, F.col("__at").cast(df.schema[day].dataType)).drop("__at", "__asked")
+
+
+#: A packed row, and rows that are packed at once, about.
+PACKED, PACKED_ROWS = [("at", np.int64), ("v", np.float64), ("valued", np.bool_), ("asked", np.bool_)], 1 << 18
+
+
+def pack_values(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of like keys as one array of their days and values, so that few, long rows are shuffled."""
+
+    def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches)
+        codes = np.zeros(len(table), dtype=np.int64)
+        for key in keys:
+            column = table.column(key).combine_chunks().dictionary_encode()
+            codes = codes * (len(column.dictionary) + 1) + column.indices.fill_null(len(column.dictionary)).to_numpy()
+            codes = np.unique(codes, return_inverse=True)[1]
+        order = np.argsort(codes, kind="stable")
+        rows = np.empty(len(table), np.dtype(PACKED))
+        rows["at"], rows["asked"] = table.column("__at").to_numpy()[order], table.column("__asked").to_numpy()[order]
+        rows["v"], rows["valued"] = table.column("__v").fill_null(0.0).to_numpy()[order], ~table.column("__v").is_null().to_numpy()[order]
+        starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+        of = table.select(keys).take(pa.array(order[starts])).combine_chunks()
+        arrays = pa.array([part.tobytes() for part in np.split(rows, starts[1:])], pa.binary())
+        return pa.RecordBatch.from_arrays([*(of.column(k).combine_chunks() for k in keys), arrays], [*keys, "__packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACKED_ROWS:
+                yield packed(held)
+                held, n = [], 0
+        if n:
+            yield packed(held)
+
+    return run
+
+
+def window_medians(v: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Medians of the values from each `first` to before its `last`, NaN for none; NaN values are the largest. Values are cut by rank
+    into parts, counts of parts tell which one holds a median, and only its values are looked at."""
+    n, out = np.maximum(last - first, 0), np.full(len(first), np.nan)
+    if not n.any():
+        return out
+    size = max(512, len(v) // 1024)
+    order = np.argsort(v, kind="stable")
+    part = np.empty(len(v), np.int64)
+    part[order] = np.arange(len(v)) // size
+    parts = int(part.max()) + 1
+    cuts = np.unique(np.concatenate([first, last]))
+    piece = np.searchsorted(cuts, np.arange(len(v)), "right")
+    before = np.bincount(piece * parts + part, minlength=(len(cuts) + 1) * parts).astype(np.int32).reshape(-1, parts).cumsum(axis=0)  # values before each cut, of each part
+    for k in np.flatnonzero(n).tolist():
+        a, b = int(first[k]), int(last[k])
+        upto = np.cumsum(before[np.searchsorted(cuts, b)] - before[np.searchsorted(cuts, a)])
+        ends = []
+        for rank in ((n[k] - 1) // 2, n[k] // 2):
+            at = int(np.searchsorted(upto, rank, "right"))
+            held = order[at * size : (at + 1) * size]
+            ends.append(v[held[(held >= a) & (held < b)][rank - (upto[at - 1] if at else 0)]])
+        with np.errstate(invalid="ignore"):  # both infinities
+            out[k] = ends[0] if ends[0] == ends[1] else ends[0] * 0.5 + ends[1] * 0.5
+    return out
 
 
 def days_since_previous(keys: list[str], day: str) -> Column:
